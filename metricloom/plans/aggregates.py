@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import hashlib
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from metricloom.functions.draws import uniform
@@ -11,9 +13,9 @@ from metricloom.functions.lines import parse_lines
 from metricloom.operators import counts as C
 from metricloom.operators import dims as D
 from metricloom.operators import quality, temporal
+from metricloom.operators.divergence import shares
 from metricloom.operators.synth import match_globs
 from metricloom.plans.catalog import query, u
-from metricloom.plans.recipe import cadence
 from metricloom.sources import recipes
 from metricloom.sources import tables as t
 
@@ -78,8 +80,6 @@ def _(spark, d):
     "SELECT row_id, value FROM points WHERE family_id = sha1('app.click|env,k')",
 )
 def _(spark, d):
-    import hashlib
-
     return recipes.filter_family(t.points(spark, d), hashlib.sha1(b"app.click|env,k").hexdigest()).select("row_id", "value")
 
 
@@ -90,19 +90,19 @@ def _(spark, d):
 
 @query(
     "filter_scenario_families",
-    """SELECT DISTINCT family_id, glob FROM famcounts JOIN
-         (SELECT DISTINCT 'app.' || substr(event_type, 1, 1) || '*' AS glob FROM events UNION SELECT DISTINCT 'app.' || event_type FROM events UNION SELECT '*.click') g
-         ON regexp_full_match(metric, replace(replace(glob, '.', '\\.'), '*', '.*'))""",
+    """SELECT DISTINCT family_id, pattern FROM famcounts JOIN
+         (SELECT DISTINCT 'app.' || substr(event_type, 1, 1) || '*' AS pattern FROM events UNION SELECT DISTINCT 'app.' || event_type FROM events UNION SELECT '*.click') g
+         ON regexp_full_match(metric, replace(replace(pattern, '.', '\\.'), '*', '.*'))""",
 )
 def _(spark, d):
     e = t.table(spark, d, "events")
     globs = e.select(
         F.explode(
             F.array(F.concat(F.lit("app."), F.substring("event_type", 1, 1), F.lit("*")), F.concat(F.lit("app."), "event_type"), F.lit("*.click"))
-        ).alias("glob")
+        ).alias("pattern")
     ).distinct()
     families = t.points(spark, d).select("family_id", "metric").distinct()
-    return match_globs(families, "metric", globs, "glob").select("family_id", "glob").distinct()
+    return match_globs(families, "metric", globs, "pattern").select("family_id", "pattern").distinct()
 
 
 @query(
@@ -228,8 +228,6 @@ def _(spark, d):
     """Granularity letters vary by day so that all three occur."""
     day = F.pmod(F.floor(c("ts") / 86400), F.lit(5))
     h = t.histograms(spark, d).withColumn("granularity", F.when(day == 0, "H").when(day == 1, "M").otherwise("D"))
-    from metricloom.operators.divergence import shares
-
     return shares(C.value_counts(h, FAM, "granularity"), FAM).select("family_id", "granularity", "n", c("p").alias("share"))
 
 

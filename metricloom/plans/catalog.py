@@ -132,10 +132,10 @@ VIEWS: dict[str, str] = {
     "curs": "SELECT * FROM points WHERE ts >= epoch(TIMESTAMP '2024-01-16')",
     "rdims": """
         SELECT family_id, dim, value, count(*) AS n, count(*) * 1.0 / sum(count(*)) OVER (PARTITION BY family_id, dim) AS p
-        FROM dims WHERE ts < epoch(TIMESTAMP '2024-01-16') GROUP BY ALL""",
+        FROM dims WHERE ts < epoch(TIMESTAMP '2024-01-16') GROUP BY family_id, dim, value""",
     "cdims": """
         SELECT family_id, dim, value, count(*) AS n, count(*) * 1.0 / sum(count(*)) OVER (PARTITION BY family_id, dim) AS p
-        FROM dims WHERE ts >= epoch(TIMESTAMP '2024-01-16') GROUP BY ALL""",
+        FROM dims WHERE ts >= epoch(TIMESTAMP '2024-01-16') GROUP BY family_id, dim, value""",
     "aligned": """
         SELECT coalesce(a.family_id, b.family_id) AS family_id, coalesce(a.dim, b.dim) AS dim,
           coalesce(a.value, b.value) AS value, coalesce(a.p, 0) AS p, coalesce(b.p, 0) AS q
@@ -160,7 +160,7 @@ VIEWS: dict[str, str] = {
           (abs(rq.v[1] - cq.v[1]) + abs(rq.v[2] - cq.v[2]) + abs(rq.v[3] - cq.v[3]) + abs(rq.v[4] - cq.v[4]) + abs(rq.v[5] - cq.v[5])) / 5
           / CASE WHEN rq.v[5] > rq.v[1] THEN rq.v[5] - rq.v[1] ELSE 1 END END AS wasserstein
         FROM rq LEFT JOIN cq USING (family_id)""",
-    "ks": """
+    "ksfam": """
         SELECT rq.family_id, coalesce(greatest(0.0, max(greatest(p - f_at, f_below - p))), 1.0) AS ks_size
         FROM rq LEFT JOIN (
           SELECT r.family_id, p, avg(CASE WHEN c.line_length <= r.q THEN 1.0 ELSE 0 END) AS f_at,
@@ -172,7 +172,7 @@ VIEWS: dict[str, str] = {
         SELECT *, CASE WHEN js_categorical > 0.05 OR wasserstein > 0.1 OR ks_size > 0.05 THEN 'red'
             WHEN js_categorical > 0.025 OR wasserstein > 0.05 OR ks_size > 0.025 THEN 'amber' ELSE 'green' END AS status
         FROM (SELECT family_id, n FROM (SELECT family_id, count(*) AS n FROM curs GROUP BY family_id) WHERE n >= 10)
-        JOIN jsfam USING (family_id) JOIN wass USING (family_id) JOIN ks USING (family_id)""",
+        JOIN jsfam USING (family_id) JOIN wass USING (family_id) JOIN ksfam USING (family_id)""",
     "day": "SELECT *, ts // 86400 * 86400 AS window_start FROM points",
 }
 

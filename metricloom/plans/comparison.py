@@ -1 +1,221 @@
+"""Queries: divergence scores, status and alerts."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from metricloom.operators import counts as C
+from metricloom.operators import dims as D
+from metricloom.operators import divergence as V
+from metricloom.operators import synth, temporal
+from metricloom.plans.catalog import query, u
+from metricloom.sources import tables as t
+
+c = F.col
+FAM = ["family_id"]
+DAY = ["family_id", "window_start"]
+
+
+def ref_profile(ref: DataFrame) -> dict[str, DataFrame]:
+    return {
+        "dims": D.dim_counts(ref, FAM),
+        "value_q": C.exact_quantiles(C.value_counts(ref, FAM, "value"), FAM, "value"),
+        "size_q": C.exact_quantiles(C.value_counts(ref, FAM, "line_length"), FAM, "line_length"),
+    }
+
+
+def cur_profile(cur: DataFrame) -> dict[str, DataFrame]:
+    values = C.value_counts(cur, FAM, "value")
+    return {
+        "dims": D.dim_counts(cur, FAM),
+        "values": values,
+        "value_q": C.exact_quantiles(values, FAM, "value"),
+        "sizes": C.value_counts(cur, FAM, "line_length"),
+    }
+
+
+def profiles(spark, d):
+    ref, cur = t.reference_and_current(spark, d)
+    return ref_profile(ref), cur_profile(cur)
+
+
+def scores(spark, d) -> DataFrame:
+    ref, cur = profiles(spark, d)
+    return V.score(ref, cur, FAM)
+
+
+@query(
+    "current_source_dist",
+    "SELECT family_id, window_start, value, n, round(n / sum(n) OVER (PARTITION BY family_id, window_start), 6) AS p FROM (SELECT family_id, window_start, source AS value, count(*) AS n FROM day GROUP BY ALL)",
+)
+def _(spark, d):
+    p = t.points(spark, d).withColumn("window_start", F.floor(c("ts") / 86400) * 86400)
+    counts = C.value_counts(p, DAY, "source").withColumnRenamed("source", "value")
+    return V.shares(counts, DAY).select(*DAY, "value", "n", "p")
+
+
+@query(
+    "current_tag_dist",
+    """SELECT family_id, window_start, key, value, n, round(n / sum(n) OVER (PARTITION BY family_id, window_start, key), 6) AS p FROM
+         (SELECT family_id, ts // 86400 * 86400 AS window_start, key, value, count(*) AS n FROM ptags GROUP BY ALL)""",
+)
+def _(spark, d):
+    p = t.points(spark, d).withColumn("window_start", F.floor(c("ts") / 86400) * 86400)
+    counts = C.value_counts(D.explode_tags(p, *DAY), [*DAY, "key"], "value")
+    return V.shares(counts, [*DAY, "key"]).select(*DAY, "key", "value", "n", "p")
+
+
+@query(
+    "current_quantiles",
+    """SELECT family_id, 'value' AS measure, round(quantile_cont(value, 0.01), 6) AS p01, round(quantile_cont(value, 0.05), 6) AS p05, round(quantile_cont(value, 0.5), 6) AS p50,
+         round(quantile_cont(value, 0.95), 6) AS p95, round(quantile_cont(value, 0.99), 6) AS p99 FROM curs GROUP BY family_id
+       UNION ALL SELECT family_id, 'size', round(quantile_cont(x, 0.01), 6), round(quantile_cont(x, 0.05), 6), round(quantile_cont(x, 0.5), 6),
+         round(quantile_cont(x, 0.95), 6), round(quantile_cont(x, 0.99), 6) FROM (SELECT family_id, CAST(line_length AS DOUBLE) AS x FROM curs) GROUP BY family_id""",
+)
+def _(spark, d):
+    """Value and size in one pass: both measures travel as rows of one count table."""
+    _ref, cur = t.reference_and_current(spark, d)
+    long = cur.select(
+        *FAM,
+        F.inline(
+            F.array(
+                F.struct(F.lit("value").alias("measure"), c("value").alias("x")),
+                F.struct(F.lit("size").alias("measure"), c("line_length").cast("double").alias("x")),
+            )
+        ),
+    )
+    keys = [*FAM, "measure"]
+    return C.exact_quantiles(C.value_counts(long, keys, "x"), keys, "x")
+
+
+@query("js_divergence", "SELECT family_id, dim, in_ref, round(js, 6) AS js FROM jsdim")
+def _(spark, d):
+    ref, cur = t.reference_and_current(spark, d)
+    return V.js_divergence(D.dim_counts(ref, FAM), D.dim_counts(cur, FAM), [*FAM, "dim"])
+
+
+@query("js_tags_average", "SELECT family_id, round(js_tags_avg, 6) AS js_tags_avg FROM jsfam")
+def _(spark, d):
+    ref, cur = t.reference_and_current(spark, d)
+    return V.js_scores(D.dim_counts(ref, FAM), D.dim_counts(cur, FAM), FAM).select(*FAM, "js_tags_avg")
+
+
+@query("js_categorical", "SELECT family_id, round(js_source, 6) AS js_source, round(js_categorical, 6) AS js_categorical FROM jsfam")
+def _(spark, d):
+    ref, cur = t.reference_and_current(spark, d)
+    return V.js_scores(D.dim_counts(ref, FAM), D.dim_counts(cur, FAM), FAM).select(*FAM, "js_source", "js_categorical")
+
+
+@query("wasserstein_quantile", "SELECT family_id, round(wasserstein, 6) AS wasserstein FROM wass")
+def _(spark, d):
+    ref, cur = profiles(spark, d)
+    return V.wasserstein(ref["value_q"], cur["value_q"], FAM)
+
+
+@query("ks_size", "SELECT family_id, round(ks_size, 6) AS ks_size FROM ksfam")
+def _(spark, d):
+    ref, cur = profiles(spark, d)
+    return V.ks_knots(ref["size_q"], cur["sizes"], FAM, "line_length")
+
+
+@query(
+    "temporal_correlation",
+    """SELECT family_id, round(CASE WHEN vx > 0 AND vy > 0 THEN cov / (sqrt(vx) * sqrt(vy)) END, 6) AS temporal_corr FROM (
+      SELECT family_id, 1440 * sum(x * y) - sum(x) * sum(y) AS cov, 1440 * sum(x * x) - sum(x) ** 2 AS vx, 1440 * sum(y * y) - sum(y) ** 2 AS vy FROM (
+        SELECT family_id, ts % 86400 // 60 AS mod, CAST(count(*) FILTER (ts < epoch(TIMESTAMP '2024-01-16')) AS DOUBLE) AS x,
+          CAST(count(*) FILTER (ts >= epoch(TIMESTAMP '2024-01-16')) AS DOUBLE) AS y FROM points GROUP BY family_id, ts % 86400 // 60) GROUP BY family_id)""",
+)
+def _(spark, d):
+    ref, cur = t.reference_and_current(spark, d)
+    curves = [temporal.curve_points(temporal.minute_counts(x, FAM), FAM) for x in (ref, cur)]
+    return V.curve_correlation(*curves, FAM)
+
+
+@query(
+    "cooccurrence_js",
+    """SELECT family_id, round(CASE WHEN max(p) = 0 OR max(q) = 0 THEN 1.0 ELSE greatest(0.0, sum(
+           CASE WHEN p > 0 THEN p * ln(p / ((p + q) / 2)) ELSE 0 END + CASE WHEN q > 0 THEN q * ln(q / ((p + q) / 2)) ELSE 0 END) / (2 * ln(2))) END, 6) AS cooccurrence_js
+       FROM (SELECT family_id, pair, coalesce(max(share) FILTER (side = 'r'), 0) AS p, coalesce(max(share) FILTER (side = 'c'), 0) AS q FROM (
+         SELECT family_id, side, pair, n / sum(n) OVER (PARTITION BY family_id, side) AS share FROM (
+           SELECT family_id, CASE WHEN ts < epoch(TIMESTAMP '2024-01-16') THEN 'r' ELSE 'c' END AS side, env || '|' || k AS pair, count(*) AS n FROM points WHERE env IS NOT NULL GROUP BY ALL))
+         GROUP BY family_id, pair) GROUP BY family_id""",
+)
+def _(spark, d):
+    pairs = [
+        D.tag_pairs(D.tag_combinations(x, FAM), FAM).select(*FAM, F.concat_ws("\u0001", "key_a", "value_a", "key_b", "value_b").alias("pair"), "n")
+        for x in t.reference_and_current(spark, d)
+    ]
+    return V.js_divergence(*pairs, FAM, "pair").select(*FAM, c("js").alias("cooccurrence_js"))
+
+
+@query(
+    "family_status",
+    "SELECT family_id, status, CASE status WHEN 'red' THEN 2 WHEN 'amber' THEN 1 ELSE 0 END::BIGINT AS status_code FROM scores",
+)
+def _(spark, d):
+    return scores(spark, d).select(*FAM, "status", V.status_code(c("status")).alias("status_code"))
+
+
+@query(
+    "families_report",
+    """SELECT s.family_id, metric, s.n, status, round(js_source, 6) AS js_source, round(js_tags_avg, 6) AS js_tags_avg, round(js_categorical, 6) AS js_categorical,
+         round(wasserstein, 6) AS wasserstein, round(ks_size, 6) AS ks_size FROM scores s JOIN (SELECT family_id, metric FROM famcounts) f USING (family_id)""",
+)
+def _(spark, d):
+    names = t.points(spark, d).select("family_id", "metric").distinct()
+    return scores(spark, d).join(names, FAM).select(
+        *FAM, "metric", "n", "status", "js_source", "js_tags_avg", "js_categorical", "wasserstein", "ks_size"
+    )
+
+
+# Daily evaluations: a day is red when its point count strays from the family's daily mean by
+# more than 30 %, amber beyond 15 %. Used where only the order of statuses matters; the streaming
+# queries score real windows.
+STREAK_SQL = """
+    daily AS (SELECT family_id, window_start, count(*) AS n FROM day GROUP BY ALL),
+    judged AS (SELECT family_id, window_start, CASE WHEN abs(n - m) > 0.3 * m THEN 'red' WHEN abs(n - m) > 0.15 * m THEN 'amber' ELSE 'green' END AS status
+      FROM daily JOIN (SELECT family_id, avg(n) AS m FROM daily GROUP BY family_id) USING (family_id)),
+    islands AS (SELECT *, row_number() OVER (PARTITION BY family_id ORDER BY window_start) - sum(CASE WHEN status = 'red' THEN 1 ELSE 0 END) OVER (PARTITION BY family_id ORDER BY window_start) AS island FROM judged),
+    streaks AS (SELECT family_id, window_start, status, CASE WHEN status = 'red' THEN row_number() OVER (PARTITION BY family_id, island, status = 'red' ORDER BY window_start) ELSE 0 END AS red_streak FROM islands)"""
+
+
+def judged_days(spark, d) -> DataFrame:
+    daily = t.points(spark, d).groupBy("family_id", (F.floor(c("ts") / 86400) * 86400).alias("window_start")).agg(F.count("*").alias("n"))
+    mean = daily.groupBy("family_id").agg(F.avg("n").alias("m"))
+    off = F.abs(c("n") - c("m"))
+    return daily.join(mean, "family_id").select(
+        *DAY, F.when(off > 0.3 * c("m"), "red").when(off > 0.15 * c("m"), "amber").otherwise("green").alias("status")
+    )
+
+
+@query("win_red_streak", f"WITH {STREAK_SQL} SELECT family_id, window_start, status, red_streak FROM streaks")
+def _(spark, d):
+    return V.red_streaks(judged_days(spark, d), FAM, "window_start")
+
+
+@query(
+    "alert_counts",
+    f"""WITH {STREAK_SQL} SELECT window_start, count(*) FILTER (status = 'red' AND red_streak >= 15) AS critical,
+        count(*) FILTER (status = 'amber') AS warning, count(*) FILTER (status = 'red') AS info FROM streaks GROUP BY window_start""",
+)
+def _(spark, d):
+    return V.alert_counts(V.red_streaks(judged_days(spark, d), FAM, "window_start"), "window_start")
+
+
+@query(
+    "load_fidelity",
+    f"""SELECT family_id, CAST(sum(CAST(floor(x) AS BIGINT) + CASE WHEN {u("family_id || '|' || mod", 'round', 11)} < x - floor(x) THEN 1 ELSE 0 END) AS BIGINT) AS produced, any_value(target) AS target,
+          abs(sum(CAST(floor(x) AS BIGINT) + CASE WHEN {u("family_id || '|' || mod", 'round', 11)} < x - floor(x) THEN 1 ELSE 0 END) - any_value(target)) <= 0.05 * any_value(target) AS within
+        FROM (SELECT family_id, ts % 86400 // 60 AS mod, count(*) * 2.0 AS x, any_value(total) * 2 AS target
+              FROM points JOIN (SELECT family_id, n AS total FROM famcounts) USING (family_id) GROUP BY family_id, ts % 86400 // 60) GROUP BY family_id""",
+)
+def _(spark, d):
+    """Planned synthetic rows at multiplier 2 against twice the observed volume."""
+    p = t.points(spark, d)
+    curve = temporal.curve_points(temporal.minute_counts(p, FAM), FAM).withColumn("rate", c("n").cast("double")).drop("n")
+    total = p.groupBy(*FAM).agg(F.count("*").alias("total")).withColumn("base_rate", F.lit(1.0))
+    budget = synth.row_budget(curve, total, FAM, 11, F.lit(2.0))
+    return budget.groupBy(*FAM).agg(F.sum("rows").alias("produced"), (F.max("total") * 2).alias("target")).withColumn(
+        "within", F.abs(c("produced") - c("target")) <= 0.05 * c("target")
+    )

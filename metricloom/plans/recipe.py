@@ -6,19 +6,24 @@ all statistics derive from those count tables, and one row per family is joined
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from metricloom.operators import counts as C
 from metricloom.operators import dims as D
 from metricloom.operators import divergence as V
 from metricloom.operators import fit, patterns, temporal
 from metricloom.functions.keys import span_family_id
+from metricloom.schemas import RECIPE
 from metricloom.session import materialize
 
 VERSION = "v1.0"
 FAMILY = ["family_id"]
 TOP_PAIRS = 100
+PARALLEL_PARTS = 6
 TYPES = ["categorical", "numeric", "text", "identifier"]
 TAG_KEY = r"^[a-zA-Z][a-zA-Z0-9_]*$"
 
@@ -201,6 +206,10 @@ def assemble(points: DataFrame, cut: Column, histograms: DataFrame | None = None
         parts.append(histogram_parts(histograms))
     else:
         out = out.withColumn("histogram_distribution", F.lit(None)).withColumn("cadence", F.lit(None)).withColumn("has_histogram", F.lit(False))
+    # One row per family each. Written separately so that every part is a small plan of its own;
+    # a few run side by side because most of them are too small to fill a cluster.
+    with ThreadPoolExecutor(PARALLEL_PARTS) as pool:
+        parts = list(pool.map(lambda part: materialize(part, "part"), parts))
     for part in parts:
         out = out.join(part, FAMILY, "left")
     drop_reasons = F.lit(None).cast("map<string,bigint>")
@@ -213,7 +222,7 @@ def assemble(points: DataFrame, cut: Column, histograms: DataFrame | None = None
         if totals["drop_reasons"]:
             drop_reasons = F.create_map(*[F.lit(x) for kv in totals["drop_reasons"].items() for x in kv]).cast("map<string,bigint>")
         coverage = F.lit(float(totals["coverage"] or 0.0))
-    return out.select(
+    return conform(out.select(
         F.lit(VERSION).alias("version"),
         *FAMILY,
         c("metric").alias("metric_name"),
@@ -244,6 +253,17 @@ def assemble(points: DataFrame, cut: Column, histograms: DataFrame | None = None
             F.struct("max_cardinality_per_tag", "required_tags").alias("constraints"),
         ).alias("generation"),
         F.struct(coverage.alias("coverage"), drop_reasons.alias("drop_reasons"), "fitness_scores").alias("validation"),
+    ))
+
+
+def conform(recipes: DataFrame) -> DataFrame:
+    """Columns in schema order with their declared types; absent blocks become typed nulls."""
+    schema = T.StructType.fromDDL(RECIPE)
+    return recipes.select(
+        *[
+            (F.col(f"`{f.name}`") if f.name in recipes.columns else F.lit(None)).cast(f.dataType).alias(f.name)
+            for f in schema.fields
+        ]
     )
 
 
@@ -306,7 +326,8 @@ def span_recipes(spans: DataFrame) -> DataFrame:
         F.array(F.struct(c("operation").alias("value"), F.lit(1.0).alias("frequency"))).alias("top_values"),
         F.lit(1).cast("bigint").alias("distinct_count"), F.lit(0.0).alias("entropy"),
     )
-    return out.select(
+    none = F.lit(None)
+    return conform(out.select(
         F.lit(VERSION).alias("version"), *FAMILY, c("operation").alias("metric_name"),
         F.current_timestamp().alias("created_at"),
         F.struct(
@@ -316,6 +337,8 @@ def span_recipes(spans: DataFrame) -> DataFrame:
         F.struct(F.lit("span").alias("type"), F.lit(False).alias("is_delta"), F.lit(False).alias("has_histogram"), "tag_schema").alias("schema"),
         F.struct(
             c("samples").alias("sample_count"), "source_distribution", "tag_distributions",
+            none.alias("tag_cooccurrence"), none.alias("value_distribution"), none.alias("parametric"),
+            none.alias("histogram_distribution"),
             F.struct("duration_distribution", only.alias("operation_distribution")).alias("span_distribution"),
         ).alias("statistics"),
         F.struct(
@@ -323,10 +346,19 @@ def span_recipes(spans: DataFrame) -> DataFrame:
                 F.sequence(F.lit(0), F.lit(temporal.MINUTES - 1)),
                 lambda i: F.coalesce(F.try_element_at("_m", i), F.lit(0)) * float(temporal.MINUTES) / c("_n"),
             ).alias("intensity_curve"),
-            F.struct(c("cv_counts").alias("coefficient_of_variation"), "fano_factor").alias("burstiness"),
+            F.struct(
+                c("cv_counts").alias("coefficient_of_variation"), none.alias("cv_interarrival"), "fano_factor"
+            ).alias("burstiness"),
+            none.alias("cadence"),
         ).alias("temporal"),
-        F.struct(F.struct(c("source_distribution.distinct_count").alias("source_count_estimate")).alias("entity_hints")).alias("generation"),
-    )
+        F.struct(
+            F.struct(
+                c("source_distribution.distinct_count").alias("source_count_estimate"),
+                none.alias("per_source_rate_distribution"),
+            ).alias("entity_hints"),
+            none.alias("constraints"),
+        ).alias("generation"),
+    ))
 
 
 def validate(recipes: DataFrame) -> DataFrame:
