@@ -67,6 +67,8 @@ def _chunk(text: Column, seed: Column) -> Column:
 def deterministic_string(key: Column, length: int | Column, seed: str = "") -> Column:
     """``length`` characters that depend only on ``key`` and ``seed``; longer requests extend
     shorter ones because each chunk is hashed from all the text before it."""
+    if isinstance(length, int) and length <= CHUNK:
+        return F.substring(_chunk(key, F.lit(seed)), 1, length)
     size = length if isinstance(length, Column) else F.lit(length)
     rounds = F.ceil(size / F.lit(CHUNK)).cast("int")
     grown = F.aggregate(
@@ -79,6 +81,8 @@ def deterministic_string(key: Column, length: int | Column, seed: str = "") -> C
 
 def levelled_suffix(prefix: Column, min_levels: int = 0, min_length: int = 0, seed: str = "") -> Column:
     """Append dot-separated repeatable levels until both minimums hold; at least one is added."""
+    if min_levels <= 1 and min_length == 0:
+        return F.concat(prefix, F.lit("."), deterministic_string(prefix, CHARS_PER_LEVEL, seed))
     levels = F.length(prefix) - F.length(F.replace(prefix, F.lit("."), F.lit(""))) + 1
     missing = F.greatest(F.lit(min_levels - 1) - levels, F.lit(0))
     base = F.aggregate(

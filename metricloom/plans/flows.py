@@ -1 +1,204 @@
+"""Queries: Structured Streaming jobs drained over the given tables; their SQL is the batch form."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from metricloom.plans.aggregates import DELTA_SQL
+from metricloom.plans.catalog import query
+from metricloom.plans.comparison import ref_profile
+from metricloom.session import work_dir
+from metricloom.sources import captures
+from metricloom.sources import tables as t
+from metricloom.streaming import jobs
+
+c = F.col
+FLUSH = 86400 * 400  # seconds past the newest row, enough to close every window
+
+
+def event_stream(spark, d) -> DataFrame:
+    """The events table as a file stream."""
+    schema = t.table(spark, d, "events").schema
+    return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
+
+
+def point_stream(spark, d) -> DataFrame:
+    return t.with_series(t.with_line_length(t.with_keys(t.points_from_events(event_stream(spark, d)))))
+
+
+def staged(points: DataFrame, name: str) -> DataFrame:
+    """Points as a two-step stream: all rows, then one far-future row that closes every window.
+
+    The step order comes from file times, so the closing row always arrives in a later batch.
+    """
+    spark = points.sparkSession
+    path = work_dir(spark, name)
+    points.write.parquet(f"{path}/step=1")
+    closing = (
+        points.orderBy(F.desc("ts")).limit(1)
+        .withColumn("ts", c("ts") + FLUSH).withColumn("family_id", F.lit("flush")).withColumn("series_id", F.lit("flush"))
+        .withColumn("is_delta", F.lit(True))
+    )
+    closing.write.parquet(f"{path}/step=2")
+    return (
+        spark.readStream.schema(points.schema).option("recursiveFileLookup", True)
+        .option("maxFilesPerTrigger", 1).parquet(path)
+    )
+
+
+def staged_points(spark, d, name: str) -> DataFrame:
+    return staged(t.with_series(t.points(spark, d)), name)
+
+
+@query("stream_lines", "SELECT line AS value FROM points")
+def _(spark, d):
+    path = work_dir(spark, "stream-in")
+    captures.sink_lines_text(t.metric_lines(spark, d), path)
+    out, _ = jobs.run_to_table(jobs.stream_lines(spark, path, "part-*"), "stream-lines")
+    return out
+
+
+@query("stream_parse", "SELECT family_id, metric, count(*) AS n, round(sum(value), 6) AS total FROM points GROUP BY ALL")
+def _(spark, d):
+    path = work_dir(spark, "stream-in")
+    captures.sink_lines_text(t.metric_lines(spark, d), path)
+    parsed = jobs.stream_parse(jobs.stream_lines(spark, path, "part-*")).select("family_id", "metric", "value")
+    out, _ = jobs.run_to_table(parsed, "stream-parse")
+    return out.groupBy("family_id", "metric").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
+
+
+@query(
+    "stream_land_capture",
+    "SELECT strftime(to_timestamp(ts), '%Y-%m-%d') AS dt, 'tier-' || (row_id % 2) AS mig, count(*) AS n FROM points GROUP BY ALL",
+)
+def _(spark, d):
+    p = t.points_from_events(event_stream(spark, d))
+    lines = p.select(
+        t.metric_text().alias("value"),
+        F.date_format(F.timestamp_seconds("ts"), "yyyy-MM-dd").alias("dt"),
+        F.concat(F.lit("tier-"), (c("row_id") % 2).cast("string")).alias("mig"),
+        F.lit("agent-0").alias("instance"),
+    )
+    path = work_dir(spark, "landed")
+    jobs.land_capture(lines, path, work_dir(spark, "landed-checkpoint"), every=None).awaitTermination()
+    back = spark.read.schema("value string, dt string, mig string, instance string").parquet(path)
+    return back.groupBy("dt", "mig").agg(F.count("*").alias("n"))
+
+
+@query("stream_delta_bin", DELTA_SQL)
+def _(spark, d):
+    out, _ = jobs.run_to_table(jobs.delta_bins(staged_points(spark, d, "stream-delta")), "delta-bins")
+    return out.filter(c("series_id") != "flush")
+
+
+@query(
+    "stream_tumbling_counts",
+    "SELECT family_id, ts // 60 * 60 AS window_start, count(*) AS lines, CAST(sum(line_length) AS BIGINT) AS bytes FROM points GROUP BY ALL",
+)
+def _(spark, d):
+    out, _ = jobs.run_to_table(jobs.tumbling_counts(staged_points(spark, d, "stream-tumbling")), "tumbling")
+    return out.filter(c("family_id") != "flush")
+
+
+SLIDES = "(SELECT *, unnest(range(ts // 21600 - 3, ts // 21600 + 1)) * 21600 AS window_start FROM dims)"
+
+
+@query(
+    "stream_sliding_dist",
+    f"SELECT family_id, window_start, dim, value, count(*) AS n FROM {SLIDES} GROUP BY ALL",
+)
+def _(spark, d):
+    """One-day windows every six hours; the table's events are too sparse for five minutes."""
+    counts = jobs.sliding_counts(staged_points(spark, d, "stream-sliding"), "1 day", "6 hours", "1 hour")
+    out, _ = jobs.run_to_table(counts, "sliding")
+    return out.filter((c("family_id") != "flush") & ~c("dim").isin("value", "size"))
+
+
+SCORED_SQL = """
+    w AS (SELECT *, ts // 86400 * 86400 AS window_start FROM curs),
+    wn AS (SELECT family_id, window_start, count(*) AS n FROM w GROUP BY ALL HAVING count(*) >= 10),
+    wd AS (SELECT family_id, window_start, dim, value, count(*) AS n FROM (
+        SELECT family_id, ts // 86400 * 86400 AS window_start, dim, value FROM dims WHERE ts >= epoch(TIMESTAMP '2024-01-16')) GROUP BY ALL),
+    wp AS (SELECT family_id, window_start, dim, value, n / sum(n) OVER (PARTITION BY family_id, window_start, dim) AS q FROM wd),
+    rp AS (SELECT r.family_id, wn.window_start, r.dim, r.value, r.p FROM rdims r JOIN wn ON wn.family_id = r.family_id),
+    al AS (SELECT coalesce(rp.family_id, x.family_id) AS family_id, coalesce(rp.window_start, x.window_start) AS window_start, coalesce(rp.dim, x.dim) AS dim,
+        coalesce(rp.p, 0) AS p, coalesce(x.q, 0) AS q FROM rp FULL JOIN (SELECT wp.* FROM wp JOIN wn ON wn.family_id = wp.family_id AND wn.window_start = wp.window_start) x
+        ON rp.family_id = x.family_id AND rp.window_start = x.window_start AND rp.dim = x.dim AND rp.value = x.value),
+    jd AS (SELECT family_id, window_start, dim, max(p) > 0 AS in_ref, CASE WHEN max(p) = 0 OR max(q) = 0 THEN 1.0 ELSE greatest(0.0, sum(
+        CASE WHEN p > 0 THEN p * ln(p / ((p + q) / 2)) ELSE 0 END + CASE WHEN q > 0 THEN q * ln(q / ((p + q) / 2)) ELSE 0 END) / (2 * ln(2))) END AS js FROM al GROUP BY family_id, window_start, dim),
+    jf AS (SELECT family_id, window_start, max(js) FILTER (dim = 'source') AS js_source, coalesce(avg(js) FILTER (dim LIKE 'tag:%' AND in_ref), 0) AS js_tags_avg FROM jd GROUP BY family_id, window_start),
+    wq AS (SELECT family_id, window_start, quantile_cont(value, [0.01, 0.05, 0.5, 0.95, 0.99]) AS v FROM w GROUP BY ALL),
+    ws AS (SELECT wq.family_id, wq.window_start, (abs(rq.v[1] - wq.v[1]) + abs(rq.v[2] - wq.v[2]) + abs(rq.v[3] - wq.v[3]) + abs(rq.v[4] - wq.v[4]) + abs(rq.v[5] - wq.v[5])) / 5 / (rq.v[5] - rq.v[1]) AS wasserstein
+        FROM wq JOIN rq ON rq.family_id = wq.family_id),
+    wk AS (SELECT family_id, window_start, greatest(0.0, max(greatest(p - f_at, f_below - p))) AS ks_size FROM (
+        SELECT w.family_id, w.window_start, p, avg(CASE WHEN line_length <= q THEN 1.0 ELSE 0 END) AS f_at, avg(CASE WHEN line_length < q THEN 1.0 ELSE 0 END) AS f_below
+        FROM w JOIN (SELECT family_id, unnest(s) AS q, unnest([0.01, 0.05, 0.5, 0.95, 0.99]) AS p FROM rq) k ON k.family_id = w.family_id GROUP BY w.family_id, w.window_start, p, q) GROUP BY family_id, window_start),
+    scored AS (SELECT wn.family_id, wn.window_start, wn.n, js_source, js_tags_avg, (js_source + js_tags_avg) / 2 AS js_categorical, wasserstein, ks_size
+        FROM wn JOIN jf ON jf.family_id = wn.family_id AND jf.window_start = wn.window_start JOIN ws ON ws.family_id = wn.family_id AND ws.window_start = wn.window_start
+        JOIN wk ON wk.family_id = wn.family_id AND wk.window_start = wn.window_start),
+    stat AS (SELECT *, CASE WHEN js_categorical > 0.05 OR wasserstein > 0.1 OR ks_size > 0.05 THEN 'red'
+        WHEN js_categorical > 0.025 OR wasserstein > 0.05 OR ks_size > 0.025 THEN 'amber' ELSE 'green' END AS status FROM scored)"""
+
+
+def scored_days(spark, d) -> DataFrame:
+    """Daily windows of the current half, scored as they close."""
+    ref, cur = t.reference_and_current(spark, d)
+    stream = staged(t.with_series(cur), "stream-scores")
+    counts = jobs.sliding_counts(stream, "1 day", "1 day", "1 hour").filter(c("family_id") != "flush")
+    return jobs.run_scores(counts, ref_profile(ref), "scores")
+
+
+@query(
+    "stream_divergence",
+    f"WITH {SCORED_SQL} SELECT family_id, window_start, n, round(js_categorical, 6) AS js_categorical, round(wasserstein, 6) AS wasserstein, round(ks_size, 6) AS ks_size, status FROM stat",
+)
+def _(spark, d):
+    return scored_days(spark, d).select("family_id", "window_start", "n", "js_categorical", "wasserstein", "ks_size", "status")
+
+
+@query(
+    "stream_red_streak",
+    f"""WITH {SCORED_SQL},
+        isl AS (SELECT *, row_number() OVER (PARTITION BY family_id ORDER BY window_start) - sum(CASE WHEN status = 'red' THEN 1 ELSE 0 END) OVER (PARTITION BY family_id ORDER BY window_start) AS island FROM stat)
+        SELECT family_id, window_start, status, red_streak, red_streak >= 15 AS critical FROM (
+          SELECT *, CASE WHEN status = 'red' THEN row_number() OVER (PARTITION BY family_id, island, status = 'red' ORDER BY window_start) ELSE 0 END AS red_streak FROM isl)""",
+)
+def _(spark, d):
+    """Stateful streak over scored windows that arrive as a stream of their own."""
+    path = work_dir(spark, "scored")
+    scored = scored_days(spark, d).select("family_id", "window_start", "status")
+    scored.write.parquet(path)
+    stream = spark.readStream.schema(scored.schema).parquet(path)
+    out, _ = jobs.run_to_table(jobs.red_streaks(stream), "streaks", state=jobs.ROCKSDB)
+    return out
+
+
+@query("stream_late_data", "SELECT count(*) AS lines_counted, true AS some_dropped FROM points")
+def _(spark, d):
+    """Rows older than the watermark are dropped and counted.
+
+    Step 1 holds everything, steps 2 and 3 closing rows, step 4 a tenth of the rows again. A row is
+    late when it is behind the watermark that the batch before last left, hence two closing rows.
+    """
+    p = t.with_series(t.points(spark, d))
+    path = work_dir(spark, "stream-late")
+    p.coalesce(1).write.parquet(f"{path}/step=1")
+    closing = p.orderBy(F.desc("ts")).limit(1).withColumn("family_id", F.lit("flush"))
+    for step in (2, 3):
+        closing.withColumn("ts", c("ts") + FLUSH * step).write.parquet(f"{path}/step={step}")
+    p.filter(c("row_id") % 10 == 0).coalesce(1).write.parquet(f"{path}/step=4")
+    stream = spark.readStream.schema(p.schema).option("recursiveFileLookup", True).option("maxFilesPerTrigger", 1).parquet(path)
+    out, progress = jobs.run_to_table(jobs.tumbling_counts(stream, "1 day"), "late")
+    dropped = jobs.dropped_late(progress)
+    return out.filter(c("family_id") != "flush").agg(F.sum("lines").alias("lines_counted")).withColumn(
+        "some_dropped", F.lit(dropped > 0)
+    )
+
+
+@query("stream_backlog")
+def _(spark, d):
+    """Input against processing rate per batch of a stream over the events."""
+    _out, progress = jobs.run_to_table(point_stream(spark, d).select("family_id", "ts"), "backlog")
+    rows = jobs.backlog(progress)
+    return spark.createDataFrame(rows, "batch bigint, input_rows bigint, rows_per_second double, seconds double")

@@ -13,7 +13,7 @@ from metricloom.functions.lines import parse_lines
 from metricloom.operators import divergence as V
 from metricloom.operators.counts import exact_quantiles
 from metricloom.operators.dims import SOURCE, TAG
-from metricloom.session import work_dir
+from metricloom.session import materialize, work_dir
 
 
 def stream_lines(spark: SparkSession, path: str, glob: str = "*", max_files: int = 1000) -> DataFrame:
@@ -130,8 +130,14 @@ def run_scores(counts: DataFrame, reference: dict[str, DataFrame], name: str, mi
     spark = counts.sparkSession
     path, checkpoint = work_dir(spark, name), work_dir(spark, name + "-checkpoint")
 
+    fixed = {part: materialize(frame, f"{name}-{part}") for part, frame in reference.items()}
+
     def each(batch: DataFrame, batch_id: int) -> None:
-        score_windows(reference, batch, min_samples).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        # the batch feeds several aggregations; without persist each would run the state again
+        batch.persist()
+        if not batch.isEmpty():
+            score_windows(fixed, batch, min_samples).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        batch.unpersist()
 
     query = (
         counts.writeStream.outputMode("append").foreachBatch(each)
