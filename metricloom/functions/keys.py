@@ -13,6 +13,11 @@ CHARS_PER_LEVEL = 8
 CHUNK = 20  # bytes in a SHA-1 digest, one character each
 
 
+def once(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` computed once per row, however often ``use`` refers to it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def family_id(metric: Column, tags: Column) -> Column:
     """SHA-1 of the metric name and its sorted tag keys."""
     keys = F.array_join(F.array_sort(F.map_keys(tags)), ",")
@@ -40,27 +45,27 @@ def _byte(hex_text: Column, index: Column) -> Column:
 
 def fnv1a(text: Column) -> Column:
     """Signed 32-bit FNV-1a of the UTF-8 bytes."""
-    hex_text = F.hex(F.encode(text, "UTF-8"))
-    bytes_ = F.transform(
-        F.filter(F.sequence(F.lit(0), F.octet_length(text)), lambda i: i < F.octet_length(text)),
-        lambda i: _byte(hex_text, i),
-    )
+    pairs = F.regexp_extract_all(F.hex(F.encode(text, "UTF-8")), F.lit("(..)"), F.lit(1))
     unsigned = F.aggregate(
-        bytes_,
+        pairs,
         F.lit(FNV_OFFSET).cast("bigint"),
-        lambda h, b: (h.bitwiseXOR(b) * F.lit(FNV_PRIME)).bitwiseAND(F.lit(0xFFFFFFFF)),
+        lambda h, b: (h.bitwiseXOR(F.conv(b, 16, 10).cast("bigint")) * F.lit(FNV_PRIME)).bitwiseAND(
+            F.lit(0xFFFFFFFF)
+        ),
     )
     return F.when(unsigned >= 2**31, unsigned - F.lit(2**32)).otherwise(unsigned)
 
 
 def _chunk(text: Column, seed: Column) -> Column:
-    digest = F.sha1(F.concat(seed, text))
-    return F.array_join(
-        F.transform(
-            F.sequence(F.lit(0), F.lit(CHUNK - 1)),
-            lambda i: F.substring(F.lit(ALPHABET), (_byte(digest, i) % 62 + 1).cast("int"), F.lit(1)),
+    return once(
+        F.sha1(F.concat(seed, text)),
+        lambda digest: F.array_join(
+            F.transform(
+                F.sequence(F.lit(0), F.lit(CHUNK - 1)),
+                lambda i: F.substring(F.lit(ALPHABET), (_byte(digest, i) % 62 + 1).cast("int"), F.lit(1)),
+            ),
+            "",
         ),
-        "",
     )
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from metricloom.functions.formats import unescape
-from metricloom.functions.keys import family_id, span_family_id
+from metricloom.functions.keys import family_id, once, span_family_id
 from metricloom.schemas import PARSED_COLUMNS
 
 # Fixed patterns of the line format. Possessive quantifiers keep the Java matcher from recursing
@@ -39,7 +39,7 @@ def _entries(parts: Column) -> Column:
         parts,
         lambda t: F.struct(
             F.substring_index(t, "=", 1).alias("key"),
-            unescape(F.substring(t, F.length(F.substring_index(t, "=", 1)) + 2, F.length(t))).alias("value"),
+            unescape(F.substring(t, F.instr(t, "=") + 1, F.length(t))).alias("value"),
         ),
     )
 
@@ -50,14 +50,18 @@ def last_wins_map(entries: Column) -> Column:
     The quadratic branch runs only on the rare lines that repeat a key, so the session's policy
     for duplicate map keys does not matter.
     """
-    keys = F.transform(entries, lambda e: e["key"])
-    unique = F.filter(
-        entries,
-        lambda e, i: ~F.exists(F.slice(entries, i + 2, F.size(entries)), lambda later: later["key"] == e["key"]),
-    )
-    return F.when(
-        F.size(F.array_distinct(keys)) == F.size(keys), F.map_from_entries(entries)
-    ).otherwise(F.map_from_entries(unique))
+
+    def build(found: Column) -> Column:
+        keys = F.transform(found, lambda e: e["key"])
+        last = F.filter(
+            found,
+            lambda e, i: ~F.exists(F.slice(found, i + 2, F.size(found)), lambda later: later["key"] == e["key"]),
+        )
+        return F.when(F.size(F.array_distinct(keys)) == F.size(found), F.map_from_entries(found)).otherwise(
+            F.map_from_entries(last)
+        )
+
+    return once(entries, build)
 
 
 def _source(tags: Column) -> Column:
@@ -75,11 +79,12 @@ def _own_tags(tags: Column) -> Column:
 def _bind(df: DataFrame, keep: list[str], **exprs: Column) -> DataFrame:
     """Compute ``exprs`` once per row and expose them as columns.
 
-    A one-element ``inline`` is used instead of a projection because filters that callers put on
-    parsed columns are not rewritten through it; through a chain of projections they would be
-    expanded into copies of the whole parser.
+    The projection below evaluates them in generated code; the one-element ``inline`` above it
+    keeps filters that callers put on parsed columns from being rewritten through the chain of
+    projections, which would expand them into copies of the whole parser.
     """
-    return df.select(*keep, F.inline(F.array(F.struct(*[e.alias(n) for n, e in exprs.items()]))))
+    packed = F.struct(*[e.alias(n) for n, e in exprs.items()])
+    return df.select(*keep, packed.alias("_once")).select(*keep, F.inline(F.array("_once")))
 
 
 def parse_lines(df: DataFrame, column: str = "value") -> DataFrame:

@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from metricloom.operators.counts import cumulative_counts
 
@@ -54,7 +55,7 @@ def normal_cdf(z: Column) -> Column:
     return 0.5 * (1.0 + erf(z / F.sqrt(F.lit(2.0))))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def gamma_cdf(shape: pd.Series, x: pd.Series) -> pd.Series:
     """Regularised lower incomplete gamma on whole Arrow batches.
 

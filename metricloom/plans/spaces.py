@@ -133,13 +133,13 @@ def _(spark, d):
 
 @query(
     "histogram_uniform",
-    """SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, i, CAST(q // 12 + CASE WHEN (q % 12) * i % 12 < q % 12 THEN 1 ELSE 0 END AS BIGINT) AS count, round(l_tax * 100 * (-1 + 2 * (i + 1.0) / 13.0), 6) AS mean
+    """SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, i, CAST(q // 12 + CASE WHEN (q % 12) * i % 12 < q % 12 THEN 1 ELSE 0 END AS BIGINT) AS count, round((l_tax * 100 + 1) * (-1 + 2 * (i + 1.0) / 13.0), 6) AS mean
        FROM (SELECT *, CAST(l_quantity AS BIGINT) + 100 AS q, unnest(range(12)) AS i FROM lineitem)""",
 )
 def _(spark, d):
     """A 12-centroid histogram per line item."""
     li = t.table(spark, d, "lineitem")
-    h = series.uniform_histogram(c("l_tax") * 100, 12, c("l_quantity").cast("bigint") + 100)
+    h = series.uniform_histogram(c("l_tax") * 100 + 1, 12, c("l_quantity").cast("bigint") + 100)
     return li.select("l_orderkey", "l_linenumber", F.posexplode(h).alias("i", "x")).select(
         "l_orderkey", "l_linenumber", "i", c("x.count").alias("count"), c("x.value").alias("mean")
     )

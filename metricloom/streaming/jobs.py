@@ -132,12 +132,15 @@ def run_scores(counts: DataFrame, reference: dict[str, DataFrame], name: str, mi
 
     fixed = {part: materialize(frame, f"{name}-{part}") for part, frame in reference.items()}
 
+    closed = work_dir(spark, name + "-closed")
+
     def each(batch: DataFrame, batch_id: int) -> None:
-        # the batch feeds several aggregations; without persist each would run the state again
-        batch.persist()
-        if not batch.isEmpty():
-            score_windows(fixed, batch, min_samples).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
-        batch.unpersist()
+        # the batch feeds several aggregations, so its closed windows are written once first
+        part = f"{closed}/batch={batch_id}"
+        batch.write.mode("overwrite").parquet(part)
+        windows = batch.sparkSession.read.schema(batch.schema).parquet(part)
+        if not windows.isEmpty():
+            score_windows(fixed, windows, min_samples).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
     query = (
         counts.writeStream.outputMode("append").foreachBatch(each)
