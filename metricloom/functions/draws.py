@@ -11,6 +11,8 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from metricloom.functions.keys import once
+
 TINY = 1.0 / 2**32
 
 
@@ -48,11 +50,16 @@ def pick(items: Column, u: Column) -> Column:
     are zero. The arrays come from recipes, which hold at most 100 entries.
     """
     total = F.element_at(items, -1)["cum"]
-    weighted = F.filter(items, lambda x: x["cum"] >= u * total)
+    # the draw is hashed once, not once per item
+    weighted = once(
+        u * total, lambda target: F.try_element_at(F.filter(items, lambda x: x["cum"] >= target), F.lit(1))["value"]
+    )
     even = F.element_at(items, (F.floor(u * F.size(items)) + 1).cast("int"))["value"]
-    return F.when(F.coalesce(F.size(items), F.lit(0)) <= 0, F.lit(None)).when(
-        total <= 0, even
-    ).otherwise(F.coalesce(F.try_element_at(weighted, F.lit(1))["value"], F.element_at(items, -1)["value"]))
+    return (
+        F.when(F.coalesce(F.size(items), F.lit(0)) <= 0, F.lit(None))
+        .when(total <= 0, even)
+        .otherwise(F.coalesce(weighted, F.element_at(items, -1)["value"]))
+    )
 
 
 def interpolate(knots: list[tuple[float, Column]], p: Column) -> Column:

@@ -54,7 +54,9 @@ def order_bucket(value: Column) -> Column:
     """Integer that never decreases as ``value`` grows: about 0.07 % of a value's size per step."""
     size = F.abs(value.cast("double"))
     step = F.floor(F.log2(size) * STEPS_PER_OCTAVE).cast("bigint") + 2**21
-    return F.when(size == 0, F.lit(0).cast("bigint")).when(value < 0, -step).otherwise(step)
+    bucket = F.when(size == 0, F.lit(0).cast("bigint")).when(value < 0, -step).otherwise(step)
+    # never null, so joins on it add no filter that would make two uses of one count table differ
+    return F.coalesce(bucket, F.lit(0).cast("bigint"))
 
 
 def bucket_totals(counts: DataFrame, keys: list[str], value: str) -> tuple[DataFrame, DataFrame]:
@@ -90,9 +92,10 @@ def cumulative_counts(counts: DataFrame, keys: list[str], value: str) -> DataFra
 
 
 def exact_quantiles(
-    counts: DataFrame, keys: list[str], value: str, probs: dict[str, float] | None = None
+    counts: DataFrame, keys: list[str], value: str, probs: dict[str, float] | None = None, total: str | None = None
 ) -> DataFrame:
-    """Linear-interpolated quantiles per key, one column per probability.
+    """Linear-interpolated quantiles per key, one column per probability; ``total`` names an
+    optional column with the number of rows.
 
     Only buckets that hold a wanted rank are looked into, so a hot key's values are never
     collected into one buffer as ``percentile`` would do.
@@ -127,6 +130,7 @@ def exact_quantiles(
     found = placed.groupBy(*keys).agg(F.max("total").alias("total"), *picks)
     return found.select(
         *keys,
+        *([F.col("total").alias(total)] if total else []),
         *[
             (
                 F.col(f"_l_{name}")

@@ -111,3 +111,32 @@ def tag_pairs(combos: DataFrame, keys: list[str]) -> DataFrame:
         .groupBy(*keys, "key_a", "value_a", "key_b", "value_b")
         .agg(F.sum("n").alias("n"))
     )
+
+
+def long_form(points: DataFrame, *keep: str) -> DataFrame:
+    """(dim, value) rows of source, tags, value and size; numbers travel as text, which keeps all
+    digits of a double."""
+    fixed = F.array(
+        F.struct(F.lit(SOURCE).alias("dim"), F.col("source").alias("value")),
+        F.struct(F.lit("value").alias("dim"), F.col("value").cast("string").alias("value")),
+        F.struct(F.lit("size").alias("dim"), F.col("line_length").cast("string").alias("value")),
+    )
+    tags = F.transform(
+        F.map_entries("tags"),
+        lambda e: F.struct(F.concat(F.lit(TAG), e["key"]).alias("dim"), e["value"].alias("value")),
+    )
+    return points.select(*keep, F.inline(F.concat(fixed, tags)))
+
+
+def split_long(counts: DataFrame) -> dict[str, DataFrame]:
+    """The count tables behind the scores, from their long form."""
+    keys = [c for c in counts.columns if c not in ("dim", "value", "n")]
+
+    def number(dim: str, name: str, kind: str) -> DataFrame:
+        return counts.filter(F.col("dim") == dim).select(*keys, F.col("value").cast(kind).alias(name), "n")
+
+    return {
+        "dims": counts.filter((F.col("dim") == SOURCE) | F.col("dim").startswith(TAG)),
+        "values": number("value", "value", "double"),
+        "sizes": number("size", "line_length", "bigint"),
+    }

@@ -33,9 +33,7 @@ def _(spark, d):
     """Lines to families: samples and value quantiles per family."""
     parsed = parse_lines(t.metric_lines(spark, d)).filter(c("record_type") == "metric")
     values = parsed.groupBy("family_id", "metric", "value").agg(F.count("*").alias("n"))
-    keys = ["family_id", "metric"]
-    total = values.groupBy(*keys).agg(F.sum("n").alias("samples"))
-    return total.join(C.exact_quantiles(values, keys, "value"), keys)
+    return C.exact_quantiles(values, ["family_id", "metric"], "value", total="samples")
 
 
 # --- projections and filters ------------------------------------------------------------------

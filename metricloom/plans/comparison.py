@@ -10,6 +10,7 @@ from metricloom.operators import dims as D
 from metricloom.operators import divergence as V
 from metricloom.operators import synth, temporal
 from metricloom.plans.catalog import query, u
+from metricloom.session import materialize
 from metricloom.sources import tables as t
 
 c = F.col
@@ -17,27 +18,26 @@ FAM = ["family_id"]
 DAY = ["family_id", "window_start"]
 
 
-def ref_profile(ref: DataFrame) -> dict[str, DataFrame]:
-    return {
-        "dims": D.dim_counts(ref, FAM),
-        "value_q": C.exact_quantiles(C.value_counts(ref, FAM, "value"), FAM, "value"),
-        "size_q": C.exact_quantiles(C.value_counts(ref, FAM, "line_length"), FAM, "line_length"),
-    }
+def profile(counts: DataFrame) -> dict[str, DataFrame]:
+    """Everything the scores need, from one table of (family, dim, value) counts."""
+    parts = D.split_long(counts)
+    parts["value_q"] = C.exact_quantiles(parts["values"], FAM, "value")
+    parts["size_q"] = C.exact_quantiles(parts["sizes"], FAM, "line_length")
+    return parts
 
 
-def cur_profile(cur: DataFrame) -> dict[str, DataFrame]:
-    values = C.value_counts(cur, FAM, "value")
-    return {
-        "dims": D.dim_counts(cur, FAM),
-        "values": values,
-        "value_q": C.exact_quantiles(values, FAM, "value"),
-        "sizes": C.value_counts(cur, FAM, "line_length"),
-    }
+def ref_profile(ref: DataFrame) -> dict[str, DataFrame]:
+    counts = materialize(C.value_counts(D.long_form(ref, *FAM), [*FAM, "dim"], "value"), "reference")
+    parts = profile(counts)
+    return {name: parts[name] for name in ("dims", "value_q", "size_q")}
 
 
 def profiles(spark, d):
-    ref, cur = t.reference_and_current(spark, d)
-    return ref_profile(ref), cur_profile(cur)
+    """Both halves in one pass over the points: the half is a grouping key of the count table."""
+    p = t.points(spark, d).withColumn("side", F.when(c("ts") < t.split_epoch(), "ref").otherwise("cur"))
+    long = D.long_form(p, "side", *FAM)
+    counts = materialize(C.value_counts(long, ["side", *FAM, "dim"], "value"), "sides", ["side"])
+    return [profile(counts.filter(c("side") == side).drop("side")) for side in ("ref", "cur")]
 
 
 def scores(spark, d) -> DataFrame:

@@ -256,10 +256,6 @@ def _(spark, d):
     return s.select(*FAM, "key", c("cardinality").alias("max_cardinality"), (c("presence") == 1.0).alias("required"))
 
 
-def cut():
-    return F.unix_timestamp(F.lit(f"{t.SPLIT_DATE} 00:00:00").cast("timestamp"))
-
-
 CORR_SQL = """
     SELECT family_id, CASE WHEN vx > 0 AND vy > 0 THEN cov / (sqrt(vx) * sqrt(vy)) END AS corr FROM (
       SELECT family_id, 1440 * sum(x * y) - sum(x) * sum(y) AS cov, 1440 * sum(x * x) - sum(x) ** 2 AS vx, 1440 * sum(y * y) - sum(y) ** 2 AS vy FROM (
@@ -277,7 +273,7 @@ CORR_SQL = """
         FROM jsfam j JOIN kv USING (family_id) LEFT JOIN ({CORR_SQL}) USING (family_id)""",
 )
 def _(spark, d):
-    return recipe.fitness(t.points(spark, d), cut())
+    return recipe.fitness(t.points(spark, d), t.split_epoch())
 
 
 # --- recipes ----------------------------------------------------------------------------------
@@ -287,7 +283,7 @@ def _(spark, d):
 def recipe_path(spark, d) -> str:
     """Recipes of the points, built once per session and table folder."""
     path = work_dir(spark, "recipes")
-    store.sink_recipes(recipe.assemble(t.points(spark, d), cut()), path)
+    store.sink_recipes(recipe.assemble(t.points(spark, d), t.split_epoch()), path)
     return path
 
 

@@ -197,7 +197,11 @@ def bad_lines(spark: SparkSession, sf_dir: str, rate: float = 0.5, seed: int = 7
     ).select("row_id", "mode", F.coalesce(corrupt(F.col("clean"), F.col("metric"), F.col("mode")), "clean").alias("value"))
 
 
+def split_epoch() -> Column:
+    """Epoch second that separates reference from current points."""
+    return F.unix_timestamp(F.lit(f"{SPLIT_DATE} 00:00:00").cast("timestamp"))
+
+
 def reference_and_current(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     p = points(spark, sf_dir)
-    cut = F.unix_timestamp(F.lit(f"{SPLIT_DATE} 00:00:00").cast("timestamp"))
-    return p.filter(F.col("ts") < cut), p.filter(F.col("ts") >= cut)
+    return p.filter(F.col("ts") < split_epoch()), p.filter(F.col("ts") >= split_epoch())

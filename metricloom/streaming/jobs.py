@@ -12,7 +12,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from metricloom.functions.lines import parse_lines
 from metricloom.operators import divergence as V
 from metricloom.operators.counts import exact_quantiles
-from metricloom.operators.dims import SOURCE, TAG
+from metricloom.operators.dims import SOURCE, long_form, split_long
 from metricloom.session import materialize, work_dir
 
 
@@ -55,20 +55,6 @@ def tumbling_counts(points: DataFrame, size: str = "1 minute", late: str = "2 mi
     )
 
 
-def long_form(points: DataFrame, *keep: str) -> DataFrame:
-    """(dim, value) rows of source, tags, value and size; numbers travel as text."""
-    fixed = F.array(
-        F.struct(F.lit(SOURCE).alias("dim"), F.col("source").alias("value")),
-        F.struct(F.lit("value").alias("dim"), F.col("value").cast("string").alias("value")),
-        F.struct(F.lit("size").alias("dim"), F.col("line_length").cast("string").alias("value")),
-    )
-    tags = F.transform(
-        F.map_entries("tags"),
-        lambda e: F.struct(F.concat(F.lit(TAG), e["key"]).alias("dim"), e["value"].alias("value")),
-    )
-    return points.select(*keep, F.inline(F.concat(fixed, tags)))
-
-
 def sliding_counts(points: DataFrame, size: str = "5 minutes", step: str = "1 minute", late: str = "2 minutes") -> DataFrame:
     """Counts per (window, family, dim, value); a window is emitted whole once it is closed."""
     return (
@@ -79,20 +65,6 @@ def sliding_counts(points: DataFrame, size: str = "5 minutes", step: str = "1 mi
     )
 
 
-def split_long(counts: DataFrame) -> dict[str, DataFrame]:
-    """The count tables behind the scores, from their long form."""
-    keys = [c for c in counts.columns if c not in ("dim", "value", "n")]
-
-    def number(dim: str, name: str, kind: str) -> DataFrame:
-        return counts.filter(F.col("dim") == dim).select(*keys, F.col("value").cast(kind).alias(name), "n")
-
-    return {
-        "dims": counts.filter((F.col("dim") == SOURCE) | F.col("dim").startswith(TAG)),
-        "values": number("value", "value", "double"),
-        "sizes": number("size", "line_length", "bigint"),
-    }
-
-
 def score_windows(reference: dict[str, DataFrame], counts: DataFrame, min_samples: int = V.MIN_SAMPLES) -> DataFrame:
     """Scores of every (family, window) in ``counts`` against the family's reference."""
     keys = ["family_id", "window_start"]
@@ -138,7 +110,8 @@ def run_scores(counts: DataFrame, reference: dict[str, DataFrame], name: str, mi
         # the batch feeds several aggregations, so its closed windows are written once first
         part = f"{closed}/batch={batch_id}"
         batch.write.mode("overwrite").parquet(part)
-        windows = batch.sparkSession.read.schema(batch.schema).parquet(part)
+        # scored in the caller's session, where adaptive execution is on
+        windows = spark.read.schema(batch.schema).parquet(part)
         if not windows.isEmpty():
             score_windows(fixed, windows, min_samples).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
