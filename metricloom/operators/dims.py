@@ -91,26 +91,17 @@ def tag_combinations(df: DataFrame, keys: list[str]) -> DataFrame:
 def tag_pairs(combos: DataFrame, keys: list[str]) -> DataFrame:
     """Count of each pair of tags that occur in the same record.
 
-    Pairs are formed per distinct combination, after counting, not per record.
+    Pairs are formed per distinct combination, after counting, not per record; two nested explodes
+    stream them, so a very wide combination never becomes one huge array of pairs.
     """
-    pairs = F.flatten(
-        F.transform(
-            F.col("combo"),
-            lambda a, i: F.transform(
-                F.slice(F.col("combo"), i + 2, F.size("combo")),
-                lambda b: F.struct(
-                    a["key"].alias("key_a"), a["value"].alias("value_a"),
-                    b["key"].alias("key_b"), b["value"].alias("value_b"),
-                ),
-            ),
-        )
-    )
-    return (
-        combos.filter(F.size("combo") > 1)
-        .select(*keys, "n", F.inline(pairs))
-        .groupBy(*keys, "key_a", "value_a", "key_b", "value_b")
-        .agg(F.sum("n").alias("n"))
+    first = combos.filter(F.size("combo") > 1).select(*keys, "n", "combo", F.posexplode("combo").alias("_i", "a"))
+    both = first.select(*keys, "n", "a", F.explode(F.slice("combo", F.col("_i") + 2, F.size("combo"))).alias("b"))
+    named = both.select(
+        *keys, "n",
+        F.col("a.key").alias("key_a"), F.col("a.value").alias("value_a"),
+        F.col("b.key").alias("key_b"), F.col("b.value").alias("value_b"),
     )
+    return named.groupBy(*keys, "key_a", "value_a", "key_b", "value_b").agg(F.sum("n").alias("n"))
 
 
 def long_form(points: DataFrame, *keep: str) -> DataFrame:

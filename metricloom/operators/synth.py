@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from metricloom.functions.draws import exponential, integer, interpolate, pick, standard_normal, uniform
+from metricloom.functions.draws import exponential, integer, interpolate, pick, uniform
 from metricloom.operators.counts import PROBS, spread_sequence
 from metricloom.operators.dims import SOURCE, TAG
 from metricloom.schemas import TAGS

@@ -17,7 +17,7 @@ from metricloom.operators import dims as D
 from metricloom.operators import divergence as V
 from metricloom.operators import fit, patterns, temporal
 from metricloom.functions.keys import span_family_id
-from metricloom.schemas import RECIPE
+from metricloom.schemas import CAT, RECIPE
 from metricloom.session import materialize
 
 VERSION = "v1.0"
@@ -25,6 +25,7 @@ FAMILY = ["family_id"]
 TOP_PAIRS = 100
 PARALLEL_PARTS = 6
 TYPES = ["categorical", "numeric", "text", "identifier"]
+TAG_SCHEMA = "map<string,struct<type:string,presence:double,cardinality:bigint>>"
 TAG_KEY = r"^[a-zA-Z][a-zA-Z0-9_]*$"
 
 
@@ -234,10 +235,13 @@ def assemble(points: DataFrame, cut: Column, histograms: DataFrame | None = None
         ).alias("capture_window"),
         F.struct(
             F.lit("metric").alias("type"), "is_delta",
-            F.coalesce("has_histogram", F.lit(False)).alias("has_histogram"), "tag_schema",
+            F.coalesce("has_histogram", F.lit(False)).alias("has_histogram"),
+            F.coalesce("tag_schema", F.create_map().cast(TAG_SCHEMA)).alias("tag_schema"),
         ).alias("schema"),
         F.struct(
-            c("samples").alias("sample_count"), "source_distribution", "tag_distributions", "tag_cooccurrence",
+            c("samples").alias("sample_count"), "source_distribution",
+            F.coalesce("tag_distributions", F.create_map().cast(f"map<string,{CAT}>")).alias("tag_distributions"),
+            "tag_cooccurrence",
             "value_distribution", "parametric", "histogram_distribution",
             F.lit(None).alias("span_distribution"),
         ).alias("statistics"),

@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from metricloom.operators import counts as C
 from metricloom.operators import dims as D
-from metricloom.operators import divergence as V
 from metricloom.operators import fit, patterns, temporal
 from metricloom.plans import recipe
 from metricloom.plans.catalog import query
@@ -358,3 +357,23 @@ def _(spark, d):
         c("statistics.span_distribution.duration_distribution.quantiles.p50").alias("p50"),
         c("generation.entity_hints.source_count_estimate").alias("sources"),
     )
+
+
+@query(
+    "recipe_histograms",
+    """SELECT sha1('sales.quantity|') AS family_id, 1.0::DOUBLE AS daily_share, round(c.k50, 6) AS centroid_count_p50, round(v.v50, 6) AS centroid_value_p50, round(g.g50, 6) AS cadence
+       FROM (SELECT quantile_cont(CAST(centroids AS DOUBLE), 0.5) AS k50 FROM hists) c,
+         (SELECT quantile_cont(l_quantity, 0.5) AS v50 FROM lineitem) v,
+         (SELECT quantile_cont(gap, 0.5) AS g50 FROM (SELECT CAST(ts - lag(ts) OVER (PARTITION BY source ORDER BY ts) AS DOUBLE) AS gap FROM hists) WHERE gap IS NOT NULL) g""",
+)
+def _(spark, d):
+    """The histogram block of a recipe."""
+    h = recipe.histogram_parts(t.histograms(spark, d))
+    dist = "histogram_distribution"
+    return h.select(
+        "family_id",
+        F.try_element_at(f"{dist}.granularities", F.lit("D")).alias("daily_share"),
+        c(f"{dist}.centroid_count_distribution.quantiles.p50").alias("centroid_count_p50"),
+        c(f"{dist}.centroid_value_distribution.quantiles.p50").alias("centroid_value_p50"),
+        F.try_element_at("cadence", F.lit("D")).alias("cadence"),
+    )

@@ -7,8 +7,6 @@ from pyspark.sql import functions as F
 
 from metricloom.functions import formats
 from metricloom.functions.draws import exponential, log_normal, pick, uniform
-from metricloom.functions.keys import span_family_id
-from metricloom.functions.lines import parse_lines
 from metricloom.operators import counts as C
 from metricloom.operators import dims as D
 from metricloom.operators import fit, patterns, synth, temporal
