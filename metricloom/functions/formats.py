@@ -73,7 +73,7 @@ def fmt_value(value: Column) -> Column:
 def fmt_tags(tags: Column) -> Column:
     """`` k=v k=v`` in key order with a leading blank, or an empty string."""
     parts = F.transform(
-        F.array_sort(F.map_entries(tags)),
+        F.sort_array(F.map_entries(tags)),
         lambda e: F.concat(F.lit(" "), e["key"], F.lit("="), quote_tag(e["value"])),
     )
     return F.coalesce(F.array_join(parts, ""), F.lit(""))

@@ -20,7 +20,7 @@ def once(value: Column, use) -> Column:
 
 def family_id(metric: Column, tags: Column) -> Column:
     """SHA-1 of the metric name and its sorted tag keys."""
-    keys = F.array_join(F.array_sort(F.map_keys(tags)), ",")
+    keys = F.array_join(F.sort_array(F.map_keys(tags)), ",")
     return F.sha1(F.concat(metric, F.lit("|"), keys))
 
 
@@ -30,7 +30,7 @@ def span_family_id(operation: Column) -> Column:
 
 def tag_pairs(tags: Column) -> Column:
     """Sorted ``k=v`` strings of a tag map."""
-    return F.array_sort(
+    return F.sort_array(
         F.transform(F.map_entries(tags), lambda e: F.concat(e["key"], F.lit("="), e["value"]))
     )
 

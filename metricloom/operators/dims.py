@@ -84,7 +84,7 @@ def tag_schema(counts: DataFrame, families: DataFrame, keys: list[str]) -> DataF
 
 def tag_combinations(df: DataFrame, keys: list[str]) -> DataFrame:
     """Count of each complete tag map; ``combo`` is the sorted entry array."""
-    combo = F.array_sort(F.map_entries("tags"))
+    combo = F.sort_array(F.map_entries("tags"))
     return df.groupBy(*keys, combo.alias("combo")).agg(F.count("*").alias("n"))
 
 

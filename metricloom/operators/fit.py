@@ -136,7 +136,7 @@ def ks_statistics(counts: DataFrame, params: DataFrame, keys: list[str], kinds:
 
 def best_fit(params: DataFrame, ks: DataFrame, keys: list[str], kinds: list[str] = FAMILIES) -> DataFrame:
     """The family with the smallest distance, its parameters, distance and p-value."""
-    options = F.array_sort(
+    options = F.sort_array(
         F.filter(
             F.array(*[F.struct(F.col(f"ks_{k}").alias("ks"), F.lit(k).alias("type")) for k in kinds]),
             lambda o: o["ks"].isNotNull(),

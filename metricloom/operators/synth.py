@@ -34,7 +34,7 @@ def with_cumulative(items: DataFrame, keys: list[str], weight: str, order: list[
 def item_arrays(items: DataFrame, keys: list[str], value: str, weight: str, order: str = "rank") -> DataFrame:
     """One array per key, in order, ready for ``draws.pick``."""
     cum = with_cumulative(items, keys, weight, [order])
-    packed = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(value).alias("value"), F.col(weight).cast("double").alias("weight"), F.col("cum").cast("double").alias("cum"))))
+    packed = F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), F.col(value).alias("value"), F.col(weight).cast("double").alias("weight"), F.col("cum").cast("double").alias("cum"))))
     return cum.groupBy(*keys).agg(
         F.transform(packed, lambda x: F.struct(x["value"].alias("value"), x["weight"].alias("weight"), x["cum"].alias("cum"))).alias("items")
     )
@@ -174,7 +174,7 @@ def samplers(categories: DataFrame, presence: DataFrame, keys: list[str]) -> Dat
         .withColumn("key", F.substring("dim", len(TAG) + 1, 1_000_000))
         .join(presence.select(*keys, "key", "presence"), [*keys, "key"])
         .groupBy(*keys)
-        .agg(F.array_sort(F.collect_list(F.struct("key", "presence", "items"))).alias("tag_items"))
+        .agg(F.sort_array(F.collect_list(F.struct("key", "presence", "items"))).alias("tag_items"))
     )
     return source.join(tags, keys, "left").withColumn(
         "tag_items",
@@ -281,7 +281,7 @@ def drift_tags(tags: Column, rate: Column, seed, row: Column) -> Column:
     grown = F.when(
         hit & (uniform(seed, row, "drift-add") < DRIFT_NEW_TAG), F.map_concat(F.map_filter(tags, lambda k, _: ~F.map_contains_key(new, k)), new)
     ).otherwise(tags)
-    keys = F.array_sort(F.map_keys(grown))
+    keys = F.sort_array(F.map_keys(grown))
     target = F.try_element_at(keys, (integer(uniform(seed, row, "drift-pick"), F.size(keys)) + 1).cast("int"))
     change = hit & (F.size(keys) > 0) & (uniform(seed, row, "drift-change") < DRIFT_CHANGED_VALUE)
     return F.when(

@@ -57,7 +57,7 @@ def numeric_struct(counts: DataFrame, keys: list[str], value: str, name: str) ->
 
 def cat_struct(counts: DataFrame, keys: list[str], name: str) -> DataFrame:
     cat = D.categorical(counts, keys)
-    ordered = F.array_sort(F.collect_list(F.struct("rank", "value", "frequency")))
+    ordered = F.sort_array(F.collect_list(F.struct("rank", "value", "frequency")))
     return cat.groupBy(*keys).agg(
         F.struct(
             F.transform(ordered, lambda x: F.struct(x["value"].alias("value"), x["frequency"].alias("frequency"))).alias("top_values"),
@@ -144,7 +144,7 @@ def assemble(points: DataFrame, cut: Column, histograms: DataFrame | None = None
     schema_map = tag_schema.groupBy(*FAMILY).agg(
         F.map_from_entries(F.collect_list(F.struct("key", F.struct("type", "presence", "cardinality")))).alias("tag_schema"),
         F.map_from_entries(F.collect_list(F.struct("key", "cardinality"))).alias("max_cardinality_per_tag"),
-        F.array_sort(F.collect_list(F.when(c("presence") == 1.0, c("key")))).alias("required_tags"),
+        F.sort_array(F.collect_list(F.when(c("presence") == 1.0, c("key")))).alias("required_tags"),
     )
     cats = cat_struct(dims, [*FAMILY, "dim"], "cat")
     source_cat = cats.filter(c("dim") == D.SOURCE).select(*FAMILY, c("cat").alias("source_distribution"))
@@ -161,7 +161,7 @@ def assemble(points: DataFrame, cut: Column, histograms: DataFrame | None = None
         .groupBy(*FAMILY)
         .agg(
             F.transform(
-                F.array_sort(F.collect_list(F.struct("rank", "key_a", "value_a", "key_b", "value_b", (c("n") / c("samples")).alias("f")))),
+                F.sort_array(F.collect_list(F.struct("rank", "key_a", "value_a", "key_b", "value_b", (c("n") / c("samples")).alias("f")))),
                 lambda x: F.struct(
                     F.create_map(x["key_a"], x["value_a"], x["key_b"], x["value_b"]).alias("tags"), x["f"].alias("frequency")
                 ),

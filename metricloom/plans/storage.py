@@ -112,7 +112,7 @@ def _(spark, d):
 )
 def _(spark, d):
     p = t.points(spark, d)
-    text = F.concat_ws(" ", "metric", c("value").cast("string"), (c("ts") * 1000).cast("string"), F.concat(F.lit("host="), "source"), F.array_join(F.transform(F.array_sort(F.map_entries("tags")), lambda e: F.concat(e["key"], F.lit("="), e["value"])), " "))
+    text = F.concat_ws(" ", "metric", c("value").cast("string"), (c("ts") * 1000).cast("string"), F.concat(F.lit("host="), "source"), F.array_join(F.transform(F.sort_array(F.map_entries("tags")), lambda e: F.concat(e["key"], F.lit("="), e["value"])), " "))
     path = work_dir(spark, "points")
     captures.sink_lines_text(p.select(F.concat_ws("\t", c("row_id").cast("string"), text).alias("value")), path)
     raw = spark.read.text(path)

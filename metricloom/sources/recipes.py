@@ -57,7 +57,7 @@ def recipe_index(recipes: DataFrame, path: str = "") -> DataFrame:
         "metric_name",
         F.col("schema.type").alias("type"),
         F.col("statistics.sample_count").alias("sample_count"),
-        F.array_join(F.array_sort(F.map_keys("schema.tag_schema")), ",").alias("tag_keys"),
+        F.array_join(F.sort_array(F.map_keys("schema.tag_schema")), ",").alias("tag_keys"),
         F.concat(F.lit(path), F.lit("prefix="), F.substring("family_id", 1, 2)).alias("path"),
     )
 

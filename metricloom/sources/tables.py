@@ -111,7 +111,7 @@ def histograms(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).agg(F.count("*").alias("n"))
     return counted.groupBy("flag", "ts").agg(
         F.sum("n").alias("hist_count"),
-        F.array_sort(F.collect_list(F.struct(F.col("q"), F.col("n")))).alias("pairs"),
+        F.sort_array(F.collect_list(F.struct(F.col("q"), F.col("n")))).alias("pairs"),
     ).select(
         F.lit("sales.quantity").alias("metric"),
         F.concat(F.lit("flag-"), "flag").alias("source"),
