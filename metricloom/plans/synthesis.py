@@ -174,7 +174,23 @@ def _(spark, d):
     return synth.skewed(cat, keys, F.lit(2.0)).select(*keys, "value", "skewed")
 
 
-@query("synth_source")
+def item_sql(table: str, key: str, value: str) -> str:
+    """Item table of a weighted pick: running and total weight of the 100 most frequent values."""
+    return f"""(SELECT {key} AS key, {value} AS value, n, rank, sum(n) OVER (PARTITION BY {key} ORDER BY rank) AS cum, sum(n) OVER (PARTITION BY {key}) AS total
+      FROM (SELECT {key}, {value}, n, row_number() OVER (PARTITION BY {key} ORDER BY n DESC, {value}) AS rank FROM {table}) WHERE rank <= 100)"""
+
+
+PICK_ON = "i.cum >= p.u * i.total AND (i.cum - i.n < p.u * i.total OR i.rank = 1)"
+
+
+@query(
+    "synth_source",
+    f"""WITH {BUDGET_SQL}, {TOPITEMS},
+        drawn AS (SELECT family_id, family_id || '|' || mod || '|' || i AS row_key FROM (SELECT family_id, mod, unnest(range(CAST(floor(x) + CASE WHEN ur < x - floor(x) THEN 1 ELSE 0 END AS BIGINT))) AS i
+          FROM (SELECT *, base_rate * rate * 1.0 AS x FROM cell)))
+        SELECT p.family_id, i.value AS source, count(*) AS n FROM (SELECT *, {u('row_key', 'source', SEED)} AS u FROM drawn) p
+        JOIN items i ON i.family_id = p.family_id AND {PICK_ON} GROUP BY ALL""",
+)
 def _(spark, d):
     return synthetic(spark, d).groupBy(*FAM, "source").agg(F.count("*").alias("n"))
 
@@ -184,7 +200,14 @@ def _(spark, d):
     return synthetic(spark, d).select(*FAM, F.explode("tags").alias("key", "value")).groupBy(*FAM, "key", "value").agg(F.count("*").alias("n"))
 
 
-@query("synth_tag_combination")
+COMBO_SQL = "(SELECT family_id, coalesce('env=' || env || ',', '') || 'k=' || k AS text, count(*) AS n FROM points GROUP BY ALL)"
+
+
+@query(
+    "synth_tag_combination",
+    f"""SELECT p.row_id, i.value AS tags FROM (SELECT *, {u('row_id', 'combo', SEED)} AS u FROM points) p
+        JOIN {item_sql(COMBO_SQL, 'family_id', 'text')} i ON i.key = p.family_id AND {PICK_ON}""",
+)
 def _(spark, d):
     """Whole tag sets drawn by frequency, the 100 most frequent per family."""
     p = t.points(spark, d)
@@ -196,14 +219,21 @@ def _(spark, d):
     return p.select("row_id", *FAM).join(items, FAM).select("row_id", pick(c("items"), uniform(SEED, c("row_id"), "combo")).alias("tags"))
 
 
-@query("synth_entity")
+RATE_SQL = "(SELECT metric, source, count(*) AS n FROM points GROUP BY ALL)"
+
+
+@query(
+    "synth_entity",
+    f"""SELECT p.row_id, p.metric, i.value AS source FROM (SELECT *, {u('row_id', 'entity', SEED)} AS u FROM points) p
+        JOIN {item_sql(RATE_SQL, 'metric', 'source')} i ON i.key = p.metric AND {PICK_ON}""",
+)
 def _(spark, d):
     """Sources drawn by their rate within the whole capture."""
     p = t.points(spark, d)
     rates = p.groupBy("metric", "source").agg(F.count("*").alias("n"))
     items = synth.item_arrays(C.top_k(rates, ["metric"], "source", 100), ["metric"], "source", "n")
     return p.select("row_id", "metric").join(items, "metric").select(
-        "row_id", pick(c("items"), uniform(SEED, c("row_id"), "entity")).alias("source")
+        "row_id", "metric", pick(c("items"), uniform(SEED, c("row_id"), "entity")).alias("source")
     )
 
 
