@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
 import tempfile
 import uuid
 
@@ -31,19 +34,41 @@ def local_session(name: str = "metricloom", cpus: str = "*", memory: str = "12g"
     )
 
 
-def work_dir(spark: SparkSession, name: str) -> str:
-    """A fresh path under the cluster's shared checkpoint folder.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder every executor sees: ``spark.checkpoint.dir``.
 
-    A temporary folder of this machine is used only when Spark itself runs on this machine
-    alone and no shared folder was configured.
+    Only where Spark runs inside this one process and no folder is named, one is made for the
+    length of the process.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    base = (
+        spark.conf.get("spark.checkpoint.dir", None)
+        or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+        or spark.sparkContext.getCheckpointDir()
+    )
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = tempfile.mkdtemp(prefix="metricloom-")
+        atexit.register(shutil.rmtree, base, ignore_errors=True)
         spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/metricloom/{name}-{uuid.uuid4().hex}"
+    return base.rstrip("/")
+
+
+def run_folder(spark: SparkSession) -> str:
+    """Everything one application writes between its steps."""
+    return f"{shared_folder(spark)}/metricloom/{spark.sparkContext.applicationId}"
+
+
+def clean_up(spark: SparkSession) -> None:
+    """Delete what this application has written between its steps; earlier results are then unreadable."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(run_folder(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def work_dir(spark: SparkSession, name: str) -> str:
+    """A fresh path in this run's folder."""
+    return f"{run_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def materialize(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
