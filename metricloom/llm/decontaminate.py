@@ -21,12 +21,12 @@ from metricloom.llm.words import NON_ALNUM, slices, words
 c = F.col
 MIN_WORDS = 8  # shorter items are common phrases, no leaks
 MAX_EDITS = 0.2  # word edits per word of the item
-WALKS = 4  # independent random functions
-TABLES = 6  # sampled keys of each walk
-SAMPLED = 4  # outputs in a key
+WALKS = 3  # independent random functions
+TABLES = 3  # sampled keys of each walk
+SAMPLED = 5  # outputs in a key
 STRIDE = 4  # windows of a size class start every (size / STRIDE) words
 BLOCK_KEYS = 1 << 21  # keys of one block of items; bounds what a task holds
-SLOTS_LOG2 = 22  # bits of the filter in front of the keys
+SLOTS_PER_KEY = 32  # of the filter in front of the keys
 PAD = np.uint64(0)  # stands behind the last word of a text
 
 
@@ -38,24 +38,30 @@ class SizeClass:
     stride: int
     steps: int
     samples: np.ndarray  # (WALKS, TABLES, SAMPLED) steps
-    filter: np.ndarray
+    filter: np.ndarray  # whether some key has these leading bits
+    shift_bits: np.uint64
     keys: np.ndarray  # sorted
     item: np.ndarray  # of each key
     shift: np.ndarray  # words of the item in front of the walk
 
 
+def short(values: np.ndarray) -> np.ndarray:
+    """Leading 32 bits of word hashes, enough for walks; checks use the whole hash."""
+    return (values >> np.uint64(32)).astype(np.uint32)
+
+
 def multipliers(steps: int, walk: int) -> np.ndarray:
     """Random function of each step, as odd factors."""
-    return np.random.default_rng([walk, 77]).integers(0, 1 << 63, steps, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    return np.random.default_rng([walk, 77]).integers(0, 1 << 32, steps, dtype=np.uint32) | np.uint32(1)
 
 
 def embed(values: np.ndarray, start: np.ndarray, end: np.ndarray, steps: int, walk: int) -> np.ndarray:
-    """(steps, windows) outputs of walks that begin at ``start``; ``values[end]`` is a pad."""
-    out = np.empty((steps, len(start)), np.uint64)
-    at = start.copy()
+    """(steps, windows) outputs of walks over 32-bit values that begin at ``start``; ``values[end]`` is a pad."""
+    out = np.empty((steps, len(start)), np.uint32)
+    at = start.astype(np.intp)
     for t, factor in enumerate(multipliers(steps, walk)):
-        np.take(values, at, out=out[t])
-        at += ((out[t] * factor) >> np.uint64(63)).astype(at.dtype)
+        np.take(values, at, out=out[t], mode="clip")
+        at += (out[t] * factor) >> np.uint32(31)
         np.minimum(at, end, out=at)
     return out
 
@@ -81,7 +87,7 @@ def index(items: list[np.ndarray], walks: int = WALKS, tables: int = TABLES) ->
         samples = np.sort(np.stack([[draw.choice(steps, min(SAMPLED, steps), replace=False) for _ in range(tables)] for _ in range(walks)]), axis=2)
         keys, item, shift = [], [], []
         for k in members:
-            values = np.append(items[k], PAD)
+            values = short(np.append(items[k], PAD))
             at = np.arange(max(stride, len(items[k]) - size // 2 + 1))
             at = at[at < len(items[k])]
             for walk in range(walks):
@@ -92,10 +98,10 @@ def index(items: list[np.ndarray], walks: int = WALKS, tables: int = TABLES) ->
                     shift.append(at)
         keys, item, shift = np.concatenate(keys), np.concatenate(item), np.concatenate(shift)
         order = np.argsort(keys)
-        bits = np.zeros(1 << (SLOTS_LOG2 - 3), np.uint8)
-        slot = (keys >> np.uint64(64 - SLOTS_LOG2)).astype(np.int64)
-        np.bitwise_or.at(bits, slot >> 3, (1 << (slot & 7)).astype(np.uint8))
-        classes.append(SizeClass(size, stride, steps, samples, bits, keys[order], item[order], shift[order]))
+        width = (len(keys) * SLOTS_PER_KEY).bit_length()
+        bits = np.zeros(1 << width, bool)
+        bits[(keys >> np.uint64(64 - width)).astype(np.intp)] = True
+        classes.append(SizeClass(size, stride, steps, samples, bits, np.uint64(64 - width), keys[order], item[order], shift[order]))
     return classes
 
 
@@ -128,6 +134,7 @@ def search(w, row_of_word: np.ndarray, classes: list[SizeClass], items: list[np.
     values[place] = w.hash
     first = w.first[:-1] + np.arange(n_texts)
     end = first + w.counts()
+    brief = short(values)
     members = [set(x.tolist()) for x in items]
     seen: set[tuple[int, int, int]] = set()
     found: dict[tuple[int, int, int], tuple] = {}
@@ -137,11 +144,10 @@ def search(w, row_of_word: np.ndarray, classes: list[SizeClass], items: list[np.
         rows = row_of_word[in_text % cls.stride == 0]
         ends = end[rows]
         for walk in range(cls.samples.shape[0]):
-            out = embed(values, starts, ends, cls.steps, walk)
+            out = embed(brief, starts, ends, cls.steps, walk)
             for table in range(cls.samples.shape[1]):
                 keys = sample_keys(out, cls.samples[walk, table], walk, table)
-                slot = (keys >> np.uint64(64 - SLOTS_LOG2)).astype(np.int64)
-                maybe = np.flatnonzero((cls.filter[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1)
+                maybe = np.flatnonzero(cls.filter[(keys >> cls.shift_bits).astype(np.intp)])
                 if not len(maybe):
                     continue
                 low = np.searchsorted(cls.keys, keys[maybe], "left")
