@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from typing import Any
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,32 +26,45 @@ def event_stream(spark, d) -> DataFrame:
     return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
 
 
-def point_stream(spark, d) -> DataFrame:
-    return t.with_series(t.with_line_length(t.with_keys(t.points_from_events(event_stream(spark, d)))))
+def read_back(spark, schema, path: str) -> DataFrame:
+    """A file stream over all steps of a replay; every run takes what has come since as one batch."""
+    return spark.readStream.schema(schema).option("recursiveFileLookup", True).parquet(path)
 
 
-def staged(points: DataFrame, name: str) -> DataFrame:
-    """Points as a two-step stream: all rows, then one far-future row that closes every window.
+def replayed(points: DataFrame, name: str, run: Callable[[DataFrame], Any]) -> Any:
+    """Run a resumable query over all rows, then again with one far-future row that closes every window.
 
-    The step order comes from file times, so the closing row always arrives in a later batch.
+    The rows are one micro-batch whatever number of files they fill: a watermark moves between
+    batches only, so none of them can come behind it. The closing row follows in a second run on
+    the same checkpoint.
     """
     spark = points.sparkSession
     path = work_dir(spark, name)
     points.write.parquet(f"{path}/step=1")
-    closing = (
+    run(read_back(spark, points.schema, path))
+    closing(points).write.parquet(f"{path}/step=2")
+    return run(read_back(spark, points.schema, path))
+
+
+def closing(points: DataFrame, steps: int = 1) -> DataFrame:
+    return (
         points.orderBy(F.desc("ts")).limit(1)
-        .withColumn("ts", c("ts") + FLUSH).withColumn("family_id", F.lit("flush")).withColumn("series_id", F.lit("flush"))
+        .withColumn("ts", c("ts") + FLUSH * steps).withColumn("family_id", F.lit("flush")).withColumn("series_id", F.lit("flush"))
         .withColumn("is_delta", F.lit(True))
     )
-    closing.write.parquet(f"{path}/step=2")
-    return (
-        spark.readStream.schema(points.schema).option("recursiveFileLookup", True)
-        .option("maxFilesPerTrigger", 1).parquet(path)
-    )
 
 
-def staged_points(spark, d, name: str) -> DataFrame:
-    return staged(t.with_series(t.points(spark, d)), name)
+def replayed_table(points: DataFrame, name: str, build: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The table a stateful stream leaves after a replay; fails if the watermark dropped a row."""
+    out, checkpoint = work_dir(points.sparkSession, name), work_dir(points.sparkSession, name + "-checkpoint")
+
+    def run(stream: DataFrame) -> DataFrame:
+        table, progress = jobs.run_to_table(build(stream), name, path=out, checkpoint=checkpoint)
+        if late := jobs.dropped_late(progress):
+            raise RuntimeError(f"{late} rows came behind the watermark")
+        return table
+
+    return replayed(points, name + "-in", run)
 
 
 @query("stream_lines", "SELECT line AS value FROM points")
@@ -88,7 +104,7 @@ def _(spark, d):
 
 @query("stream_delta_bin", DELTA_SQL)
 def _(spark, d):
-    out, _ = jobs.run_to_table(jobs.delta_bins(staged_points(spark, d, "stream-delta")), "delta-bins")
+    out = replayed_table(t.with_series(t.points(spark, d)), "delta-bins", jobs.delta_bins)
     return out.filter(c("series_id") != "flush")
 
 
@@ -97,7 +113,7 @@ def _(spark, d):
     "SELECT family_id, ts // 60 * 60 AS window_start, count(*) AS lines, CAST(sum(line_length) AS BIGINT) AS bytes FROM points GROUP BY ALL",
 )
 def _(spark, d):
-    out, _ = jobs.run_to_table(jobs.tumbling_counts(staged_points(spark, d, "stream-tumbling")), "tumbling")
+    out = replayed_table(t.with_series(t.points(spark, d)), "tumbling", jobs.tumbling_counts)
     return out.filter(c("family_id") != "flush")
 
 
@@ -110,8 +126,9 @@ SLIDES = "(SELECT *, unnest(range(ts // 21600 - 3, ts // 21600 + 1)) * 21600 AS
 )
 def _(spark, d):
     """One-day windows every six hours; the table's events are too sparse for five minutes."""
-    counts = jobs.sliding_counts(staged_points(spark, d, "stream-sliding"), "1 day", "6 hours", "1 hour")
-    out, _ = jobs.run_to_table(counts, "sliding")
+    out = replayed_table(
+        t.with_series(t.points(spark, d)), "sliding", lambda p: jobs.sliding_counts(p, "1 day", "6 hours", "1 hour")
+    )
     return out.filter((c("family_id") != "flush") & ~c("dim").isin("value", "size"))
 
 
@@ -144,11 +161,16 @@ SCORED_SQL = """
 def scored_days(spark, d) -> DataFrame:
     """Daily windows of the current half, scored as they close."""
     ref, cur = t.reference_and_current(spark, d)
-    stream = staged(t.with_series(cur), "stream-scores")
-    # no filter on the closing row here: Spark would move it below the watermark, which then stands
-    # still; the row's family never reaches the minimum number of samples anyway
-    counts = jobs.sliding_counts(stream, "1 day", "1 day", "1 hour")
-    return jobs.run_scores(counts, ref_profile(ref), "scores")
+    path, checkpoint = work_dir(spark, "scores"), work_dir(spark, "scores-checkpoint")
+    profile = ref_profile(ref)
+
+    def run(stream: DataFrame) -> DataFrame:
+        # no filter on the closing row here: Spark would move it below the watermark, which then stands
+        # still; the row's family never reaches the minimum number of samples anyway
+        counts = jobs.sliding_counts(stream, "1 day", "1 day", "1 hour")
+        return jobs.run_scores(counts, profile, "scores", path=path, checkpoint=checkpoint, allow_late=False)
+
+    return replayed(t.with_series(cur), "stream-scores", run)
 
 
 @query(
@@ -173,34 +195,27 @@ def _(spark, d):
     scored.write.parquet(path)
     stream = spark.readStream.schema(scored.schema).parquet(path)
     out, _ = jobs.run_to_table(jobs.red_streaks(stream), "streaks", state=jobs.ROCKSDB)
-    return out
+    return out.drop("late")
 
 
-@query("stream_late_data", "SELECT count(*) AS lines_counted, true AS some_dropped FROM points")
+@query("stream_late_data", "SELECT count(*) AS lines_counted, count(*) FILTER (row_id % 10 = 0) AS late_lines, true AS some_dropped FROM points")
 def _(spark, d):
     """Rows older than the watermark are dropped and counted.
 
-    Step 1 holds everything, steps 2 and 3 closing rows, step 4 a tenth of the rows again. A row is
-    late when it is behind the watermark that the batch before last left, hence two closing rows.
+    The first run holds everything, the second and third a closing row, the fourth a tenth of the
+    rows again. A row is late when it is behind the watermark that the batch before last left, hence
+    two closing rows.
     """
     p = t.with_series(t.points(spark, d))
-    path = work_dir(spark, "stream-late")
-    p.coalesce(1).write.parquet(f"{path}/step=1")
-    closing = p.orderBy(F.desc("ts")).limit(1).withColumn("family_id", F.lit("flush"))
-    for step in (2, 3):
-        closing.withColumn("ts", c("ts") + FLUSH * step).write.parquet(f"{path}/step={step}")
-    p.filter(c("row_id") % 10 == 0).coalesce(1).write.parquet(f"{path}/step=4")
-    stream = spark.readStream.schema(p.schema).option("recursiveFileLookup", True).option("maxFilesPerTrigger", 1).parquet(path)
-    out, progress = jobs.run_to_table(jobs.tumbling_counts(stream, "1 day"), "late")
-    dropped = jobs.dropped_late(progress)
-    return out.filter(c("family_id") != "flush").agg(F.sum("lines").alias("lines_counted")).withColumn(
-        "some_dropped", F.lit(dropped > 0)
-    )
-
-
-@query("stream_backlog")
-def _(spark, d):
-    """Input against processing rate per batch of a stream over the events."""
-    _out, progress = jobs.run_to_table(point_stream(spark, d).select("family_id", "ts"), "backlog")
-    rows = jobs.backlog(progress)
-    return spark.createDataFrame(rows, "batch bigint, input_rows bigint, rows_per_second double, seconds double")
+    path, out, checkpoint = (work_dir(spark, x) for x in ("stream-late", "late", "late-checkpoint"))
+    again = p.filter(c("row_id") % 10 == 0)
+    dropped = 0
+    for step, rows in enumerate([p, closing(p, 2), closing(p, 3), again]):
+        rows.write.parquet(f"{path}/step={step}")
+        stream = jobs.tumbling_counts(read_back(spark, p.schema, path), "1 day")
+        table, progress = jobs.run_to_table(stream, "late", path=out, checkpoint=checkpoint)
+        dropped += jobs.dropped_late(progress)
+    counted = table.filter(c("family_id") != "flush").select("lines", F.lit(0).alias("staged"))
+    staged = spark.read.schema(p.schema).parquet(*[f"{path}/step={k}" for k in (0, 3)]).select(F.lit(0), F.lit(1))
+    total = counted.union(staged).agg(F.sum("lines").alias("lines_counted"), F.sum("staged").alias("staged"))
+    return total.select("lines_counted", (c("staged") - c("lines_counted")).alias("late_lines"), F.lit(dropped > 0).alias("some_dropped"))

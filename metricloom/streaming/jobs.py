@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from typing import Any, Iterator
+from collections.abc import Iterator
+from contextlib import contextmanager
+from typing import Any
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from metricloom.functions.lines import parse_lines
 from metricloom.operators import divergence as V
@@ -79,32 +81,70 @@ def score_windows(reference: dict[str, DataFrame], counts: DataFrame, min_sample
     return V.score(ref, kept, keys, min_samples)
 
 
-def run_to_table(stream: DataFrame, name: str, mode: str = "append", state: dict[str, str] | None = None) -> tuple[DataFrame, list[dict[str, Any]]]:
-    """Drain the available input into a parquet table; returns it with the query's progress."""
-    spark = stream.sparkSession
-    for key, value in (state or {}).items():
-        spark.conf.set(key, value)
-    path, checkpoint = work_dir(spark, name), work_dir(spark, name + "-checkpoint")
-    query = (
+def start_to_table(
+    stream: DataFrame, path: str, checkpoint: str, mode: str = "append", trigger: dict[str, Any] | None = None
+) -> StreamingQuery:
+    """Start a resumable query into a parquet table; the same ``checkpoint`` goes on where it stopped.
+
+    ``trigger`` is any trigger of Spark's writer, all input available now by default.
+    """
+    return (
         stream.writeStream.outputMode(mode).format("parquet")
         .option("path", path).option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True).start()
+        .trigger(**(trigger or {"availableNow": True})).start()
     )
-    query.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(path), [p if isinstance(p, dict) else p.jsonValue for p in query.recentProgress]
 
 
-def run_scores(counts: DataFrame, reference: dict[str, DataFrame], name: str, min_samples: int = V.MIN_SAMPLES) -> DataFrame:
-    """Score closed windows batch by batch.
+def run_to_table(
+    stream: DataFrame, name: str, mode: str = "append", state: dict[str, str] | None = None,
+    path: str | None = None, checkpoint: str | None = None,
+) -> tuple[DataFrame, list[dict[str, Any]]]:
+    """Drain the available input into a parquet table; returns it with the query's progress.
+
+    Without ``path`` and ``checkpoint`` a new table is begun. ``state`` holds settings the query
+    reads when it starts; the session has its own again afterwards.
+    """
+    spark = stream.sparkSession
+    path, checkpoint = path or work_dir(spark, name), checkpoint or work_dir(spark, name + "-checkpoint")
+    with settings(spark, state or {}):
+        query = start_to_table(stream, path, checkpoint, mode)
+        query.awaitTermination()
+    return spark.read.schema(stream.schema).parquet(path), [p if isinstance(p, dict) else p.jsonValue for p in query.recentProgress]
+
 
-    The micro-batch id is part of the path, so a replayed batch overwrites its own rows.
+@contextmanager
+def settings(spark: SparkSession, values: dict[str, str]):
+    """Session settings for the length of a block."""
+    before = {key: spark.conf.get(key, None) for key in values}
+    try:
+        for key, value in values.items():
+            spark.conf.set(key, value)
+        yield
+    finally:
+        for key, value in before.items():
+            if value is None:
+                spark.conf.unset(key)
+            else:
+                spark.conf.set(key, value)
+
+
+def run_scores(
+    counts: DataFrame, reference: dict[str, DataFrame], name: str, min_samples: int = V.MIN_SAMPLES,
+    path: str | None = None, checkpoint: str | None = None, trigger: dict[str, Any] | None = None, allow_late: bool = True,
+) -> DataFrame:
+    """Score closed windows batch by batch; resumes with the same ``path`` and ``checkpoint``.
+
+    The micro-batch id is part of the path, so a replayed batch overwrites its own rows. No closed
+    window gives an empty table.
     """
     spark = counts.sparkSession
-    path, checkpoint = work_dir(spark, name), work_dir(spark, name + "-checkpoint")
+    path, checkpoint = path or work_dir(spark, name), checkpoint or work_dir(spark, name + "-checkpoint")
 
     fixed = {part: materialize(frame, f"{name}-{part}") for part, frame in reference.items()}
 
     closed = work_dir(spark, name + "-closed")
+    none = score_windows(fixed, spark.createDataFrame([], counts.schema), min_samples)
+    none.limit(0).write.mode("overwrite").parquet(f"{path}/batch=-1")
 
     def each(batch: DataFrame, batch_id: int) -> None:
         # the batch feeds several aggregations, so its closed windows are written once first
@@ -117,31 +157,43 @@ def run_scores(counts: DataFrame, reference: dict[str, DataFrame], name: str, mi
 
     query = (
         counts.writeStream.outputMode("append").foreachBatch(each)
-        .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        .option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
     )
     query.awaitTermination()
-    return spark.read.parquet(path).drop("batch")
+    late = dropped_late([p if isinstance(p, dict) else p.jsonValue for p in query.recentProgress])
+    if late and not allow_late:
+        raise RuntimeError(f"{late} rows came behind the watermark")
+    return spark.read.schema(none.schema).parquet(path)
+
+
+LINES_PER_FILE = 4_000_000  # about 512 MB of text at 128 bytes a line
 
 
-def land_capture(lines: DataFrame, path: str, checkpoint: str, every: str | None = "60 seconds"):
-    """Land raw lines under dt/mig/instance as zstd parquet; rotation is the trigger interval."""
+def land_capture(
+    lines: DataFrame, path: str, checkpoint: str, every: str | None = "60 seconds", lines_per_file: int = LINES_PER_FILE
+):
+    """Land raw lines under dt/mig/instance as zstd parquet; files rotate by time and by size."""
     writer = (
         lines.writeStream.format("parquet").option("compression", "zstd")
         .option("path", path).option("checkpointLocation", checkpoint)
+        .option("maxRecordsPerFile", lines_per_file)
         .partitionBy("dt", "mig", "instance")
     )
     writer = writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)
     return writer.start()
 
 
-STREAK_SCHEMA = "family_id string, window_start bigint, status string, red_streak bigint, critical boolean"
+STREAK_SCHEMA = "family_id string, window_start bigint, status string, red_streak bigint, critical boolean, late boolean"
 ROCKSDB = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 }
 
 
 class RedStreak(StatefulProcessor):
-    """Consecutive red evaluations per family, in window order."""
+    """Consecutive red evaluations per family, in window order.
+
+    A window that comes after a later one does not change the streak; it is returned as late.
+    """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.state = handle.getValueState("streak", "streak bigint, last bigint")
@@ -152,13 +204,13 @@ class RedStreak(StatefulProcessor):
         batch = pd.concat(list(rows)).sort_values("window_start")
         out = []
         for start, status in zip(batch["window_start"], batch["status"]):
-            if start <= last:
-                continue
-            streak = streak + 1 if status == "red" else 0
-            last = int(start)
-            out.append((key[0], last, status, int(streak), bool(streak >= V.CRITICAL_STREAK)))
+            late = start <= last
+            if not late:
+                streak = streak + 1 if status == "red" else 0
+                last = int(start)
+            out.append((key[0], int(start), status, int(streak), bool(streak >= V.CRITICAL_STREAK), bool(late)))
         self.state.update((int(streak), int(last)))
-        yield pd.DataFrame(out, columns=["family_id", "window_start", "status", "red_streak", "critical"])
+        yield pd.DataFrame(out, columns=["family_id", "window_start", "status", "red_streak", "critical", "late"])
 
     def close(self) -> None:
         pass
@@ -173,13 +225,3 @@ def red_streaks(scored: DataFrame) -> DataFrame:
 def dropped_late(progress: list[dict[str, Any]]) -> int:
     """Rows the watermark dropped, over all batches of a query."""
     return sum(int(op.get("numRowsDroppedByWatermark", 0)) for p in progress for op in p.get("stateOperators", []))
-
-
-def backlog(progress: list[dict[str, Any]]) -> list[tuple[int, int, float, float]]:
-    """(batch, input rows, processed rows per second, seconds of input per second) per batch."""
-    out = []
-    for p in progress:
-        rate = float(p.get("processedRowsPerSecond") or 0.0)
-        took = float(p.get("batchDuration") or 0.0) / 1000.0
-        out.append((int(p["batchId"]), int(p["numInputRows"]), rate, took))
-    return out
