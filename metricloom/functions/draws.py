@@ -13,13 +13,13 @@ from pyspark.sql import functions as F
 
 from metricloom.functions.keys import once
 
-TINY = 1.0 / 2**32
+TINY = 1.0 / 2**52
 
 
 def uniform(seed: int | str, row: Column, dim: str | Column) -> Column:
     dim = dim if isinstance(dim, Column) else F.lit(dim)
     text = F.concat_ws("|", F.lit(str(seed)), row.cast("string"), dim)
-    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("double") / F.lit(float(2**32))
+    return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("double") / F.lit(float(2**52))
 
 
 def standard_normal(seed, row: Column, dim: str) -> Column:

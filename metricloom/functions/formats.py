@@ -66,7 +66,8 @@ def fmt_value(value: Column) -> Column:
         .when(size < 0.001, F.concat(sign, _fixed(size, 6)))
         .when(size < 1, F.concat(sign, _fixed(size, 3)))
         .when(size < 1000, F.concat(sign, _fixed(size, 1)))
-        .otherwise(F.rint(value).cast("decimal(38,0)").cast("string"))
+        .when(size < 1e37, F.rint(value).cast("decimal(38,0)").cast("string"))
+        .otherwise(value.cast("string"))
     )
 
 

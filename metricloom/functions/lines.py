@@ -17,7 +17,6 @@ TAG = r'^[A-Za-z0-9._/-]++=(?:[^="][^"]*+|"(?:[^"\\]|\\.)++")$'
 NUMBER = r"^[+-]?(?:\d++\.?\d*+|\.\d++)(?:[eE][+-]?\d++)?$"
 INTEGER = r"^\d++$"
 EPOCH_SECONDS = r"^\d{10}$"
-ERROR_TEXT = 100
 
 
 def tokens(line: Column) -> Column:
@@ -154,7 +153,7 @@ def parse_lines(df: DataFrame, column: str = "value") -> DataFrame:
         steps,
         lambda i: F.struct(
             F.when(counted, F.try_element_at("_body", (i * 2 + 2).cast("int")))
-            .otherwise(F.substring(F.try_element_at("_body", (i * 2 + 1).cast("int")), 2, 100))
+            .otherwise(F.substr(F.try_element_at("_body", (i * 2 + 1).cast("int")), F.lit(2)))
             .try_cast("bigint")
             .alias("count"),
             F.when(counted, F.try_element_at("_body", (i * 2 + 3).cast("int")))
@@ -175,7 +174,7 @@ def parse_lines(df: DataFrame, column: str = "value") -> DataFrame:
         _value=F.when(_token(2).rlike(NUMBER), _token(2).try_cast("double")),
         _centroids=F.when(is_hist_row, centroids),
         _declared=F.when(
-            is_hist_row & counted, F.substring(F.try_element_at("_body", F.lit(1)), 2, 100).try_cast("bigint")
+            is_hist_row & counted, F.substr(F.try_element_at("_body", F.lit(1)), F.lit(2)).try_cast("bigint")
         ),
         _granularity=F.when(is_hist_row, F.substring(_token(1), 2, 1)),
         _last=F.when(is_span_row, F.element_at("_tok", F.lit(-1))),
@@ -271,7 +270,7 @@ def parse_lines(df: DataFrame, column: str = "value") -> DataFrame:
         only("span", F.floor(F.col("_last").try_cast("double")).try_cast("bigint")).alias("duration_ms"),
         F.octet_length("_line").alias("line_length"),
         F.col("drop_reason"),
-        only("error", F.substring("_line", 1, ERROR_TEXT)).alias("error_text"),
+        only("error", F.col("_line")).alias("error_text"),
     )
     return shaped.withColumn(
         "family_id",

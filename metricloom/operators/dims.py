@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from metricloom.functions.lines import NUMBER
 from metricloom.operators.counts import entropy_stats, top_k, value_counts
 
 SOURCE = "source"
@@ -35,7 +36,7 @@ def dim_counts(df: DataFrame, keys: list[str]) -> DataFrame:
 def tag_only(counts: DataFrame) -> DataFrame:
     """Tag dimensions with the bare key in ``key``."""
     return counts.filter(F.col("dim").startswith(TAG)).withColumn(
-        "key", F.substring("dim", len(TAG) + 1, 1_000_000)
+        "key", F.substr("dim", F.lit(len(TAG) + 1))
     )
 
 
@@ -66,7 +67,7 @@ def tag_schema(counts: DataFrame, families: DataFrame, keys: list[str]) -> DataF
     agg = tag_only(counts).groupBy(*keys, "key").agg(
         F.sum("n").alias("rows"),
         F.count("*").alias("cardinality"),
-        share(value.try_cast("double").isNotNull()).alias("numeric_share"),
+        share(value.rlike(NUMBER)).alias("numeric_share"),
         share(identifier).alias("identifier_share"),
     )
     kind = (

@@ -19,7 +19,6 @@ KS_THRESHOLD = 0.05
 AMBER_SHARE = 0.5
 CRITICAL_STREAK = 15
 MIN_SAMPLES = 10
-WINDOW_CAP = 10_000
 
 
 def shares(counts: DataFrame, keys: list[str]) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -15,22 +17,24 @@ FAMILIES = ["normal", "log_normal", "exponential", "gamma"]
 
 def parameters(counts: DataFrame, keys: list[str], value: str = "value") -> DataFrame:
     """Moment estimates per key; log moments use positive values only."""
-    v, n = F.col(value).cast("double"), F.col("n").cast("double")
+    c = F.col
+    v, n = c(value).cast("double"), c("n").cast("double")
     pos = v > 0
     log = F.when(pos, F.ln(v))
-    s = counts.groupBy(*keys).agg(
+    means = counts.groupBy(*keys).agg(
         F.sum(n).alias("_n"),
-        F.sum(v * n).alias("_s"),
-        F.sum(v * v * n).alias("_q"),
+        (F.sum(v * n) / F.sum(n)).alias("_mean"),
         F.sum(F.when(pos, n)).alias("_ln"),
-        F.sum(log * n).alias("_ls"),
-        F.sum(log * log * n).alias("_lq"),
+        (F.sum(log * n) / F.sum(F.when(pos, n))).alias("_mu"),
     )
-    c = F.col
-    mean = c("_s") / c("_n")
-    var = F.greatest(c("_q") / c("_n") - mean * mean, F.lit(0.0))
-    mu = c("_ls") / c("_ln")
-    lvar = F.greatest(c("_lq") / c("_ln") - mu * mu, F.lit(0.0))
+    # squares are taken around the means, so a large offset does not cancel the spread away
+    around, log_around = v - c("_mean"), log - c("_mu")
+    squares = counts.join(means.select(*keys, "_mean", "_mu"), keys).groupBy(*keys).agg(
+        F.sum(around * around * n).alias("_q"), F.sum(log_around * log_around * n).alias("_lq")
+    )
+    s = means.join(squares, keys)
+    mean, var = c("_mean"), c("_q") / c("_n")
+    mu, lvar = c("_mu"), c("_lq") / c("_ln")
     return s.select(
         *keys,
         c("_n").cast("bigint").alias("n"),
@@ -55,49 +59,88 @@ def normal_cdf(z: Column) -> Column:
     return 0.5 * (1.0 + erf(z / F.sqrt(F.lit(2.0))))
 
 
-@F.pandas_udf(DoubleType())
-def gamma_cdf(shape: pd.Series, x: pd.Series) -> pd.Series:
-    """Regularised lower incomplete gamma on whole Arrow batches.
+LARGE_SHAPE = 1e4  # from here on the uniform expansion is exact to about 1e-9
+
 
-    Power series below shape + 1, continued fraction above; both run for the batch at once.
-    """
-    a = shape.to_numpy(dtype=float, na_value=np.nan)
-    z = np.maximum(x.to_numpy(dtype=float, na_value=np.nan), 0.0)
-    # log-gamma by Stirling after shifting the argument above 10
+def _log_gamma(a: np.ndarray) -> np.ndarray:
+    """Stirling's series after shifting the argument above 10."""
     shifted, lift = a.copy(), np.zeros_like(a)
     for _ in range(10):
         lift += np.log(shifted)
         shifted += 1.0
-    lgamma = (
+    return (
         (shifted - 0.5) * np.log(shifted) - shifted + 0.5 * np.log(2 * np.pi)
         + 1 / (12 * shifted) - 1 / (360 * shifted**3) - lift
     )
+
+
+def _gamma_series(a: np.ndarray, z: np.ndarray) -> np.ndarray:
+    """Power series below a + 1, until no term of the batch counts any more."""
+    term = 1.0 / a
+    total, i = term.copy(), 0
+    while (term > 1e-16 * total).any():
+        i += 1
+        term = term * z / (a + i)
+        total += term
+    return np.exp(a * np.log(z) - z - _log_gamma(a)) * total
+
+
+def _gamma_fraction(a: np.ndarray, z: np.ndarray) -> np.ndarray:
+    """One less the continued fraction above a + 1, until no factor of the batch changes it."""
+    tiny = 1e-300
+    b = z + 1.0 - a
+    c = np.full_like(a, 1.0 / tiny)
+    d = 1.0 / b
+    h, i, change = d.copy(), 0, np.full_like(a, 2.0)
+    while (np.abs(change - 1.0) > 1e-15).any():
+        i += 1
+        an = -i * (i - a)
+        b = b + 2.0
+        d = an * d + b
+        d = 1.0 / np.where(np.abs(d) < tiny, tiny, d)
+        c = b + an / c
+        c = np.where(np.abs(c) < tiny, tiny, c)
+        change = d * c
+        h = h * change
+        if i > 20 * np.sqrt(a.max()) + 2000:  # rounding keeps the last digit moving
+            break
+    return 1.0 - np.exp(a * np.log(z) - z - _log_gamma(a)) * h
+
+
+def _gamma_uniform(a: np.ndarray, z: np.ndarray) -> np.ndarray:
+    """Uniform asymptotic expansion for large shapes, first correction included."""
+    mu = z / a - 1.0
+    small = np.abs(mu) < 1e-3
+    m = np.where(small, mu, 0.0)
+    half = np.where(small, m * m * (0.5 - m * (1 / 3 - m * (0.25 - m * 0.2))), mu - np.log1p(mu))
+    eta = np.sign(mu) * np.sqrt(2.0 * half)
+    safe = np.where(small, 1.0, mu), np.where(small, 1.0, eta)
+    first = np.where(small, -1 / 3 + eta / 12, 1.0 / safe[0] - 1.0 / safe[1])
+    tail = 0.5 * np.array([math.erfc(x) for x in -eta * np.sqrt(a / 2.0)])
+    return tail - np.exp(-0.5 * a * eta * eta) / np.sqrt(2 * np.pi * a) * first
+
+
+def gamma_cdf_values(a: np.ndarray, z: np.ndarray) -> np.ndarray:
+    """Regularised lower incomplete gamma function; each branch runs until it has converged."""
+    out = np.full(len(a), np.nan)
+    known = np.isfinite(a) & ~np.isnan(z) & (a > 0)
+    out[known & (z <= 0)] = 0.0
+    out[known & np.isinf(z) & (z > 0)] = 1.0
+    rest = known & (z > 0) & np.isfinite(z)
+    large = a >= LARGE_SHAPE
     with np.errstate(all="ignore"):
-        front = np.exp(a * np.log(z) - z - lgamma)
-        term = 1.0 / a
-        total = term.copy()
-        for i in range(1, 400):
-            term = term * z / (a + i)
-            total += term
-            if not np.nanmax(np.where(z < a + 1, term, 0.0), initial=0.0) > 1e-14:
-                break
-        low = front * total
-        tiny = 1e-300
-        b = z + 1.0 - a
-        c = np.full_like(a, 1.0 / tiny)
-        d = 1.0 / b
-        h = d.copy()
-        for i in range(1, 200):
-            an = -i * (i - a)
-            b = b + 2.0
-            d = an * d + b
-            d = 1.0 / np.where(np.abs(d) < tiny, tiny, d)
-            c = b + an / c
-            c = np.where(np.abs(c) < tiny, tiny, c)
-            h = h * d * c
-        high = 1.0 - front * h
-    out = np.where(z == 0, 0.0, np.where(z < a + 1, low, high))
-    return pd.Series(np.clip(out, 0.0, 1.0))
+        for branch, rows in (
+            (_gamma_uniform, rest & large), (_gamma_series, rest & ~large & (z < a + 1)), (_gamma_fraction, rest & ~large & (z >= a + 1))
+        ):
+            if rows.any():
+                out[rows] = branch(a[rows], z[rows])
+    return np.clip(out, 0.0, 1.0)
+
+
+@F.pandas_udf(DoubleType())
+def gamma_cdf(shape: pd.Series, x: pd.Series) -> pd.Series:
+    """``gamma_cdf_values`` on whole Arrow batches."""
+    return pd.Series(gamma_cdf_values(shape.to_numpy(dtype=float, na_value=np.nan), x.to_numpy(dtype=float, na_value=np.nan)))
 
 
 def cdf(kind: str, x: Column) -> Column:

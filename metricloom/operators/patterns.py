@@ -8,15 +8,18 @@ from pyspark.sql import functions as F
 from metricloom.operators.counts import top_k
 
 TOP_PATTERNS = 5
+METACHARACTERS = r"([\\.^$|?*+()\[\]{}])"
 
 
 def generalize(text: Column) -> Column:
     """Upper, lower and digit runs become ``[A-Z]+``, ``[a-z]+`` and ``\\d+``.
 
     Runs are first replaced by placeholder characters so that a later step cannot rewrite the
-    classes written by an earlier one.
+    classes written by an earlier one. Other characters stand for themselves: those with a meaning
+    in patterns are escaped.
     """
-    marked = F.regexp_replace(F.regexp_replace(F.regexp_replace(text, "[A-Z]+", "\u0001"), "[a-z]+", "\u0002"), "[0-9]+", "\u0003")
+    literal = F.regexp_replace(text, METACHARACTERS, r"\\$1")
+    marked = F.regexp_replace(F.regexp_replace(F.regexp_replace(literal, "[A-Z]+", "\u0001"), "[a-z]+", "\u0002"), "[0-9]+", "\u0003")
     return F.replace(
         F.replace(F.replace(marked, F.lit("\u0001"), F.lit("[A-Z]+")), F.lit("\u0002"), F.lit("[a-z]+")),
         F.lit("\u0003"), F.lit("\\d+"),

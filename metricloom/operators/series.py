@@ -1,15 +1,10 @@
-"""Series spaces: how many metrics, hosts and tags, and which series the n-th point belongs to."""
+"""Series spaces: how many metrics, hosts and tags fit a wanted number of series."""
 
 from __future__ import annotations
 
-import math
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from metricloom.functions.draws import TINY, integer, uniform
-from metricloom.functions.keys import deterministic_string, levelled_suffix
-
 
 def _round_half_up(x: Column) -> Column:
     return F.floor(x + 0.5).cast("bigint")
@@ -34,135 +29,3 @@ def pegged_dims(pegs: list[Column], target: Column) -> list[Column]:
         zeros = zeros + F.when(p == 0, 1).otherwise(0)
     share = F.greatest(F.lit(1), _round_half_up(F.pow(target / product, 1.0 / F.greatest(zeros, F.lit(1)))))
     return [F.when(p == 0, share).otherwise(p.cast("bigint")) for p in pegs]
-
-
-def digits(n: Column, cards: list[int | Column]) -> list[Column]:
-    """Mixed-radix digits of ``n``; the last dimension turns fastest and the whole wraps."""
-    out = []
-    below = F.lit(1).cast("bigint")
-    for card in reversed(cards):
-        c = card if isinstance(card, Column) else F.lit(card)
-        out.append(F.pmod(F.floor(n / below), c).cast("bigint"))
-        below = below * c
-    return out[::-1]
-
-
-def time_tag_count(interval_seconds: int, change_seconds: int) -> int:
-    return max(1, int(interval_seconds / change_seconds + 0.5))
-
-
-def names_and_tags(
-    df: DataFrame,
-    n: str,
-    metrics: int,
-    hosts: int,
-    tags: int = 1,
-    multi: tuple[int, int] | None = None,
-    timed: tuple[int, int] | None = None,
-    seed: str = "",
-    constant: str | None = None,
-    host_suffix: str | None = None,
-    long_names: bool = False,
-) -> DataFrame:
-    """Adds metric, host and the ordered ``tag_list`` of point number ``n``.
-
-    ``multi`` = (keys, values per key) vary independently and fastest; ``timed`` = (keys, values)
-    change together and slowest.
-    """
-    cards = ([timed[1]] if timed else []) + [metrics, hosts, tags] + ([multi[1]] * multi[0] if multi else [])
-    d = digits(F.col(n), cards)
-    at = 0
-    extra: list[Column] = []
-
-    def keyed(prefix: str, i: int, value: Column) -> Column:
-        left = F.concat(
-            levelled_suffix(F.lit(f"{prefix}.key.{i}"), seed=seed), F.lit(f"={prefix}.value.{i}")
-        )
-        return levelled_suffix(F.concat(left, F.lit("."), value.cast("string")), seed=seed)
-
-    if timed:
-        extra += [keyed("timetag", i, d[0]) for i in range(timed[0])]
-        at = 1
-    metric = F.concat(F.lit("metric."), d[at].cast("string"))
-    host = F.concat(F.lit("host."), d[at + 1].cast("string"))
-    if long_names:
-        metric = levelled_suffix(metric, 4, 60, seed)
-        host = levelled_suffix(host, 4, 60, seed)
-    tag = F.concat(F.lit("tag=t."), d[at + 2].cast("string"))
-    if multi:
-        extra += [keyed("tag", i, d[at + 3 + i]) for i in range(multi[0])]
-    own = [F.concat(F.lit("host="), F.col("host"))]
-    if constant:
-        own.append(F.lit(constant))
-    if host_suffix:
-        own.append(F.concat(F.lit("additionalTagFromHost="), F.col("host"), F.lit("-" + host_suffix)))
-    return df.withColumn("metric", metric).withColumn("host", host).withColumn("tag_list", F.array(*own, tag, *extra))
-
-
-def churned_host(slot: Column, ts: Column, expiry_seconds: int) -> Column:
-    """Host name of a slot; a new name every ``expiry_seconds``."""
-    epoch = F.floor(ts / expiry_seconds).cast("bigint")
-    return F.concat(F.lit("host."), slot.cast("string"), F.lit("."), deterministic_string(F.concat_ws("|", slot.cast("string"), epoch.cast("string")), 8))
-
-
-def random_series(df: DataFrame, row: Column, seed, ts: Column, metrics: int, hosts: int, tag_keys: int, tag_values: int, expiry_seconds: int) -> DataFrame:
-    """Random metric, churning host and one random tag per row."""
-    return df.select(
-        "*",
-        F.concat(F.lit("metric."), integer(uniform(seed, row, "metric"), metrics).cast("string")).alias("metric"),
-        churned_host(integer(uniform(seed, row, "host"), hosts), ts, expiry_seconds).alias("host"),
-        F.concat(
-            F.lit("k"), integer(uniform(seed, row, "key"), tag_keys).cast("string"),
-            F.lit("=v"), integer(uniform(seed, row, "value"), tag_values).cast("string"),
-        ).alias("tag"),
-    )
-
-
-def normal_index(row: Column, seed, size: Column, n_sigma: float = 2.0, tries: int = 8) -> Column:
-    """Series index from a normal distribution cut at n sigma.
-
-    Draws outside are repeated with a fresh hash; after ``tries`` misses (odds below 1e-10 at two
-    sigma) the centre is taken.
-    """
-
-    def normal(i: Column) -> Column:
-        u1 = F.greatest(uniform(seed, row, F.concat(F.lit("r"), i)), F.lit(TINY))
-        u2 = uniform(seed, row, F.concat(F.lit("a"), i))
-        return F.sqrt(-2.0 * F.ln(u1)) * F.cos(2 * math.pi * u2)
-
-    draws = F.transform(F.sequence(F.lit(1), F.lit(tries)), lambda i: normal(i.cast("string")))
-    inside = F.try_element_at(F.filter(draws, lambda z: F.abs(z) <= n_sigma), F.lit(1))
-    position = (F.coalesce(inside, F.lit(0.0)) + n_sigma) / (2 * n_sigma)
-    return F.least(F.floor(position * size), size - 1).cast("bigint")
-
-
-def trace_ids(n: Column, spans_per_trace: int, seed: str = "trace") -> tuple[Column, Column]:
-    """UUID-shaped trace and span ids; ``spans_per_trace`` consecutive rows share a trace."""
-
-    def uuid(text: Column) -> Column:
-        return F.regexp_replace(F.md5(text), "^(.{8})(.{4})(.{4})(.{4})(.{12})$", "$1-$2-$3-$4-$5")
-
-    trace = F.floor(n / spans_per_trace).cast("string")
-    return uuid(F.concat(F.lit(seed + "|t|"), trace)), uuid(F.concat(F.lit(seed + "|s|"), n.cast("string")))
-
-
-def uniform_histogram(max_mean: Column, centroids: int | Column, count: Column) -> Column:
-    """Evenly placed centroid means in +-max_mean; the remainder of the count is spread evenly."""
-    k = centroids if isinstance(centroids, Column) else F.lit(centroids)
-    base = F.floor(count / k)
-    rest = F.pmod(count, k)
-    return F.transform(
-        F.sequence(F.lit(0).cast("bigint"), k.cast("bigint") - 1),
-        lambda i: F.struct(
-            (base + F.when(F.pmod(rest * i, k) < rest, 1).otherwise(0)).cast("bigint").alias("count"),
-            (max_mean * (-1.0 + 2.0 * (i + 1.0) / (k + 1.0))).alias("value"),
-        ),
-    )
-
-
-def rate_ramp(elapsed: Column, start: Column, acceleration: Column, target: Column) -> Column:
-    """Rate after ``elapsed`` seconds of a linear ramp that stops at ``target``."""
-    begin = F.when(start < 0, target).otherwise(start)
-    return F.when(begin < target, F.least(target, begin + acceleration * elapsed)).otherwise(
-        F.greatest(target, begin - acceleration * elapsed)
-    )

@@ -19,7 +19,7 @@ HISTOGRAM_CHANCE = 0.1
 GRANULARITY_CUM = [("H", 0.2), ("D", 0.24), ("M", 1.0)]
 DRIFT_NEW_TAG = 0.5
 DRIFT_CHANGED_VALUE = 0.3
-PATTERN_PIECE = r"(\\d\+|\\d\{\d+\}|\[a-z\]\+|\[a-z\]\{\d+\}|\[A-Z\]\+|\[A-Z\]\{\d+\}|\[a-zA-Z0-9\]\+|.)"
+PATTERN_PIECE = r"(\\d\+|\\d\{\d+\}|\[a-z\]\+|\[a-z\]\{\d+\}|\[A-Z\]\+|\[A-Z\]\{\d+\}|\[a-zA-Z0-9\]\+|\\[^A-Za-z0-9]|.)"
 DIGITS = "0123456789"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
 UPPER = LOWER.upper()
@@ -40,6 +40,37 @@ def item_arrays(items: DataFrame, keys: list[str], value: str, weight: str, orde
     )
 
 
+def draw_values(rows: DataFrame, counts: DataFrame, keys: list[str], value: str, u: str, out: str) -> DataFrame:
+    """Adds ``out``: a value of the row's key, drawn by its count from all values of the key.
+
+    ``counts`` holds (keys, value, n), ``u`` names a uniform column. Values stand in the order of
+    their md5. Two levels of 256 running sums lead to a small slot of values, so a key may have any
+    number of values and no row meets more than a slot of them.
+    """
+    place = F.md5(F.col(value).cast("string"))
+    items = counts.select(*keys, F.col(value).alias("_v"), "n", F.substring(place, 1, 2).alias("_a"), F.substring(place, 3, 2).alias("_b"), place.alias("_p"))
+    slots = items.groupBy(*keys, "_a", "_b").agg(F.sum("n").alias("n"))
+    upto = W.partitionBy(*keys, "_a", "_b").orderBy("_p", "_v").rowsBetween(W.unboundedPreceding, 0)
+    items = items.withColumn("_hi", F.sum("n").over(upto)).withColumn("_lo", F.col("_hi") - F.col("n"))
+
+    def sums(table: DataFrame, by: list[str], name: str) -> DataFrame:
+        running = with_cumulative(table, by, "n", [name])
+        packed = F.sort_array(F.collect_list(F.struct("cum", F.col(name).alias("slot"), (F.col("cum") - F.col("n")).alias("before"))))
+        return running.groupBy(*by).agg(packed.alias("_sums"))
+
+    def step(table: DataFrame, name: str) -> DataFrame:
+        first = F.try_element_at(F.filter("_sums", lambda x: x["cum"] >= F.col("_t")), F.lit(1))
+        found = table.withColumn("_s", F.coalesce(first, F.element_at("_sums", -1)))
+        return found.withColumns({name: F.col("_s.slot"), "_t": F.col("_t") - F.col("_s.before")}).drop("_s", "_sums")
+
+    top = sums(slots.groupBy(*keys, "_a").agg(F.sum("n").alias("n")), keys, "_a")
+    placed = rows.join(top, keys).withColumn("_t", F.col(u) * F.element_at("_sums", -1)["cum"])
+    placed = step(step(placed, "_a").join(sums(slots, [*keys, "_a"], "_b"), [*keys, "_a"]), "_b")
+    items = items.select(*keys, "_a", "_b", "_v", "_hi", "_lo")
+    inside = placed.join(items, [*keys, "_a", "_b"]).where((F.col("_hi") >= F.col("_t")) & ((F.col("_lo") < F.col("_t")) | (F.col("_lo") == 0)))
+    return inside.select(*rows.columns, F.col("_v").alias(out))
+
+
 def quantile_value(u: Column, q: Column | None = None) -> Column:
     """Value at probability ``u`` between the true quantile probabilities."""
     get = (lambda name: q[name]) if q is not None else F.col
@@ -77,7 +108,8 @@ def expand_pattern(pattern: Column, seed, row: Column) -> Column:
             return chars(alphabet, F.coalesce(exact, (integer(u, spread) + low).cast("int")), i)
 
         return (
-            F.when(p.startswith("\\d") & (F.length(p) > 1), run(DIGITS, 1, 4))
+            F.when(p.rlike(r"^\\[^A-Za-z0-9]$"), F.substring(p, 2, 1))
+            .when(p.startswith("\\d") & (F.length(p) > 1), run(DIGITS, 1, 4))
             .when(p.startswith("[a-z]"), run(LOWER, 3, 5))
             .when(p.startswith("[A-Z]"), run(UPPER, 3, 5))
             .when(p.startswith("[a-zA-Z0-9]"), run(LOWER + UPPER + DIGITS, 5, 10))
@@ -171,7 +203,7 @@ def samplers(categories: DataFrame, presence: DataFrame, keys: list[str]) -> Dat
     source = arrays.filter(F.col("dim") == SOURCE).select(*keys, F.col("items").alias("source_items"))
     tags = (
         arrays.filter(F.col("dim").startswith(TAG))
-        .withColumn("key", F.substring("dim", len(TAG) + 1, 1_000_000))
+        .withColumn("key", F.substr("dim", F.lit(len(TAG) + 1)))
         .join(presence.select(*keys, "key", "presence"), [*keys, "key"])
         .groupBy(*keys)
         .agg(F.sort_array(F.collect_list(F.struct("key", "presence", "items"))).alias("tag_items"))
@@ -248,7 +280,7 @@ def histogram_rows(rows: DataFrame, seed, multiplier: float = 1.0) -> DataFrame:
     total = F.floor(multiplier * (10 + integer(uniform(seed, row, "count"), 90))).cast("bigint")
     per = F.floor(F.col("hist_count") / F.col("_k")).cast("bigint")
     out = rows.withColumn("granularity", gran).withColumn("_k", k).withColumn("hist_count", total)
-    u1 = lambda i: F.greatest(uniform(seed, row, F.concat(F.lit("r"), i)), F.lit(1.0 / 2**32))
+    u1 = lambda i: F.greatest(uniform(seed, row, F.concat(F.lit("r"), i)), F.lit(1.0 / 2**52))
     u2 = lambda i: uniform(seed, row, F.concat(F.lit("a"), i))
     normal = lambda i: F.sqrt(-2.0 * F.ln(u1(i))) * F.cos(6.283185307179586 * u2(i))
     return out.withColumn(

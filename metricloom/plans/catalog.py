@@ -107,8 +107,8 @@ VIEWS: dict[str, str] = {
             WHEN 4 THEN regexp_replace(line, '^([^=]*)=', '\1==')
             ELSE line END AS value
         FROM (SELECT *, CASE WHEN u_error < 0.5 THEN CAST(floor(u_mode * 5) AS BIGINT) END AS mode FROM (
-          SELECT *, ('0x' || substr(md5('7|' || row_id || '|error'), 1, 8))::UBIGINT / 4294967296.0 AS u_error,
-            ('0x' || substr(md5('7|' || row_id || '|mode'), 1, 8))::UBIGINT / 4294967296.0 AS u_mode
+          SELECT *, ('0x' || substr(md5('7|' || row_id || '|error'), 1, 13))::UBIGINT / 4503599627370496.0 AS u_error,
+            ('0x' || substr(md5('7|' || row_id || '|mode'), 1, 13))::UBIGINT / 4503599627370496.0 AS u_mode
           FROM points))""",
     "badparsed": r"""
         SELECT *, CASE
@@ -201,4 +201,4 @@ def with_views(sql: str) -> str:
 
 def u(row: str, dim: str, seed: int | str = 1) -> str:
     """SQL text of the repeatable uniform draw."""
-    return f"(('0x' || substr(md5('{seed}|' || {row} || '|{dim}'), 1, 8))::UBIGINT / 4294967296.0)"
+    return f"(('0x' || substr(md5('{seed}|' || {row} || '|{dim}'), 1, 13))::UBIGINT / 4503599627370496.0)"

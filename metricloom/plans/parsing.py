@@ -139,7 +139,7 @@ def _(spark, d):
 
 @query(
     "parse_errors",
-    "SELECT row_id, drop_reason, substr(trim(value), 1, 100) AS error_text FROM badparsed WHERE drop_reason IS NOT NULL",
+    "SELECT row_id, drop_reason, trim(value) AS error_text FROM badparsed WHERE drop_reason IS NOT NULL",
 )
 def _(spark, d):
     return parse_lines(t.bad_lines(spark, d)).filter(c("record_type") == "error").select("row_id", "drop_reason", "error_text")

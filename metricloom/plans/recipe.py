@@ -77,7 +77,7 @@ def pattern_structs(dim_counts: DataFrame) -> DataFrame:
 
     def grams(size: int, name: str) -> DataFrame:
         g = patterns.ngrams(values, keys, size)
-        shared = V.shares(C.top_k(g, keys, "gram", 100).drop("rank"), keys)
+        shared = V.shares(g, keys)
         return shared.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("gram", "p"))).alias(name))
 
     lengths = numeric_struct(patterns.length_counts(values, keys), keys, "length", "length_distribution")

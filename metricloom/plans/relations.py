@@ -58,20 +58,21 @@ TOPITEMS = """items AS (SELECT family_id, value, n, rank, sum(n) OVER (PARTITION
       FROM (SELECT family_id, value, n, row_number() OVER (PARTITION BY family_id ORDER BY n DESC, value) AS rank FROM dimcounts WHERE dim = 'source') WHERE rank <= 100)"""
 
 
+ALLITEMS = """items AS (SELECT family_id, value, n, rank, sum(n) OVER (PARTITION BY family_id ORDER BY rank) AS cum, sum(n) OVER (PARTITION BY family_id) AS total
+      FROM (SELECT family_id, value, n, row_number() OVER (PARTITION BY family_id ORDER BY md5(value), value) AS rank FROM dimcounts WHERE dim = 'source'))"""
+
+
 @query(
     "join_weighted_range",
-    f"""WITH {TOPITEMS}
+    f"""WITH {ALLITEMS}
         SELECT p.row_id, i.value AS picked FROM (SELECT *, {u('row_id', 'pick', 5)} AS u FROM points) p
         JOIN items i ON i.family_id = p.family_id AND i.cum >= p.u * i.total AND (i.cum - i.n < p.u * i.total OR i.rank = 1)""",
 )
 def _(spark, d):
-    """A source per point by cumulative weight, looked up in the family's bounded item array."""
+    """A source per point by cumulative weight, from all sources of the family."""
     p = t.points(spark, d)
-    best = C.top_k(C.value_counts(p, FAM, "source"), FAM, "source", 100)
-    items = synth.item_arrays(best, FAM, "source", "n")
-    return p.select("row_id", "family_id").join(items, FAM).select(
-        "row_id", pick(c("items"), uniform(5, c("row_id"), "pick")).alias("picked")
-    )
+    rows = p.select("row_id", "family_id", uniform(5, c("row_id"), "pick").alias("u"))
+    return synth.draw_values(rows, C.value_counts(p, FAM, "source"), FAM, "source", "u", "picked").select("row_id", "picked")
 
 
 @query(
@@ -131,7 +132,7 @@ def _(spark, d):
          SELECT family_id, window_start, row_id, row_number() OVER (PARTITION BY family_id, window_start ORDER BY ts DESC, row_id DESC) AS rank FROM day) WHERE rank <= 20""",
 )
 def _(spark, d):
-    """Newest samples per family and day; the cap of the sliding windows is 10,000."""
+    """Newest samples per family and day."""
     p = t.points(spark, d).withColumn("window_start", F.floor(c("ts") / 86400) * 86400)
     keys = ["family_id", "window_start"]
     return C.newest_per_group(p, keys, [F.desc("ts"), F.desc("row_id")], 20, c("row_id")).select(*keys, "row_id", "rank")
@@ -179,14 +180,13 @@ def _(spark, d):
 
 @query(
     "dense_fill",
-    """SELECT g.family_id, g.day, coalesce(n, 0) AS n FROM
-         (SELECT family_id, unnest(range(min(ts) // 86400, max(ts) // 86400 + 1)) AS day FROM points GROUP BY family_id) g
-         LEFT JOIN (SELECT family_id, ts // 86400 AS day, count(*) AS n FROM points WHERE ts // 86400 % 7 <> 3 GROUP BY ALL) p ON p.family_id = g.family_id AND p.day = g.day""",
+    """SELECT g.family_id, g.hour, coalesce(n, 0) AS n FROM
+         (SELECT family_id, unnest(range(min(ts) // 3600, max(ts) // 3600 + 1)) AS hour FROM points GROUP BY family_id) g
+         LEFT JOIN (SELECT family_id, ts // 3600 AS hour, count(*) AS n FROM points GROUP BY ALL) p ON p.family_id = g.family_id AND p.hour = g.hour""",
 )
 def _(spark, d):
-    """Every day of each family's range; one weekday is emptied to show the zeros."""
-    p = t.points(spark, d).withColumn("day", F.floor(c("ts") / 86400))
-    span = p.groupBy(*FAM).agg(F.min("day").alias("a"), F.max("day").alias("b"))
-    grid = span.select(*FAM, F.explode(F.sequence("a", "b")).alias("day"))
-    counts = p.filter(c("day") % 7 != 3).groupBy(*FAM, "day").agg(F.count("*").alias("n"))
-    return grid.join(counts, [*FAM, "day"], "left").select(*FAM, "day", F.coalesce("n", F.lit(0)).alias("n"))
+    """Every hour of each family's range; hours without points count 0."""
+    counts = t.points(spark, d).groupBy(*FAM, F.floor(c("ts") / 3600).alias("hour")).agg(F.count("*").alias("n"))
+    span = counts.groupBy(*FAM).agg(F.min("hour").alias("a"), F.max("hour").alias("b"))
+    grid = span.select(*FAM, F.explode(F.sequence("a", "b")).alias("hour"))
+    return grid.join(counts, [*FAM, "hour"], "left").select(*FAM, "hour", F.coalesce("n", F.lit(0)).alias("n"))

@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from metricloom.operators import containers, series
-from metricloom.plans.catalog import query, u
+from metricloom.operators import counts as C
+from metricloom.operators import series
+from metricloom.plans.catalog import query
 from metricloom.sources import tables as t
 
 c = F.col
-SEED = 31
 
 
 def per_type(spark, d) -> DataFrame:
@@ -46,105 +46,6 @@ def _(spark, d):
     )
 
 
-@query(
-    "series_cartesian",
-    "SELECT event_id, event_id // 6 % 2 AS d0, event_id // 2 % 3 AS d1, event_id % 2 AS d2 FROM events",
-)
-def _(spark, d):
-    d0, d1, d2 = series.digits(c("event_id"), [2, 3, 2])
-    return t.table(spark, d, "events").select("event_id", d0.alias("d0"), d1.alias("d1"), d2.alias("d2"))
-
-
-@query(
-    "series_names_tags",
-    """SELECT event_id, 'metric.' || (event_id // 81 // 5 % 5) AS metric, 'host.' || (event_id // 81 % 5) AS host, 9::BIGINT AS tag_count,
-         'timetag.value.0.' || (event_id // 2025 % 2) AS time_value, 'tag.value.3.' || (event_id % 3) AS last_value FROM events""",
-)
-def _(spark, d):
-    """The multi-tag space: 2 time values, 5 metrics, 5 hosts, 4 tags of 3 values."""
-    n = series.names_and_tags(t.table(spark, d, "events").select("event_id"), "event_id", 5, 5, 1, multi=(4, 3), timed=(3, 2))
-    value_of = lambda x: F.regexp_extract(x, r"=(.*)\.[A-Za-z0-9]{8}$", 1)
-    return n.select(
-        "event_id", "metric", "host", F.size("tag_list").alias("tag_count"),
-        value_of(c("tag_list")[2]).alias("time_value"), value_of(F.element_at("tag_list", -1)).alias("last_value"),
-    )
-
-
-@query(
-    "series_host_churn",
-    f"""SELECT event_id, 'metric.' || CAST(floor({u('event_id', 'metric', SEED)} * 10) AS BIGINT) AS metric, CAST(floor({u('event_id', 'host', SEED)} * 20) AS BIGINT)::VARCHAR AS slot,
-          'k' || CAST(floor({u('event_id', 'key', SEED)} * 3) AS BIGINT) || '=v' || CAST(floor({u('event_id', 'value', SEED)} * 5) AS BIGINT) AS tag FROM events""",
-)
-def _(spark, d):
-    """Hosts are renamed daily; the compared slot is the part of the name that stays."""
-    e = t.table(spark, d, "events").select("event_id", t.epoch(c("ts")).alias("ts"))
-    s = series.random_series(e, c("event_id"), SEED, c("ts"), 10, 20, 3, 5, 86400)
-    return s.select("event_id", "metric", F.regexp_extract("host", r"^host\.(\d+)\.", 1).alias("slot"), "tag")
-
-
-@query("series_normal_skew")
-def _(spark, d):
-    e = t.table(spark, d, "events")
-    return e.select("event_id", series.normal_index(c("event_id"), SEED, F.lit(100)).alias("series")).groupBy("series").agg(F.count("*").alias("n"))
-
-
-def clusters(spark, d) -> DataFrame:
-    """One cluster per supplier."""
-    return t.table(spark, d, "supplier").select(
-        c("s_suppkey").alias("cluster"), F.lit("a1b2c").alias("run"),
-        F.lit(1704067200).cast("bigint").alias("started"), (F.lit(1704067200) + c("s_nationkey") * 3600).cast("bigint").alias("ts"),
-    )
-
-
-@query(
-    "series_k8s_hierarchy",
-    """SELECT level, count(*) AS clusters, CAST(sum(per) AS BIGINT) AS points FROM supplier,
-         (VALUES ('cluster', 6), ('ns', 3 * 6), ('node', 2 * 27), ('sys_container', 2 * 3 * 11), ('pod', 2 * 2 * 25), ('pod_container', 2 * 2 * 2 * 18)) l(level, per) GROUP BY level""",
-)
-def _(spark, d):
-    h = containers.hierarchy(clusters(spark, d))
-    return h.groupBy("level", "cluster").agg(F.count("*").alias("n")).groupBy("level").agg(
-        F.count("*").alias("clusters"), F.sum("n").alias("points")
-    )
-
-
-@query(
-    "series_pod_churn",
-    "SELECT s_suppkey AS cluster, 2::BIGINT AS stable, 2::BIGINT AS churned FROM supplier",
-)
-def _(spark, d):
-    """One of two pods per node is renamed every two hours."""
-    h = containers.hierarchy(clusters(spark, d), churn_pods=1, churn_seconds=7200).filter(c("level") == "pod")
-    name = F.try_element_at("tags", F.lit("pod_name"))
-    pods = h.select("cluster", name.alias("pod")).distinct()
-    churned = c("pod").rlike("-a1b2c-")
-    return pods.groupBy("cluster").agg(F.count_if(~churned).alias("stable"), F.count_if(churned).alias("churned"))
-
-
-@query(
-    "trace_span_ids",
-    """SELECT o_orderkey, regexp_replace(md5('trace|t|' || (o_orderkey // 4)), '^(.{8})(.{4})(.{4})(.{4})(.{12})$', '\\1-\\2-\\3-\\4-\\5') AS trace_id,
-         regexp_replace(md5('trace|s|' || o_orderkey), '^(.{8})(.{4})(.{4})(.{4})(.{12})$', '\\1-\\2-\\3-\\4-\\5') AS span_id FROM orders""",
-)
-def _(spark, d):
-    trace, span = series.trace_ids(c("o_orderkey"), 4)
-    return t.table(spark, d, "orders").select("o_orderkey", trace.alias("trace_id"), span.alias("span_id"))
-
-
-@query(
-    "histogram_uniform",
-    """SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, i, CAST(q // 12 + CASE WHEN (q % 12) * i % 12 < q % 12 THEN 1 ELSE 0 END AS BIGINT) AS count, round((l_tax * 100 + 1) * (-1 + 2 * (i + 1.0) / 13.0), 6) AS mean
-       FROM (SELECT *, CAST(l_quantity AS BIGINT) + 100 AS q, unnest(range(12)) AS i FROM lineitem)""",
-)
-def _(spark, d):
-    """A 12-centroid histogram per line item."""
-    li = t.table(spark, d, "lineitem")
-    h = series.uniform_histogram(c("l_tax") * 100 + 1, 12, c("l_quantity").cast("bigint") + 100)
-    return li.select("l_orderkey", "l_linenumber", F.posexplode(h).alias("i", "x")).select(
-        "l_orderkey", "l_linenumber", "i", c("x.count").alias("count"), c("x.value").alias("mean")
-    )
-
-
 @query("digest_points")
 def _(spark, d):
     """Price digests per supplier: about 20 centroids and the median.
@@ -153,22 +54,8 @@ def _(spark, d):
     """
     li = t.table(spark, d, "lineitem")
     digest = li.groupBy("l_suppkey").agg(F.histogram_numeric("l_extendedprice", F.lit(20)).alias("h"), F.count("*").alias("n"))
-    return digest.select("l_suppkey", "n", F.posexplode("h").alias("i", "x")).select(
-        "l_suppkey", "n", "i", c("x.x").alias("mean"), c("x.y").alias("weight")
-    )
-
-
-@query(
-    "rate_ramp",
-    """SELECT c_custkey, s AS second, CASE WHEN b < t THEN least(t, b + 7 * s) ELSE greatest(t, b - 7 * s) END AS rate
-       FROM (SELECT c_custkey, CASE WHEN c_nationkey = 0 THEN t ELSE c_nationkey * 10 END AS b, t, unnest(range(0, 30, 5)) AS s FROM (SELECT *, CAST(floor(abs(c_acctbal) / 50) AS BIGINT) AS t FROM customer))""",
-)
-def _(spark, d):
-    """Ramps between two rates per customer, every five seconds."""
-    cu = t.table(spark, d, "customer").select(
-        "c_custkey",
-        F.when(c("c_nationkey") == 0, -1).otherwise(c("c_nationkey") * 10).cast("bigint").alias("b"),
-        F.floor(F.abs("c_acctbal") / 50).cast("bigint").alias("t"),
-        F.explode(F.sequence(F.lit(0), F.lit(25), F.lit(5))).alias("second"),
+    prices = C.value_counts(li, ["l_suppkey"], "l_extendedprice")
+    median = C.exact_quantiles(prices, ["l_suppkey"], "l_extendedprice", {"median": 0.5})
+    return digest.join(median, "l_suppkey").select("l_suppkey", "n", "median", F.posexplode("h").alias("i", "x")).select(
+        "l_suppkey", "n", "median", "i", c("x.x").alias("mean"), c("x.y").alias("weight")
     )
-    return cu.select("c_custkey", "second", series.rate_ramp(c("second"), c("b"), F.lit(7), c("t")).cast("bigint").alias("rate"))

@@ -187,7 +187,7 @@ def _(spark, d):
     return recipe.cadence(t.histograms(spark, d), FAM)
 
 
-GENERAL = r"replace(replace(replace(regexp_replace(regexp_replace(regexp_replace({x}, '[A-Z]+', chr(1), 'g'), '[a-z]+', chr(2), 'g'), '[0-9]+', chr(3), 'g'), chr(1), '[A-Z]+'), chr(2), '[a-z]+'), chr(3), '\d+')"
+GENERAL = r"replace(replace(replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace({x}, '([\\.^$|?*+()\[\]{{}}])', '\\\1', 'g'), '[A-Z]+', chr(1), 'g'), '[a-z]+', chr(2), 'g'), '[0-9]+', chr(3), 'g'), chr(1), '[A-Z]+'), chr(2), '[a-z]+'), chr(3), '\d+')"
 
 
 @query(

@@ -11,7 +11,7 @@ from metricloom.operators import counts as C
 from metricloom.operators import dims as D
 from metricloom.operators import fit, patterns, synth, temporal
 from metricloom.plans.catalog import query, u
-from metricloom.plans.relations import TOPITEMS
+from metricloom.plans.relations import ALLITEMS, TOPITEMS
 from metricloom.session import materialize
 from metricloom.sources import tables as t
 
@@ -27,16 +27,14 @@ def quantile_frame(p: DataFrame) -> DataFrame:
 
 @query(
     "synth_categorical",
-    f"""WITH {TOPITEMS}
+    f"""WITH {ALLITEMS}
         SELECT p.row_id, i.value AS source FROM (SELECT *, {u('row_id', 'source', SEED)} AS u FROM points) p
         JOIN items i ON i.family_id = p.family_id AND i.cum >= p.u * i.total AND (i.cum - i.n < p.u * i.total OR i.rank = 1)""",
 )
 def _(spark, d):
     p = t.points(spark, d)
-    best = C.top_k(C.value_counts(p, FAM, "source"), FAM, "source", 100)
-    return p.select("row_id", *FAM).join(synth.item_arrays(best, FAM, "source", "n"), FAM).select(
-        "row_id", pick(c("items"), uniform(SEED, c("row_id"), "source")).alias("source")
-    )
+    rows = p.select("row_id", *FAM, uniform(SEED, c("row_id"), "source").alias("u"))
+    return synth.draw_values(rows, C.value_counts(p, FAM, "source"), FAM, "source", "u", "source").select("row_id", "source")
 
 
 INTERP = """CASE WHEN u <= 0.01 THEN p01 WHEN u <= 0.05 THEN p01 + (p05 - p01) * ((u - 0.01) / (0.05 - 0.01))
@@ -57,7 +55,7 @@ def _(spark, d):
 
 @query(
     "synth_lognormal",
-    f"""SELECT row_id, round(exp(mu + sigma * sqrt(-2 * ln(greatest({u('row_id', 'ln:r', SEED)}, 1 / 4294967296.0))) * cos(2 * pi() * {u('row_id', 'ln:a', SEED)})), 6) AS value
+    f"""SELECT row_id, round(exp(mu + sigma * sqrt(-2 * ln(greatest({u('row_id', 'ln:r', SEED)}, 1 / 4503599627370496.0))) * cos(2 * pi() * {u('row_id', 'ln:a', SEED)})), 6) AS value
         FROM points JOIN (SELECT family_id, avg(ln(value)) AS mu, stddev_pop(ln(value)) AS sigma FROM points GROUP BY family_id) USING (family_id)""",
 )
 def _(spark, d):
@@ -70,7 +68,7 @@ def _(spark, d):
 
 @query(
     "synth_exponential",
-    f"""SELECT row_id, round(-ln(greatest(1 - {u('row_id', 'exp', SEED)}, 1 / 4294967296.0)) / rate, 6) AS value
+    f"""SELECT row_id, round(-ln(greatest(1 - {u('row_id', 'exp', SEED)}, 1 / 4503599627370496.0)) / rate, 6) AS value
         FROM points JOIN (SELECT family_id, 1 / avg(value) AS rate FROM points GROUP BY family_id) USING (family_id)""",
 )
 def _(spark, d):
@@ -93,11 +91,6 @@ def _(spark, d):
     )
 
 
-@query("synth_constant", "SELECT row_id, 42.0::DOUBLE AS value FROM points")
-def _(spark, d):
-    return t.points(spark, d).select("row_id", F.lit(42.0).alias("value"))
-
-
 @query(
     "synth_linear",
     "SELECT row_id, CAST(1.0 + 0.5 * (ts - t0) AS DOUBLE) AS value FROM points JOIN (SELECT family_id, min(ts) AS t0 FROM points GROUP BY family_id) USING (family_id)",
@@ -175,9 +168,9 @@ def _(spark, d):
 
 
 def item_sql(table: str, key: str, value: str) -> str:
-    """Item table of a weighted pick: running and total weight of the 100 most frequent values."""
+    """Item table of a weighted pick: running and total weight of all values, in the order of their md5."""
     return f"""(SELECT {key} AS key, {value} AS value, n, rank, sum(n) OVER (PARTITION BY {key} ORDER BY rank) AS cum, sum(n) OVER (PARTITION BY {key}) AS total
-      FROM (SELECT {key}, {value}, n, row_number() OVER (PARTITION BY {key} ORDER BY n DESC, {value}) AS rank FROM {table}) WHERE rank <= 100)"""
+      FROM (SELECT {key}, {value}, n, row_number() OVER (PARTITION BY {key} ORDER BY md5({value}), {value}) AS rank FROM {table}))"""
 
 
 PICK_ON = "i.cum >= p.u * i.total AND (i.cum - i.n < p.u * i.total OR i.rank = 1)"
@@ -209,14 +202,13 @@ COMBO_SQL = "(SELECT family_id, coalesce('env=' || env || ',', '') || 'k=' || k
         JOIN {item_sql(COMBO_SQL, 'family_id', 'text')} i ON i.key = p.family_id AND {PICK_ON}""",
 )
 def _(spark, d):
-    """Whole tag sets drawn by frequency, the 100 most frequent per family."""
+    """Whole tag sets drawn by frequency."""
     p = t.points(spark, d)
     combos = D.tag_combinations(p, FAM).withColumn(
         "text", F.array_join(F.transform("combo", lambda e: F.concat(e["key"], F.lit("="), e["value"])), ",")
     )
-    best = C.top_k(combos.select(*FAM, "text", "n"), FAM, "text", 100)
-    items = synth.item_arrays(best, FAM, "text", "n")
-    return p.select("row_id", *FAM).join(items, FAM).select("row_id", pick(c("items"), uniform(SEED, c("row_id"), "combo")).alias("tags"))
+    rows = p.select("row_id", *FAM, uniform(SEED, c("row_id"), "combo").alias("u"))
+    return synth.draw_values(rows, combos.select(*FAM, "text", "n"), FAM, "text", "u", "tags").select("row_id", "tags")
 
 
 RATE_SQL = "(SELECT metric, source, count(*) AS n FROM points GROUP BY ALL)"
@@ -231,10 +223,8 @@ def _(spark, d):
     """Sources drawn by their rate within the whole capture."""
     p = t.points(spark, d)
     rates = p.groupBy("metric", "source").agg(F.count("*").alias("n"))
-    items = synth.item_arrays(C.top_k(rates, ["metric"], "source", 100), ["metric"], "source", "n")
-    return p.select("row_id", "metric").join(items, "metric").select(
-        "row_id", "metric", pick(c("items"), uniform(SEED, c("row_id"), "entity")).alias("source")
-    )
+    rows = p.select("row_id", "metric", uniform(SEED, c("row_id"), "entity").alias("u"))
+    return synth.draw_values(rows, rates, ["metric"], "source", "u", "source").select("row_id", "metric", "source")
 
 
 @query("synth_arrival_times")
@@ -273,7 +263,7 @@ def _(spark, d):
 @query(
     "synth_spans",
     f"""SELECT row_id, start_ms // 1000 * 1000 + CAST(floor({u('row_id', 'ms', SEED)} * 1000) AS BIGINT) AS start_ms,
-          CAST(floor(-ln(greatest(1 - {u('row_id', 'duration', SEED)}, 1 / 4294967296.0)) / 0.001) AS BIGINT) + 1 AS duration_ms FROM spans""",
+          CAST(floor(-ln(greatest(1 - {u('row_id', 'duration', SEED)}, 1 / 4503599627370496.0)) / 0.001) AS BIGINT) + 1 AS duration_ms FROM spans""",
 )
 def _(spark, d):
     s = t.spans(spark, d).select("row_id", c("row_id").alias("row_key"), F.floor(c("start_ms") / 1000).alias("ts"))

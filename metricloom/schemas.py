@@ -11,7 +11,6 @@ CENTROIDS = T.ArrayType(
     )
 )
 
-RAW_LINE = "value string, dt date, mig string, instance string, file_path string, block_start bigint"
 
 PARSED_COLUMNS = [
     "record_type", "metric", "value", "ts", "source", "tags", "is_delta",

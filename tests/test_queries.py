@@ -3,10 +3,12 @@
 import pytest
 
 import __spark_entry__ as entry
+from metricloom.plans import load_all
+from metricloom.plans.catalog import ORACLES, QUERIES
 from oracle import compare, connect
 
 D = "/root/testdata/sf0.001"
-QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
+load_all()
 
 
 @pytest.fixture(scope="module")

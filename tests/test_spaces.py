@@ -53,35 +53,6 @@ def test_pegged_dims(spark):
         assert one(spark, *series.pegged_dims([F.lit(p) for p in pegs], F.lit(target))) == want
 
 
-def test_mixed_radix_cycle(spark):
-    rows = [tuple(r) for r in spark.range(13).select(*series.digits(F.col("id"), [2, 3, 2])).collect()]
-    want = [(a, b, c) for a in range(2) for b in range(3) for c in range(2)]
-    assert rows == want + [(0, 0, 0)]
-
-
-def test_multi_tag_space_repeats_after_all_series(spark):
-    n = series.names_and_tags(spark.range(4051), "id", 5, 5, 1, multi=(4, 3), timed=(3, series.time_tag_count(54, 27)), long_names=True)
-    rows = n.orderBy("id").collect()
-    text = [(r.metric, tuple(r.tag_list)) for r in rows]
-    assert len(set(text[:4050])) == 4050 and text[4050] == text[0]
-    assert {tuple(x[1][2:5]) for x in text[:2025]} == {tuple(text[0][1][2:5])}
-    assert all(a != b for a, b in zip(text[2024][1][2:5], text[2025][1][2:5]))
-    assert re.fullmatch(r"metric\.0\.[A-Za-z0-9]{8}\.[A-Za-z0-9]{42}", text[0][0])
-    assert len(text[0][1]) == 9
-
-
-def test_first_point_with_extras(spark):
-    r = series.names_and_tags(spark.range(1), "id", 4, 4, 4, constant="foo=bar", host_suffix="hostsuffix").first()
-    assert r.metric == "metric.0"
-    assert r.tag_list == ["host=host.0", "foo=bar", "additionalTagFromHost=host.0-hostsuffix", "tag=t.0"]
-
-
-def test_uniform_histogram(spark):
-    h = one(spark, series.uniform_histogram(F.lit(65.0), 12, F.lit(126)))[0]
-    assert sum(x["count"] for x in h) == 126 and {x["count"] for x in h} == {10, 11}
-    assert all(abs(x["value"] - (10 * i - 55)) < 1e-4 for i, x in enumerate(h))
-
-
 def test_draws_do_not_depend_on_partitioning(spark):
     one_way = spark.range(0, 1000, 1, 1).select("id", uniform(1, F.col("id"), "x").alias("u"))
     other = spark.range(0, 1000, 1, 13).repartition(5).select("id", uniform(1, F.col("id"), "x").alias("u"))
