@@ -10,6 +10,8 @@ from metricloom.operators.counts import value_counts
 
 MINUTES = 1440
 
+NO_TIME = -(1 << 60)  # bucket of rows without a time, before all others
+
 
 def minute_counts(df: DataFrame, keys: list[str], ts: str = "ts") -> DataFrame:
     """Rows per minute; ``minute`` is the epoch second at its start."""
@@ -68,9 +70,9 @@ def previous_in_series(
 
     Rows are windowed per (key, time bucket); the first row of a bucket takes its predecessor
     from a summary of bucket ends. One key's rows therefore spread over as many tasks as it has
-    buckets.
+    buckets. Rows without a time have no predecessor and are none.
     """
-    bucketed = df.withColumn("_tb", F.floor(F.col(ts) / bucket_seconds))
+    bucketed = df.withColumn("_tb", F.coalesce(F.floor(F.col(ts) / bucket_seconds), F.lit(NO_TIME)))
     inside = bucketed.withColumn("_in", F.lag(ts).over(W.partitionBy(*keys, "_tb").orderBy(*order)))
     ends = (
         bucketed.groupBy(*keys, "_tb")

@@ -16,6 +16,7 @@ from metricloom.operators import quality, temporal
 from metricloom.operators.divergence import shares
 from metricloom.operators.synth import match_globs
 from metricloom.plans.catalog import query, u
+from metricloom.session import work_dir
 from metricloom.sources import recipes
 from metricloom.sources import tables as t
 
@@ -78,7 +79,11 @@ def _(spark, d):
     "SELECT row_id, value FROM points WHERE family_id = sha1('app.click|env,k')",
 )
 def _(spark, d):
-    return recipes.filter_family(t.points(spark, d), hashlib.sha1(b"app.click|env,k").hexdigest()).select("row_id", "value")
+    """From rows stored by family: the scan reads the folder of the family's prefix only."""
+    path = work_dir(spark, "by-family")
+    recipes.sink_by_family(t.points(spark, d).select("row_id", "value", "ts", "source", "family_id"), path)
+    stored = spark.read.schema("row_id bigint, value double, family_id string, prefix string").parquet(path)
+    return recipes.filter_family(stored, hashlib.sha1(b"app.click|env,k").hexdigest()).select("row_id", "value")
 
 
 @query("filter_min_samples", "SELECT family_id, n FROM famcounts WHERE n >= 10")

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import cache
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -201,7 +199,7 @@ def _(spark, d):
 MINE_SQL = """
     SELECT family_id, {key} rank, pattern, CAST(n AS BIGINT) AS n, round(n / total, 6) AS frequency FROM (
       SELECT family_id, dim, pattern, n, row_number() OVER (PARTITION BY family_id, dim ORDER BY n DESC, pattern) AS rank, sum(n) OVER (PARTITION BY family_id, dim) AS total
-      FROM (SELECT family_id, dim, """ + GENERAL.format(x="value") + """ AS pattern, sum(n) AS n FROM dimcounts GROUP BY ALL)) WHERE rank <= 5 AND {where}"""
+      FROM (SELECT family_id, dim, """ + GENERAL.format(x="value").replace("{", "{{").replace("}", "}}") + """ AS pattern, sum(n) AS n FROM dimcounts GROUP BY ALL)) WHERE rank <= 5 AND {where}"""
 
 
 @query("pattern_mine_source", MINE_SQL.format(key="", where="dim = 'source'"))
@@ -278,9 +276,24 @@ def _(spark, d):
 # --- recipes ----------------------------------------------------------------------------------
 
 
-@cache
+BUILT: dict[tuple, str] = {}  # recipes of this process, by table state
+
+
+def table_state(spark, path: str) -> int:
+    """A number that changes with any file of a table: its name, size or time."""
+    files = spark.read.format("binaryFile").load(path).select(F.xxhash64("path", "length", "modificationTime").alias("h"))
+    return files.agg(F.bit_xor("h")).first()[0]
+
+
 def recipe_path(spark, d) -> str:
-    """Recipes of the points, built once per session and table folder."""
+    """Recipes of the points as they are now; built again when the table's files have changed."""
+    key = (spark.sparkContext.applicationId, d, table_state(spark, f"{d}/events.parquet"))
+    if key not in BUILT:
+        BUILT[key] = build_recipes(spark, d)
+    return BUILT[key]
+
+
+def build_recipes(spark, d) -> str:
     path = work_dir(spark, "recipes")
     store.sink_recipes(recipe.assemble(t.points(spark, d), t.split_epoch()), path)
     return path
@@ -335,10 +348,12 @@ def _(spark, d):
          'prefix=' || substr(family_id, 1, 2) AS path FROM points GROUP BY ALL""".replace("GROUP BY ALL", "GROUP BY family_id, metric, env IS NULL, tag_keys"),
 )
 def _(spark, d):
-    path = work_dir(spark, "recipe-index")
-    index = store.recipe_index(stored_recipes(spark, d))
+    """The index is written, and every recipe is found again in the folder it names."""
+    path, recipes = work_dir(spark, "recipe-index"), recipe_path(spark, d)
+    index = store.recipe_index(store.scan_recipes(spark, recipes))
     index.write.parquet(path)
-    return spark.read.schema(index.schema).parquet(path)
+    there = spark.read.schema("family_id string, prefix string").parquet(recipes).withColumn("path", F.concat(F.lit("prefix="), "prefix"))
+    return spark.read.schema(index.schema).parquet(path).join(there.select("family_id", "path"), ["family_id", "path"], "left_semi")
 
 
 @query("sink_completion_marker", "SELECT count(*) AS recipes, 'complete' AS status FROM famcounts")

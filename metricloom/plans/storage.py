@@ -83,14 +83,14 @@ def _(spark, d):
 
 @query(
     "agg_capture_volume",
-    f"""SELECT dt, instance AS instance_id, CAST(sum(strlen(line) + 1) AS BIGINT) AS original_bytes
+    f"""SELECT dt, instance AS instance_id, CAST(sum(strlen(line) + 1) AS BIGINT) AS original_bytes, true AS has_ratio, true AS has_rate
         FROM ({PLACED_SQL}) GROUP BY ALL""",
 )
 def _(spark, d):
-    """Ratio and rate depend on the compressor and the clock; the compared columns do not."""
-    v = captures.volume(manifest(spark, d))
-    return v.filter((c("compression_ratio") > 0) & (c("bytes_per_second") > 0)).select(
-        F.date_format("dt", "yyyy-MM-dd").alias("dt"), "instance_id", "original_bytes"
+    """Ratio and rate depend on the compressor and the clock; that they are known is compared."""
+    return captures.volume(manifest(spark, d)).select(
+        F.date_format("dt", "yyyy-MM-dd").alias("dt"), "instance_id", "original_bytes",
+        (c("compression_ratio") > 0).alias("has_ratio"), (c("bytes_per_second") > 0).alias("has_rate"),
     )
 
 
@@ -98,9 +98,9 @@ def _(spark, d):
 def _(spark, d):
     """Parquet landing of raw lines, the batch form of the streaming one."""
     path = work_dir(spark, "raw")
-    placed_lines(spark, d).repartition("dt", "mig", "instance").write.option("compression", "zstd").partitionBy(
-        "dt", "mig", "instance"
-    ).parquet(path)
+    captures.by_place(placed_lines(spark, d)).write.option("compression", "zstd").option(
+        "maxRecordsPerFile", captures.LINES_PER_FILE
+    ).partitionBy(*captures.PLACE).parquet(path)
     back = spark.read.schema("value string, dt string, mig string, instance string").parquet(path)
     return back.groupBy("dt", "mig", "instance").agg(F.count("*").alias("n"))
 

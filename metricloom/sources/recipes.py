@@ -35,10 +35,12 @@ def filter_family(rows: DataFrame, family: str) -> DataFrame:
 
 
 def sink_recipes(recipes: DataFrame, path: str, as_json: bool = False) -> None:
+    """Recipes in folders by the first two hex digits of the family, as the index names them."""
+    placed = recipes.withColumn("prefix", F.substring("family_id", 1, 2)).write.mode("append").partitionBy("prefix")
     if as_json:
-        recipes.write.mode("append").option("compression", "gzip").json(path)
+        placed.option("compression", "gzip").json(path)
     else:
-        recipes.write.mode("append").option("compression", "zstd").parquet(path)
+        placed.option("compression", "zstd").parquet(path)
 
 
 def scan_recipes(spark: SparkSession, path: str, as_json: bool = False) -> DataFrame:
@@ -47,7 +49,7 @@ def scan_recipes(spark: SparkSession, path: str, as_json: bool = False) -> DataF
     frame = reader.json(path) if as_json else reader.parquet(path)
     return frame.select(
         "*", F.col("_metadata.file_name").alias("file_name"), F.current_timestamp().alias("loaded_at")
-    )
+    ).drop("prefix")
 
 
 def recipe_index(recipes: DataFrame, path: str = "") -> DataFrame:

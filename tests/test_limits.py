@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 from metricloom.functions.formats import fmt_value
 from metricloom.functions.lines import parse_lines
 from metricloom.operators import counts as C
-from metricloom.operators import dims, fit, patterns, synth
+from metricloom.operators import dims, fit, patterns, synth, temporal
 from metricloom.plans import flows
+from metricloom.sources import captures
 from metricloom.sources import tables as t
 from metricloom.streaming import jobs
 
@@ -102,3 +103,22 @@ def test_counts_survive_crowded_values(spark):
     counts = C.value_counts(spark.createDataFrame([("k", v) for v in values], "key string, value double"), ["key"], "value")
     got = C.exact_quantiles(counts, ["key"], "value").first()
     assert abs(got.p50 - float(np.quantile(values, 0.5))) < 1e-6
+
+
+def test_a_hot_place_is_spread_and_its_files_are_bounded(spark, tmp_path):
+    lines = spark.range(20000).selectExpr(
+        "concat('line ', id, sha2(cast(id AS string), 512)) AS value", "'2024-01-01' AS dt", "'m' AS mig", "if(id % 100 = 0, 'b', 'a') AS instance"
+    )
+    with jobs.settings(spark, {"spark.sql.adaptive.advisoryPartitionSizeInBytes": "128k"}):
+        captures.sink_capture(lines.repartition(16), str(tmp_path / "x"), lines_per_file=3000)
+    back = captures.scan_layout(spark, str(tmp_path / "x"))
+    files = back.where("instance = 'a'").groupBy("file_path").count().collect()
+    tasks = {f.file_path.split("part-")[1].split("-")[0] for f in files}
+    assert back.count() == 20000 and max(f["count"] for f in files) <= 3000 and len(tasks) >= 4
+
+
+def test_rows_without_time_are_kept(spark):
+    rows = [("k", 100), ("k", None), ("k", 130), ("k", 9000), ("k", None)]
+    df = spark.createDataFrame(rows, "key string, ts bigint")
+    got = temporal.previous_in_series(df, ["key"], "ts", ["ts"]).collect()
+    assert sorted((r.ts or 0, r.prev_ts or 0) for r in got) == [(0, 0), (0, 0), (100, 0), (130, 100), (9000, 130)]
