@@ -18,31 +18,33 @@ from metricloom.llm.words import LOWER, mix64, run_hashes, slices, words
 from metricloom.session import materialize
 
 c = F.col
-BANDS, ROWS = 40, 5  # a pair of Jaccard 0.8 shares no band once in ten million times
+BANDS, ROWS = 32, 5  # a pair of Jaccard 0.8 shares no band three times in a million
 COORDINATE_BYTES = 2  # low bits of a coordinate; equal ones by chance only add candidates
-DEEP_GROUP = 64  # larger leftover groups are split by longer bands
-DEEP_BANDS, DEEP_ROWS = 120, 10
-COLUMNS = 1 << 15  # elements hashed at once
-
-
-def _pi(x: np.ndarray) -> np.ndarray:
-    """A bijection of 32-bit values, in place."""
-    x ^= x >> np.uint32(16)
-    x *= np.uint32(0x7FEB352D)
-    x ^= x >> np.uint32(15)
-    x *= np.uint32(0x846CA68B)
-    x ^= x >> np.uint32(16)
-    return x
+CENTRES = 8  # members of a group that the others are compared with in the second round
+LIKELY = 0.174  # a pair this far below the similarity by signature (5.5 deviations) is not compared
+LARGE_GROUP = 64  # members of larger leftover groups are paired by an exact prefix filter
+ORDER_LOG2 = 18  # counters that order its elements
+BLOCK = 1 << 15  # coordinates computed at once
 
 
 def signature(elements: np.ndarray, size: int = BANDS * ROWS) -> np.ndarray:
     """``size`` coordinates of a non-empty set of 64-bit elements."""
+    # sigma; then pi, a bijection of 32-bit values, at every place shifted by 0 .. size - 1
     place = (mix64(elements ^ np.uint64(0x5851F42D4C957F2D)) >> np.uint64(32)).astype(np.uint32)
-    shift = np.arange(size, dtype=np.uint32)[:, None]
-    step = max(1, COLUMNS // size)
+    shift = np.arange(size, dtype=np.uint32)[None, :]
+    step = max(1, BLOCK // size)
     out = np.full(size, 0xFFFFFFFF, np.uint32)
+    x = np.empty((min(step, len(place)), size), np.uint32)
+    y = np.empty_like(x)
     for at in range(0, len(place), step):
-        np.minimum(out, _pi(place[None, at : at + step] + shift).min(axis=1), out=out)
+        part = place[at : at + step, None]
+        value, high = x[: len(part)], y[: len(part)]
+        np.add(part, shift, out=value)
+        np.multiply(value, np.uint32(0x9E3779B1), out=value)
+        np.right_shift(value, np.uint32(15), out=high)
+        np.bitwise_xor(value, high, out=value)
+        np.multiply(value, np.uint32(0x85EBCA77), out=value)
+        np.minimum(out, value.min(axis=0), out=out)
     return out
 
 
@@ -92,14 +94,92 @@ def band_keys(sets: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFram
     return sets.select("node", F.explode(part).alias("key"))
 
 
-def deep_keys(groups: DataFrame) -> DataFrame:
-    """Longer bands over coordinates drawn anew, within a group of the first banding."""
-    draw = np.random.default_rng(5)
-    keys = []
-    for j in range(DEEP_BANDS):
-        at = draw.choice(BANDS * ROWS, DEEP_ROWS, replace=False)
-        keys.append(F.xxhash64("key", F.lit(j), *[F.substring("sig", int(k) * COORDINATE_BYTES + 1, COORDINATE_BYTES) for k in at]))
-    return groups.select("node", "component", F.explode(F.array(*keys)).alias("key"))
+def prefix_pairs(texts: DataFrame, length: int, percent: int) -> DataFrame:
+    """Pairs (a, b) of different components that an exact prefix filter cannot rule out.
+
+    ``texts`` has node, component and text. Elements are put in one order, rare ones first. Sets
+    that reach the similarity share an element among the first ones of both, and the places of the
+    first shared one bound what they can share at all. So of a crowd of copies, each with rare
+    changes of its own, only those that changed little meet. The order comes from counts in a table
+    of fixed size; any order would give the same pairs in the end.
+    """
+    spark = texts.sparkSession
+
+    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(1 << ORDER_LOG2, np.int64)
+        for batch in batches:
+            for part in slices(batch, "text"):
+                for elements in shingle_sets(part.column("text"), length):
+                    np.add.at(total, (elements >> np.uint64(64 - ORDER_LOG2)).astype(np.intp), 1)
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["slot", "n"])
+
+    counts = np.zeros(1 << ORDER_LOG2, np.int64)
+    for row in texts.select("text").mapInArrow(tally, "slot bigint, n bigint").groupBy("slot").agg(F.sum("n").alias("n")).collect():
+        counts[row["slot"]] = row["n"]
+    held = spark.sparkContext.broadcast(counts)
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text"):
+                row, element, place, size, index = [], [], [], [], []
+                for k, elements in enumerate(shingle_sets(part.column("text"), length)):
+                    n = len(elements)
+                    order = np.lexsort((elements, held.value[(elements >> np.uint64(64 - ORDER_LOG2)).astype(np.intp)]))
+                    probe = n - -(-percent * n // 100) + 1  # against smaller sets
+                    short = n - -(-2 * percent * n // (100 + percent)) + 1  # against sets as large or larger
+                    chosen = elements[order[:probe]]
+                    row += [k] * len(chosen)
+                    element.append(chosen)
+                    place.append(np.arange(len(chosen)))
+                    size += [n] * len(chosen)
+                    index.append(np.arange(len(chosen)) < short)
+                flat = np.concatenate(element) if element else np.empty(0, np.uint64)
+                row = pa.array(row, pa.int64())
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(flat.view(np.int64)), part.column("node").take(row), part.column("component").take(row), pa.array(size, pa.int64()),
+                        pa.array(np.concatenate(place) if place else [], pa.int64()), pa.array(np.concatenate(index) if index else [], pa.bool_()),
+                    ],
+                    ["key", "node", "component", "size", "place", "short"],
+                )
+
+    schema = "key bigint, node bigint, component bigint, size bigint, place bigint, short boolean"
+    heads = materialize(texts.mapInArrow(first, schema), "minhash-heads")
+    x = outside(heads).select("key", *[c(k).alias(f"x_{k}") for k in heads.columns if k != "key"])
+    # the smaller set of a pair, by size and then by node, shows its short head
+    smaller = (c("x_size") < c("size")) | ((c("x_size") == c("size")) & (c("x_node") < c("node")))
+    shared = F.least(c("x_size") - c("x_place"), c("size") - c("place"))
+    least, most = F.least("x_size", "size"), F.greatest("x_size", "size")
+    fits = (
+        (c("x_component") != c("component")) & F.when(smaller, c("x_short")).otherwise(c("short"))
+        & (least * 100 >= most * percent) & (shared * (100 + percent) >= (c("x_size") + c("size")) * percent)
+    )
+    return x.join(heads, (x["key"] == heads["key"]) & fits).select(F.least("x_node", "node").alias("a"), F.greatest("x_node", "node").alias("b"))
+
+
+def outside(members: DataFrame) -> DataFrame:
+    """Members of groups (``key``) that are not of their group's commonest component."""
+    sums = members.groupBy("key", "component").agg(F.count("*").alias("n"))
+    most = sums.groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("most"), F.count("*").alias("several")).where("several > 1")
+    return members.join(most.select("key", "most"), "key").where("component <> most").drop("most")
+
+
+def likely(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs whose signatures leave it possible that their sets reach the similarity."""
+    left = sets.select(c("node").alias("a"), c("sig").alias("sig_a"))
+    right = sets.select(c("node").alias("b"), c("sig").alias("sig_b"))
+    least = percent / 100 - LIKELY
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = (
+                np.frombuffer(b"".join(batch.column(x).to_pylist()), "<u2").reshape(batch.num_rows, -1) for x in ("sig_a", "sig_b")
+            )
+            yield batch.select(["a", "b"]).filter(pa.array((a == b).mean(axis=1) >= least if len(a) else [], pa.bool_()))
+
+    both = pairs.join(right, "b").join(left, "a").select("a", "b", "sig_a", "sig_b")
+    return both.mapInArrow(run, "a bigint, b bigint")
 
 
 def verify(pairs: DataFrame, texts: DataFrame, length: int, percent: int) -> DataFrame:
@@ -144,52 +224,66 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", le
 
     Rows with equal sets become one node first, so copies never meet. Each band group links its
     members to one member, twice with different ones; only groups that still hold several
-    components are compared in full, large ones after splitting by longer bands. So near copies by
-    the thousand cost some pairs each, and every pair that shares a band is either in one component
-    or compared. What is left to chance is the banding alone (about 1e-7 at the threshold).
+    components are compared in full, members of large ones after an exact prefix filter. So near
+    copies by the thousand cost some pairs each, and every pair that shares a band is in one
+    component, compared, or shown to be too different. What is left to chance is the banding alone (about 3e-6 at the threshold).
     """
     slim = docs.select(c(key).alias("key"), c(text).alias("text"))
+
+    def link(pairs: DataFrame, found: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+        """Adds the pairs that are links; returns all links and their components."""
+        pairs = materialize(likely(pairs, sets, percent), "minhash-pairs")
+        nodes = pairs.select(c("a").alias("node")).union(pairs.select(c("b").alias("node"))).distinct()
+        texts = materialize(texts_of(nodes), "minhash-texts")
+        new = materialize(verify(pairs, texts, length, percent), "minhash-links")
+        found = new if found is None else found.union(new)
+        return found, materialize(components(found, name="minhash-components"), "minhash-groups")
+
+    def texts_of(nodes: DataFrame) -> DataFrame:
+        """(node, text): one whole text for each set."""
+        wanted = nodes.join(sets.select("node", "t"), "node")
+        source = slim.select(F.xxhash64("text").alias("t"), "text").join(wanted.select("t"), "t", "left_semi")
+        return source.groupBy("t").agg(F.first("text").alias("text")).join(wanted, "t").select("node", "text")
+
     rows = materialize(signatures(slim.withColumn("t", F.xxhash64("text")), "text", length), "minhash-rows")
     sets = rows.where("fp is not null").groupBy(c("fp").alias("node")).agg(F.min(F.struct("t", "sig")).alias("m"))
     sets = materialize(sets.select("node", "m.t", "m.sig"), "minhash-sets")
     bands = band_keys(sets)
-    groups, found, texts = None, None, None
 
-    for which in (F.min, F.max):
-        members = bands if groups is None else with_component(bands, groups)
-        if groups is None:
-            open_groups = bands.groupBy("key").agg(which("node").alias("a"), F.count("*").alias("n")).where("n > 1")
-            pairs = bands.join(open_groups, "key").where("node <> a").select("a", c("node").alias("b"))
-        else:
-            open_groups = members.groupBy("key").agg(
-                which(F.struct("node", "component")).alias("m"), F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n")
-            ).where("low <> high and n > 2").select("key", c("m.node").alias("a"), c("m.component").alias("own"))
-            pairs = members.join(open_groups, "key").where("component <> own").select("a", c("node").alias("b"))
-        pairs = materialize(pairs.distinct(), "minhash-pairs")
-        if texts is None:
-            # every later pair comes from a group that has pairs now
-            wanted = pairs.select(c("a").alias("node")).union(pairs.select(c("b").alias("node"))).distinct().join(sets.select("node", "t"), "node")
-            source = slim.select(F.xxhash64("text").alias("t"), "text").join(wanted.select("t"), "t", "left_semi")
-            texts = source.groupBy("t").agg(F.first("text").alias("text")).join(wanted, "t").select("node", "text")
-            texts = materialize(texts, "minhash-texts")
-        new = materialize(verify(pairs, texts, length, percent), "minhash-links")
-        found = new if found is None else found.union(new)
-        groups = materialize(components(found, name="minhash-components"), "minhash-groups")
+    # first round: every group's members against its smallest one
+    centre = bands.groupBy("key").agg(F.min("node").alias("a"), F.count("*").alias("n")).where("n > 1").select("key", "a")
+    pairs = bands.join(centre, "key").where("node <> a").select("a", c("node").alias("b")).distinct()
+    found, groups = link(pairs, None)
 
+    # second round: groups of several components, against their most typical members, those in the
+    # largest groups, and some drawn by hash
+    members = with_component(bands, groups)
+    mixed = members.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n"))
+    members = materialize(members.join(mixed.where("low <> high and n > 2").select("key", "n"), "key"), "minhash-mixed")
+    typical = members.groupBy("node").agg(F.sum("n").alias("score"))
+    members = members.join(typical, "node")
+    noise = [F.pmod(F.xxhash64("node", F.lit(k)), F.lit(1 << 16)) / float(1 << 16) for k in range(CENTRES)]
+    drawn = [
+        F.max(F.struct((c("score") * (1 - 0.05 * k * noise[k]) if k < CENTRES // 2 else noise[k]).alias("by"), "node", "component")) for k in range(CENTRES)
+    ]
+    centre = members.groupBy("key").agg(F.array(*[F.struct(m["node"].alias("a"), m["component"].alias("own")) for m in drawn]).alias("m"))
+    mixed = centre.select("key", F.explode(F.array_distinct("m")).alias("m")).select("key", "m.a", "m.own")
+    pairs = members.join(mixed, "key").where("component <> own").select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
+    found, groups = link(pairs, found)
+
+    # the rest: pairs of different components that share a group
     members = with_component(bands, groups)
     mixed = members.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n"))
     mixed = mixed.where("low <> high and n > 2").select("key", "n")
     left = materialize(members.join(mixed, "key"), "minhash-left")
-    large = left.where(c("n") > DEEP_GROUP)
+    large = materialize(left.where(c("n") > LARGE_GROUP).select("node", "component").distinct(), "minhash-large")
+    left = left.where(c("n") <= LARGE_GROUP).select("node", "component", "key")
+    other = outside(left).select("key", c("node").alias("x"), c("component").alias("other"))
+    pairs = other.join(left, "key").where("component <> other").select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b"))
     if not large.isEmpty():
-        fine = deep_keys(large.join(sets.select("node", "sig"), "node"))
-        left = materialize(left.where(c("n") <= DEEP_GROUP).select("node", "component", "key").union(fine), "minhash-deep")
-    other = left.select("key", c("node").alias("a"), c("component").alias("component_a"))
-    rest = other.join(left, "key").where("component <> component_a and a < node").select("a", c("node").alias("b")).distinct()
-    rest = materialize(rest, "minhash-rest")
-    if not rest.isEmpty():
-        found = found.union(materialize(verify(rest, texts, length, percent), "minhash-links"))
-        groups = materialize(components(found, name="minhash-components"), "minhash-groups")
+        texts = texts_of(large.select("node")).join(large, "node").select("node", "component", "text")
+        pairs = pairs.union(prefix_pairs(materialize(texts, "minhash-texts"), length, percent))
+    found, groups = link(pairs.distinct(), found)
 
     named = with_component(rows.select("key", "n_shingles", c("fp").alias("node")), groups)
     named = materialize(named.select("key", "n_shingles", "component"), "minhash-named")
