@@ -9,10 +9,12 @@ distance plus both radii stays below it, all are. Vectors of the pairs left over
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,14 +29,37 @@ SLACK = 1e-7  # keeps rounding away from the bounds; the dot products decide
 MEMBER = "space string, cell string, node bigint, n bigint, vec array<double>, dist double"
 
 
+def unit_rows(x: np.ndarray) -> np.ndarray:
+    """Rows as doubles of length 1; rows that are zero or not finite throughout become NaN."""
+    top = np.abs(x).max(axis=1, initial=0.0, keepdims=True)
+    usable = np.isfinite(x).all(axis=1, keepdims=True) & (top > 0)
+    # scaled first, so that squares neither vanish nor overflow
+    scaled = np.divide(x, top, out=np.full_like(x, np.nan), where=usable)
+    return scaled / np.sqrt((scaled * scaled).sum(axis=1, keepdims=True))
+
+
 def unit(embedding: Column) -> Column:
-    """The vector as doubles of length 1; null where it is null, zero or not finite throughout."""
-    x = F.transform(embedding, lambda v: v.cast("double"))
-    top = F.array_max(F.transform(x, F.abs))
-    scaled = F.transform(x, lambda v: v / top)  # so that squares neither vanish nor overflow
-    norm = F.sqrt(F.aggregate(scaled, F.lit(0.0), lambda s, v: s + v * v))
-    bad = F.exists(x, lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
-    return F.when((F.size(x) > 0) & ~bad & (top > 0), F.transform(scaled, lambda v: v / norm))
+    """The vector as doubles of length 1; null where it is null, empty, zero or not finite throughout."""
+
+    @F.arrow_udf("array<double>")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for vectors in batches:
+            n = vectors.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+            flat = vectors.flatten().cast(pa.float64()).to_numpy(zero_copy_only=False)  # a null component is NaN
+            at = np.concatenate([[0], np.cumsum(n)])
+            out = np.empty(len(flat))
+            good = np.zeros(len(n), bool)
+            for size in np.unique(n[n > 0]):
+                rows = np.flatnonzero(n == size)
+                where = at[rows][:, None] + np.arange(size)[None, :]
+                made = unit_rows(flat[where])
+                out[where] = made
+                good[rows] = ~np.isnan(made).any(axis=1)
+            # lists of the unusable rows are null and skipped by the offsets
+            offsets = pa.array(at, pa.int32(), mask=np.append(~good, False))
+            yield pa.ListArray.from_arrays(offsets, pa.array(out))
+
+    return run(embedding)
 
 
 def distance(a: Column, b: Column) -> Column:
