@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 c = F.col
 
-# Sentences of common licences and notices, by identifier.
+# Sentences of common licences and notices, by identifier; none has an end inside.
 SENTENCES: dict[str, str] = {
     "apache-notice": "Licensed under the Apache License, Version 2.0",
     "apache-use": "you may not use this file except in compliance with the License",
@@ -31,10 +31,14 @@ SENTENCES: dict[str, str] = {
     "bsd-names": "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",
     "gpl3-work": "This work is licensed under the GNU General Public License, version 3",
     "gpl3-licensed": "Licensed under the GNU General Public License, version 3",
-    "gpl-free": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version",
-    "gpl2-free": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version",
-    "gpl-hope": "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE",
-    "mpl-notice": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0",
+    "gpl-program": "This program is free software",
+    "gpl3-terms": "you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version",
+    "gpl-terms": "you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation",
+    "gpl2-version": "either version 2 of the License, or (at your option) any later version",
+    "gpl-hope": "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY",
+    "gpl-implied": "without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE",
+    "mpl-notice": "This Source Code Form is subject to the terms of the Mozilla Public License, v",
+    "mpl-version": "2.0",
     "cc-by": "Licensed under CC BY 4.0",
     "cc-by-sa": "Licensed under CC BY-SA 4.0",
     "cc-by-nc": "Licensed under CC BY-NC 4.0",
@@ -58,9 +62,9 @@ RULES: list[tuple[str, list[str]]] = [
     ("BSD-2-Clause", ["bsd-grant", "bsd-source", "bsd-binary"]),
     ("GPL-3.0", ["gpl3-work"]),
     ("GPL-3.0", ["gpl3-licensed"]),
-    ("GPL-3.0-or-later", ["gpl-free", "gpl-hope"]),
-    ("GPL-2.0-or-later", ["gpl2-free", "gpl-hope"]),
-    ("MPL-2.0", ["mpl-notice"]),
+    ("GPL-3.0-or-later", ["gpl-program", "gpl3-terms", "gpl-hope", "gpl-implied"]),
+    ("GPL-2.0-or-later", ["gpl-program", "gpl-terms", "gpl2-version", "gpl-hope", "gpl-implied"]),
+    ("MPL-2.0", ["mpl-notice", "mpl-version"]),
     ("CC-BY-4.0", ["cc-by"]),
     ("CC-BY-SA-4.0", ["cc-by-sa"]),
     ("CC-BY-NC-4.0", ["cc-by-nc"]),

@@ -1,3 +1,5 @@
+import re
+
 from metricloom.llm import licenses as X
 
 MIT = """Copyright (c) 2020 Someone
@@ -36,6 +38,7 @@ def test_texts(spark):
 
 
 def test_every_rule_is_reached(spark):
+    assert not any(re.search(X.SENTENCE_END, x) for x in X.SENTENCES.values())
     rows = [(i, "\n\n".join(X.SENTENCES[k] + "." for k in ids)) for i, (_, ids) in enumerate(X.RULES)]
     got = X.scan_licences(spark.createDataFrame(rows, "doc_id bigint, text string")).orderBy("doc_id").collect()
     assert [r["licences"][0] for r in got] == [name for name, _ in X.RULES]

@@ -29,6 +29,7 @@ def brute(rows, threshold=0.93):
 @pytest.mark.parametrize("leaf", [1024, 24])
 def test_against_brute_force(spark, monkeypatch, leaf):
     monkeypatch.setattr(V, "LEAF", leaf)
+    monkeypatch.setattr(V, "SMALL", leaf // 8)
     rng = np.random.default_rng(leaf)
     rows, k = [], 0
     centers = rng.normal(size=(6, 8))
