@@ -343,13 +343,29 @@ def glob_regex(glob: Column) -> Column:
 def match_globs(names: DataFrame, name: str, globs: DataFrame, glob: str) -> DataFrame:
     """Names paired with the globs they match, as an equi join.
 
-    A glob is keyed by its literal text before the first wildcard; a name offers each of its own
-    prefixes, kept only where some glob has that length. The regex then checks the few candidates.
+    A glob is keyed by its literal text before the first wildcard or after the last one, whichever
+    is longer; a name offers its own beginnings and ends of just those lengths that some glob has.
+    The regex then checks the few candidates. Only the set of different lengths, at most the length
+    of a glob, reaches the driver. A glob without literal ends meets every name.
     """
-    prefix = F.regexp_extract(F.col(glob), r"^([^*?]*)", 1)
-    keyed = globs.withColumn("_prefix", prefix).withColumn("_regex", glob_regex(F.col(glob)))
-    offered = names.withColumn(
-        "_prefix",
-        F.explode(F.transform(F.sequence(F.lit(0), F.length(name)), lambda n: F.substring(F.col(name), F.lit(1), n))),
+    head = F.regexp_extract(F.col(glob), r"^([^*?]*)", 1)
+    tail = F.regexp_extract(F.col(glob), r"([^*?]*)$", 1)
+    first = F.length(head) >= F.length(tail)
+    keyed = globs.withColumns(
+        {"_end": F.when(first, "head").otherwise("tail"), "_text": F.when(first, head).otherwise(tail), "_regex": glob_regex(F.col(glob))}
     )
-    return offered.join(keyed, "_prefix").filter(F.expr(f"{name} RLIKE _regex")).drop("_prefix", "_regex")
+    sizes = keyed.select("_end", F.length("_text").alias("n")).distinct().collect()
+    ends = [
+        F.when(
+            F.length(name) >= r["n"],
+            F.struct(
+                F.lit(r["_end"]).alias("_end"),
+                (F.substring(name, 1, r["n"]) if r["_end"] == "head" else F.right(F.col(name), F.lit(r["n"]))).alias("_text"),
+            ),
+        )
+        for r in sorted(sizes)
+    ]
+    offers = F.array_compact(F.array(*ends)) if ends else F.array().cast("array<struct<_end:string,_text:string>>")
+    offered = names.select("*", F.inline(offers))
+    matched = offered.join(keyed, ["_end", "_text"]).filter(F.expr(f"{name} RLIKE _regex"))
+    return matched.select(*names.columns, *globs.columns)

@@ -203,19 +203,23 @@ def _(spark, d):
     return V.alert_counts(V.red_streaks(judged_days(spark, d), FAM, "window_start"), "window_start")
 
 
+FIDELITY = 1.7
+
+
 @query(
     "load_fidelity",
     f"""SELECT family_id, CAST(sum(CAST(floor(x) AS BIGINT) + CASE WHEN {u("family_id || '|' || mod", 'round', 11)} < x - floor(x) THEN 1 ELSE 0 END) AS BIGINT) AS produced, any_value(target) AS target,
           abs(sum(CAST(floor(x) AS BIGINT) + CASE WHEN {u("family_id || '|' || mod", 'round', 11)} < x - floor(x) THEN 1 ELSE 0 END) - any_value(target)) <= 0.05 * any_value(target) AS within
-        FROM (SELECT family_id, ts % 86400 // 60 AS mod, count(*) * 2.0 AS x, any_value(total) * 2 AS target
+        FROM (SELECT family_id, ts % 86400 // 60 AS mod, count(*) * 1.7::DOUBLE AS x, any_value(total) * 1.7::DOUBLE AS target
               FROM points JOIN (SELECT family_id, n AS total FROM famcounts) USING (family_id) GROUP BY family_id, ts % 86400 // 60) GROUP BY family_id""",
 )
 def _(spark, d):
-    """Planned synthetic rows at multiplier 2 against twice the observed volume."""
+    """Synthetic rows drawn at multiplier 1.7 against 1.7 times the observed volume."""
     p = t.points(spark, d)
     curve = temporal.curve_points(temporal.minute_counts(p, FAM), FAM).withColumn("rate", c("n").cast("double")).drop("n")
     total = p.groupBy(*FAM).agg(F.count("*").alias("total")).withColumn("base_rate", F.lit(1.0))
-    budget = synth.row_budget(curve, total, FAM, 11, F.lit(2.0))
-    return budget.groupBy(*FAM).agg(F.sum("rows").alias("produced"), (F.max("total") * 2).alias("target")).withColumn(
+    budget = synth.row_budget(curve, total, FAM, 11, F.lit(FIDELITY))
+    drawn = C.spread_sequence(budget.select(*FAM, "mod", "rows"), [*FAM, "mod"], "rows", "i").groupBy(*FAM).agg(F.count("*").alias("produced"))
+    return total.select(*FAM, (c("total") * F.lit(FIDELITY)).alias("target")).join(drawn, FAM).select(*FAM, "produced", "target").withColumn(
         "within", F.abs(c("produced") - c("target")) <= 0.05 * c("target")
     )

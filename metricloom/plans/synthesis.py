@@ -239,6 +239,49 @@ def _(spark, d):
     return out
 
 
+ARRIVAL_SQL = f"""WITH {BUDGET_SQL}
+    SELECT kind, family_id, mod, n, true AS in_range, true AS in_order FROM (
+      SELECT family_id, mod, CAST(floor(x) + CASE WHEN ur < x - floor(x) THEN 1 ELSE 0 END AS BIGINT) AS n FROM (SELECT *, base_rate * rate * 4.0 AS x FROM cell)),
+      (SELECT unnest(['uniform', 'poisson', 'bursty']) AS kind) WHERE n > 0"""
+
+
+@query("synth_arrival_invariants", ARRIVAL_SQL)
+def _(spark, d):
+    """Each minute has the rows of its budget, within the minute; accumulated gaps keep their order."""
+    budget = day_budget(t.points(spark, d), 4.0).select(*FAM, "mod", "rows")
+    rows = materialize(C.spread_sequence(budget, [*FAM, "mod"], "rows", "i").select(*FAM, "mod", "i"), "arrivals")
+    out = None
+    for kind in ("uniform", "poisson", "bursty"):
+        part = synth.arrival_offsets(rows, FAM, SEED, kind).withColumn("kind", F.lit(kind))
+        out = part.select("kind", *FAM, "mod", "i", "offset") if out is None else out.unionByName(part.select("kind", *FAM, "mod", "i", "offset"))
+    # neighbours meet by an equi join on the row number
+    after = out.select("kind", *FAM, "mod", (c("i") - 1).alias("i"), c("offset").alias("next"))
+    pairs = out.join(after, ["kind", *FAM, "mod", "i"], "left")
+    ordered = (c("kind") == "uniform") | c("next").isNull() | (c("next") >= c("offset"))
+    return pairs.groupBy("kind", *FAM, "mod").agg(
+        F.count("*").alias("n"), F.bool_and((c("offset") >= 0) & (c("offset") < 60)).alias("in_range"), F.bool_and(ordered).alias("in_order")
+    )
+
+
+POINT_SQL = f"""WITH {BUDGET_SQL}
+    SELECT family_id, CAST(sum(n) AS BIGINT) AS n, true AS own_day, true AS known_sources, true AS values_in_range FROM (
+      SELECT family_id, CAST(floor(x) + CASE WHEN ur < x - floor(x) THEN 1 ELSE 0 END AS BIGINT) AS n FROM (SELECT *, base_rate * rate * 1.0 AS x FROM cell))
+    WHERE n > 0 GROUP BY family_id"""
+
+
+@query("synth_point_invariants", POINT_SQL)
+def _(spark, d):
+    """Drawn points: as many as budgeted, on the day, with sources and values of their family."""
+    made = synthetic(spark, d).select(*FAM, "ts", "source", "value")
+    p = t.points(spark, d)
+    known = p.select(*FAM, "source").distinct().withColumn("known", F.lit(True))
+    ends = p.groupBy(*FAM).agg(F.min("value").alias("lo"), F.max("value").alias("hi"))
+    return made.join(known, [*FAM, "source"], "left").join(ends, FAM).groupBy(*FAM).agg(
+        F.count("*").alias("n"), F.bool_and((c("ts") >= DAY0) & (c("ts") < DAY0 + 86400)).alias("own_day"),
+        F.bool_and(c("known").isNotNull()).alias("known_sources"), F.bool_and((c("value") >= c("lo")) & (c("value") <= c("hi"))).alias("values_in_range"),
+    )
+
+
 @query("synth_metric_points")
 def _(spark, d):
     s = synthetic(spark, d)

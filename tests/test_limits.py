@@ -122,3 +122,15 @@ def test_rows_without_time_are_kept(spark):
     df = spark.createDataFrame(rows, "key string, ts bigint")
     got = temporal.previous_in_series(df, ["key"], "ts", ["ts"]).collect()
     assert sorted((r.ts or 0, r.prev_ts or 0) for r in got) == [(0, 0), (0, 0), (100, 0), (130, 100), (9000, 130)]
+
+
+def test_globs_with_leading_wildcards(spark):
+    import fnmatch
+
+    names = ["app.cpu", "app.cpu.x", "sys.x", "x", "", "a?b", "app"]
+    globs = ["*.x", "app*", "*", "app.*.x", "?", "*cpu*", "app.cpu", "s*x", "a??"]
+    left = spark.createDataFrame([(x,) for x in names], "name string")
+    right = spark.createDataFrame([(x,) for x in globs], "glob string")
+    got = {tuple(r) for r in synth.match_globs(left, "name", right, "glob").collect()}
+    assert got == {(n, g) for n in names for g in globs if fnmatch.fnmatchcase(n, g)}
+    assert synth.match_globs(left, "name", right.limit(0), "glob").count() == 0
