@@ -7,6 +7,7 @@ import re
 import shutil
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -71,13 +72,34 @@ def work_dir(spark: SparkSession, name: str) -> str:
     return f"{run_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
+_scratch: list[list[str]] = []  # open blocks, innermost last
+
+
+@contextmanager
+def scratch(spark: SparkSession):
+    """What ``materialize`` writes within the block is deleted at its end, unless it says ``keep``."""
+    paths: list[str] = []
+    _scratch.append(paths)
+    try:
+        yield
+    finally:
+        _scratch.pop()
+        jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+        for text in paths:
+            path = jvm.org.apache.hadoop.fs.Path(text)
+            path.getFileSystem(conf).delete(path, True)
+
+
+def materialize(df: DataFrame, name: str, partition_by: list[str] | None = None, keep: bool = False) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 
     Used where one expensive frame feeds several aggregations: unlike a cache, the files survive
-    the loss of an executor and the lineage ends here.
+    the loss of an executor and the lineage ends here. ``keep`` leaves them past the end of a
+    ``scratch`` block.
     """
     path = work_dir(df.sparkSession, name)
+    if _scratch and not keep:
+        _scratch[-1].append(path)
     writer = df.write.mode("error")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
