@@ -15,12 +15,12 @@ from pyspark.sql import functions as F
 
 from metricloom.llm.components import components
 from metricloom.llm.words import LOWER, mix64, run_hashes, slices, words
-from metricloom.session import materialize
+from metricloom.session import materialize, scratch
 
 c = F.col
 BANDS, ROWS = 32, 5  # a pair of Jaccard 0.8 shares no band three times in a million
 COORDINATE_BYTES = 2  # low bits of a coordinate; equal ones by chance only add candidates
-CENTRES = 8  # members of a group that the others are compared with in the second round
+CENTRES = 4  # members of a group that the others are compared with in the second round
 LIKELY = 0.174  # a pair this far below the similarity by signature (5.5 deviations) is not compared
 LARGE_GROUP = 64  # members of larger leftover groups are paired by an exact prefix filter
 ORDER_LOG2 = 18  # counters that order its elements
@@ -213,31 +213,31 @@ def with_component(rows: DataFrame, groups: DataFrame) -> DataFrame:
     return out.withColumn("component", F.coalesce("component", "node"))
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = 5, percent: int = 80) -> DataFrame:
-    """(key, n_shingles, component_id, kept), one row for each row of ``docs``.
+def merge(links: DataFrame, groups: DataFrame | None) -> DataFrame:
+    """(node, component) of ``groups`` after adding ``links``; only links between components count."""
+    if groups is None:
+        return materialize(components(links, name="minhash-components"), "minhash-groups")
+    near = with_component(links.select(c("a").alias("node"), "b"), groups).select(c("b").alias("node"), c("component").alias("a"))
+    far = with_component(near, groups).select("a", c("component").alias("b")).where("a <> b")
+    moves = materialize(components(far, name="minhash-components"), "minhash-moves")
+    if moves.isEmpty():
+        return groups
+    single = moves.join(groups.select("node"), "node", "left_anti").select("node", c("node").alias("component"))
+    ends = moves.select(c("node").alias("component"), c("component").alias("end"))
+    merged = groups.select("node", "component").union(single).join(ends, "component", "left")
+    return materialize(merged.select("node", F.coalesce("end", "component").alias("component")), "minhash-groups")
 
-    A row's set holds the distinct runs of ``length`` words (A-Z lower-cased) of its whole text; a
-    shorter text is one element; null and empty texts have no elements and no links. Two rows are
-    linked when 100 * |intersection| >= ``percent`` * |union|. ``component_id`` is the smallest key
-    reachable by links, the row's own key included; ``kept`` marks the rows that bear it. Rows of
-    one key in one component share the mark; a null key is never the smallest unless all are null.
 
-    Rows with equal sets become one node first, so copies never meet. Each band group links its
-    members to one member, twice with different ones; only groups that still hold several
-    components are compared in full, members of large ones after an exact prefix filter. So near
-    copies by the thousand cost some pairs each, and every pair that shares a band is in one
-    component, compared, or shown to be too different. What is left to chance is the banding alone (about 3e-6 at the threshold).
-    """
-    slim = docs.select(c(key).alias("key"), c(text).alias("text"))
+def _grouped(slim: DataFrame, length: int, percent: int) -> DataFrame:
+    """(key, n_shingles, component) of each row of ``slim`` (key, text), written."""
 
-    def link(pairs: DataFrame, found: DataFrame | None) -> tuple[DataFrame, DataFrame]:
-        """Adds the pairs that are links; returns all links and their components."""
+    def link(pairs: DataFrame, groups: DataFrame | None) -> DataFrame:
+        """Components of the sets once the links among ``pairs`` are added."""
         pairs = materialize(likely(pairs, sets, percent), "minhash-pairs")
         nodes = pairs.select(c("a").alias("node")).union(pairs.select(c("b").alias("node"))).distinct()
         texts = materialize(texts_of(nodes), "minhash-texts")
         new = materialize(verify(pairs, texts, length, percent), "minhash-links")
-        found = new if found is None else found.union(new)
-        return found, materialize(components(found, name="minhash-components"), "minhash-groups")
+        return merge(new, groups)
 
     def texts_of(nodes: DataFrame) -> DataFrame:
         """(node, text): one whole text for each set."""
@@ -253,7 +253,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", le
     # first round: every group's members against its smallest one
     centre = bands.groupBy("key").agg(F.min("node").alias("a"), F.count("*").alias("n")).where("n > 1").select("key", "a")
     pairs = bands.join(centre, "key").where("node <> a").select("a", c("node").alias("b")).distinct()
-    found, groups = link(pairs, None)
+    groups = link(pairs, None)
 
     # second round: groups of several components, against their most typical members, those in the
     # largest groups, and some drawn by hash
@@ -269,7 +269,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", le
     centre = members.groupBy("key").agg(F.array(*[F.struct(m["node"].alias("a"), m["component"].alias("own")) for m in drawn]).alias("m"))
     mixed = centre.select("key", F.explode(F.array_distinct("m")).alias("m")).select("key", "m.a", "m.own")
     pairs = members.join(mixed, "key").where("component <> own").select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
-    found, groups = link(pairs, found)
+    groups = link(pairs, groups)
 
     # the rest: pairs of different components that share a group
     members = with_component(bands, groups)
@@ -283,10 +283,29 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", le
     if not large.isEmpty():
         texts = texts_of(large.select("node")).join(large, "node").select("node", "component", "text")
         pairs = pairs.union(prefix_pairs(materialize(texts, "minhash-texts"), length, percent))
-    found, groups = link(pairs.distinct(), found)
+    groups = link(pairs.distinct(), groups)
 
     named = with_component(rows.select("key", "n_shingles", c("fp").alias("node")), groups)
-    named = materialize(named.select("key", "n_shingles", "component"), "minhash-named")
+    return materialize(named.select("key", "n_shingles", "component"), "minhash-named", keep=True)
+
+
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = 5, percent: int = 80) -> DataFrame:
+    """(key, n_shingles, component_id, kept), one row for each row of ``docs``.
+
+    A row's set holds the distinct runs of ``length`` words (A-Z lower-cased) of its whole text; a
+    shorter text is one element; null and empty texts have no elements and no links. Two rows are
+    linked when 100 * |intersection| >= ``percent`` * |union|. ``component_id`` is the smallest key
+    reachable by links, the row's own key included; ``kept`` marks the rows that bear it. Rows of
+    one key in one component share the mark; a null key is never the smallest unless all are null.
+
+    Rows with equal sets become one node first, so copies never meet. Each band group links its
+    members to one member, twice with different ones; only groups that still hold several
+    components are compared in full, members of large ones after an exact prefix filter. So near
+    copies by the thousand cost some pairs each, and every pair that shares a band is in one
+    component, compared, or shown to be too different. What is left to chance is the banding alone (about 3e-6 at the threshold).
+    """
+    with scratch(docs.sparkSession):
+        named = _grouped(docs.select(c(key).alias("key"), c(text).alias("text")), length, percent)
     least = named.where("component is not null").groupBy("component").agg(F.min("key").alias("component_id"))
     out = named.join(least, "component", "left")
     smallest = F.coalesce("component_id", "key")

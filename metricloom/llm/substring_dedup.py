@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from metricloom.llm.words import run_hashes, slices, words
-from metricloom.session import materialize
+from metricloom.session import materialize, scratch
 
 c = F.col
 WINDOW = 35
@@ -111,7 +111,11 @@ def windows(marked: DataFrame, window: int) -> DataFrame:
 
 def repeated_windows(docs: DataFrame, text: str = "text", window: int = WINDOW) -> DataFrame:
     """(t, u, starts): first words of windows of each text that occur elsewhere, in it or in another row."""
-    texts = _texts(docs, text)
+    with scratch(docs.sparkSession):
+        return _repeated(_texts(docs, text), window)
+
+
+def _repeated(texts: DataFrame, window: int) -> DataFrame:
     repeated = anchors(texts, window, False).groupBy("h").agg(F.sum("n").alias("n")).where("n > 1").select("h")
     repeated = materialize(repeated, "repeat-anchors")
     held = anchors(texts, window, True).join(repeated, "h", "left_semi")
@@ -120,7 +124,7 @@ def repeated_windows(docs: DataFrame, text: str = "text", window: int = WINDOW)
     found = materialize(windows(texts.join(held, ["t", "u"]), window), "repeat-windows")
     several = found.groupBy("w", "x").agg(F.count("*").alias("n")).where("n > 1").select("w", "x")
     hits = found.join(several, ["w", "x"], "left_semi")
-    return materialize(hits.groupBy("t", "u").agg(F.collect_set("pos").alias("starts")), "repeat-starts")
+    return materialize(hits.groupBy("t", "u").agg(F.collect_set("pos").alias("starts")), "repeat-starts", keep=True)
 
 
 def remove_repeats(docs: DataFrame, text: str = "text", window: int = WINDOW, joined: bool = True) -> DataFrame:
