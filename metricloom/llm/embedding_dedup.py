@@ -26,6 +26,7 @@ LEAF = 1024  # vectors compared as one block; larger leaves are cut into several
 NET_SAMPLE = 64  # members a net is chosen from, about
 MAX_LEVELS = 10
 SLACK = 1e-7  # keeps rounding away from the bounds; the dot products decide
+SMALL = LEAF // 8  # a child with fewer members stays in the remainder, where it costs no blocks of its own
 MEMBER = "space string, cell string, node bigint, n bigint, vec array<double>, dist double"
 
 
@@ -109,11 +110,12 @@ def split(members: DataFrame, big: DataFrame, level: int) -> tuple[DataFrame, Da
 
     def assign(rows: pd.DataFrame, tests: pd.DataFrame) -> pd.DataFrame:
         if rows.empty:
-            return pd.DataFrame({"space": [], "cell": [], "node": [], "n": [], "vec": [], "dist": []})
+            return pd.DataFrame({"space": [], "cell": [], "node": [], "n": [], "vec": [], "dist": [], "rest": [], "far": []})
         x = np.stack(rows["vec"])
         cell = rows["cell"].iloc[0]
         old = np.array(rows["center"].iloc[0])
-        dist, child = np.linalg.norm(x - old, axis=1), np.full(len(x), f"{cell}.r", object)
+        far, child = np.linalg.norm(x - old, axis=1), np.full(len(x), f"{cell}.r", object)
+        dist = far
         if len(tests):
             centers = np.stack(tests["center"])
             d = np.sqrt(np.maximum(((x[:, None, :] - centers[None, :, :]) ** 2).sum(axis=2), 0))
@@ -121,10 +123,19 @@ def split(members: DataFrame, big: DataFrame, level: int) -> tuple[DataFrame, Da
             best = d[np.arange(len(x)), k]
             within = best <= tests["reach"].to_numpy()[k]
             dist, child = np.where(within, best, dist), np.where(within, tests["child"].to_numpy()[k], child)
-        return pd.DataFrame({"space": rows["space"], "cell": child, "node": rows["node"], "n": rows["n"], "vec": rows["vec"], "dist": dist})
+        return pd.DataFrame(
+            {"space": rows["space"], "cell": child, "node": rows["node"], "n": rows["n"], "vec": rows["vec"], "dist": dist, "rest": f"{cell}.r", "far": far}
+        )
 
     out = spread.select("space", "cell", "chunk", "node", "n", "vec", "center").groupBy("cell", "chunk")
-    out = materialize(out.cogroup(tests.groupBy("cell", "chunk")).applyInPandas(assign, MEMBER), "tree-members")
+    out = out.cogroup(tests.groupBy("cell", "chunk")).applyInPandas(assign, MEMBER + ", rest string, far double")
+    out = materialize(out, "tree-assigned")
+    large = out.groupBy("cell").agg(F.count("*").alias("_size")).where(c("_size") >= SMALL).select("cell", F.lit(True).alias("_large"))
+    own = F.coalesce("_large", F.lit(False))
+    out = out.join(large, "cell", "left").select(
+        "space", F.when(own, c("cell")).otherwise(c("rest")).alias("cell"), "node", "n", "vec", F.when(own, c("dist")).otherwise(c("far")).alias("dist")
+    )
+    out = materialize(out, "tree-members")
     made = centers.select(c("child").alias("cell"), "center").union(big.select(F.concat("cell", F.lit(".r")), "center"))
     return out, describe(out, made)
 

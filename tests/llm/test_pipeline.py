@@ -21,6 +21,9 @@ def test_stages(spark):
     want = {c for _, _, c in near_duplicates(list(texts.items()), P.SHINGLE)}
     assert {r["doc_id"] for r in kept.collect()} == want
 
+    twice = steps["minhash_dedup"](spark, docs.union(docs.where("doc_id < 50")), D)
+    assert sorted(r["doc_id"] for r in twice.select("doc_id").collect()) == sorted(want)
+
     cut = steps["substring_dedup"](spark, docs, D).collect()
     whole = dict(zip(texts, repeats(texts.values(), P.PASSAGE)))
     assert all(" ".join(r["text"].split()) == " ".join(whole[r["doc_id"]][2].split()) for r in cut)
