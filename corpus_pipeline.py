@@ -32,9 +32,15 @@ def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies."""
     groups = minhash_dedup.near_duplicates(docs, length=SHINGLE, percent=PERCENT)
-    kept = groups.where("kept").select(c("doc_id").alias("_id")).distinct()
-    kept = materialize(kept, "pipeline-kept")
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_id"]), "left_semi")
+    marks = groups.groupBy(c("doc_id").alias("_key")).agg(F.bool_or("kept").alias("_kept"), (F.count("*") > 1).alias("_again"))
+    marks = materialize(marks.where("_kept").select("_key", "_again"), "pipeline-kept")
+    own = [docs[f"`{x}`"] for x in docs.columns]
+    kept = docs.join(marks, docs["doc_id"].eqNullSafe(marks["_key"])).select(*own, marks["_again"].alias("_pipeline_again"))
+    if marks.where("_again").isEmpty():
+        return kept.drop("_pipeline_again")
+    # only rows whose key repeats are compared with each other
+    once = kept.where("_pipeline_again").dropDuplicates(["doc_id", "text"])
+    return kept.where("not _pipeline_again").union(once).drop("_pipeline_again")
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
