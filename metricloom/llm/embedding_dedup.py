@@ -56,9 +56,9 @@ def unit(embedding: Column) -> Column:
                 made = unit_rows(flat[where])
                 out[where] = made
                 good[rows] = ~np.isnan(made).any(axis=1)
-            # lists of the unusable rows are null and skipped by the offsets
-            offsets = pa.array(at, pa.int32(), mask=np.append(~good, False))
-            yield pa.ListArray.from_arrays(offsets, pa.array(out))
+            # lists of the unusable rows are null and take no values, so the others keep their own
+            kept = np.concatenate([[0], np.cumsum(np.where(good, n, 0))])
+            yield pa.ListArray.from_arrays(pa.array(kept, pa.int32()), pa.array(out[np.repeat(good, n)]), mask=pa.array(~good))
 
     return run(embedding)
 

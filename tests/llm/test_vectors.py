@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from brute import groups
 from metricloom.llm import embedding_dedup as V
@@ -46,6 +47,18 @@ def test_against_brute_force(spark, monkeypatch, leaf):
     assert sorted(map(tuple, got.collect())) == brute(rows)
 
 
+def test_vectors_before_unusable_ones(spark):
+    nan, inf = float("nan"), float("inf")
+    good = [[1.0, 0.0, 0.1], [1.0, 0.01, 0.1], [1.0, 0.0, 0.11], [1.0, 0.01, 0.12], [1.0, 0.02, 0.1], [1.0, 0.02, 0.11]]
+    bad = [[0.0, 0.0, 0.0], [nan, 1.0, 1.0], [1.0, None, 1.0], [1.0, -inf, 0.0], None, []]
+    rows = [(2 * i + k, 1, v) for i, pair in enumerate(zip(good, bad)) for k, v in enumerate(pair)]
+    rows += [(20, 1, good[0]), (21, 1, bad[0]), (22, 1, bad[1]), (23, 1, good[1])]
+    df = spark.createDataFrame(rows, "vec_id bigint, label int, embedding array<double>").coalesce(1)
+    units = [r["u"] for r in df.select(V.unit(F.col("embedding")).alias("u")).collect()]
+    assert [u is None for u in units] == [v in bad for _, _, v in rows] and {len(u) for u in units if u} == {3}
+    assert sorted(map(tuple, V.similar_vectors(df).collect())) == brute(rows)
+
+
 def test_empty(spark):
     df = spark.createDataFrame([], "vec_id bigint, label int, embedding array<float>")
     assert V.similar_vectors(df).count() == 0
