@@ -1,12 +1,13 @@
-"""Benchmark leaks by CGK embedding, bit sampling and exact edit checks.
+"""Benchmark leaks by verbatim pieces of items and exact edit checks.
 
-A CGK walk reads a window word by word: at each step it writes the word under its pointer, and a
-random function of step and word tells whether the pointer moves on. After an edit two walks soon
-fall into step again, so few edits become few unequal outputs; sampled outputs are LSH keys.
+An item of n words that may have e edits is cut into e + 1 pieces. Every edit touches one piece at
+most, so a stretch of a document within e edits holds some piece word for word: looking up all runs
+of words of the pieces' lengths misses no leak, whatever the length of the item.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -16,97 +17,56 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from metricloom.llm.words import NON_ALNUM, slices, words
+from metricloom.llm.words import NON_ALNUM, run_hashes, slices, words
 
 c = F.col
-MIN_WORDS = 8  # shorter items are common phrases, no leaks
+MIN_WORDS = 8  # shorter items are not searched
 MAX_EDITS = 0.2  # word edits per word of the item
-WALKS = 3  # independent random functions
-TABLES = 3  # sampled keys of each walk
-SAMPLED = 5  # outputs in a key
-STRIDE = 4  # windows of a size class start every (size / STRIDE) words
-BLOCK_KEYS = 1 << 21  # keys of one block of items; bounds what a task holds
+BLOCK_KEYS = 1 << 21  # words and pieces of one block of items; bounds what a task holds
 SLOTS_PER_KEY = 32  # of the filter in front of the keys
+HITS = 1 << 20  # pieces met that are looked at together, about
 PAD = np.uint64(0)  # stands behind the last word of a text
 
 
 @dataclass
-class SizeClass:
-    """Items of ``size`` to 2 * size - 1 words, their walks and keys."""
+class Pieces:
+    """Pieces of ``length`` words of all items."""
 
-    size: int
-    stride: int
-    steps: int
-    samples: np.ndarray  # (WALKS, TABLES, SAMPLED) steps
+    length: int
     filter: np.ndarray  # whether some key has these leading bits
     shift_bits: np.uint64
-    keys: np.ndarray  # sorted
+    keys: np.ndarray  # run hashes, sorted
     item: np.ndarray  # of each key
-    shift: np.ndarray  # words of the item in front of the walk
+    shift: np.ndarray  # words of the item in front of the piece
 
 
-def short(values: np.ndarray) -> np.ndarray:
-    """Leading 32 bits of word hashes, enough for walks; checks use the whole hash."""
-    return (values >> np.uint64(32)).astype(np.uint32)
+def allowed_edits(n_words: int, max_edits: float) -> int:
+    return min(int(max_edits * n_words), n_words - 1)
 
 
-def multipliers(steps: int, walk: int) -> np.ndarray:
-    """Random function of each step, as odd factors."""
-    return np.random.default_rng([walk, 77]).integers(0, 1 << 32, steps, dtype=np.uint32) | np.uint32(1)
-
-
-def embed(values: np.ndarray, start: np.ndarray, end: np.ndarray, steps: int, walk: int) -> np.ndarray:
-    """(steps, windows) outputs of walks over 32-bit values that begin at ``start``; ``values[end]`` is a pad."""
-    out = np.empty((steps, len(start)), np.uint32)
-    at = start.astype(np.intp)
-    for t, factor in enumerate(multipliers(steps, walk)):
-        np.take(values, at, out=out[t], mode="clip")
-        at += (out[t] * factor) >> np.uint32(31)
-        np.minimum(at, end, out=at)
-    return out
-
-
-def sample_keys(out: np.ndarray, samples: np.ndarray, walk: int, table: int) -> np.ndarray:
-    """One LSH key per window."""
-    key = np.full(out.shape[1], walk * 1000 + table + 1, np.uint64)
-    for t in samples:
-        key = (key ^ out[t]) * np.uint64(0x9E3779B97F4A7C15)
-        key ^= key >> np.uint64(32)
-    return key
-
-
-def index(items: list[np.ndarray], walks: int = WALKS, tables: int = TABLES) -> list[SizeClass]:
-    """Size classes over word hashes of items."""
-    classes = []
-    by_size: dict[int, list[int]] = {}
+def index(items: list[np.ndarray], max_edits: float) -> list[Pieces]:
+    """Pieces of items by length, over word hashes."""
+    found: dict[int, list[tuple[int, int, int]]] = {}
     for k, values in enumerate(items):
-        by_size.setdefault(1 << (len(values).bit_length() - 1), []).append(k)
-    for size, members in sorted(by_size.items()):
-        stride, steps = max(1, size // STRIDE), max(2, size)
-        draw = np.random.default_rng([size, 3])
-        samples = np.sort(np.stack([[draw.choice(steps, min(SAMPLED, steps), replace=False) for _ in range(tables)] for _ in range(walks)]), axis=2)
-        keys, item, shift = [], [], []
-        for k in members:
-            values = short(np.append(items[k], PAD))
-            at = np.arange(max(stride, len(items[k]) - size // 2 + 1))
-            at = at[at < len(items[k])]
-            for walk in range(walks):
-                out = embed(values, at, np.full(len(at), len(items[k])), steps, walk)
-                for table in range(tables):
-                    keys.append(sample_keys(out, samples[walk, table], walk, table))
-                    item.append(np.full(len(at), k))
-                    shift.append(at)
-        keys, item, shift = np.concatenate(keys), np.concatenate(item), np.concatenate(shift)
-        order = np.argsort(keys)
+        parts = allowed_edits(len(values), max_edits) + 1
+        cuts = [i * len(values) // parts for i in range(parts + 1)]
+        for low, high in zip(cuts, cuts[1:]):
+            key = int(run_hashes(values[low:high], high - low)[0])
+            found.setdefault(high - low, []).append((key, k, low))
+    out = []
+    for length, rows in sorted(found.items()):
+        rows.sort()
+        keys = np.array([r[0] for r in rows], np.uint64)
         width = (len(keys) * SLOTS_PER_KEY).bit_length()
         bits = np.zeros(1 << width, bool)
         bits[(keys >> np.uint64(64 - width)).astype(np.intp)] = True
-        classes.append(SizeClass(size, stride, steps, samples, bits, np.uint64(64 - width), keys[order], item[order], shift[order]))
-    return classes
+        item, shift = np.array([r[1] for r in rows]), np.array([r[2] for r in rows])
+        out.append(Pieces(length, bits, np.uint64(64 - width), keys, item, shift))
+    return out
 
 
-def fit_edits(item: np.ndarray, region: np.ndarray) -> tuple[int, int, int]:
-    """(edits, from, to) of the stretch of ``region`` closest to ``item`` by word edits."""
+def fit_ends(item: np.ndarray, region: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(edits, from) of the stretch closest to ``item`` by word edits that ends at each place of ``region``."""
     n = len(region)
     steps = np.arange(n + 1)
     cost, begin = np.zeros(n + 1, np.int64), steps.copy()
@@ -121,58 +81,95 @@ def fit_edits(item: np.ndarray, region: np.ndarray) -> tuple[int, int, int]:
         low = np.minimum.accumulate(whole)
         source = np.maximum.accumulate(np.where(whole == low, steps, 0))
         cost, begin = low + steps, from_[source]
+    return cost, begin
+
+
+def fit_edits(item: np.ndarray, region: np.ndarray) -> tuple[int, int, int]:
+    """(edits, from, to) of the stretch of ``region`` closest to ``item`` by word edits."""
+    cost, begin = fit_ends(item, region)
     to = int(np.argmin(cost))
     return int(cost[to]), int(begin[to]), to
 
 
-def search(w, row_of_word: np.ndarray, classes: list[SizeClass], items: list[np.ndarray], max_edits: float) -> list[tuple]:
+def apart(finds: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """Of (edits, from, to) that overlap, the one with fewest edits, then the first; by rank."""
+    kept: list[tuple[int, int, int]] = []
+    begins: list[int] = []
+    for edits, low, high in sorted(finds):
+        at = bisect_left(begins, high)
+        # those kept are apart, so only the last that begins before ``high`` can reach into it
+        if at and kept[at - 1][2] > low:
+            continue
+        begins.insert(at, low)
+        kept.insert(at, (edits, low, high))
+    return kept
+
+
+def hits(piece: Pieces, values: np.ndarray, first: np.ndarray, end: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(row, item, begin of the item if nothing is inserted or left out before) where runs are pieces."""
+    runs = run_hashes(values, piece.length)
+    maybe = np.flatnonzero(piece.filter[(runs >> piece.shift_bits).astype(np.intp)])
+    low, high = np.searchsorted(piece.keys, runs[maybe], "left"), np.searchsorted(piece.keys, runs[maybe], "right")
+    maybe, low, n = maybe[high > low], low[high > low], (high - low)[high > low]
+    before = np.concatenate([[0], np.cumsum(n)])
+    at = 0
+    while at < len(maybe):
+        to = max(at + 1, int(np.searchsorted(before, before[at] + HITS, "right")) - 1)
+        k = np.repeat(maybe[at:to], n[at:to])
+        j = np.arange(before[at], before[to]) + np.repeat(low[at:to] - before[at:to], n[at:to])
+        row = np.searchsorted(first, k, "right") - 1
+        whole = k + piece.length <= end[row]
+        yield row[whole], piece.item[j[whole]], k[whole] - piece.shift[j[whole]]
+        at = to
+
+
+def search(w, row_of_word: np.ndarray, pieces: list[Pieces], items: list[np.ndarray], max_edits: float) -> list[tuple]:
     """(row, item, edits, from word, to word) of every leak in the texts of ``w``."""
     n_texts = len(w.first) - 1
     # a pad behind every text
-    place = np.arange(len(w.hash)) + row_of_word
     values = np.full(len(w.hash) + n_texts, PAD, np.uint64)
-    values[place] = w.hash
+    values[np.arange(len(w.hash)) + row_of_word] = w.hash
     first = w.first[:-1] + np.arange(n_texts)
     end = first + w.counts()
-    brief = short(values)
-    members = [set(x.tolist()) for x in items]
-    seen: set[tuple[int, int, int]] = set()
-    found: dict[tuple[int, int, int], tuple] = {}
-    for cls in classes:
-        in_text = np.arange(len(w.hash)) - w.first[row_of_word]
-        starts = place[in_text % cls.stride == 0]
-        rows = row_of_word[in_text % cls.stride == 0]
-        ends = end[rows]
-        for walk in range(cls.samples.shape[0]):
-            out = embed(brief, starts, ends, cls.steps, walk)
-            for table in range(cls.samples.shape[1]):
-                keys = sample_keys(out, cls.samples[walk, table], walk, table)
-                maybe = np.flatnonzero(cls.filter[(keys >> cls.shift_bits).astype(np.intp)])
-                if not len(maybe):
+    sizes = np.array([len(x) for x in items])
+    allowed = np.array([allowed_edits(n, max_edits) for n in sizes.tolist()])
+    members: dict[int, set[int]] = {}
+    stretches: dict[tuple[int, int], set[tuple[int, int]]] = {}
+    finds: dict[tuple[int, int], list[tuple[int, int, int]]] = {}
+    for piece in pieces:
+        for row, item, begin in hits(piece, values, first, end):
+            lows = np.maximum(first[row], begin - allowed[item])
+            highs = np.minimum(end[row], begin + sizes[item] + allowed[item])
+            # an item without edits is its only piece
+            for r, k, low, high in set(zip(row.tolist(), item.tolist(), lows.tolist(), highs.tolist())):
+                if not allowed[k]:
+                    if np.array_equal(values[low:high], items[k]):
+                        finds.setdefault((r, k), []).append((0, low, high))
                     continue
-                low = np.searchsorted(cls.keys, keys[maybe], "left")
-                high = np.searchsorted(cls.keys, keys[maybe], "right")
-                for k, a, b in zip(maybe[high > low].tolist(), low[high > low].tolist(), high[high > low].tolist()):
-                    for j in range(a, b):
-                        item, begin = int(cls.item[j]), int(starts[k]) - int(cls.shift[j])
-                        row, size = int(rows[k]), len(items[item])
-                        slack = int(max_edits * size) + 1
-                        # candidates that begin close together share one check
-                        if (row, item, begin // slack) in seen:
-                            continue
-                        seen.add((row, item, begin // slack))
-                        lower = max(int(first[row]), begin // slack * slack - slack)
-                        upper = min(int(end[row]), begin // slack * slack + size + 2 * slack)
-                        region = values[lower:upper]
-                        allowed = int(max_edits * size)
-                        # every word of the item that the region lacks costs an edit
-                        if len(members[item] - set(region.tolist())) > allowed:
-                            continue
-                        edits, a_, b_ = fit_edits(items[item], region)
-                        if edits <= allowed:
-                            at = (row, item, lower + a_ - int(first[row]))
-                            found[at] = (row, item, edits, at[2], lower + b_ - int(first[row]))
-    return list(found.values())
+                known = stretches.get((r, k))
+                if known and (low, high) in known:
+                    continue
+                # every word of the item that the stretch lacks costs an edit
+                if k not in members:
+                    members[k] = set(items[k].tolist())
+                if len(members[k].difference(values[low:high].tolist())) <= allowed[k]:
+                    stretches.setdefault((r, k), set()).add((low, high))
+    for (r, k), parts in stretches.items():
+        joined: list[list[int]] = []
+        for low, high in sorted(parts):
+            if joined and low <= joined[-1][1]:
+                joined[-1][1] = max(joined[-1][1], high)
+            else:
+                joined.append([low, high])
+        for low, high in joined:
+            cost, begin = fit_ends(items[k], values[low:high])
+            ends = np.flatnonzero(cost <= allowed[k])
+            if len(ends):
+                finds.setdefault((r, k), []).extend(zip(cost[ends].tolist(), (low + begin[ends]).tolist(), (low + ends).tolist()))
+    out = []
+    for (r, k), rows in finds.items():
+        out += [(r, k, edits, low - int(first[r]), high - int(first[r])) for edits, low, high in apart(rows)]
+    return out
 
 
 def item_words(texts: list[str]) -> list[np.ndarray]:
@@ -180,7 +177,7 @@ def item_words(texts: list[str]) -> list[np.ndarray]:
     return [w.hash[a:b] for a, b in zip(w.first[:-1], w.first[1:])]
 
 
-def item_blocks(items: DataFrame, key: str, text: str) -> Iterator[tuple[list, list[np.ndarray]]]:
+def item_blocks(items: DataFrame, key: str, text: str, max_edits: float) -> Iterator[tuple[list, list[np.ndarray]]]:
     """Items in blocks whose keys a task can hold, read one block at a time."""
     ids, values, load = [], [], 0
     for row in items.select(c(key).cast("bigint").alias("key"), c(text).alias("text")).where("text is not null").toLocalIterator():
@@ -189,7 +186,7 @@ def item_blocks(items: DataFrame, key: str, text: str) -> Iterator[tuple[list, l
             continue
         ids.append(row["key"])
         values.append(hashes)
-        load += len(hashes) * WALKS * TABLES
+        load += len(hashes) + allowed_edits(len(hashes), max_edits) + 1
         if load >= BLOCK_KEYS:
             yield ids, values
             ids, values, load = [], [], 0
@@ -204,10 +201,10 @@ def find_leaks(
 
     Words are lower-cased runs of letters and digits. An item is found where a stretch of the
     document's words can be turned into it by at most ``max_edits`` times its length of word
-    insertions, deletions and changes. Windows start every quarter of a size class, items are
-    indexed at every shift; each candidate is checked exactly. Items of fewer than ``MIN_WORDS``
-    words are not searched. Null and empty texts have no leaks; repeated rows repeat theirs;
-    overlapping finds of one item at one place are one row; no item or document, no row.
+    insertions, deletions and changes, rounded down, so items of under five words are found word
+    for word. Every such stretch is found, whatever the length of the item; of finds of one item
+    that overlap, the one with fewest edits is given. Null and empty texts have no leaks; items
+    without words are found nowhere; repeated rows repeat theirs; no item or document, no row.
 
     The items are a query set: they are read in blocks of bounded size, and every block goes
     through all documents in one map-only pass, so nothing of the documents is shuffled.
@@ -217,18 +214,18 @@ def find_leaks(
     slim = docs.select(c(key), c(text).alias("_text"))
     spark = docs.sparkSession
     out = None
-    for ids, values in item_blocks(items, item_key, item_text):
+    for ids, values in item_blocks(items, item_key, item_text, max_edits):
         held = spark.sparkContext.broadcast((ids, values))
 
         def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
             ids, values = held.value
-            classes = None
+            pieces = None
             for batch in batches:
                 for part in slices(batch, "_text"):
-                    classes = classes or index(values)
+                    pieces = pieces or index(values, max_edits)
                     w = words(pc.utf8_lower(part.column("_text")), NON_ALNUM)
                     row_of_word = np.repeat(np.arange(part.num_rows), w.counts())
-                    leaks = search(w, row_of_word, classes, values, max_edits)
+                    leaks = search(w, row_of_word, pieces, values, max_edits)
                     row, item, edits, low, high = (list(x) for x in zip(*leaks)) if leaks else ([], [], [], [], [])
                     yield pa.RecordBatch.from_arrays(
                         [

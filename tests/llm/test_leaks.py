@@ -71,3 +71,34 @@ def test_every_exact_leak_is_found(spark):
             if x[0] in t and any(t[i : i + len(x)] == x for i in range(len(t) - len(x) + 1)):
                 want.add((k, r["item_id"]))
     assert want and want <= {(r["doc_id"], r["item_id"]) for r in X.find_leaks(docs, bench).collect()}
+
+
+def edited(item, n, rng):
+    """The item after ``n`` random insertions, deletions and changes."""
+    out = list(item)
+    for _ in range(n):
+        at = rng.randrange(len(out))
+        kind = rng.randrange(3)
+        out[at : at + (kind > 0)] = [] if kind == 2 and len(out) > 1 else [f"new{rng.randrange(10**6)}"]
+    return out
+
+
+def test_recall_of_every_size_and_share_of_edits(spark):
+    rng = random.Random(8)
+    prose = lambda n: [f"v{rng.randrange(3000)}" for _ in range(n)]
+    items, docs, planted = [], [], set()
+    for size in (8, 15, 16, 32, 64, 128, 256, 500):
+        for share in (10, 15, 20):
+            for _ in range(4):
+                item, n = prose(size), size * share // 100
+                docs.append((len(items), " ".join(prose(rng.randrange(60)) + edited(item, n, rng) + prose(rng.randrange(60)))))
+                # changes only, at even distances
+                spread = list(item)
+                for i in range(n):
+                    spread[(2 * i + 1) * size // (2 * n)] = f"gone{i}"
+                docs.append((1000 + len(items), " ".join(spread)))
+                planted |= {(len(items), len(items)), (1000 + len(items), len(items))}
+                items.append((len(items), " ".join(item)))
+    docs = spark.createDataFrame(docs, "doc_id bigint, text string")
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    assert {(r["doc_id"], r["item_id"]) for r in X.find_leaks(docs, bench).collect()} == planted
