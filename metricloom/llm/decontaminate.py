@@ -20,7 +20,6 @@ from pyspark.sql import functions as F
 from metricloom.llm.words import NON_ALNUM, run_hashes, slices, words
 
 c = F.col
-MIN_WORDS = 8  # shorter items are not searched
 MAX_EDITS = 0.2  # word edits per word of the item
 BLOCK_KEYS = 1 << 21  # words and pieces of one block of items; bounds what a task holds
 SLOTS_PER_KEY = 32  # of the filter in front of the keys
@@ -182,7 +181,7 @@ def item_blocks(items: DataFrame, key: str, text: str, max_edits: float) -> Iter
     ids, values, load = [], [], 0
     for row in items.select(c(key).cast("bigint").alias("key"), c(text).alias("text")).where("text is not null").toLocalIterator():
         hashes = item_words([row["text"]])[0]
-        if len(hashes) < MIN_WORDS:
+        if not len(hashes):
             continue
         ids.append(row["key"])
         values.append(hashes)

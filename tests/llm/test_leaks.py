@@ -102,3 +102,27 @@ def test_recall_of_every_size_and_share_of_edits(spark):
     docs = spark.createDataFrame(docs, "doc_id bigint, text string")
     bench = spark.createDataFrame(items, "item_id bigint, text string")
     assert {(r["doc_id"], r["item_id"]) for r in X.find_leaks(docs, bench).collect()} == planted
+
+
+def test_short_items_against_the_plain_table(spark):
+    rng = random.Random(9)
+    prose = lambda n: [f"v{rng.randrange(9)}" for _ in range(n)]
+    items = [prose(1 + k % 12) for k in range(36)]
+    docs = [prose(rng.randrange(25)) for _ in range(40)]
+    want = {(d, i): edits(x, y) for d, y in enumerate(docs) for i, x in enumerate(items)}
+    want = {k: n for k, n in want.items() if n <= len(items[k[1]]) // 5}
+    table = spark.createDataFrame([(d, " ".join(y)) for d, y in enumerate(docs)], "doc_id bigint, text string")
+    bench = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(items)], "item_id bigint, text string")
+    got = {}
+    for r in X.find_leaks(table, bench).collect():
+        key, place = (r["doc_id"], r["item_id"]), docs[r["doc_id"]][r["start_word"] : r["end_word"]]
+        assert edits(items[key[1]], place) == r["edits"]
+        got[key] = min(r["edits"], got.get(key, 99))
+    assert any(len(items[i]) < 8 for _, i in want) and got == want
+
+
+def test_copies_side_by_side_are_each_found(spark):
+    docs = spark.createDataFrame([(1, "a a b c d e f a c d e f a b c d e f")], "doc_id bigint, text string")
+    bench = spark.createDataFrame([(1, "a b c d e f"), (2, "a")], "item_id bigint, text string")
+    got = sorted((r["item_id"], r["start_word"], r["end_word"], r["edits"]) for r in X.find_leaks(docs, bench).collect())
+    assert got == [(1, 1, 7, 0), (1, 7, 12, 1), (1, 12, 18, 0), (2, 0, 1, 0), (2, 1, 2, 0), (2, 7, 8, 0), (2, 12, 13, 0)]
