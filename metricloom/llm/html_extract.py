@@ -1,8 +1,9 @@
 """Main text of HTML pages by line-block distribution.
 
 Markup is stripped into one line per block element; what is no running text (navigation, forms,
-notices, comments, scripts) leaves blank lines. Text lengths are summed over sliding windows of
-lines: where the sum surges from nothing, text begins; where it dives to nothing, it ends.
+notices, comments, scripts) is left out. Text lengths less link texts are summed over sliding
+windows of lines: where the sum first surges over a threshold, text begins; where it last dives
+below, it ends. Parts left out bound the windows, they do not end the text.
 """
 
 from __future__ import annotations
@@ -15,7 +16,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-WINDOW = 3  # lines summed; as many blank lines end a stretch of text
+WINDOW = 3  # lines summed; as many lines of links are a list beside the text
+DENSE = 40  # characters in a window of running text
 
 # Element names of HTML.
 BLOCKS = frozenset(
@@ -63,24 +65,34 @@ def _aside(name: str, attributes: str) -> bool:
     return False
 
 
-def lines(page: str) -> list[str]:
-    """One line per block; blank lines where parts beside the text stood and around main elements."""
-    out: list[str] = []
+OPEN, CLOSE, WALL = "open", "close", "wall"  # bounds of a main element; where a part beside the text stood
+NEXT_LINK = re.compile(r"<(/?)a(?=[\s/>])", re.I)
+
+
+def lines(page: str) -> list[tuple[str, int, str]]:
+    """(text, characters of it in links, "") of each block; ("", 0, bound) for OPEN, CLOSE and WALL."""
+    out: list[tuple[str, int, str]] = []
     parts: list[str] = []
-    gap = [""] * WINDOW
+    linked: list[str] = []
     aside: list[str] = []  # open elements from the outermost aside one on
-    at = 0
+    at, in_link = 0, False
+
+    def flat(texts: list[str]) -> str:
+        text = " ".join(html.unescape("".join(texts)).split())
+        texts.clear()
+        return text
 
     def end_line():
-        text = " ".join(html.unescape("".join(parts)).split())
-        parts.clear()
+        text, links = flat(parts), len(flat(linked))
         if text:
-            out.append(text)
+            out.append((text, links, ""))
 
     while True:
         tag = TAG.search(page, at)
         if not aside:
             parts.append(page[at : tag.start() if tag else len(page)])
+            if in_link:
+                linked.append(parts[-1])
         if not tag:
             break
         at = tag.end()
@@ -92,6 +104,10 @@ def lines(page: str) -> list[str]:
             end = re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*(?:>|\Z)", re.I).search(page, at)
             at = end.end() if end else len(page)
             continue
+        if name == "a":
+            # one that is never closed, or has no target, is no link
+            following = None if closing else NEXT_LINK.search(page, at)
+            in_link = bool(following and following[1] and re.search(r"\bhref\b", tag[3], re.I))
         if aside:
             if not closing and not open_only:
                 aside.append(name)
@@ -100,17 +116,20 @@ def lines(page: str) -> list[str]:
                     pass
             elif closing and (name in MAIN or name in ("body", "html")):
                 aside.clear()  # never closed inside its parent
-            if not aside:
-                out.extend(gap)
+                if name in MAIN:
+                    end_line()
+                    out.append(("", 0, CLOSE))
             continue
         if not closing and not open_only and _aside(name, tag[3]):
-            end_line()
-            out.extend(gap)
+            if name in BLOCKS:
+                end_line()
+                out.append(("", 0, WALL))
+            else:
+                parts.append(" ")  # inside a line
             aside.append(name)
         elif name in MAIN:
             end_line()
-            out.extend(gap)
-            out.append("\0" if not closing else "\1")  # bounds of a main element
+            out.append(("", 0, CLOSE if closing else OPEN))
         elif name in BLOCKS:
             end_line()
         elif name in ("br", "wbr", "img"):
@@ -119,50 +138,64 @@ def lines(page: str) -> list[str]:
     return out
 
 
-def surges(block_lengths: list[int], window: int = WINDOW) -> list[tuple[int, int]]:
-    """(from, to) of each stretch of lines whose windows never fall to nothing."""
-    sums = [sum(block_lengths[i : i + window]) for i in range(len(block_lengths))]
-    found, begin = [], None
-    for i, total in enumerate(sums):
-        if begin is None and block_lengths[i]:
-            begin = i
-        elif begin is not None and not total:
-            found.append((begin, i))
-            begin = None
-    if begin is not None:
-        found.append((begin, len(sums)))
-    return found
+def dense_lines(net: list[int], window: int = WINDOW, least: int = DENSE) -> list[int]:
+    """Lines with text of their own in a window whose sum reaches ``least``."""
+    found = set()
+    for i in range(max(1, len(net) - window + 1)):
+        if sum(net[i : i + window]) >= least:
+            found.update(range(i, min(i + window, len(net))))
+    return [i for i in sorted(found) if net[i]]
+
+
+def running_text(rows: list[tuple[str, int, str]]) -> list[str]:
+    """Lines from the first surge to the last dive without lists of links; without any surge, the longest stretch."""
+    text, net, stretches = [], [], [[0, 0]]
+    for line, links, bound in rows:
+        if bound:
+            stretches.append([len(text), len(text)])
+            continue
+        text.append(line)
+        # a line that is mostly links has no text of its own
+        net.append(0 if 2 * links > len(line) else len(line) - links)
+        stretches[-1][1] = len(text)
+    dense = [a + i for a, b in stretches for i in dense_lines(net[a:b])]
+    if not dense:
+        a, b = max(stretches, key=lambda r: sum(map(len, text[r[0] : r[1]])))
+        return text[a:b]
+    kept, run = [], []
+    for i in range(dense[0], dense[-1] + 1):
+        if not net[i]:
+            run.append(text[i])
+            continue
+        kept += run if len(run) < WINDOW else []
+        run = []
+        kept.append(text[i])
+    return kept
 
 
 def main_text(page: str | None) -> str:
     """Blocks of the article joined by line breaks; empty if the page has none.
 
-    Where main elements exist, every stretch within the largest outermost one counts, however
-    short; elsewhere the stretch with most text does.
+    Where main elements exist, every line within the outermost ones counts, however short, except
+    in those that are mostly links beside others that are not. Elsewhere all text counts between
+    the first and the last window with enough of it, lists of links left out.
     """
     rows = lines(page or "")
     depth, regions = 0, []
-    for i, row in enumerate(rows):
-        if row == "\0":
+    for row in rows:
+        if row[2] == OPEN:
             if not depth:
-                regions.append([i, len(rows)])
+                regions.append([])
             depth += 1
-        elif row == "\1" and depth:
-            depth -= 1
-            if not depth:
-                regions[-1][1] = i
-    lengths = [0 if row in ("", "\0", "\1") else len(row) for row in rows]
-    found = surges(lengths)
-
-    def size(a, b):
-        return sum(lengths[a:b])
-
-    best = max(regions, key=lambda r: size(*r), default=None)
-    if best and size(*best):
-        keep = [(a, b) for a, b in found if best[0] <= a < best[1]]
-    else:
-        keep = [max(found, key=lambda r: size(*r))] if found else []
-    return "\n".join(row for a, b in keep for i, row in enumerate(rows[a:b], a) if lengths[i])
+        elif row[2] == CLOSE:
+            depth = max(0, depth - 1)
+        elif depth and not row[2]:
+            regions[-1].append(row)
+    regions = [region for region in regions if region]
+    own = [r for r in regions if 2 * sum(links for _, links, _ in r) <= sum(len(line) for line, _, _ in r)]
+    if regions:
+        return "\n".join(line for region in own or regions for line, _, _ in region)
+    return "\n".join(running_text(rows))
 
 
 def extract(column: Column) -> Column:

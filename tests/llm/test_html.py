@@ -21,6 +21,30 @@ def test_no_main_element_takes_the_longest_stretch():
     assert X.main_text(page) == f"{LONG.strip()}\ntail"
 
 
+def test_parts_between_paragraphs_do_not_end_the_text():
+    a, b, d = (f"{k}: {LONG.strip()}" for k in "abd")
+    assert X.main_text(f"<body><div><p>{a}</p><div class=ad>x</div><p>{b}</p></div></body>") == f"{a}\n{b}"
+    between = ["<aside>n</aside>", "<figure><img src=x></figure>", "<button>Buy</button>", "<svg><text>t</text></svg>", "<form>f</form>",
+               "<video>v</video>", "<select><option>o</select>", "<div class='share social'>s</div>", "<p class=advert>x</p>" * 9]
+    for x in between:
+        assert X.main_text(f"<body><nav>n</nav><p>{a}</p>{x}<p>{b}</p>{x}<p>No.</p>{x}<p>{d}</p><footer>f</footer></body>") == f"{a}\n{b}\nNo.\n{d}"
+    assert X.main_text(f"<body><p>{a} <button>Buy</button> {b}</p>") == f"{a} {b}"
+
+
+def test_link_lists_without_marks_are_no_text():
+    links = "<ul>" + "".join(f"<li><a href='/{i}'>Another page of this site {i}</a></li>" for i in range(9)) + "</ul>"
+    text = f"<p>{LONG} <a href=x>link</a></p><ul><li>one<li>two<li>three<li>four</ul><p><a href=y>{LONG}</a></p><p>{LONG}</p>"
+    want = [f"{LONG.strip()} link", "one", "two", "three", "four", LONG.strip(), LONG.strip()]
+    assert X.main_text(f"<body><div>{links}</div>{text}{links}</body>").split("\n") == want
+    assert X.main_text(f"<body>{text}{links}{text}</body>").split("\n") == want * 2
+    assert X.main_text(f"<body><p><a href=x>{LONG}<p>{LONG}</body>").split("\n") == [LONG.strip()] * 2
+
+
+def test_every_outermost_article_counts():
+    page = f"<article><p>{LONG}</article><article><p>Short.</article><article><a href=x>More of it</a></article><article><p>{LONG * 2}</article>"
+    assert X.main_text(f"<body>{page}</body>").split("\n") == [LONG.strip(), "Short.", (LONG * 2).strip()]
+
+
 def test_broken_and_empty_pages():
     assert X.main_text(None) == X.main_text("") == X.main_text("<p></p>") == X.main_text("<script>x") == ""
     assert X.main_text("just < text & more") == "just < text & more"
