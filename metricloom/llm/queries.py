@@ -8,16 +8,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from metricloom.llm import (
+    byte_bpe,
     decontaminate,
     embedding_dedup,
     html_extract,
     language_id,
+    lexical_search,
     licenses,
     minhash_dedup,
     mixing,
     substring_dedup,
     token_count,
     url_filter,
+    vector_codes,
 )
 from metricloom.session import materialize, prepare
 
@@ -225,6 +228,75 @@ def _(spark, d):
     return minhash_dedup.near_duplicates(table(spark, d, "documents"), length=2, percent=80)
 
 
+@query("op11_byte_bpe")
+def _(spark, d):
+    """Token ids of every document and the bytes they stand for, as digests."""
+    out = byte_bpe.encode(table(spark, d, "documents").select("doc_id", "text"), keep_text=False)
+    counted = out.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), F.sha2(F.array_join("ids", " "), 256).alias("ids_sha256"), "ids")
+    return byte_bpe.decode(counted).select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+SEARCH_SQL = r"""
+WITH src AS (SELECT row_number() OVER () AS r, doc_id, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+tok AS (SELECT r, unnest(regexp_extract_all(t, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM src),
+tf AS (SELECT r, term, count(*) AS tf FROM tok GROUP BY ALL),
+len AS (SELECT r, CAST(sum(tf) AS BIGINT) AS n FROM tf GROUP BY r),
+tot AS (SELECT count(*) AS n, CAST(sum(n) AS BIGINT) AS l FROM len),
+m AS (SELECT r, 10 + (90 * len.n * tot.n) // tot.l AS m FROM len, tot),
+item AS (SELECT row_number() OVER () AS q, item_id, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM benchmark),
+want AS (SELECT DISTINCT q, unnest(regexp_extract_all(t, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM item),
+df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+w AS (SELECT term, CAST(floor(1000 * ln((2 * tot.n + 2) / CAST(2 * df + 1 AS DOUBLE))) AS BIGINT) AS w FROM df, tot),
+score AS (
+  SELECT q, r, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * m))) AS BIGINT) AS score
+  FROM want JOIN w USING (term) JOIN tf USING (term) JOIN m USING (r) GROUP BY q, r HAVING sum(w * ((1000000000 * tf) // (1000 * tf + 8 * m))) > 0)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM (
+  SELECT item_id, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id) AS rank, doc_id, score
+  FROM score JOIN src USING (r) JOIN item USING (q)) WHERE rank <= 10"""
+
+
+@query("op12_lexical_search", SEARCH_SQL)
+def _(spark, d):
+    """The ten best documents for every benchmark item."""
+    return lexical_search.search(table(spark, d, "documents"), table(spark, d, "benchmark"), k=10)
+
+
+CODES_ROUNDS = 4
+
+
+def _codes_sql(rounds: int) -> str:
+    """Lloyd's rounds in full: every part against every entry."""
+    part = "list_transform(embedding[len(embedding) // 4 * {0} + 1:len(embedding) // 4 * ({0} + 1)], lambda x: floor(1024 * CAST(x AS DOUBLE)))"
+    sql = f"""
+WITH ok AS (SELECT * FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+num AS (SELECT *, row_number() OVER (ORDER BY vec_id NULLS LAST, embedding) - 1 AS r FROM ok),
+part AS MATERIALIZED ({" UNION ALL ".join(f"SELECT r, {p} AS p, {part.format(p)} AS q FROM num" for p in range(4))}),
+book0 AS MATERIALIZED (SELECT p, r AS e, q AS c FROM part WHERE r < 256)"""
+    nearest = """SELECT r, p, min(CAST(list_sum(list_transform(list_zip(q, c), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS BIGINT) * 256 + e) AS near FROM part JOIN {0} USING (p) GROUP BY r, p"""
+    for k in range(rounds):
+        sql += f""",
+near{k} AS MATERIALIZED ({nearest.format(f"book{k}")}),
+sum{k} AS (SELECT p, near % 256 AS e, i, CAST(sum(q[i]) AS HUGEINT) AS s, count(*) AS n FROM part JOIN near{k} USING (r, p), unnest(range(1, len(q) + 1)) AS t(i) GROUP BY ALL),
+mean{k} AS (SELECT p, e, list(CAST((s - ((s % n) + n) % n) // n AS DOUBLE) ORDER BY i) AS c FROM sum{k} GROUP BY p, e),
+book{k + 1} AS MATERIALIZED (SELECT p, e, coalesce(mean{k}.c, book{k}.c) AS c FROM book{k} LEFT JOIN mean{k} USING (p, e))"""
+    return sql + f""",
+last AS MATERIALIZED ({nearest.format(f"book{rounds}")}),
+code AS (SELECT r, lower(string_agg(printf('%02x', near % 256), '' ORDER BY p)) AS code, CAST(sum(near // 256) AS BIGINT) AS error FROM last GROUP BY r),
+named AS (SELECT vec_id, label, code, error FROM code JOIN num USING (r)),
+digest AS (SELECT sha256(string_agg(array_to_string(list_transform(c, lambda x: CAST(CAST(x AS BIGINT) AS VARCHAR)), ','), ',' ORDER BY p, e)) AS codebooks_sha256 FROM book{rounds})
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM named, digest"""
+
+
+@query("op13_vector_codes", _codes_sql(CODES_ROUNDS))
+def _(spark, d):
+    """Code and error of every vector, and the digest of the codebooks."""
+    rows, books = vector_codes.compress(table(spark, d, "embeddings"), columns=["label"], parts=4, entries=256, rounds=CODES_ROUNDS)
+    error = F.aggregate("distances", F.lit(0).cast("bigint"), lambda acc, x: acc + x)
+    out = rows.select("vec_id", "label", vector_codes.code_text().alias("code"), error.alias("error"))
+    out = vector_codes.with_group_sum(out, "label", "error", "label_error")
+    return out.select("vec_id", "code", "error", "label_error", F.lit(vector_codes.codebooks_digest(books)).alias("codebooks_sha256"))
+
+
 @query("pipeline")
 def _(spark, d):
     """The corpus pipeline over all documents."""
