@@ -19,6 +19,7 @@ KS_THRESHOLD = 0.05
 AMBER_SHARE = 0.5
 CRITICAL_STREAK = 15
 MIN_SAMPLES = 10
+RED, INSUFFICIENT = "red", "insufficient"
 
 
 def shares(counts: DataFrame, keys: list[str]) -> DataFrame:
@@ -78,6 +79,44 @@ def js_scores(ref_dims: DataFrame, cur_dims: DataFrame, keys: list[str]) -> Data
     )
 
 
+def js_windows(ref_dims: DataFrame, cur_dims: DataFrame, keys: list[str], family: list[str]) -> DataFrame:
+    """:func:`js_scores` of many windows per family, without a copy of the reference for each.
+
+    A value that only the reference holds adds p ln 2 to the divergence, and all of them together
+    what is left of 1 after the shares of the values seen. So only values seen in a window meet
+    their reference shares, in an equi join, and the rest is one subtraction.
+    """
+    p, q = F.coalesce("p", F.lit(0.0)), F.col("q")
+    ref = shares(ref_dims, [*family, "dim"]).select(*family, "dim", "value", "p")
+    cur = shares(cur_dims, [*keys, "dim"]).select(*keys, "dim", "value", F.col("p").alias("q"))
+
+    def term(x: Column) -> Column:
+        return F.when(x > 0, x * F.ln(x / ((p + q) / 2))).otherwise(0.0)
+
+    seen = (
+        cur.join(ref, [*family, "dim", "value"], "left").groupBy(*keys, "dim")
+        .agg(F.sum(term(p) + term(q)).alias("_sum"), F.sum(p).alias("_p"))
+    )
+    dims = ref.select(*family, "dim").distinct().withColumn("in_ref", F.lit(True))
+    rest = F.greatest(1 - F.col("_p"), F.lit(0.0)) * math.log(2)
+    per_dim = seen.join(dims, [*family, "dim"], "left").select(
+        *keys, "dim", F.coalesce("in_ref", F.lit(False)).alias("in_ref"),
+        F.when(F.col("in_ref").isNull(), 1.0).otherwise(F.greatest((F.col("_sum") + rest) / (2 * math.log(2)), F.lit(0.0))).alias("js"),
+    )
+    is_tag = F.col("dim").startswith(TAG)
+    tags = dims.where(is_tag).groupBy(*family).agg(F.count("*").alias("_tags"))
+    own = per_dim.groupBy(*keys).agg(
+        F.max(F.when(F.col("dim") == SOURCE, F.col("js"))).alias("js_source"),
+        F.sum(F.when(is_tag & F.col("in_ref"), F.col("js"))).alias("_js"),
+        F.count_if(is_tag & F.col("in_ref")).alias("_met"),
+    )
+    # a tag key of the reference that a window lacks has the divergence 1
+    missing = F.col("_tags") - F.col("_met")
+    average = F.coalesce((F.coalesce("_js", F.lit(0.0)) + missing) / F.col("_tags"), F.lit(0.0))
+    scored = own.join(tags, family, "left").select(*keys, "js_source", average.alias("js_tags_avg"))
+    return scored.withColumn("js_categorical", (F.col("js_source") + F.col("js_tags_avg")) / 2)
+
+
 def wasserstein(ref_q: DataFrame, cur_q: DataFrame, keys: list[str]) -> DataFrame:
     """Mean absolute quantile gap over the reference range; 1 when current data is missing."""
     names = list(PROBS)
@@ -122,21 +161,25 @@ def ks_knots(ref_q: DataFrame, cur_counts: DataFrame, keys: list[str], value: st
 def curve_correlation(ref: DataFrame, cur: DataFrame, keys: list[str]) -> DataFrame:
     """Pearson correlation of minute-of-day counts over all 1440 minutes.
 
-    Empty minutes are zeros, so sums over the occupied ones and the fixed length are enough.
+    Empty minutes are zeros; both curves are centred at their means before products are summed, so
+    large even curves lose no digits. Empty minutes add the product of the means.
     """
     both = ref.select(*keys, "mod", F.col("n").alias("x")).join(
         cur.select(*keys, "mod", F.col("n").alias("y")), [*keys, "mod"], "full_outer"
     )
     x = F.coalesce("x", F.lit(0)).cast("double")
     y = F.coalesce("y", F.lit(0)).cast("double")
-    s = both.groupBy(*keys).agg(
-        F.sum(x).alias("sx"), F.sum(y).alias("sy"), F.sum(x * y).alias("sxy"),
-        F.sum(x * x).alias("sxx"), F.sum(y * y).alias("syy"),
-    )
     c = F.col
-    top = MINUTES * c("sxy") - c("sx") * c("sy")
-    bottom = F.sqrt(MINUTES * c("sxx") - c("sx") * c("sx")) * F.sqrt(MINUTES * c("syy") - c("sy") * c("sy"))
-    return s.select(*keys, F.when(bottom > 0, top / bottom).alias("temporal_corr"))
+    means = both.groupBy(*keys).agg((F.sum(x) / MINUTES).alias("mx"), (F.sum(y) / MINUTES).alias("my"), (MINUTES - F.count("*")).alias("rest"))
+    dx, dy = x - c("mx"), y - c("my")
+    s = both.join(means, keys).groupBy(*keys).agg(
+        F.sum(dx * dy).alias("xy"), F.sum(dx * dx).alias("xx"), F.sum(dy * dy).alias("yy"), F.first("mx").alias("mx"), F.first("my").alias("my"), F.first("rest").alias("rest"),
+    )
+    top = c("xy") + c("rest") * c("mx") * c("my")
+    vx, vy = c("xx") + c("rest") * c("mx") * c("mx"), c("yy") + c("rest") * c("my") * c("my")
+    # a flat curve is exactly its mean everywhere, or differs by rounding of the mean alone
+    spread = (vx > 1e-30 * MINUTES * c("mx") * c("mx")) & (vy > 1e-30 * MINUTES * c("my") * c("my"))
+    return s.select(*keys, F.when(spread, top / (F.sqrt(vx) * F.sqrt(vy))).alias("temporal_corr"))
 
 
 def status(js: Column, w: Column, ks: Column) -> Column:
@@ -153,25 +196,49 @@ def status(js: Column, w: Column, ks: Column) -> Column:
 
 
 def status_code(name: Column) -> Column:
-    return F.when(name == "red", 2).when(name == "amber", 1).otherwise(0)
+    """2, 1 or 0; null where nothing was evaluated."""
+    return F.when(name == RED, 2).when(name == "amber", 1).when(name == "green", 0)
 
 
-def score(ref: dict[str, DataFrame], cur: dict[str, DataFrame], keys: list[str], min_samples: int = MIN_SAMPLES) -> DataFrame:
+def score(
+    ref: dict[str, DataFrame], cur: dict[str, DataFrame], keys: list[str], min_samples: int = MIN_SAMPLES, js: DataFrame | None = None, silent: bool = False,
+) -> DataFrame:
     """All scores per key.
 
     ``ref`` and ``cur`` hold ``dims`` (dim, value, n), ``value_q`` (p01..p99), ``size_q`` (reference
-    only) and ``sizes`` (line_length, n; current only).
+    only) and ``sizes`` (line_length, n; current only). ``js`` replaces the categorical scores. With
+    ``silent``, keys of either side with fewer than ``min_samples`` current rows, or none, stay as
+    ``insufficient`` without scores; else they have no row.
     """
-    totals = (
-        cur["dims"].filter(F.col("dim") == SOURCE).groupBy(*keys).agg(F.sum("n").alias("n"))
-        .filter(F.col("n") >= min_samples)
-    )
-    return (
-        totals.join(js_scores(ref["dims"], cur["dims"], keys), keys, "left")
+    count = F.sum(F.when(F.col("dim") == SOURCE, F.col("n")).otherwise(0)).alias("n")
+    totals = cur["dims"].groupBy(*keys).agg(count)
+    enough = F.col("n") >= min_samples
+    if silent:
+        known = ref["dims"].select(*keys).distinct()
+        totals = totals.join(known, keys, "full_outer").withColumn("n", F.coalesce("n", F.lit(0).cast("bigint")))
+    else:
+        totals = totals.filter(enough)
+    scored = (
+        totals.join(js_scores(ref["dims"], cur["dims"], keys) if js is None else js, keys, "left")
         .join(wasserstein(ref["value_q"], cur["value_q"], keys), keys, "left")
         .join(ks_knots(ref["size_q"], cur["sizes"], keys, "line_length"), keys, "left")
-        .withColumn("status", status(F.col("js_categorical"), F.col("wasserstein"), F.col("ks_size")))
     )
+    if silent:
+        scored = scored.withColumns({x: F.when(enough, F.col(x)) for x in scored.columns if x not in (*keys, "n")})
+    judged = status(F.col("js_categorical"), F.col("wasserstein"), F.col("ks_size"))
+    return scored.withColumn("status", F.when(enough, judged).otherwise(INSUFFICIENT))
+
+
+def fill_silent(scored: DataFrame, keys: list[str], order: str, step: int, retire: int) -> DataFrame:
+    """Batch form of the stream's evaluations: windows without a score become ``insufficient`` rows.
+
+    After each scored window up to ``retire`` missing ones follow, as far as the next scored one.
+    """
+    following = F.lead(order).over(W.partitionBy(*keys).orderBy(order))
+    last = F.least(F.col(order) + F.lit(retire * step), F.coalesce(following - step, F.col(order) + F.lit(retire * step)))
+    starts = F.sequence(F.col(order), F.col("_last"), F.lit(step).cast("bigint"))
+    grown = scored.select(*keys, order, "status").withColumn("_last", last).select(*keys, F.col(order).alias("_own"), "status", F.explode(starts).alias(order))
+    return grown.select(*keys, order, F.when(F.col(order) == F.col("_own"), F.col("status")).otherwise(INSUFFICIENT).alias("status"))
 
 
 def red_streaks(scored: DataFrame, keys: list[str], order: str) -> DataFrame:
@@ -198,4 +265,5 @@ def alert_counts(streaks: DataFrame, order: str) -> DataFrame:
         F.count_if(red & (F.col("red_streak") >= CRITICAL_STREAK)).alias("critical"),
         F.count_if(F.col("status") == "amber").alias("warning"),
         F.count_if(red).alias("info"),
+        F.count_if(F.col("status") == INSUFFICIENT).alias("insufficient"),
     )

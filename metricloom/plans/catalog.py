@@ -169,10 +169,13 @@ VIEWS: dict[str, str] = {
           JOIN curs c ON c.family_id = r.family_id GROUP BY r.family_id, p, r.q) k ON k.family_id = rq.family_id
         GROUP BY rq.family_id""",
     "scores": """
-        SELECT *, CASE WHEN js_categorical > 0.05 OR wasserstein > 0.1 OR ks_size > 0.05 THEN 'red'
-            WHEN js_categorical > 0.025 OR wasserstein > 0.05 OR ks_size > 0.025 THEN 'amber' ELSE 'green' END AS status
-        FROM (SELECT family_id, n FROM (SELECT family_id, count(*) AS n FROM curs GROUP BY family_id) WHERE n >= 10)
-        JOIN jsfam USING (family_id) JOIN wass USING (family_id) JOIN ksfam USING (family_id)""",
+        SELECT family_id, n, CASE WHEN n >= 10 THEN js_source END AS js_source, CASE WHEN n >= 10 THEN js_tags_avg END AS js_tags_avg,
+          CASE WHEN n >= 10 THEN js_categorical END AS js_categorical, CASE WHEN n >= 10 THEN wasserstein END AS wasserstein, CASE WHEN n >= 10 THEN ks_size END AS ks_size,
+          CASE WHEN n < 10 THEN 'insufficient'
+            WHEN js_categorical > 0.05 OR coalesce(wasserstein, 0) > 0.1 OR coalesce(ks_size, 0) > 0.05 THEN 'red'
+            WHEN js_categorical > 0.025 OR coalesce(wasserstein, 0) > 0.05 OR coalesce(ks_size, 0) > 0.025 THEN 'amber' ELSE 'green' END AS status
+        FROM (SELECT family_id, count(*) FILTER (ts >= epoch(TIMESTAMP '2024-01-16')) AS n FROM points GROUP BY family_id)
+        LEFT JOIN jsfam USING (family_id) LEFT JOIN wass USING (family_id) LEFT JOIN ksfam USING (family_id)""",
     "day": "SELECT *, ts // 86400 * 86400 AS window_start FROM points",
 }
 

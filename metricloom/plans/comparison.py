@@ -12,6 +12,7 @@ from metricloom.operators import synth, temporal
 from metricloom.plans.catalog import query, u
 from metricloom.session import materialize
 from metricloom.sources import tables as t
+from metricloom.streaming import jobs
 
 c = F.col
 FAM = ["family_id"]
@@ -41,8 +42,9 @@ def profiles(spark, d):
 
 
 def scores(spark, d) -> DataFrame:
+    """Every family of either half; those with too few current points are ``insufficient``."""
     ref, cur = profiles(spark, d)
-    return V.score(ref, cur, FAM)
+    return V.score(ref, cur, FAM, silent=True)
 
 
 @query(
@@ -151,7 +153,7 @@ def _(spark, d):
 
 @query(
     "family_status",
-    "SELECT family_id, status, CASE status WHEN 'red' THEN 2 WHEN 'amber' THEN 1 ELSE 0 END::BIGINT AS status_code FROM scores",
+    "SELECT family_id, status, CASE status WHEN 'red' THEN 2 WHEN 'amber' THEN 1 WHEN 'green' THEN 0 END::BIGINT AS status_code FROM scores",
 )
 def _(spark, d):
     return scores(spark, d).select(*FAM, "status", V.status_code(c("status")).alias("status_code"))
@@ -169,24 +171,51 @@ def _(spark, d):
     )
 
 
-# Daily evaluations: a day is red when its point count strays from the family's daily mean by
-# more than 30 %, amber beyond 15 %. Used where only the order of statuses matters; the streaming
-# queries score real windows.
-STREAK_SQL = """
-    daily AS (SELECT family_id, window_start, count(*) AS n FROM day GROUP BY ALL),
-    judged AS (SELECT family_id, window_start, CASE WHEN abs(n - m) > 0.3 * m THEN 'red' WHEN abs(n - m) > 0.15 * m THEN 'amber' ELSE 'green' END AS status
-      FROM daily JOIN (SELECT family_id, avg(n) AS m FROM daily GROUP BY family_id) USING (family_id)),
-    islands AS (SELECT *, row_number() OVER (PARTITION BY family_id ORDER BY window_start) - sum(CASE WHEN status = 'red' THEN 1 ELSE 0 END) OVER (PARTITION BY family_id ORDER BY window_start) AS island FROM judged),
-    streaks AS (SELECT family_id, window_start, status, CASE WHEN status = 'red' THEN row_number() OVER (PARTITION BY family_id, island, status = 'red' ORDER BY window_start) ELSE 0 END AS red_streak FROM islands)"""
+DAY_SECONDS = 86400
+RETIRE = 3  # silent days after which a family has no further evaluations
+
+# Scores of every (family, day) of the current half with enough points, against the reference half.
+SCORED_SQL = """
+    w AS (SELECT *, ts // 86400 * 86400 AS window_start FROM curs),
+    wn AS (SELECT family_id, window_start, count(*) AS n FROM w GROUP BY ALL HAVING count(*) >= 10),
+    wd AS (SELECT family_id, window_start, dim, value, count(*) AS n FROM (
+        SELECT family_id, ts // 86400 * 86400 AS window_start, dim, value FROM dims WHERE ts >= epoch(TIMESTAMP '2024-01-16')) GROUP BY ALL),
+    wp AS (SELECT family_id, window_start, dim, value, n / sum(n) OVER (PARTITION BY family_id, window_start, dim) AS q FROM wd),
+    rp AS (SELECT r.family_id, wn.window_start, r.dim, r.value, r.p FROM rdims r JOIN wn ON wn.family_id = r.family_id),
+    al AS (SELECT coalesce(rp.family_id, x.family_id) AS family_id, coalesce(rp.window_start, x.window_start) AS window_start, coalesce(rp.dim, x.dim) AS dim,
+        coalesce(rp.p, 0) AS p, coalesce(x.q, 0) AS q FROM rp FULL JOIN (SELECT wp.* FROM wp JOIN wn ON wn.family_id = wp.family_id AND wn.window_start = wp.window_start) x
+        ON rp.family_id = x.family_id AND rp.window_start = x.window_start AND rp.dim = x.dim AND rp.value = x.value),
+    jd AS (SELECT family_id, window_start, dim, max(p) > 0 AS in_ref, CASE WHEN max(p) = 0 OR max(q) = 0 THEN 1.0 ELSE greatest(0.0, sum(
+        CASE WHEN p > 0 THEN p * ln(p / ((p + q) / 2)) ELSE 0 END + CASE WHEN q > 0 THEN q * ln(q / ((p + q) / 2)) ELSE 0 END) / (2 * ln(2))) END AS js FROM al GROUP BY family_id, window_start, dim),
+    jf AS (SELECT family_id, window_start, max(js) FILTER (dim = 'source') AS js_source, coalesce(avg(js) FILTER (dim LIKE 'tag:%' AND in_ref), 0) AS js_tags_avg FROM jd GROUP BY family_id, window_start),
+    wq AS (SELECT family_id, window_start, quantile_cont(value, [0.01, 0.05, 0.5, 0.95, 0.99]) AS v FROM w GROUP BY ALL),
+    ws AS (SELECT wq.family_id, wq.window_start, (abs(rq.v[1] - wq.v[1]) + abs(rq.v[2] - wq.v[2]) + abs(rq.v[3] - wq.v[3]) + abs(rq.v[4] - wq.v[4]) + abs(rq.v[5] - wq.v[5])) / 5 / (rq.v[5] - rq.v[1]) AS wasserstein
+        FROM wq JOIN rq ON rq.family_id = wq.family_id),
+    wk AS (SELECT family_id, window_start, greatest(0.0, max(greatest(p - f_at, f_below - p))) AS ks_size FROM (
+        SELECT w.family_id, w.window_start, p, avg(CASE WHEN line_length <= q THEN 1.0 ELSE 0 END) AS f_at, avg(CASE WHEN line_length < q THEN 1.0 ELSE 0 END) AS f_below
+        FROM w JOIN (SELECT family_id, unnest(s) AS q, unnest([0.01, 0.05, 0.5, 0.95, 0.99]) AS p FROM rq) k ON k.family_id = w.family_id GROUP BY w.family_id, w.window_start, p, q) GROUP BY family_id, window_start),
+    scored AS (SELECT wn.family_id, wn.window_start, wn.n, js_source, js_tags_avg, (js_source + js_tags_avg) / 2 AS js_categorical, wasserstein, ks_size
+        FROM wn JOIN jf ON jf.family_id = wn.family_id AND jf.window_start = wn.window_start JOIN ws ON ws.family_id = wn.family_id AND ws.window_start = wn.window_start
+        JOIN wk ON wk.family_id = wn.family_id AND wk.window_start = wn.window_start),
+    stat AS (SELECT *, CASE WHEN js_categorical > 0.05 OR wasserstein > 0.1 OR ks_size > 0.05 THEN 'red'
+        WHEN js_categorical > 0.025 OR wasserstein > 0.05 OR ks_size > 0.025 THEN 'amber' ELSE 'green' END AS status FROM scored)"""
+
+# Evaluations: scored days, and up to RETIRE insufficient ones after each where no score follows.
+STREAK_SQL = f"""{SCORED_SQL},
+    nxt AS (SELECT *, lead(window_start) OVER (PARTITION BY family_id ORDER BY window_start) AS nx FROM stat),
+    evaluated AS (SELECT family_id, start AS window_start, CASE WHEN start = own THEN status ELSE 'insufficient' END AS status FROM (
+      SELECT family_id, window_start AS own, status, unnest(range(window_start, least(window_start + {RETIRE * DAY_SECONDS}, coalesce(nx - {DAY_SECONDS}, window_start + {RETIRE * DAY_SECONDS})) + 1, {DAY_SECONDS})) AS start FROM nxt)),
+    isl AS (SELECT *, row_number() OVER (PARTITION BY family_id ORDER BY window_start) - sum(CASE WHEN status = 'red' THEN 1 ELSE 0 END) OVER (PARTITION BY family_id ORDER BY window_start) AS island FROM evaluated),
+    streaks AS (SELECT family_id, window_start, status, CASE WHEN status = 'red' THEN row_number() OVER (PARTITION BY family_id, island, status = 'red' ORDER BY window_start) ELSE 0 END AS red_streak FROM isl)"""
 
 
 def judged_days(spark, d) -> DataFrame:
-    daily = t.points(spark, d).groupBy("family_id", (F.floor(c("ts") / 86400) * 86400).alias("window_start")).agg(F.count("*").alias("n"))
-    mean = daily.groupBy("family_id").agg(F.avg("n").alias("m"))
-    off = F.abs(c("n") - c("m"))
-    return daily.join(mean, "family_id").select(
-        *DAY, F.when(off > 0.3 * c("m"), "red").when(off > 0.15 * c("m"), "amber").otherwise("green").alias("status")
-    )
+    """Real scores of every day, silent days included."""
+    ref, cur = t.reference_and_current(spark, d)
+    days = cur.withColumn("window_start", (F.floor(c("ts") / DAY_SECONDS) * DAY_SECONDS).cast("bigint"))
+    counts = materialize(C.value_counts(D.long_form(days, *DAY), [*DAY, "dim"], "value"), "day-counts")
+    scored = materialize(jobs.score_windows(ref_profile(ref), counts), "day-scores")
+    return V.fill_silent(scored, FAM, "window_start", DAY_SECONDS, RETIRE)
 
 
 @query("win_red_streak", f"WITH {STREAK_SQL} SELECT family_id, window_start, status, red_streak FROM streaks")
@@ -194,11 +223,11 @@ def _(spark, d):
     return V.red_streaks(judged_days(spark, d), FAM, "window_start")
 
 
-@query(
-    "alert_counts",
-    f"""WITH {STREAK_SQL} SELECT window_start, count(*) FILTER (status = 'red' AND red_streak >= 15) AS critical,
-        count(*) FILTER (status = 'amber') AS warning, count(*) FILTER (status = 'red') AS info FROM streaks GROUP BY window_start""",
-)
+ALERT_SQL = f"""WITH {STREAK_SQL} SELECT window_start, count(*) FILTER (status = 'red' AND red_streak >= 15) AS critical,
+        count(*) FILTER (status = 'amber') AS warning, count(*) FILTER (status = 'red') AS info, count(*) FILTER (status = 'insufficient') AS insufficient FROM streaks GROUP BY window_start"""
+
+
+@query("alert_counts", ALERT_SQL)
 def _(spark, d):
     return V.alert_counts(V.red_streaks(judged_days(spark, d), FAM, "window_start"), "window_start")
 

@@ -8,13 +8,14 @@ from typing import Any
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from metricloom.operators import divergence as V
 from metricloom.plans.aggregates import DELTA_SQL
 from metricloom.plans.catalog import query
-from metricloom.plans.comparison import ref_profile
+from metricloom.plans.comparison import ALERT_SQL, DAY_SECONDS, RETIRE, SCORED_SQL, STREAK_SQL, ref_profile
 from metricloom.session import work_dir
 from metricloom.sources import captures
 from metricloom.sources import tables as t
-from metricloom.streaming import jobs
+from metricloom.streaming import jobs, stateful
 
 c = F.col
 FLUSH = 86400 * 400  # seconds past the newest row, enough to close every window
@@ -54,12 +55,12 @@ def closing(points: DataFrame, steps: int = 1) -> DataFrame:
     )
 
 
-def replayed_table(points: DataFrame, name: str, build: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def replayed_table(points: DataFrame, name: str, build: Callable[[DataFrame], DataFrame], state: dict[str, str] | None = None) -> DataFrame:
     """The table a stateful stream leaves after a replay; fails if the watermark dropped a row."""
     out, checkpoint = work_dir(points.sparkSession, name), work_dir(points.sparkSession, name + "-checkpoint")
 
     def run(stream: DataFrame) -> DataFrame:
-        table, progress = jobs.run_to_table(build(stream), name, path=out, checkpoint=checkpoint)
+        table, progress = jobs.run_to_table(build(stream), name, state=state, path=out, checkpoint=checkpoint)
         if late := jobs.dropped_late(progress):
             raise RuntimeError(f"{late} rows came behind the watermark")
         return table
@@ -117,7 +118,7 @@ def _(spark, d):
     return out.filter(c("family_id") != "flush")
 
 
-SLIDES = "(SELECT *, unnest(range(ts // 21600 - 3, ts // 21600 + 1)) * 21600 AS window_start FROM dims)"
+SLIDES = "(SELECT *, unnest(range(ts // 60 - 4, ts // 60 + 1)) * 60 AS window_start FROM dims)"
 
 
 @query(
@@ -125,39 +126,13 @@ SLIDES = "(SELECT *, unnest(range(ts // 21600 - 3, ts // 21600 + 1)) * 21600 AS
     f"SELECT family_id, window_start, dim, value, count(*) AS n FROM {SLIDES} GROUP BY ALL",
 )
 def _(spark, d):
-    """One-day windows every six hours; the table's events are too sparse for five minutes."""
+    """Five-minute windows every minute, put together from minute panes."""
     out = replayed_table(
-        t.with_series(t.points(spark, d)), "sliding", lambda p: jobs.sliding_counts(p, "1 day", "6 hours", "1 hour")
+        t.with_series(t.points(spark, d)), "sliding", lambda p: stateful.pane_counts(p, 300, 60, "1 hour"), jobs.ROCKSDB
     )
     return out.filter((c("family_id") != "flush") & ~c("dim").isin("value", "size"))
 
 
-SCORED_SQL = """
-    w AS (SELECT *, ts // 86400 * 86400 AS window_start FROM curs),
-    wn AS (SELECT family_id, window_start, count(*) AS n FROM w GROUP BY ALL HAVING count(*) >= 10),
-    wd AS (SELECT family_id, window_start, dim, value, count(*) AS n FROM (
-        SELECT family_id, ts // 86400 * 86400 AS window_start, dim, value FROM dims WHERE ts >= epoch(TIMESTAMP '2024-01-16')) GROUP BY ALL),
-    wp AS (SELECT family_id, window_start, dim, value, n / sum(n) OVER (PARTITION BY family_id, window_start, dim) AS q FROM wd),
-    rp AS (SELECT r.family_id, wn.window_start, r.dim, r.value, r.p FROM rdims r JOIN wn ON wn.family_id = r.family_id),
-    al AS (SELECT coalesce(rp.family_id, x.family_id) AS family_id, coalesce(rp.window_start, x.window_start) AS window_start, coalesce(rp.dim, x.dim) AS dim,
-        coalesce(rp.p, 0) AS p, coalesce(x.q, 0) AS q FROM rp FULL JOIN (SELECT wp.* FROM wp JOIN wn ON wn.family_id = wp.family_id AND wn.window_start = wp.window_start) x
-        ON rp.family_id = x.family_id AND rp.window_start = x.window_start AND rp.dim = x.dim AND rp.value = x.value),
-    jd AS (SELECT family_id, window_start, dim, max(p) > 0 AS in_ref, CASE WHEN max(p) = 0 OR max(q) = 0 THEN 1.0 ELSE greatest(0.0, sum(
-        CASE WHEN p > 0 THEN p * ln(p / ((p + q) / 2)) ELSE 0 END + CASE WHEN q > 0 THEN q * ln(q / ((p + q) / 2)) ELSE 0 END) / (2 * ln(2))) END AS js FROM al GROUP BY family_id, window_start, dim),
-    jf AS (SELECT family_id, window_start, max(js) FILTER (dim = 'source') AS js_source, coalesce(avg(js) FILTER (dim LIKE 'tag:%' AND in_ref), 0) AS js_tags_avg FROM jd GROUP BY family_id, window_start),
-    wq AS (SELECT family_id, window_start, quantile_cont(value, [0.01, 0.05, 0.5, 0.95, 0.99]) AS v FROM w GROUP BY ALL),
-    ws AS (SELECT wq.family_id, wq.window_start, (abs(rq.v[1] - wq.v[1]) + abs(rq.v[2] - wq.v[2]) + abs(rq.v[3] - wq.v[3]) + abs(rq.v[4] - wq.v[4]) + abs(rq.v[5] - wq.v[5])) / 5 / (rq.v[5] - rq.v[1]) AS wasserstein
-        FROM wq JOIN rq ON rq.family_id = wq.family_id),
-    wk AS (SELECT family_id, window_start, greatest(0.0, max(greatest(p - f_at, f_below - p))) AS ks_size FROM (
-        SELECT w.family_id, w.window_start, p, avg(CASE WHEN line_length <= q THEN 1.0 ELSE 0 END) AS f_at, avg(CASE WHEN line_length < q THEN 1.0 ELSE 0 END) AS f_below
-        FROM w JOIN (SELECT family_id, unnest(s) AS q, unnest([0.01, 0.05, 0.5, 0.95, 0.99]) AS p FROM rq) k ON k.family_id = w.family_id GROUP BY w.family_id, w.window_start, p, q) GROUP BY family_id, window_start),
-    scored AS (SELECT wn.family_id, wn.window_start, wn.n, js_source, js_tags_avg, (js_source + js_tags_avg) / 2 AS js_categorical, wasserstein, ks_size
-        FROM wn JOIN jf ON jf.family_id = wn.family_id AND jf.window_start = wn.window_start JOIN ws ON ws.family_id = wn.family_id AND ws.window_start = wn.window_start
-        JOIN wk ON wk.family_id = wn.family_id AND wk.window_start = wn.window_start),
-    stat AS (SELECT *, CASE WHEN js_categorical > 0.05 OR wasserstein > 0.1 OR ks_size > 0.05 THEN 'red'
-        WHEN js_categorical > 0.025 OR wasserstein > 0.05 OR ks_size > 0.025 THEN 'amber' ELSE 'green' END AS status FROM scored)"""
-
-
 def scored_days(spark, d) -> DataFrame:
     """Daily windows of the current half, scored as they close."""
     ref, cur = t.reference_and_current(spark, d)
@@ -181,21 +156,113 @@ def _(spark, d):
     return scored_days(spark, d).select("family_id", "window_start", "n", "js_categorical", "wasserstein", "ks_size", "status")
 
 
+MINUTE_SQL = """
+    w AS (SELECT *, unnest(range(ts // 60 - 4, ts // 60 + 1)) * 60 AS window_start FROM curs),
+    wd AS (SELECT family_id, window_start, dim, value, count(*) AS n FROM (
+        SELECT *, unnest(range(ts // 60 - 4, ts // 60 + 1)) * 60 AS window_start FROM dims WHERE ts >= epoch(TIMESTAMP '2024-01-16')) GROUP BY ALL),
+    wn AS (SELECT family_id, window_start, CAST(sum(n) AS BIGINT) AS n FROM wd WHERE dim = 'source' GROUP BY ALL),
+    wp AS (SELECT family_id, window_start, dim, value, n / sum(n) OVER (PARTITION BY family_id, window_start, dim) AS q FROM wd),
+    al AS (SELECT wp.*, coalesce(p, 0) AS p FROM wp LEFT JOIN rdims USING (family_id, dim, value)),
+    rd AS (SELECT DISTINCT family_id, dim FROM rdims),
+    jd AS (SELECT al.family_id, window_start, al.dim, any_value(rd.dim) IS NOT NULL AS in_ref, CASE WHEN any_value(rd.dim) IS NULL THEN 1.0 ELSE
+        greatest(0.0, (sum(CASE WHEN p > 0 THEN p * ln(p / ((p + q) / 2)) ELSE 0 END + q * ln(q / ((p + q) / 2))) + ln(2) * greatest(0.0, 1 - sum(p))) / (2 * ln(2))) END AS js
+        FROM al LEFT JOIN rd ON rd.family_id = al.family_id AND rd.dim = al.dim GROUP BY al.family_id, window_start, al.dim),
+    jf AS (SELECT family_id, window_start, max(js) FILTER (dim = 'source') AS js_source,
+        coalesce(sum(js) FILTER (dim LIKE 'tag:%' AND in_ref), 0) AS s, count(*) FILTER (dim LIKE 'tag:%' AND in_ref) AS met FROM jd GROUP BY ALL),
+    tagged AS (SELECT family_id, count(*) AS tags FROM rd WHERE dim LIKE 'tag:%' GROUP BY family_id),
+    jc AS (SELECT jf.family_id, window_start, (js_source + coalesce((s + tags - met) / tags, 0)) / 2 AS js_categorical FROM jf LEFT JOIN tagged USING (family_id)),
+    wq AS (SELECT family_id, window_start, quantile_cont(value, [0.01, 0.05, 0.5, 0.95, 0.99]) AS v FROM w GROUP BY ALL),
+    ws AS (SELECT wq.family_id, wq.window_start, (abs(rq.v[1] - wq.v[1]) + abs(rq.v[2] - wq.v[2]) + abs(rq.v[3] - wq.v[3]) + abs(rq.v[4] - wq.v[4]) + abs(rq.v[5] - wq.v[5])) / 5
+        / CASE WHEN rq.v[5] > rq.v[1] THEN rq.v[5] - rq.v[1] ELSE 1 END AS wasserstein FROM wq JOIN rq ON rq.family_id = wq.family_id),
+    wk AS (SELECT family_id, window_start, greatest(0.0, max(greatest(p - f_at, f_below - p))) AS ks_size FROM (
+        SELECT w.family_id, w.window_start, p, avg(CASE WHEN line_length <= q THEN 1.0 ELSE 0 END) AS f_at, avg(CASE WHEN line_length < q THEN 1.0 ELSE 0 END) AS f_below
+        FROM w JOIN (SELECT family_id, unnest(s) AS q, unnest([0.01, 0.05, 0.5, 0.95, 0.99]) AS p FROM rq) k ON k.family_id = w.family_id GROUP BY w.family_id, w.window_start, p, q) GROUP BY family_id, window_start)
+    SELECT wn.family_id, wn.window_start, wn.n, js_categorical, wasserstein, ks_size,
+        CASE WHEN coalesce(js_categorical > 0.05, false) OR coalesce(wasserstein > 0.1, false) OR coalesce(ks_size > 0.05, false) THEN 'red'
+        WHEN coalesce(js_categorical > 0.025, false) OR coalesce(wasserstein > 0.05, false) OR coalesce(ks_size > 0.025, false) THEN 'amber' ELSE 'green' END AS status
+    FROM wn LEFT JOIN jc USING (family_id, window_start) LEFT JOIN ws USING (family_id, window_start) LEFT JOIN wk USING (family_id, window_start)"""
+
+
+@query("stream_divergence_minute", f"WITH {MINUTE_SQL}")
+def _(spark, d):
+    """Five-minute windows scored every minute; at this table's density a window is scored from one point on."""
+    ref, cur = t.reference_and_current(spark, d)
+    path, checkpoint = work_dir(spark, "minute-scores"), work_dir(spark, "minute-scores-checkpoint")
+    profile = ref_profile(ref)
+
+    def run(stream: DataFrame) -> DataFrame:
+        counts = stateful.pane_counts(stream, 300, 60, "1 hour")
+        return jobs.run_scores(counts, profile, "minute-scores", 1, path, checkpoint, allow_late=False, state=jobs.ROCKSDB)
+
+    out = replayed(t.with_series(cur), "minute-in", run)
+    return out.filter(c("family_id") != "flush").select("family_id", "window_start", "n", "js_categorical", "wasserstein", "ks_size", "status")
+
+
+def evaluated_days(spark, d) -> DataFrame:
+    """Evaluations of scored days that arrive as a stream of their own; silent days by timers."""
+    scored = scored_days(spark, d).select("family_id", "window_start", "status")
+    path, out, checkpoint = (work_dir(spark, x) for x in ("scored", "evaluated", "evaluated-checkpoint"))
+    scored.write.parquet(f"{path}/step=1")
+    end = scored.agg((F.coalesce(F.max("window_start"), F.lit(0).cast("bigint")) + FLUSH).alias("window_start"))
+    end = end.select(F.lit("flush").alias("family_id"), "window_start", F.lit("green").alias("status"))
+    for step in (1, 2):
+        if step == 2:
+            end.write.parquet(f"{path}/step=2")
+        stream = read_back(spark, scored.schema, path)
+        table, _ = jobs.run_to_table(
+            stateful.evaluations(stream, DAY_SECONDS, DAY_SECONDS, retire=RETIRE), "evaluated", state=jobs.ROCKSDB, path=out, checkpoint=checkpoint
+        )
+    return table.filter((c("family_id") != "flush") & ~c("late"))
+
+
+@query("stream_red_streak", f"WITH {STREAK_SQL} SELECT family_id, window_start, status, red_streak, red_streak >= {V.CRITICAL_STREAK} AS critical FROM streaks")
+def _(spark, d):
+    """Streaks of red evaluations; a silent day ends one."""
+    return evaluated_days(spark, d).drop("late")
+
+
+@query("stream_alert_counts", ALERT_SQL)
+def _(spark, d):
+    return V.alert_counts(evaluated_days(spark, d), "window_start")
+
+
+STEPS = 4
+LATE_SECONDS = 3600
+
+
 @query(
-    "stream_red_streak",
-    f"""WITH {SCORED_SQL},
-        isl AS (SELECT *, row_number() OVER (PARTITION BY family_id ORDER BY window_start) - sum(CASE WHEN status = 'red' THEN 1 ELSE 0 END) OVER (PARTITION BY family_id ORDER BY window_start) AS island FROM stat)
-        SELECT family_id, window_start, status, red_streak, red_streak >= 15 AS critical FROM (
-          SELECT *, CASE WHEN status = 'red' THEN row_number() OVER (PARTITION BY family_id, island, status = 'red' ORDER BY window_start) ELSE 0 END AS red_streak FROM isl)""",
+    "stream_late_rows",
+    f"""WITH dealt AS (SELECT *, row_id * 7919 % {STEPS} AS step FROM points),
+        mark AS (SELECT step, max(m) OVER (ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - {LATE_SECONDS} AS mark FROM (SELECT step, max(ts) AS m FROM dealt GROUP BY step))
+        SELECT row_id, family_id, value, ts, coalesce(ts < mark, false) AS late, CASE WHEN ts < mark THEN mark - ts ELSE 0 END AS delay FROM dealt JOIN mark USING (step)""",
 )
 def _(spark, d):
-    """Stateful streak over scored windows that arrive as a stream of their own."""
-    path = work_dir(spark, "scored")
-    scored = scored_days(spark, d).select("family_id", "window_start", "status")
-    scored.write.parquet(path)
-    stream = spark.readStream.schema(scored.schema).parquet(path)
-    out, _ = jobs.run_to_table(jobs.red_streaks(stream), "streaks", state=jobs.ROCKSDB)
-    return out.drop("late")
+    """Rows in shuffled files, one file set a batch: on-time and late rows together are the input."""
+    p = t.points(spark, d).drop("tags")
+    path, out, checkpoint = (work_dir(spark, x) for x in ("shuffled", "split", "split-checkpoint"))
+    for step in range(STEPS):
+        p.filter(c("row_id") * 7919 % STEPS == step).write.parquet(f"{path}/step={step}")
+        stream = stateful.split_late(read_back(spark, p.schema, path), f"{LATE_SECONDS} seconds")
+        table, progress = jobs.run_to_table(stream, "split", state=jobs.ROCKSDB, path=out, checkpoint=checkpoint)
+        if jobs.dropped_late(progress):
+            raise RuntimeError("a row was dropped")
+    return table.select("row_id", "family_id", "value", "ts", "late", "delay")
+
+
+@query(
+    "stream_last_n_samples",
+    "SELECT family_id, row_id, rank FROM (SELECT family_id, row_id, row_number() OVER (PARTITION BY family_id ORDER BY ts DESC, row_id DESC) AS rank FROM points) WHERE rank <= 10000",
+)
+def _(spark, d):
+    """The newest 10,000 points of each family, kept as stream state over restarts."""
+    p = t.points(spark, d).select("family_id", "ts", "row_id")
+    path, out, checkpoint = (work_dir(spark, x) for x in ("samples", "newest", "newest-checkpoint"))
+    order = ["ts", "row_id"]
+    for step in range(STEPS):
+        p.filter(c("row_id") * 7919 % STEPS == step).write.parquet(f"{path}/step={step}")
+        stream = stateful.newest_rows(read_back(spark, p.schema, path), ["family_id"], order)
+        table, _ = jobs.run_to_table(stream, "newest", "append", jobs.ROCKSDB, out, checkpoint)
+    return stateful.latest_rows(table, ["family_id"], order).select("family_id", "row_id", "rank")
 
 
 @query("stream_late_data", "SELECT count(*) AS lines_counted, count(*) FILTER (row_id % 10 = 0) AS late_lines, true AS some_dropped FROM points")

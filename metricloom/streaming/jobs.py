@@ -75,10 +75,11 @@ def score_windows(reference: dict[str, DataFrame], counts: DataFrame, min_sample
         cur["dims"].filter(F.col("dim") == SOURCE).groupBy(*keys).agg(F.sum("n").alias("_n"))
         .filter(F.col("_n") >= min_samples).select(*keys)
     )
-    ref = {name: frame.join(windows, "family_id") for name, frame in reference.items()}
+    # one row of quantiles for each window; the reference's values are not copied
+    ref = {name: reference[name].join(windows, "family_id") for name in ("value_q", "size_q")}
     kept = {name: frame.join(windows, keys, "left_semi") for name, frame in cur.items()}
     kept["value_q"] = exact_quantiles(kept["values"], keys, "value")
-    return V.score(ref, kept, keys, min_samples)
+    return V.score(ref, kept, keys, min_samples, js=V.js_windows(reference["dims"], kept["dims"], keys, ["family_id"]))
 
 
 def start_to_table(
@@ -131,6 +132,7 @@ def settings(spark: SparkSession, values: dict[str, str]):
 def run_scores(
     counts: DataFrame, reference: dict[str, DataFrame], name: str, min_samples: int = V.MIN_SAMPLES,
     path: str | None = None, checkpoint: str | None = None, trigger: dict[str, Any] | None = None, allow_late: bool = True,
+    state: dict[str, str] | None = None,
 ) -> DataFrame:
     """Score closed windows batch by batch; resumes with the same ``path`` and ``checkpoint``.
 
@@ -155,11 +157,10 @@ def run_scores(
         if not windows.isEmpty():
             score_windows(fixed, windows, min_samples).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
-    query = (
-        counts.writeStream.outputMode("append").foreachBatch(each)
-        .option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
-    )
-    query.awaitTermination()
+    writer = counts.writeStream.outputMode("append").foreachBatch(each).option("checkpointLocation", checkpoint)
+    with settings(spark, state or {}):
+        query = writer.trigger(**(trigger or {"availableNow": True})).start()
+        query.awaitTermination()
     late = dropped_late([p if isinstance(p, dict) else p.jsonValue for p in query.recentProgress])
     if late and not allow_late:
         raise RuntimeError(f"{late} rows came behind the watermark")
