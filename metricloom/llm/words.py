@@ -13,8 +13,8 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 2 << 20  # text bytes worked on at once
-PIECE_BYTES = 4 << 20  # longest stretch of one text hashed at once
+SLICE_BYTES = 1 << 19  # text bytes worked on at once
+PIECE_BYTES = 1 << 19  # longest stretch of one text hashed at once
 
 SPACES = np.zeros(256, bool)  # the six ASCII white space bytes
 SPACES[[0x09, 0x0A, 0x0B, 0x0C, 0x0D, 0x20]] = True
