@@ -16,7 +16,7 @@ FUNCTIONS = {
         "transform(map_entries(tags), e -> concat(e.key, '=', e.value))), ',')))"
     ),
     "telemetry_uniform(seed STRING, row_key STRING, dim STRING) RETURNS DOUBLE": (
-        "cast(conv(substr(md5(concat_ws('|', seed, row_key, dim)), 1, 8), 16, 10) as double) / 4294967296.0"
+        "cast(conv(substr(md5(concat_ws('|', seed, row_key, dim)), 1, 13), 16, 10) as double) / 4503599627370496.0"
     ),
     "minute_of_day(ts BIGINT) RETURNS INT": "cast(floor(pmod(ts, 86400) / 60) as int)",
 }

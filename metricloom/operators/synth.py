@@ -40,35 +40,46 @@ def item_arrays(items: DataFrame, keys: list[str], value: str, weight: str, orde
     )
 
 
-def draw_values(rows: DataFrame, counts: DataFrame, keys: list[str], value: str, u: str, out: str) -> DataFrame:
-    """Adds ``out``: a value of the row's key, drawn by its count from all values of the key.
+def running_counts(counts: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """(keys, _v, n, _lo, _hi): running counts of all values of a key in the order of their md5.
 
-    ``counts`` holds (keys, value, n), ``u`` names a uniform column. Values stand in the order of
-    their md5. Two levels of 256 running sums lead to a small slot of values, so a key may have any
-    number of values and no row meets more than a slot of them.
+    Two levels: first within the values that share four hexadecimal digits, then over those groups,
+    so no window sees more than 65,536 rows of a key, or one group.
     """
     place = F.md5(F.col(value).cast("string"))
-    items = counts.select(*keys, F.col(value).alias("_v"), "n", F.substring(place, 1, 2).alias("_a"), F.substring(place, 3, 2).alias("_b"), place.alias("_p"))
-    slots = items.groupBy(*keys, "_a", "_b").agg(F.sum("n").alias("n"))
-    upto = W.partitionBy(*keys, "_a", "_b").orderBy("_p", "_v").rowsBetween(W.unboundedPreceding, 0)
-    items = items.withColumn("_hi", F.sum("n").over(upto)).withColumn("_lo", F.col("_hi") - F.col("n"))
+    items = counts.select(*keys, F.col(value).alias("_v"), "n", F.substring(place, 1, 4).alias("_g"), place.alias("_p"))
+    groups = with_cumulative(items.groupBy(*keys, "_g").agg(F.sum("n").alias("_gn")), keys, "_gn", ["_g"])
+    groups = groups.select(*keys, "_g", (F.col("cum") - F.col("_gn")).alias("_before"))
+    inside = W.partitionBy(*keys, "_g").orderBy("_p", "_v").rowsBetween(W.unboundedPreceding, 0)
+    out = items.withColumn("_in", F.sum("n").over(inside)).join(groups, [*keys, "_g"])
+    return out.select(*keys, "_v", "n", (F.col("_before") + F.col("_in") - F.col("n")).alias("_lo"), (F.col("_before") + F.col("_in")).alias("_hi"))
+
 
-    def sums(table: DataFrame, by: list[str], name: str) -> DataFrame:
-        running = with_cumulative(table, by, "n", [name])
-        packed = F.sort_array(F.collect_list(F.struct("cum", F.col(name).alias("slot"), (F.col("cum") - F.col("n")).alias("before"))))
-        return running.groupBy(*by).agg(packed.alias("_sums"))
+def draw_values(rows: DataFrame, counts: DataFrame, keys: list[str], value: str, u: str, out: str, how: str = "inner") -> DataFrame:
+    """Adds ``out``: a value of the row's key, drawn by its count from all values of the key.
+
+    ``counts`` holds (keys, value, n), ``u`` names a uniform column. The whole count of a key is cut
+    into as many equal stretches as it has values; every value is listed under the stretches it
+    reaches into, two per stretch on average, and a row looks up its own stretch. So a row meets one
+    small table of totals and one equi join, however many values its key has, and a hot key is
+    spread over its stretches. With ``how`` "left", rows of keys without counts stay, with null.
+    """
+    totals = counts.groupBy(*keys).agg(F.sum("n").alias("_total"), F.count("*").alias("_cuts"))
+    placed = rows.join(totals, keys, how).withColumn("_t", F.col(u) * F.col("_total"))
 
-    def step(table: DataFrame, name: str) -> DataFrame:
-        first = F.try_element_at(F.filter("_sums", lambda x: x["cum"] >= F.col("_t")), F.lit(1))
-        found = table.withColumn("_s", F.coalesce(first, F.element_at("_sums", -1)))
-        return found.withColumns({name: F.col("_s.slot"), "_t": F.col("_t") - F.col("_s.before")}).drop("_s", "_sums")
+    def stretch(x: Column) -> Column:
+        return F.least(F.floor(x * F.col("_cuts") / F.col("_total")), F.col("_cuts") - 1)
 
-    top = sums(slots.groupBy(*keys, "_a").agg(F.sum("n").alias("n")), keys, "_a")
-    placed = rows.join(top, keys).withColumn("_t", F.col(u) * F.element_at("_sums", -1)["cum"])
-    placed = step(step(placed, "_a").join(sums(slots, [*keys, "_a"], "_b"), [*keys, "_a"]), "_b")
-    items = items.select(*keys, "_a", "_b", "_v", "_hi", "_lo")
-    inside = placed.join(items, [*keys, "_a", "_b"]).where((F.col("_hi") >= F.col("_t")) & ((F.col("_lo") < F.col("_t")) | (F.col("_lo") == 0)))
-    return inside.select(*rows.columns, F.col("_v").alias(out))
+    items = running_counts(counts, keys, value).join(totals, keys)
+    items = items.select(*keys, "_v", "_lo", "_hi", F.explode(F.sequence(stretch(F.col("_lo")), stretch(F.col("_hi")))).alias("_cut"))
+    placed = placed.withColumn("_cut", stretch(F.col("_t")))
+    left, right = placed.alias("r"), items.alias("i")
+    same = [F.col(f"r.{k}") == F.col(f"i.{k}") for k in [*keys, "_cut"]]
+    hit = (F.col("i._hi") >= F.col("r._t")) & ((F.col("i._lo") < F.col("r._t")) | (F.col("i._lo") == 0))
+    on = hit
+    for x in same:
+        on = on & x
+    return left.join(right, on, how).select(*[F.col(f"r.{x}").alias(x) for x in rows.columns], F.col("i._v").alias(out))
 
 
 def quantile_value(u: Column, q: Column | None = None) -> Column:
@@ -145,36 +156,35 @@ def fallback_value(key: Column, seed, row: Column) -> Column:
     )
 
 
-def draw_source(items: Column, patterns: Column, seed, row: Column) -> Column:
-    """Distribution first, then pattern, then ``host-N``."""
+def draw_source(drawn: Column, patterns: Column, seed, row: Column) -> Column:
+    """The value drawn from the distribution first, then a pattern, then ``host-N``."""
     return F.coalesce(
-        pick(items, uniform(seed, row, "source")),
+        drawn,
         expand_pattern(pick(patterns, uniform(seed, row, "source-pattern")), seed, row),
         F.concat(F.lit("host-"), integer(uniform(seed, row, "host"), 1000).cast("string")),
     )
 
 
-def draw_tags(tag_items: Column, seed, row: Column) -> Column:
-    """Each key joins with its presence probability.
+def draw_dims(rows: DataFrame, counts: DataFrame, keys: list[str], seed, row: str = "row_key", also: list[str] | None = None) -> DataFrame:
+    """(keys, row, also, source, tags) of every row, drawn from all values of every dimension.
 
-    ``tag_items`` is ``array<struct<key, presence, items>>``; a key without items falls back to a
-    keyword default.
+    ``rows`` holds keys, ``row`` and ``tag_keys`` array<struct<key, presence>>; ``counts`` holds
+    (keys, dim, value, n). Each tag key joins with its presence probability; all picks of all rows
+    are drawn in one pass over (row, dimension) and put together again by row. A tag key without
+    values falls back to a keyword default; a source without values stays null.
     """
-    chosen = F.filter(
-        tag_items, lambda t: uniform(seed, row, F.concat(F.lit("has:"), t["key"])) < t["presence"]
+    at, also = F.col(row), also or []
+    has = F.filter("tag_keys", lambda t: uniform(seed, at, F.concat(F.lit("has:"), t["key"])) < t["presence"])
+    own = F.array(F.struct(F.lit(SOURCE).alias("dim"), uniform(seed, at, "source").alias("_u")))
+    tags = F.transform(has, lambda t: F.struct(F.concat(F.lit(TAG), t["key"]).alias("dim"), uniform(seed, at, F.concat(F.lit("tag:"), t["key"])).alias("_u")))
+    picks = rows.select(*keys, row, *also, F.inline(F.concat(own, F.coalesce(tags, F.array().cast("array<struct<dim:string,_u:double>>")))))
+    drawn = draw_values(picks, counts, [*keys, "dim"], "value", "_u", "_drawn", "left")
+    is_tag = F.col("dim") != SOURCE
+    key = F.substr("dim", F.lit(len(TAG) + 1))
+    tag = F.when(is_tag, F.struct(key.alias("key"), F.coalesce("_drawn", fallback_value(key, seed, at)).alias("value")))
+    return drawn.groupBy(*keys, row, *also).agg(
+        F.max(F.when(~is_tag, F.col("_drawn"))).alias("source"), F.map_from_entries(F.sort_array(F.collect_list(tag))).cast(TAGS).alias("tags")
     )
-    return F.map_from_entries(
-        F.transform(
-            chosen,
-            lambda t: F.struct(
-                t["key"].alias("key"),
-                F.coalesce(
-                    pick(t["items"], uniform(seed, row, F.concat(F.lit("tag:"), t["key"]))),
-                    fallback_value(t["key"], seed, row),
-                ).alias("value"),
-            ),
-        )
-    ).cast(TAGS)
 
 
 def burst(intensity: Column, factor: Column, seed, row: Column) -> Column:
@@ -197,44 +207,34 @@ def row_budget(curve: DataFrame, base: DataFrame, keys: list[str], seed, multipl
     )
 
 
-def samplers(categories: DataFrame, presence: DataFrame, keys: list[str]) -> DataFrame:
-    """Per key: source items and the tag item list; bounded by 100 items per distribution."""
-    arrays = item_arrays(categories, [*keys, "dim"], "value", "frequency")
-    source = arrays.filter(F.col("dim") == SOURCE).select(*keys, F.col("items").alias("source_items"))
-    tags = (
-        arrays.filter(F.col("dim").startswith(TAG))
-        .withColumn("key", F.substr("dim", F.lit(len(TAG) + 1)))
-        .join(presence.select(*keys, "key", "presence"), [*keys, "key"])
-        .groupBy(*keys)
-        .agg(F.sort_array(F.collect_list(F.struct("key", "presence", "items"))).alias("tag_items"))
-    )
-    return source.join(tags, keys, "left").withColumn(
-        "tag_items",
-        F.coalesce("tag_items", F.array().cast("array<struct<key:string,presence:double,items:array<struct<value:string,weight:double,cum:double>>>>")),
-    )
+def tag_keys(presence: DataFrame, keys: list[str]) -> DataFrame:
+    """Per key: its tag keys with their presence, one entry for each tag key."""
+    return presence.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("key", "presence"))).alias("tag_keys"))
 
 
-def points(budget: DataFrame, families: DataFrame, keys: list[str], seed, day_start: int, value_scale: float = 1.0) -> DataFrame:
+def points(budget: DataFrame, families: DataFrame, counts: DataFrame, keys: list[str], seed, day_start: int, value_scale: float = 1.0) -> DataFrame:
     """Synthetic points.
 
     ``budget`` holds keys, mod (minute of day) and rows; ``families`` holds keys, metric, is_delta,
-    p01..p99, source_items and tag_items. Rows are numbered and spread first, then meet their
-    family's samplers, so the sampler arrays are not copied through a shuffle per row.
+    p01..p99 and tag_keys, and may hold source_patterns array<struct<value, weight, cum>> for
+    families without known sources; ``counts`` holds (keys, dim, value, n) with every source and tag
+    value. Rows are numbered and spread first, so a hot family is drawn by many tasks.
     """
     numbered = spread_sequence(budget.select(*keys, "mod", "rows"), [*keys, "mod"], "rows", "i")
-    rows = numbered.select(
-        *keys, "mod", F.concat_ws("|", *keys, "mod", F.col("i")).alias("row_key")
-    ).join(families, keys)
+    rows = numbered.select(*keys, F.concat_ws("|", *keys, "mod", F.col("i")).alias("row_key"), "mod")
+    wanted = rows.join(families.select(*keys, "tag_keys"), keys)
+    drawn = draw_dims(wanted, counts, keys, seed, also=["mod"]).join(families.drop("tag_keys"), keys)
     row = F.col("row_key")
     second = integer(uniform(seed, row, "second"), 60)
-    return rows.select(
+    patterns = F.col("source_patterns") if "source_patterns" in families.columns else F.lit(None).cast("array<struct<value:string,weight:double,cum:double>>")
+    return drawn.select(
         *keys,
         "row_key",
         "metric",
         (quantile_value(uniform(seed, row, "value")) * value_scale).alias("value"),
         (F.lit(day_start) + F.col("mod") * 60 + second).cast("bigint").alias("ts"),
-        draw_source(F.col("source_items"), F.lit(None).cast("array<struct<value:string,weight:double,cum:double>>"), seed, row).alias("source"),
-        draw_tags(F.col("tag_items"), seed, row).alias("tags"),
+        draw_source(F.col("source"), patterns, seed, row).alias("source"),
+        "tags",
         "is_delta",
     )
 

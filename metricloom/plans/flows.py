@@ -177,7 +177,7 @@ MINUTE_SQL = """
     wk AS (SELECT family_id, window_start, greatest(0.0, max(greatest(p - f_at, f_below - p))) AS ks_size FROM (
         SELECT w.family_id, w.window_start, p, avg(CASE WHEN line_length <= q THEN 1.0 ELSE 0 END) AS f_at, avg(CASE WHEN line_length < q THEN 1.0 ELSE 0 END) AS f_below
         FROM w JOIN (SELECT family_id, unnest(s) AS q, unnest([0.01, 0.05, 0.5, 0.95, 0.99]) AS p FROM rq) k ON k.family_id = w.family_id GROUP BY w.family_id, w.window_start, p, q) GROUP BY family_id, window_start)
-    SELECT wn.family_id, wn.window_start, wn.n, js_categorical, wasserstein, ks_size,
+    SELECT wn.family_id, wn.window_start, wn.n, round(js_categorical, 6) AS js_categorical, round(wasserstein, 6) AS wasserstein, round(ks_size, 6) AS ks_size,
         CASE WHEN coalesce(js_categorical > 0.05, false) OR coalesce(wasserstein > 0.1, false) OR coalesce(ks_size > 0.05, false) THEN 'red'
         WHEN coalesce(js_categorical > 0.025, false) OR coalesce(wasserstein > 0.05, false) OR coalesce(ks_size > 0.025, false) THEN 'amber' ELSE 'green' END AS status
     FROM wn LEFT JOIN jc USING (family_id, window_start) LEFT JOIN ws USING (family_id, window_start) LEFT JOIN wk USING (family_id, window_start)"""

@@ -9,9 +9,10 @@ from metricloom.functions import formats
 from metricloom.functions.draws import exponential, log_normal, pick, uniform
 from metricloom.operators import counts as C
 from metricloom.operators import dims as D
+from metricloom.operators import divergence as V
 from metricloom.operators import fit, patterns, synth, temporal
 from metricloom.plans.catalog import query, u
-from metricloom.plans.relations import ALLITEMS, TOPITEMS
+from metricloom.plans.relations import ALLITEMS
 from metricloom.session import materialize
 from metricloom.sources import tables as t
 
@@ -111,13 +112,12 @@ def _(spark, d):
     return made.select("row_id", F.expr("text RLIKE concat('^', pattern, '$')").alias("matches"))
 
 
-def family_samplers(p: DataFrame) -> DataFrame:
-    """One row per family: metric, flags, quantiles and item arrays."""
+def family_samplers(p: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """One row per family (metric, flags, quantiles, tag keys with presence), and all counts per dimension."""
     dims = materialize(D.dim_counts(p, FAM), "dims")
     base = p.groupBy(*FAM, "metric").agg(F.count("*").alias("samples"), F.bool_or("is_delta").alias("is_delta"))
-    presence = D.tag_schema(dims, base, FAM)
-    arrays = synth.samplers(D.categorical(dims, [*FAM, "dim"]), presence, FAM)
-    return materialize(base.join(quantile_frame(p), FAM).join(arrays, FAM), "samplers")
+    keys = synth.tag_keys(D.tag_schema(dims, base, FAM), FAM)
+    return materialize(base.join(quantile_frame(p), FAM).join(keys, FAM, "left"), "samplers"), dims
 
 
 def day_budget(p: DataFrame, multiplier: float = 1.0, burst: float | None = None) -> DataFrame:
@@ -129,7 +129,7 @@ def day_budget(p: DataFrame, multiplier: float = 1.0, burst: float | None = None
 
 def synthetic(spark, d, multiplier: float = 1.0) -> DataFrame:
     p = t.points(spark, d)
-    return synth.points(day_budget(p, multiplier), family_samplers(p), FAM, SEED, DAY0)
+    return synth.points(day_budget(p, multiplier), *family_samplers(p), FAM, SEED, DAY0)
 
 
 BUDGET_SQL = f"""
@@ -158,13 +158,13 @@ def _(spark, d):
 @query(
     "synth_tag_skew",
     """SELECT family_id, dim, value, round(power(f, 2.0) / sum(power(f, 2.0)) OVER (PARTITION BY family_id, dim), 6) AS skewed FROM (
-         SELECT family_id, dim, value, row_number() OVER (PARTITION BY family_id, dim ORDER BY n DESC, value) AS rank, n / sum(n) OVER (PARTITION BY family_id, dim) AS f FROM dimcounts)
-       WHERE rank <= 100""",
+         SELECT family_id, dim, value, n / sum(n) OVER (PARTITION BY family_id, dim) AS f FROM dimcounts)""",
 )
 def _(spark, d):
+    """Shares of all values of a dimension, sharpened by an exponent."""
     keys = [*FAM, "dim"]
-    cat = D.categorical(D.dim_counts(t.points(spark, d), FAM), keys)
-    return synth.skewed(cat, keys, F.lit(2.0)).select(*keys, "value", "skewed")
+    shares = V.shares(D.dim_counts(t.points(spark, d), FAM), keys)
+    return synth.skewed(shares, keys, F.lit(2.0), "p").select(*keys, "value", "skewed")
 
 
 def item_sql(table: str, key: str, value: str) -> str:
@@ -176,11 +176,19 @@ def item_sql(table: str, key: str, value: str) -> str:
 PICK_ON = "i.cum >= p.u * i.total AND (i.cum - i.n < p.u * i.total OR i.rank = 1)"
 
 
+def named_draw(row: str, name: str) -> str:
+    """SQL text of a uniform draw whose dimension is an expression."""
+    return f"(('0x' || substr(md5('{SEED}|' || {row} || '|' || {name}), 1, 13))::UBIGINT / 4503599627370496.0)"
+
+
+DRAWN_SQL = """
+    drawn AS (SELECT family_id, mod, family_id || '|' || mod || '|' || i AS row_key FROM (SELECT family_id, mod, unnest(range(CAST(floor(x) + CASE WHEN ur < x - floor(x) THEN 1 ELSE 0 END AS BIGINT))) AS i
+      FROM (SELECT *, base_rate * rate * 1.0 AS x FROM cell)))"""
+
+
 @query(
     "synth_source",
-    f"""WITH {BUDGET_SQL}, {TOPITEMS},
-        drawn AS (SELECT family_id, family_id || '|' || mod || '|' || i AS row_key FROM (SELECT family_id, mod, unnest(range(CAST(floor(x) + CASE WHEN ur < x - floor(x) THEN 1 ELSE 0 END AS BIGINT))) AS i
-          FROM (SELECT *, base_rate * rate * 1.0 AS x FROM cell)))
+    f"""WITH {BUDGET_SQL}, {ALLITEMS}, {DRAWN_SQL}
         SELECT p.family_id, i.value AS source, count(*) AS n FROM (SELECT *, {u('row_key', 'source', SEED)} AS u FROM drawn) p
         JOIN items i ON i.family_id = p.family_id AND {PICK_ON} GROUP BY ALL""",
 )
@@ -188,8 +196,20 @@ def _(spark, d):
     return synthetic(spark, d).groupBy(*FAM, "source").agg(F.count("*").alias("n"))
 
 
-@query("synth_tags")
+TAG_SQL = f"""
+    presence AS (SELECT family_id, key, count(*) * 1.0 / any_value(total) AS presence FROM ptags JOIN (SELECT family_id, n AS total FROM famcounts) USING (family_id) GROUP BY family_id, key),
+    chosen AS (SELECT d.family_id, d.row_key, q.key, d.family_id || chr(1) || q.key AS fk, {named_draw("d.row_key", "'tag:' || q.key")} AS u
+      FROM drawn d JOIN presence q USING (family_id) WHERE {named_draw("d.row_key", "'has:' || q.key")} < presence)"""
+TAG_ITEMS = item_sql("(SELECT family_id || chr(1) || key AS fk, value, count(*) AS n FROM ptags GROUP BY ALL)", "fk", "value")
+
+
+@query(
+    "synth_tags",
+    f"""WITH {BUDGET_SQL}, {DRAWN_SQL}, {TAG_SQL}
+        SELECT p.family_id, p.key, i.value, count(*) AS n FROM chosen p JOIN {TAG_ITEMS} i ON i.key = p.fk AND {PICK_ON} GROUP BY ALL""",
+)
 def _(spark, d):
+    """Tags of a synthetic day, drawn from all values of each key."""
     return synthetic(spark, d).select(*FAM, F.explode("tags").alias("key", "value")).groupBy(*FAM, "key", "value").agg(F.count("*").alias("n"))
 
 

@@ -61,15 +61,15 @@ class Panes(StatefulProcessor):
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
         first = None
         for frame in rows:
-            for pane, part in frame.groupby("pane"):
-                first = pane if first is None else min(first, pane)
-                new: Counter = Counter()
-                for name, n in zip(part["value"], part["n"]):
-                    new[name] += int(n)
-                self.add(int(pane), new)
+            fresh: dict[int, Counter] = {}
+            for pane, name, n in zip(frame["pane"].tolist(), frame["value"], frame["n"].tolist()):
+                fresh.setdefault(pane, Counter())[name] += n
+            for pane, new in fresh.items():
+                self.add(pane, new)
+            first = min(fresh if first is None else [first, *fresh], default=first)
         if first is not None:
             # windows that ended before have been returned without this pane, which only began later
-            self.wait(int(first) + self.step, timerValues)
+            self.wait(first + self.step, timerValues)
         yield from ()
 
     def add(self, pane: int, new: Counter) -> None:
@@ -107,13 +107,17 @@ class Panes(StatefulProcessor):
         for (pane, piece), (names, counts) in self.panes.iterator():
             held.setdefault(pane, []).append((piece, names, counts))
         ends = sorted({e for p in held for e in range(max(since, p + self.step), min(closed, p + self.size) + 1, self.step)})
+        out: list[tuple] = []
         for end in ends:
             total: Counter = Counter()
             for pane in range(end - self.size, end, self.step):
                 for _, names, counts in held.get(pane, []):
                     for name, n in zip(names, counts):
                         total[name] += n
-            yield pd.DataFrame({"family_id": key[0], "window_start": end - self.size, "dim": key[1], "value": list(total), "n": list(total.values())})
+            out += [(key[0], end - self.size, key[1], name, n) for name, n in total.items()]
+            if len(out) >= PIECE or end == ends[-1]:
+                yield pd.DataFrame(out, columns=["family_id", "window_start", "dim", "value", "n"])
+                out = []
         left = [p for p in held if p + self.size > closed]
         if len(left) < len(held):
             if left:

@@ -63,7 +63,7 @@ def test_synthetic_table_is_close_to_its_source(spark):
     """Profile, synthesise the same volume, compare: volume within 5 %, categories and values close."""
     p = t.points(spark, D).filter(F.col("is_delta"))
     days = p.select(F.countDistinct(F.floor(F.col("ts") / 86400))).first()[0]
-    s = synthesis.synth.points(synthesis.day_budget(p, days * 20.0), synthesis.family_samplers(p), ["family_id"], 9, synthesis.DAY0)
+    s = synthesis.synth.points(synthesis.day_budget(p, days * 20.0), *synthesis.family_samplers(p), ["family_id"], 9, synthesis.DAY0)
     made = t.with_line_length(s.withColumn("row_id", F.lit(0)))
     fam = ["family_id"]
     assert abs(made.count() / (p.count() * 20) - 1) < 0.05
