@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from metricloom.llm import decontaminate, language_id, minhash_dedup, mixing, substring_dedup
+from metricloom.llm.words import fresh
 from metricloom.session import materialize, prepare
 
 c = F.col
@@ -22,7 +23,7 @@ ORACLE_SQL = None
 
 
 def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is recognised; texts without letters or of no known language go."""
+    """Documents whose language is recognised; null texts and those without letters or of no known language go."""
     model = language_id.fit(docs.where(~language_id.held_out(c("doc_id"))))
     seen = language_id.identify(docs, model)
     good = (c("lang_pred") != language_id.UNKNOWN) & (c("lang_share") >= MIN_SHARE)
@@ -30,17 +31,18 @@ def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies."""
+    """One document of each group of near copies; of rows that repeat a key and a text, one."""
     groups = minhash_dedup.near_duplicates(docs, length=SHINGLE, percent=PERCENT)
     marks = groups.groupBy(c("doc_id").alias("_key")).agg(F.bool_or("kept").alias("_kept"), (F.count("*") > 1).alias("_again"))
     marks = materialize(marks.where("_kept").select("_key", "_again"), "pipeline-kept")
     own = [docs[f"`{x}`"] for x in docs.columns]
-    kept = docs.join(marks, docs["doc_id"].eqNullSafe(marks["_key"])).select(*own, marks["_again"].alias("_pipeline_again"))
+    (again,) = fresh(docs.columns, "_again")
+    kept = docs.join(marks, docs["doc_id"].eqNullSafe(marks["_key"])).select(*own, marks["_again"].alias(again))
     if marks.where("_again").isEmpty():
-        return kept.drop("_pipeline_again")
+        return kept.drop(again)
     # only rows whose key repeats are compared with each other
-    once = kept.where("_pipeline_again").dropDuplicates(["doc_id", "text"])
-    return kept.where("not _pipeline_again").union(once).drop("_pipeline_again")
+    once = kept.where(c(again)).dropDuplicates(["doc_id", "text"])
+    return kept.where(~c(again)).union(once).drop(again)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,11 +53,10 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which no benchmark item is found."""
+    """Documents in which no benchmark item is found; a null or empty text holds none."""
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     leaks = materialize(decontaminate.find_leaks(docs, items).select("doc_id").distinct(), "pipeline-leaks")
-    leaks = leaks.withColumnRenamed("doc_id", "_id")
-    return docs.join(leaks, docs["doc_id"].eqNullSafe(leaks["_id"]), "left_anti")
+    return docs.join(leaks, docs["doc_id"].eqNullSafe(leaks["doc_id"]), "left_anti")
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from metricloom.llm.words import fresh
+
 c = F.col
 UNKNOWN = "und"
 N = 3  # letters of an n-gram, word borders included
@@ -184,8 +186,9 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     (the first in order wins) give the same result each time; an empty table stays empty.
     """
     docs = docs.drop(*[x for x in ("lang_pred", "score", "lang_share") if x != text])
-    out = docs.withColumn("_lang", predict(c(text), model))
+    (found,) = fresh(docs.columns, "_lang")
+    out = docs.withColumn(found, predict(c(text), model))
     return out.select(
         *[c(f"`{x}`") for x in docs.columns],
-        c("_lang.lang").alias("lang_pred"), c("_lang.score").alias("score"), c("_lang.share").alias("lang_share"),
+        c(found)["lang"].alias("lang_pred"), c(found)["score"].alias("score"), c(found)["share"].alias("lang_share"),
     )

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from metricloom.llm.words import run_hashes, slices, words
+from metricloom.llm.words import fresh, run_hashes, slices, words
 from metricloom.session import materialize, scratch
 
 c = F.col
@@ -142,9 +142,10 @@ def remove_repeats(docs: DataFrame, text: str = "text", window: int = WINDOW, jo
     hashes, which are counted before the shuffle and met by a join that adaptive execution splits.
     """
     docs = docs.drop(*[x for x in ("n_words", "n_removed", "kept") if x != text])
-    keyed = docs.withColumns({"_t": F.xxhash64(text), "_u": F.hash(text)})
-    starts = repeated_windows(docs, text, window).select(c("t").alias("_t"), c("u").alias("_u"), c("starts").alias("_starts"))
-    keyed = keyed.join(starts, ["_t", "_u"], "left").select(*[c(f"`{x}`") for x in docs.columns], "_starts")
+    t, u, spots = fresh(docs.columns, "_t", "_u", "_starts")
+    keyed = docs.withColumns({t: F.xxhash64(text), u: F.hash(text)})
+    starts = repeated_windows(docs, text, window).select(c("t").alias(t), c("u").alias(u), c("starts").alias(spots))
+    keyed = keyed.join(starts, [t, u], "left").select(*[c(f"`{x}`") for x in docs.columns], spots)
     keep = [f for f in docs.schema.fields]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in keep) + ", n_words bigint, n_removed bigint, kept string"
 
@@ -152,7 +153,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", window: int = WINDOW, jo
         for batch in batches:
             for part in slices(batch, text):
                 w = words(part.column(text))
-                value, at = _lists(part.column("_starts"))
+                value, at = _lists(part.column(spots))
                 row = np.repeat(np.arange(part.num_rows), np.diff(at))
                 edge = np.zeros(len(w.hash) + 1, np.int64)
                 begin = w.first[row] + value

@@ -13,8 +13,8 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 1 << 19  # text bytes worked on at once
-PIECE_BYTES = 1 << 19  # longest stretch of one text hashed at once
+SLICE_BYTES = 1 << 18  # text bytes worked on at once
+PIECE_BYTES = 1 << 18  # longest stretch of one text hashed at once
 
 SPACES = np.zeros(256, bool)  # the six ASCII white space bytes
 SPACES[[0x09, 0x0A, 0x0B, 0x0C, 0x0D, 0x20]] = True
@@ -83,6 +83,18 @@ def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8)[at[0] : at[-1]], at - at[0]
 
 
+def fresh(columns: list[str], *names: str) -> list[str]:
+    """Each name, with underscores in front where a column of the table has it, whatever its case."""
+    taken = {x.lower() for x in columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Row groups of the batch with about ``limit`` text bytes each, one row at least."""
     _, at = text_bytes(batch.column(column))

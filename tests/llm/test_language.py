@@ -33,3 +33,8 @@ def test_long_text_in_pieces(monkeypatch):
     monkeypatch.setattr(L, "SAMPLE_CHARS", 17)
     assert sorted(x for part in L.grams(text) for x in part.tolist()) == whole
     assert len(whole) == sum(ch.isalpha() for ch in text)
+
+
+def test_clashing_columns(spark):
+    docs = spark.createDataFrame([(1, "the house", "en", "mine")], "doc_id bigint, text string, lang string, _LANG string")
+    assert L.identify(docs, L.Model([], L.np.zeros(1 << L.POSITIONS_LOG2, "uint64"))).first()["_LANG"] == "mine"

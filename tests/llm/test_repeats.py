@@ -37,3 +37,11 @@ def test_covers():
     for window in range(1, 80):
         period, _, length = S.cover_for(window)
         assert length + period - 1 == window and length >= 1
+
+
+def test_clashing_columns(spark):
+    words = " ".join(f"w{i}" for i in range(8))
+    docs = spark.createDataFrame([(1, words, "a", 2, "b"), (2, words, "a", 2, "b")], "doc_id bigint, text string, _t string, _U int, _starts string")
+    out = S.remove_repeats(docs, window=5)
+    assert [x for x in out.columns if x.startswith("_")] == ["_t", "_U", "_starts"]
+    assert [(r["_t"], r["_U"], r["n_removed"]) for r in out.collect()] == [("a", 2, 8), ("a", 2, 8)]
