@@ -13,13 +13,13 @@ MINUTES = 1440
 NO_TIME = -(1 << 60)  # bucket of rows without a time, before all others
 
 
-def minute_counts(df: DataFrame, keys: list[str], ts: str = "ts") -> DataFrame:
-    """Rows per minute; ``minute`` is the epoch second at its start."""
+def minute_counts(df: DataFrame, keys: list[str], ts: str = "ts", n: str | None = None) -> DataFrame:
+    """Rows per minute; ``minute`` is the epoch second at its start, ``n`` sums existing counts."""
     window = F.window(F.timestamp_seconds(ts), "1 minute")
     return (
         df.filter(F.col(ts).isNotNull())
         .groupBy(*keys, window.alias("w"))
-        .agg(F.count("*").alias("n"))
+        .agg((F.sum(n) if n else F.count("*")).alias("n"))
         .select(*keys, F.unix_timestamp("w.start").alias("minute"), "n")
     )
 
@@ -47,14 +47,14 @@ def burstiness(minutes: DataFrame, keys: list[str]) -> DataFrame:
 
     Empty minutes count as zeros; they enter through the number of minutes, not as rows.
     """
-    n = F.col("n").cast("double")
-    agg = minutes.groupBy(*keys).agg(
-        F.sum(n).alias("_s"),
-        F.sum(n * n).alias("_q"),
-        ((F.max("minute") - F.min("minute")) / 60 + 1).alias("_m"),
+    n, mean = F.col("n").cast("double"), F.col("_mean")
+    whole = minutes.groupBy(*keys).agg(((F.max("minute") - F.min("minute")) / 60 + 1).alias("_m"), F.sum(n).alias("_s"), F.count("*").alias("_k"))
+    whole = whole.select(*keys, "_m", (F.col("_s") / F.col("_m")).alias("_mean"), (F.col("_m") - F.col("_k")).alias("_empty"))
+    # squares are taken around the mean, so steady minutes with large counts keep their digits
+    agg = minutes.join(whole, keys).groupBy(*keys).agg(
+        F.sum((n - mean) * (n - mean)).alias("_ss"), F.first("_m").alias("_m"), F.first("_mean").alias("_mean"), F.first("_empty").alias("_empty")
     )
-    mean = F.col("_s") / F.col("_m")
-    var = F.greatest(F.col("_q") / F.col("_m") - mean * mean, F.lit(0.0))
+    var = (F.col("_ss") + F.col("_empty") * mean * mean) / F.col("_m")
     return agg.select(
         *keys,
         F.col("_m").cast("bigint").alias("minutes"),
@@ -87,13 +87,13 @@ def previous_in_series(
     )
 
 
-def gap_counts(df: DataFrame, keys: list[str], ts: str = "ts", bucket_seconds: int = 3600) -> DataFrame:
-    """(keys, gap) -> n over consecutive points of a key.
+def gap_counts(df: DataFrame, keys: list[str], ts: str = "ts", bucket_seconds: int = 3600, n: str | None = None) -> DataFrame:
+    """(keys, gap) -> n over consecutive points of a key; ``n`` names the counts where rows have been counted.
 
     Equal seconds are counted first (they are gaps of 0), so the windows only see distinct
     seconds.
     """
-    seconds = value_counts(df, keys, ts)
+    seconds = value_counts(df, keys, ts, n)
     linked = previous_in_series(seconds, keys, ts, [ts], bucket_seconds)
     steps = F.array(
         F.struct((F.col(ts) - F.col("prev_ts")).alias("gap"), F.lit(1).cast("bigint").alias("c")),
@@ -110,11 +110,12 @@ def gap_counts(df: DataFrame, keys: list[str], ts: str = "ts", bucket_seconds: i
 def gap_cv(gaps: DataFrame, keys: list[str]) -> DataFrame:
     """Population CV of gaps."""
     g, n = F.col("gap").cast("double"), F.col("n")
-    agg = gaps.groupBy(*keys).agg(
-        F.sum("n").alias("gaps"), F.sum(g * n).alias("_s"), F.sum(g * g * n).alias("_q")
+    mean = F.col("_mean")
+    whole = gaps.groupBy(*keys).agg(F.sum("n").alias("gaps"), (F.sum(g * n) / F.sum("n")).alias("_mean"))
+    agg = gaps.join(whole, keys).groupBy(*keys).agg(
+        F.first("gaps").alias("gaps"), F.first("_mean").alias("_mean"), F.sum((g - mean) * (g - mean) * n).alias("_ss")
     )
-    mean = F.col("_s") / F.col("gaps")
-    var = F.greatest(F.col("_q") / F.col("gaps") - mean * mean, F.lit(0.0))
+    var = F.col("_ss") / F.col("gaps")
     return agg.select(
         *keys, "gaps", mean.alias("mean_gap"), F.when(mean > 0, F.sqrt(var) / mean).alias("cv_interarrival")
     )

@@ -24,6 +24,7 @@ VERSION = "v1.0"
 FAMILY = ["family_id"]
 TOP_PAIRS = 100
 PARALLEL_PARTS = 6
+DAY = 86400
 TYPES = ["categorical", "numeric", "text", "identifier"]
 TAG_SCHEMA = "map<string,struct<type:string,presence:double,cardinality:bigint>>"
 TAG_KEY = r"^[a-zA-Z][a-zA-Z0-9_]*$"
@@ -100,15 +101,17 @@ def pattern_structs(dim_counts: DataFrame) -> DataFrame:
     )
 
 
-def fitness(points: DataFrame, cut: Column) -> DataFrame:
-    """First half of the capture against the second, per family."""
+def fitness(counts: DataFrame, cut: Column) -> DataFrame:
+    """First half of the capture against the second, per family, from day counts."""
     halves = []
-    for side in (points.filter(F.col("ts") < cut), points.filter(F.col("ts") >= cut)):
+    second_half = F.col("day") * DAY >= cut
+    for side in (counts.filter(~second_half), counts.filter(second_half)):
+        seconds = of_dim(side, "second", "ts", "bigint")
         halves.append(
             {
-                "dims": D.dim_counts(side, FAMILY),
-                "values": C.value_counts(side, FAMILY, "value"),
-                "curve": temporal.curve_points(temporal.minute_counts(side, FAMILY), FAMILY),
+                "dims": categories(side),
+                "values": of_dim(side, "value", "value", "double"),
+                "curve": temporal.curve_points(temporal.minute_counts(seconds, FAMILY, n="n"), FAMILY),
             }
         )
     ref, cur = halves
@@ -120,26 +123,84 @@ def fitness(points: DataFrame, cut: Column) -> DataFrame:
     return js.join(ks, FAMILY, "left").join(corr, FAMILY, "left")
 
 
+# --- day counts -------------------------------------------------------------------------------
+
+COMBO = "array<struct<key:string,value:string>>"
+
+
+def day_counts(points: DataFrame) -> DataFrame:
+    """(family_id, metric, day, dim, value, n): all that recipes need of the points, in one scan.
+
+    ``day`` is the number of the day of ``ts``, null where there is no time. Dimensions are source,
+    tag:<key>, value, size, second, combo (the whole tag set) and delta (one row per point). Counts
+    of different days add up, so a new day needs its own points only.
+    """
+    c = F.col
+    entries = F.sort_array(F.map_entries("tags"))
+
+    def row(dim: str, value: Column) -> Column:
+        return F.struct(F.lit(dim).alias("dim"), value.cast("string").alias("value"))
+
+    fixed = F.array(
+        row(D.SOURCE, c("source")), row("value", c("value")), row("size", c("line_length")), row("second", c("ts")),
+        row("combo", F.to_json(entries)), row("delta", F.coalesce("is_delta", F.lit(False))),
+    )
+    tags = F.transform(F.map_entries("tags"), lambda e: F.struct(F.concat(F.lit(D.TAG), e["key"]).alias("dim"), e["value"].alias("value")))
+    long = points.select(
+        *FAMILY, "metric", F.floor(c("ts") / DAY).alias("day"), F.inline(F.concat(fixed, F.coalesce(tags, F.array().cast("array<struct<dim:string,value:string>>"))))
+    )
+    return C.value_counts(long, [*FAMILY, "metric", "day", "dim"], "value")
+
+
+def of_dim(counts: DataFrame, dim: str, name: str, kind: str) -> DataFrame:
+    """(family_id, name, n) of one dimension over all days."""
+    typed = counts.filter(F.col("dim") == dim).select(*FAMILY, F.col("value").cast(kind).alias(name), "n")
+    return C.value_counts(typed, FAMILY, name, "n")
+
+
+def categories(counts: DataFrame) -> DataFrame:
+    """(family_id, dim, value, n) of source and tags over all days."""
+    own = counts.filter((F.col("dim") == D.SOURCE) | F.col("dim").startswith(D.TAG))
+    return C.value_counts(own, [*FAMILY, "dim"], "value", "n")
+
+
+def add_day(points: DataFrame, path: str) -> None:
+    """Add the counts of new points to the store of day counts at ``path``.
+
+    The store is partitioned by day; points of a day that is there already, late ones say, come as
+    further files of its folder and add to its counts. Adding points twice counts them twice.
+    """
+    day_counts(points).write.mode("append").partitionBy("day").parquet(path)
+
+
+def stored_days(spark, path: str) -> DataFrame:
+    """All counts of a store."""
+    return spark.read.schema("family_id string, metric string, dim string, value string, n bigint, day bigint").parquet(path)
+
+
 def assemble(points: DataFrame, cut: Column, histograms: DataFrame | None = None, errors: DataFrame | None = None) -> DataFrame:
-    """Recipes of all metric families.
+    """Recipes of all metric families from one scan of the points.
 
     ``points`` needs family_id, metric, value, ts, source, tags, is_delta and line_length;
     ``cut`` is the epoch second that halves the capture for the fitness scores. ``errors`` holds
     ``reason`` and ``lines`` of the whole capture.
     """
+    return from_days(materialize(day_counts(points), "day-counts"), cut, histograms, errors)
+
+
+def from_days(counts: DataFrame, cut: Column, histograms: DataFrame | None = None, errors: DataFrame | None = None) -> DataFrame:
+    """Recipes from day counts; the fitness scores set days that begin at ``cut`` or later against those before."""
     c = F.col
-    values = materialize(C.value_counts(points, FAMILY, "value"), "values")
-    sizes = C.value_counts(points, FAMILY, "line_length")
-    dims = materialize(D.dim_counts(points, FAMILY), "dims")
-    minutes = materialize(temporal.minute_counts(points, FAMILY), "minutes")
-    combos = materialize(D.tag_combinations(points, FAMILY), "combos")
-
-    base = points.groupBy(*FAMILY, "metric").agg(
-        F.count("*").alias("samples"),
-        F.min("ts").alias("_t0"),
-        F.max("ts").alias("_t1"),
-        F.bool_or("is_delta").alias("is_delta"),
-    )
+    values = materialize(of_dim(counts, "value", "value", "double"), "values")
+    sizes = materialize(of_dim(counts, "size", "line_length", "bigint"), "sizes")
+    dims = materialize(categories(counts), "dims")
+    seconds = materialize(of_dim(counts, "second", "ts", "bigint"), "seconds")
+    minutes = materialize(temporal.minute_counts(seconds, FAMILY, n="n"), "minutes")
+    combos = of_dim(counts, "combo", "combo", "string").withColumn("combo", F.from_json("combo", COMBO))
+
+    delta = counts.filter(c("dim") == "delta").groupBy(*FAMILY, "metric").agg(F.sum("n").alias("samples"), F.bool_or(c("value") == "true").alias("is_delta"))
+    window = seconds.groupBy(*FAMILY).agg(F.min("ts").alias("_t0"), F.max("ts").alias("_t1"))
+    base = materialize(delta.join(window, FAMILY, "left"), "base")
     tag_schema = D.tag_schema(dims, base, FAMILY)
     schema_map = tag_schema.groupBy(*FAMILY).agg(
         F.map_from_entries(F.collect_list(F.struct("key", F.struct("type", "presence", "cardinality")))).alias("tag_schema"),
@@ -188,13 +249,13 @@ def assemble(points: DataFrame, cut: Column, histograms: DataFrame | None = None
         ).alias("intensity_curve"),
     )
     burst = temporal.burstiness(minutes, FAMILY)
-    gaps = temporal.gap_cv(temporal.gap_counts(points, FAMILY), FAMILY)
+    gaps = temporal.gap_cv(temporal.gap_counts(seconds, FAMILY, n="n"), FAMILY)
     shapes = pattern_structs(dims)
     source_shapes = shapes.filter(c("dim") == D.SOURCE).select(*FAMILY, c("patterns").alias("source_patterns"))
     tag_shapes = D.tag_only(shapes).groupBy(*FAMILY).agg(
         F.map_from_entries(F.collect_list(F.struct("key", "patterns"))).alias("tag_value_patterns")
     )
-    scores = fitness(points, cut).select(
+    scores = fitness(counts, cut).select(
         *FAMILY,
         F.struct("categorical_js_divergence", "numeric_ks_statistic", "temporal_correlation").alias("fitness_scores"),
     )

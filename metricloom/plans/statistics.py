@@ -10,7 +10,7 @@ from metricloom.operators import dims as D
 from metricloom.operators import fit, patterns, temporal
 from metricloom.plans import recipe
 from metricloom.plans.catalog import query
-from metricloom.session import work_dir
+from metricloom.session import materialize, work_dir
 from metricloom.sources import recipes as store
 from metricloom.sources import tables as t
 
@@ -270,30 +270,14 @@ CORR_SQL = """
         FROM jsfam j JOIN kv USING (family_id) LEFT JOIN ({CORR_SQL}) USING (family_id)""",
 )
 def _(spark, d):
-    return recipe.fitness(t.points(spark, d), t.split_epoch())
+    return recipe.fitness(materialize(recipe.day_counts(t.points(spark, d)), "day-counts"), t.split_epoch())
 
 
 # --- recipes ----------------------------------------------------------------------------------
 
 
-BUILT: dict[tuple, str] = {}  # recipes of this process, by table state
-
-
-def table_state(spark, path: str) -> int:
-    """A number that changes with any file of a table: its name, size or time."""
-    files = spark.read.format("binaryFile").load(path).select(F.xxhash64("path", "length", "modificationTime").alias("h"))
-    return files.agg(F.bit_xor("h")).first()[0]
-
-
 def recipe_path(spark, d) -> str:
-    """Recipes of the points as they are now; built again when the table's files have changed."""
-    key = (spark.sparkContext.applicationId, d, table_state(spark, f"{d}/events.parquet"))
-    if key not in BUILT:
-        BUILT[key] = build_recipes(spark, d)
-    return BUILT[key]
-
-
-def build_recipes(spark, d) -> str:
+    """Recipes of the points, written to a new folder."""
     path = work_dir(spark, "recipes")
     store.sink_recipes(recipe.assemble(t.points(spark, d), t.split_epoch()), path)
     return path
@@ -303,24 +287,51 @@ def stored_recipes(spark, d) -> DataFrame:
     return store.scan_recipes(spark, recipe_path(spark, d))
 
 
-@query(
-    "recipe_assemble",
-    """SELECT q.family_id, metric AS metric_name, f.n AS sample_count, bool_or(is_delta) AS is_delta, count(DISTINCT source) AS sources, round(any_value(p50), 6) AS p50,
+RECIPE_SQL = """WITH bm AS (SELECT family_id, sum(n) AS s, sum(n * n) AS q, (max(minute) - min(minute)) / 60 + 1 AS m FROM minutes GROUP BY family_id)
+       SELECT q.family_id, metric AS metric_name, f.n AS sample_count, bool_or(is_delta) AS is_delta, count(DISTINCT source) AS sources, round(any_value(p50), 6) AS p50,
+         round(avg(value), 6) AS mean, round(stddev_samp(value), 6) AS stddev, min(value) AS low, max(value) AS high, round(quantile_cont(CAST(line_length AS DOUBLE), 0.5), 6) AS size_p50,
+         round(entropy(source), 6) AS source_entropy, round((max(ts) - min(ts)) / 3600.0, 6) AS hours, list_sort(list(DISTINCT k))[1] AS first_k,
+         round(any_value(sqrt(bm.q / bm.m - (bm.s / bm.m) ** 2) / (bm.s / bm.m)), 6) AS cv_counts, round(any_value((bm.q / bm.m - (bm.s / bm.m) ** 2) / (bm.s / bm.m)), 6) AS fano_factor,
+         round(any_value(js_categorical), 6) AS js, count(DISTINCT k) AS k_values, any_value(CASE WHEN env IS NULL THEN 1 ELSE 2 END)::BIGINT AS tag_keys,
          1440::BIGINT AS curve_size, 1440.0::DOUBLE AS curve_sum, count(*) AS binned
-       FROM points p JOIN quantiles q ON p.family_id = q.family_id JOIN (SELECT family_id, n FROM famcounts) f ON f.family_id = q.family_id GROUP BY ALL""",
-)
-def _(spark, d):
-    r = stored_recipes(spark, d)
+       FROM points p JOIN quantiles q ON p.family_id = q.family_id JOIN (SELECT family_id, n FROM famcounts) f ON f.family_id = q.family_id
+         JOIN bm ON bm.family_id = q.family_id JOIN jsfam ON jsfam.family_id = q.family_id GROUP BY q.family_id, metric, f.n"""
+
+
+def recipe_leaves(r: DataFrame) -> DataFrame:
+    """One column for some leaf of every block of a recipe."""
+    num, stats = c("statistics.value_distribution"), c("statistics")
+    k_values = c("statistics.tag_distributions")["k"]
     return r.select(
-        "family_id", "metric_name", c("statistics.sample_count").alias("sample_count"), c("schema.is_delta").alias("is_delta"),
-        c("generation.entity_hints.source_count_estimate").alias("sources"),
-        c("statistics.value_distribution.quantiles.p50").alias("p50"),
+        "family_id", "metric_name", stats["sample_count"].alias("sample_count"), c("schema.is_delta").alias("is_delta"),
+        c("generation.entity_hints.source_count_estimate").alias("sources"), num["quantiles"]["p50"].alias("p50"),
+        num["mean"].alias("mean"), num["stddev"].alias("stddev"), num["min"].alias("low"), num["max"].alias("high"),
+        c("payload.size_distribution.quantiles.p50").alias("size_p50"), stats["source_distribution"]["entropy"].alias("source_entropy"),
+        c("capture_window.duration_hours").alias("hours"), F.array_min(F.transform(k_values["top_values"], lambda x: x["value"])).alias("first_k"),
+        c("temporal.burstiness.coefficient_of_variation").alias("cv_counts"), c("temporal.burstiness.fano_factor").alias("fano_factor"),
+        c("validation.fitness_scores.categorical_js_divergence").alias("js"),
+        c("schema.tag_schema")["k"]["cardinality"].alias("k_values"), F.size("schema.tag_schema").alias("tag_keys"),
         F.size("temporal.intensity_curve").alias("curve_size"),
         F.aggregate("temporal.intensity_curve", F.lit(0.0), lambda a, x: a + x).alias("curve_sum"),
-        F.aggregate("statistics.value_distribution.counts", F.lit(0).cast("bigint"), lambda a, x: a + x).alias("binned"),
+        F.aggregate(num["counts"], F.lit(0).cast("bigint"), lambda a, x: a + x).alias("binned"),
     )
 
 
+@query("recipe_assemble", RECIPE_SQL)
+def _(spark, d):
+    return recipe_leaves(stored_recipes(spark, d))
+
+
+@query("recipe_by_days", RECIPE_SQL)
+def _(spark, d):
+    """Recipes from a store of day counts to which three stretches of the capture were added one by one."""
+    p, path = t.points(spark, d), work_dir(spark, "day-store")
+    first, second = t.split_epoch() - 7 * 86400, t.split_epoch() + 3 * 86400
+    for part in (c("ts") < first, (c("ts") >= first) & (c("ts") < second), c("ts") >= second):
+        recipe.add_day(p.filter(part), path)
+    return recipe_leaves(recipe.from_days(recipe.stored_days(spark, path), t.split_epoch()))
+
+
 @query(
     "recipe_validate",
     "SELECT rule, checked, CASE rule WHEN 'duration_hours' THEN short ELSE 0 END AS violations FROM (SELECT count(*) AS checked, count(*) FILTER (hours < 0.1) AS short FROM (SELECT family_id, (max(ts) - min(ts)) / 3600 AS hours FROM points GROUP BY family_id)), (SELECT unnest(['version', 'family_id', 'metric_name', 'duration_hours', 'type', 'tag_keys', 'tag_types', 'presence', 'cardinality', 'sample_count', 'source_distribution', 'tag_distributions', 'intensity_curve', 'burstiness', 'entity_hints']) AS rule)",

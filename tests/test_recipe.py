@@ -1,5 +1,8 @@
-"""A recipe with every optional block, its contract check and its JSON round trip."""
+"""A recipe with every optional block, its contract check and its JSON round trip; recipes from days."""
 
+import json
+
+import pytest
 from pyspark.sql import functions as F
 
 from metricloom.functions.keys import family_id
@@ -15,7 +18,7 @@ D = "/root/testdata/sf0.001"
 
 
 def test_full_recipe(spark):
-    li = t.table(spark, D, "lineitem").limit(3000)
+    li = t.table(spark, D, "lineitem")
     points = t.with_line_length(
         li.select(
             F.lit("sales.quantity").alias("metric"), F.col("l_quantity").alias("value"),
@@ -39,3 +42,39 @@ def test_full_recipe(spark):
     assert recipe.validate(back).count() == 0
     broken = back.withColumn("version", F.lit("2"))
     assert "version" in {x.rule for x in recipe.validate(broken).collect()}
+
+
+def near(a, b):
+    if isinstance(a, dict):
+        assert a.keys() == b.keys()
+        for k in a:
+            near(a[k], b[k])
+    elif isinstance(a, list):
+        assert len(a) == len(b)
+        for x, y in zip(a, b):
+            near(x, y)
+    else:
+        assert a == (pytest.approx(b, abs=1e-9, rel=1e-9) if isinstance(b, float) else b)
+
+
+def test_days_one_by_one_equal_one_run(spark):
+    """Whole recipes, every leaf; the second day comes in two parts, one of them late."""
+    points = t.points(spark, D)
+    cut, path = t.split_epoch(), work_dir(spark, "days")
+    late = (F.col("row_id") % 5 == 0) & (F.col("ts") < cut)
+    for part in (F.col("ts") < cut - 3 * recipe.DAY, F.col("ts") >= cut + 86400 * 2, (F.col("ts") >= cut - 3 * recipe.DAY) & (F.col("ts") < cut + 86400 * 2)):
+        recipe.add_day(points.filter(part & ~late), path)
+    recipe.add_day(points.filter(late), path)
+
+    def rows(df):
+        return {r["family_id"]: json.loads(r["j"]) for r in df.drop("created_at").select("family_id", F.to_json(F.struct("*")).alias("j")).collect()}
+
+    one, many = rows(recipe.assemble(points, cut)), rows(recipe.from_days(recipe.stored_days(spark, path), cut))
+    assert one.keys() == many.keys() and len(one) == 10
+    for family in one:
+        near(one[family], many[family])
+
+
+def test_points_are_scanned_once(spark):
+    plan = recipe.day_counts(t.points(spark, D))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan parquet") == 1 and plan.count("Exchange") == 1
