@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from metricloom.functions import formats, keys, lines
 from metricloom.functions.lines import parse_lines
 from metricloom.plans.catalog import query
+from metricloom.session import work_dir
 from metricloom.sources import captures
 from metricloom.sources import tables as t
 
@@ -116,15 +117,10 @@ def _(spark, d):
 
 @query("parse_histogram_two_line", HIST_SQL.format(source="hcent.source", metric="'sales.quantity'"))
 def _(spark, d):
-    """Header and owner as separate lines of one file per source, in time order."""
-    joined = t.histogram_lines(spark, d, "joined")
-    rows = joined.select(
-        c("source").alias("file_path"),
-        F.floor(c("ts") / (86400 * 100)).alias("block_start"),
-        F.posexplode(F.split("value", "\n")).alias("part", "value"),
-        "ts",
-    ).select("file_path", "block_start", (c("ts") * 2 + c("part")).alias("line_no"), "value")
-    return histogram_columns(parse_lines(captures.pair_two_line_histograms(rows).select("value")))
+    """Header and owner as separate lines of capture files, paired while the files are read."""
+    path = work_dir(spark, "two-line")
+    captures.sink_lines_text(t.histogram_lines(spark, d, "joined"), path)
+    return histogram_columns(parse_lines(captures.scan_paired_lines(spark, path, "part-*").select("value")))
 
 
 @query(

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -140,6 +145,94 @@ def volume(manifest: DataFrame) -> DataFrame:
     )
 
 
+# A histogram header without an owner; a line whose second field is no tag, so it is no owner line.
+HEADER = r"^\s*![MHD](\s+\d+)?\s+#\d+(\s+[^#\s]+\s+[^#\s]+)+\s*$"
+NUMBERED = r"^\s*\S+\s+[^\s=]+(\s|$)"
+NO_OWNER = r"^\s*($|[#!])|" + NUMBERED
+PACKED = r"\.(gz|zst|bz2|deflate|lz4|snappy)$"  # such files are read by one task from end to end
+
+
+def pair_in_span(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Lines in file order with headers joined to owners inside each file span.
+
+    ``edge`` is 0 for finished lines, 1 for the first line of a later span, 2 for a header that ends
+    a span, 3 for a line that is both. The last line of a batch waits for the next one.
+    """
+    names = ["value", "file_path", "block_start", "whole", "edge"]
+    kinds = [pa.string(), pa.string(), pa.int64(), pa.bool_()]
+    held, before = None, None  # a line that may still find its owner; the span of the last line seen
+
+    def work(value: pa.Array, file: pa.Array, block: np.ndarray, first: np.ndarray, more: bool):
+        n = len(value)
+        code = np.unique(file.to_numpy(zero_copy_only=False), return_inverse=True)[1] if n else np.empty(0, np.int64)
+        same = np.append((code[1:] == code[:-1]) & (block[1:] == block[:-1]), False)  # as the next line
+        header = pc.fill_null(pc.match_substring_regex(value, HEADER), False).to_numpy(zero_copy_only=False)
+        owner = ~pc.fill_null(pc.match_substring_regex(value, NO_OWNER), True).to_numpy(zero_copy_only=False)
+        takes = header & same & np.append(owner[1:], False)
+        taken = np.append(False, takes[:-1])
+        last = ~same & header & ~takes
+        if more and n:
+            last[-1] = False
+        edge = (first & ~taken & (block > 0)) + 2 * last.astype(np.int8)
+        if takes.any():
+            at = np.flatnonzero(takes)
+            both = pc.binary_join_element_wise(value.take(pa.array(at)), value.take(pa.array(at + 1)), "\n")
+            value = pc.replace_with_mask(value, pa.array(takes), both)
+        return value, edge.astype(np.int8), ~taken
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        rows = [batch.column(k).cast(t) for k, t in enumerate(kinds)]
+        block = rows[2].to_numpy()
+        files = rows[1].to_numpy(zero_copy_only=False)
+        first = np.append((files[0], block[0]) != before, (files[1:] != files[:-1]) | (block[1:] != block[:-1]))
+        before = (files[-1], block[-1])
+        if held is not None:
+            rows = [pa.concat_arrays([a, b]) for a, b in zip(held[0], rows)]
+            first = np.append(held[1], first)
+        value, edge, keep = work(rows[0], rows[1], rows[2].to_numpy(), first, True)
+        held = ([r.slice(len(r) - 1) for r in rows], first[-1:]) if keep[-1] else None
+        keep[-1] = False
+        out = pa.RecordBatch.from_arrays([value, *rows[1:], pa.array(edge)], names)
+        yield out.filter(pa.array(keep))
+    if held is not None:
+        value, edge, _ = work(*held[0][:2], held[0][2].to_numpy(), held[1], False)
+        yield pa.RecordBatch.from_arrays([value, *held[0][1:], pa.array(edge)], names)
+
+
+def scan_paired_lines(spark: SparkSession, path: str, glob: str = CAPTURE_GLOB) -> DataFrame:
+    """Lines of capture files with two-line histograms joined while they are read.
+
+    Plain, gzip and zstd files alike. A task pairs the lines of the file spans it reads, so no raw
+    line is shuffled. Only where a plain file is large enough to be read in several spans, the
+    spans' first lines and closing headers, two lines a span at most, are set against each other.
+    """
+    sql = spark._jsparkSession.sessionState().conf()
+    least = min(sql.filesMaxPartitionBytes(), sql.filesOpenCostInBytes())  # smaller files have one span
+    whole = (F.col("_metadata.file_size") <= least) | F.col("_metadata.file_path").rlike(PACKED)
+    text = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob).text(path)
+
+    def paired(rows: DataFrame) -> DataFrame:
+        spans = rows.select(
+            "value", F.col("_metadata.file_path").alias("file_path"), F.col("_metadata.file_block_start").alias("block_start"), whole.alias("whole")
+        )
+        return spans.mapInArrow(pair_in_span, "value string, file_path string, block_start bigint, whole boolean, edge tinyint")
+
+    body = paired(text).where("edge = 0 OR whole").select("value", "file_path", "block_start")
+    edges = paired(text.where(~whole)).where("edge > 0")
+    order = W.partitionBy("file_path").orderBy("block_start", F.expr("edge & 2"))
+    firsts, ends = F.expr("edge & 1") == 1, F.expr("edge & 2") == 2
+    owner = ~F.coalesce(F.col("_next").rlike(NO_OWNER), F.lit(True))
+    around = edges.withColumns({
+        "_next": F.first(F.when(firsts, F.col("value")), ignorenulls=True).over(order.rowsBetween(1, W.unboundedFollowing)),
+        "_prev": F.lag(F.when(ends, F.col("value"))).over(order),
+    })
+    taken = firsts & F.col("_prev").isNotNull() & ~F.coalesce(F.col("value").rlike(NO_OWNER), F.lit(True))
+    joined = around.where(~taken).withColumn("value", F.when(ends & owner, F.concat_ws("\n", "value", "_next")).otherwise(F.col("value")))
+    return body.union(joined.select(*body.columns))
+
+
 def pair_two_line_histograms(lines: DataFrame, file: str = "file_path", block: str = "block_start", order: str = "line_no") -> DataFrame:
     """Join a histogram header with the owner line after it; other lines pass through.
 
@@ -154,15 +247,12 @@ def pair_two_line_histograms(lines: DataFrame, file: str = "file_path", block: s
         .withColumn("_before", F.lag("_last").over(W.partitionBy(file).orderBy(block)))
         .select(file, block, "_before", "_after")
     )
-    header = r"^\s*![MHD](\s+\d+)?\s+#\d+(\s+[^#\s]+\s+[^#\s]+)+\s*$"
-    number = r"^\s*\S+\s+[^\s=]+(\s|$)"
-
     def is_header(c: str) -> Column:
-        return F.coalesce(F.col(c).rlike(header), F.lit(False))
+        return F.coalesce(F.col(c).rlike(HEADER), F.lit(False))
 
     def is_owner(c: str) -> Column:
         return F.coalesce(
-            (F.trim(c) != "") & ~F.trim(c).startswith("#") & ~F.trim(c).startswith("!") & ~F.col(c).rlike(number), F.lit(False)
+            (F.trim(c) != "") & ~F.trim(c).startswith("#") & ~F.trim(c).startswith("!") & ~F.col(c).rlike(NUMBERED), F.lit(False)
         )
 
     around = (
