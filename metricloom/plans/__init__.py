@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-SECTIONS = ["parsing", "storage", "aggregates", "statistics", "relations", "comparison", "flows", "synthesis", "spaces"]
+SECTIONS = ["parsing", "storage", "aggregates", "statistics", "relations", "comparison", "flows", "synthesis", "spaces", "summaries"]
 
 
 def load_all() -> None:
