@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from metricloom.functions.formats import unescape
 from metricloom.functions.keys import family_id, once, span_family_id
-from metricloom.schemas import PARSED_COLUMNS
+from metricloom.schemas import PARSED_COLUMNS, TAGS
 
 # Fixed patterns of the line format. Possessive quantifiers keep the Java matcher from recursing
 # on long tokens.
@@ -17,6 +17,11 @@ TAG = r'^[A-Za-z0-9._/-]++=(?:[^="][^"]*+|"(?:[^"\\]|\\.)++")$'
 NUMBER = r"^[+-]?(?:\d++\.?\d*+|\.\d++)(?:[eE][+-]?\d++)?$"
 INTEGER = r"^\d++$"
 EPOCH_SECONDS = r"^\d{10}$"
+# A metric line without quotes and backslashes, all fields well formed: name, number, time or none, tags.
+PLAIN = (
+    r"^[∆Δ]?[A-Za-z0-9][A-Za-z0-9._-]*+\s++[+-]?(?:\d++\.?\d*+|\.\d++)(?:[eE][+-]?\d++)?(?:\s++\d{10})?"
+    r'(?:\s++[A-Za-z0-9._/-]++=[^\s="\\][^\s"\\]*+)++$'
+)
 
 
 def tokens(line: Column) -> Column:
@@ -86,15 +91,61 @@ def _bind(df: DataFrame, keep: list[str], **exprs: Column) -> DataFrame:
     return df.select(*keep, packed.alias("_once")).select(*keep, F.inline(F.array("_once")))
 
 
-def parse_lines(df: DataFrame, column: str = "value") -> DataFrame:
+FAST = "_plain"
+
+
+def _plain_points(df: DataFrame, keep: list[str]) -> DataFrame:
+    """Adds the fields of plain metric lines as one struct, null for all other lines.
+
+    One pattern decides that a line has no quotes and is well formed throughout; the rest is plain
+    splitting in generated code, without the token arrays the other lines go through. A repeated
+    key, a missing source or a number without a finite double leave the line to the long way.
+    """
+    c = F.col
+    cut = _bind(df, [*keep, "_line"], _cut=F.when(c("_line").rlike(PLAIN), F.split("_line", r"\s+", 4)))
+    third = F.try_element_at("_cut", F.lit(3))
+    timed = third.rlike(EPOCH_SECONDS)
+    rest = F.when(timed, F.try_element_at("_cut", F.lit(4))).otherwise(F.concat_ws(" ", third, F.try_element_at("_cut", F.lit(4))))
+    fields = _bind(
+        cut, [*keep, "_line"], _name=F.try_element_at("_cut", F.lit(1)), _number=F.try_element_at("_cut", F.lit(2)).try_cast("double"),
+        _at=F.when(timed, third.try_cast("bigint")), _rest=F.when(c("_cut").isNotNull(), rest),
+    )
+    named = _bind(fields, [*keep, "_line", "_name", "_number", "_at", "_rest"], _keys=F.regexp_extract_all("_rest", F.lit(r"(?:^|\s)([^\s=]++)="), F.lit(1)))
+    by_source = F.array_contains("_keys", "source")
+    good = (
+        (F.size(F.array_distinct("_keys")) == F.size("_keys")) & (by_source | F.array_contains("_keys", "host"))
+        & c("_number").isNotNull() & (F.abs("_number") != float("inf"))
+    )
+    owner = F.when(by_source, F.regexp_extract("_rest", r"(?:^|\s)source=(\S++)", 1)).otherwise(F.regexp_extract("_rest", r"(?:^|\s)host=(\S++)", 1))
+    own = F.when(by_source, F.regexp_replace("_rest", r"(?:^|\s)source=\S++", "")).otherwise(F.regexp_replace("_rest", r"(?:^|\s)host=\S++", ""))
+    own = F.btrim(own, F.lit(" \t\n\x0b\f\r"))
+    taken = _bind(named, [*keep, "_line", "_name", "_number", "_at"], _good=good, _owner=F.when(good, owner), _own=F.when(good, own))
+    tags = F.when(c("_own") == "", F.create_map().cast(TAGS)).otherwise(F.str_to_map("_own", F.lit(r"\s+"), F.lit("=")))
+    point = F.struct(
+        F.regexp_replace("_name", "^[∆Δ]", "").alias("metric"), c("_number").alias("value"), c("_at").alias("ts"), c("_owner").alias("source"),
+        tags.alias("tags"), c("_name").rlike("^[∆Δ]").alias("is_delta"),
+    )
+    return _bind(taken, [*keep, "_line"], **{FAST: F.when(c("_good"), point)})
+
+
+def parse_lines(df: DataFrame, column: str = "value", plain: bool = True) -> DataFrame:
     """Parse every non-blank, non-comment line into one typed row; nothing is dropped silently.
 
     A histogram header and its owner line may be joined into one value with a newline (see
-    ``pair_two_line_histograms``). Other columns of ``df`` pass through.
+    ``pair_two_line_histograms``). Other columns of ``df`` pass through. Plain metric lines, most of
+    any capture, take a short way with the same results; ``plain=False`` sends them the long way too.
     """
-    keep = [c for c in df.columns if c != column and c not in PARSED_COLUMNS]
+    others = [c for c in df.columns if c != column and c not in PARSED_COLUMNS]
     text = F.trim(F.col(column))
-    split = _bind(skip_blank_and_comments(df, column), keep, _line=text, _tok=tokens(text))
+    lines = skip_blank_and_comments(df, column)
+    if plain:
+        first = _plain_points(lines.select(*others, text.alias("_line")), others)
+        keep = [*others, FAST]
+        # a plain line has no tokens, so all that follows is null for it and costs little
+        split = _bind(first, keep, _line=F.col("_line"), _tok=F.when(F.col(FAST).isNull(), tokens(F.col("_line"))))
+    else:
+        keep = others
+        split = _bind(lines, keep, _line=text, _tok=tokens(text))
 
     # 1. kind of record and the slices of the token array each kind needs
     size = F.size("_tok")
@@ -272,6 +323,21 @@ def parse_lines(df: DataFrame, column: str = "value") -> DataFrame:
         F.col("drop_reason"),
         only("error", F.col("_line")).alias("error_text"),
     )
+    if plain:
+        fast = F.col(FAST)
+        is_fast = fast.isNotNull()
+
+        def either(name: str) -> Column:
+            if name in ("metric", "value", "ts", "source", "tags", "is_delta"):
+                return F.when(is_fast, fast[name]).otherwise(F.col(name)).alias(name)
+            if name == "record_type":
+                return F.when(is_fast, "metric").otherwise(F.col(name)).alias(name)
+            if name in (*others, "line_length"):
+                return F.col(f"`{name}`")
+            return F.when(~is_fast, F.col(name)).alias(name)
+
+        shaped = _bind(shaped, [], **{name: either(name) for name in shaped.columns if name != FAST})
+        is_point = F.col("record_type").isin("metric", "histogram")
     return shaped.withColumn(
         "family_id",
         F.when(F.col("record_type") == "span", span_family_id(F.col("operation"))).when(
