@@ -11,6 +11,8 @@ from metricloom.operators import dims as D
 from metricloom.operators import divergence as V
 from metricloom.operators import synth, temporal
 from metricloom.plans.catalog import query, u
+from metricloom.session import work_dir
+from metricloom.sources import buckets
 from metricloom.sources import tables as t
 
 c = F.col
@@ -45,6 +47,22 @@ def _(spark, d):
     )
 
 
+@query(
+    "join_family_buckets",
+    """SELECT c.family_id, count(*) AS n, count(*) FILTER (c.value < r.v[1]) AS below, count(*) FILTER (c.value > r.v[5]) AS above
+       FROM curs c JOIN rq r ON r.family_id = c.family_id GROUP BY c.family_id""",
+)
+def _(spark, d):
+    """The same join over stored tables that share their buckets."""
+    ref, cur = t.reference_and_current(spark, d)
+    q = C.exact_quantiles(C.value_counts(ref, FAM, "value"), FAM, "value")
+    points = buckets.store(buckets.sliced(cur.select("family_id", "row_id", "value"), "row_id"), work_dir(spark, "point-buckets"), 8)
+    families = buckets.store(buckets.for_every_slice(q), work_dir(spark, "family-buckets"), 8)
+    return buckets.join(spark, points, families).groupBy("family_id").agg(
+        F.count("*").alias("n"), F.count_if(c("value") < c("p01")).alias("below"), F.count_if(c("value") > c("p99")).alias("above")
+    )
+
+
 @query(
     "join_distribution_outer",
     "SELECT family_id, dim, value, round(p, 6) AS p, round(q, 6) AS q FROM aligned",
