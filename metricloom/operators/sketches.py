@@ -139,3 +139,66 @@ def text_checksums(spark: SparkSession, path: str, glob: str = "*") -> DataFrame
     )
     spans = lines.mapInArrow(span_checksums, "file_path string, block_start bigint, crc bigint, bytes bigint")
     return combine_checksums(spans, ["file_path"], "block_start")
+
+
+# --- frequent items ---------------------------------------------------------------------------
+
+HELD = 1 << 14  # different items a task holds at one time
+
+
+def frequent_candidates(rows: DataFrame, keys: list[str], item: str, held: int = HELD) -> DataFrame:
+    """(keys, item, low, error) from each task: items it may not rule out, with counts too low by ``error`` at most.
+
+    A task holds ``held`` different (keys, item). When they run over, it subtracts the middle count
+    from all and drops what is left without a count (Misra and Gries, many at a time). ``error`` is
+    all a task has subtracted; an item it does not return has ``error`` rows there at most.
+    """
+    names = [*keys, item]
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*names).schema.fields) + ", low bigint, error bigint"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, error = None, 0
+        for batch in batches:
+            new = pa.Table.from_batches([batch]).group_by(names, use_threads=False).aggregate([([], "count_all")]).rename_columns([*names, "low"])
+            both = new if total is None else pa.concat_tables([total, new]).group_by(names, use_threads=False).aggregate([("low", "sum")]).rename_columns([*names, "low"])
+            if both.num_rows > held:
+                low = both.column("low").to_numpy()
+                off = int(np.partition(low, len(low) - held // 2)[len(low) - held // 2])
+                error += off
+                both = both.set_column(len(names), "low", pa.array(low - off)).filter(pa.array(low > off))
+            total = both
+        if total is not None:
+            out = total.append_column("error", pa.array(np.full(total.num_rows, error, np.int64)))
+            # one more row carries the error of a task that dropped everything
+            yield from out.to_batches()
+            if not total.num_rows and error:
+                yield pa.RecordBatch.from_arrays([*[pa.nulls(1, out.schema.field(k).type) for k in range(len(names))], pa.array([0]), pa.array([error])], [*names, "low", "error"])
+
+    return rows.select(*names).mapInArrow(run, schema)
+
+
+def frequent_items(rows: DataFrame, keys: list[str], item: str, k: int, held: int = HELD) -> DataFrame:
+    """(keys, item, n, rank): exactly the ``k`` commonest items of each key, ties by item.
+
+    The first pass sends candidates only to the shuffle, whatever the number of different items. Their
+    counts are then taken again exactly, in a join with the candidates. A key whose last rank is not
+    above what an item that was ruled out could have is counted in full, so the result is exact for
+    every key; for others no more than the candidates are shuffled. Null items are left out.
+    """
+    from metricloom.operators.counts import top_k, value_counts
+    from metricloom.session import materialize
+
+    some = rows.where(F.col(item).isNotNull()).select(*keys, item)
+    # errors are those of tasks: each task's once, over all keys
+    tagged = frequent_candidates(some, keys, item, held).withColumn("task", F.spark_partition_id())
+    first = materialize(tagged, "frequent-candidates")
+    ruled_out = first.groupBy("task").agg(F.max("error").alias("error")).agg(F.coalesce(F.sum("error"), F.lit(0))).first()[0]
+    candidates = first.where(F.col(item).isNotNull()).select(*keys, item).distinct()
+    counted = materialize(value_counts(some.join(candidates, [*keys, item], "left_semi"), keys, item), "frequent-counts")
+    best = top_k(counted, keys, item, k)
+    if not ruled_out:
+        return best
+    sure = best.groupBy(*keys).agg(F.min("n").alias("least"), F.count("*").alias("ranks")).where((F.col("least") > ruled_out) & (F.col("ranks") == k)).select(*keys)
+    sure = materialize(sure, "frequent-sure")
+    rest = top_k(value_counts(some.join(sure, keys, "left_anti"), keys, item), keys, item, k)
+    return best.join(sure, keys, "left_semi").unionByName(rest)

@@ -78,3 +78,15 @@ def _(spark, d):
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select(F.element_at(F.split("path", "/"), -1).alias("name"), F.crc32("content").alias("whole"), "length")
     both = files.where("length > 0").join(parts.withColumn("name", F.element_at(F.split("file_path", "/"), -1)), "name", "left")
     return both.agg(F.sum("bytes").alias("bytes"), F.bool_and(F.coalesce((c("whole") == c("crc32")) & (c("length") == c("bytes")), F.lit(False))).alias("equal"))
+
+
+@query(
+    "tag_combination_top",
+    """SELECT family_id, combo, n, rank FROM (SELECT *, row_number() OVER (PARTITION BY family_id ORDER BY n DESC, combo) AS rank FROM (
+         SELECT family_id, coalesce('env=' || env || ',', '') || 'k=' || k AS combo, count(*) AS n FROM points GROUP BY ALL)) WHERE rank <= 100""",
+)
+def _(spark, d):
+    """The hundred commonest tag sets of each family, by candidates and an exact recount."""
+    combo = F.array_join(F.transform(F.sort_array(F.map_entries("tags")), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ",")
+    p = t.points(spark, d).select(*FAM, combo.alias("combo"))
+    return S.frequent_items(p, FAM, "combo", 100).select(*FAM, "combo", "n", "rank")

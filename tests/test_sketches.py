@@ -57,3 +57,19 @@ def test_sketches_of_days_merge(spark):
     assert abs(r[0]["m"] - 30000) <= 2 * S.rank_error() * 60000
     est = S.merge_distinct(S.distinct_sketches(rows, ["k", "day"], "s"), ["k"]).select(S.distinct(F.col("sketch"))).collect()
     assert abs(est[0][0] - 9000) <= 4 * S.count_error() * 9000
+
+
+def test_frequent_items_are_exact(spark):
+    """A million different combinations in one family, a hundred common ones; a small family of ties."""
+    n = 1_000_000
+    rare = spark.range(n).select(F.lit("wide").alias("family_id"), F.concat(F.lit("r"), "id").alias("combo"))
+    common = spark.range(100).select(F.lit("wide").alias("family_id"), F.concat(F.lit("c"), "id").alias("combo"), F.explode(F.sequence(F.lit(1), (F.col("id") + 1).cast("int") * 20)).alias("i")).drop("i")
+    flat = spark.range(3000).select(F.lit("flat").alias("family_id"), F.concat(F.lit("t"), F.col("id") % 300).alias("combo"))
+    rows = rare.union(common.repartition(4)).union(flat).union(spark.createDataFrame([("flat", None)], "family_id string, combo string")).repartition(4)
+    from metricloom.operators.counts import top_k, value_counts
+
+    got = {(r["family_id"], r["rank"]): (r["combo"], r["n"]) for r in S.frequent_items(rows, ["family_id"], "combo", 50, 2000).collect()}
+    want = {(r["family_id"], r["rank"]): (r["combo"], r["n"]) for r in top_k(value_counts(rows, ["family_id"], "combo"), ["family_id"], "combo", 50).collect()}
+    assert got == want
+    assert S.frequent_candidates(rows, ["family_id"], "combo", 2000).count() <= 4 * 2000
+    assert S.frequent_items(rows.limit(0), ["family_id"], "combo", 50).count() == 0
