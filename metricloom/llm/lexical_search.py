@@ -15,6 +15,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -166,8 +167,8 @@ class Shard:
         return scores, found, work
 
 
-def search_block(found: DataFrame, block: list, texts: int, length: int, k: int) -> DataFrame:
-    """(row, doc, score): the ``k`` best documents of every task for every item of the block."""
+def search_block(found: DataFrame, block: list, texts: int, length: int, k: int) -> tuple[DataFrame, Broadcast]:
+    """(row, doc, score): the ``k`` best documents of every task for every item of the block; and what is sent to tasks."""
     terms = np.unique(np.concatenate([np.asarray(r["terms"], np.int64) for r in block]))
     slots = [np.searchsorted(terms, np.asarray(r["terms"], np.int64)) for r in block]
     weights = [np.asarray(r["weights"], np.int64) for r in block]
@@ -220,7 +221,7 @@ def search_block(found: DataFrame, block: list, texts: int, length: int, k: int)
 
     parts_type = to_arrow_type(kind.dataType)
     # small batches keep a list of postings near its bound
-    return found.mapInArrow(run, schema)
+    return found.mapInArrow(run, schema), held
 
 
 def search(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", k: int = 10) -> DataFrame:
@@ -260,7 +261,9 @@ def search(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "
         for b in range(blocks):
             rows = weighted.where(F.pmod(F.xxhash64("row"), F.lit(blocks)) == b).collect()
             if rows:
-                done.append(materialize(top_ranks(search_block(found, rows, texts, length, k), k), f"search-block-{b}"))
+                scored, held = search_block(found, rows, texts, length, k)
+                done.append(materialize(top_ranks(scored, k), f"search-block-{b}"))
+                held.unpersist()  # tasks hold one block at a time
         if not done:
             return spark.createDataFrame([], out_schema)
         ranks = done[0]
