@@ -58,9 +58,13 @@ def _fixed(magnitude: Column, digits: int) -> Column:
 
 
 def fmt_value(value: Column) -> Column:
-    """Precision by magnitude: 6, 3, 1 or 0 decimals; NaN and infinities become 0."""
+    """Precision by magnitude: 6, 3, 1 or 0 decimals; NaN and infinities become 0.
+
+    Minus zero keeps its sign, as do small negative values that round to zero.
+    """
     size = F.abs(value)
-    sign = F.when(value < 0, "-").otherwise("")
+    minus_zero = (value == 0) & value.cast("string").startswith("-")
+    sign = F.when((value < 0) | minus_zero, "-").otherwise("")
     return (
         F.when(F.isnan(value) | (size == float("inf")), "0")
         .when(size < 0.001, F.concat(sign, _fixed(size, 6)))

@@ -127,6 +127,12 @@ def test_fmt_value_rounds_like_exact_binary(spark):
     assert got == [want(v) for v in values]
 
 
+def test_fmt_value_keeps_the_sign_of_minus_zero(spark):
+    values = [-0.0, 0.0, 0.0 * -1e-6, -1e-9, 1e-9]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    assert [r[0] for r in df.select(formats.fmt_value(F.col("v"))).collect()] == [f"{v:.6f}" for v in values]
+
+
 def test_sql_functions(spark):
     assert set(sqlnames.register(spark)) >= {"family_id", "series_id"}
     df = spark.createDataFrame([("a 1 source=s z=1 b=2",)], "value string")
