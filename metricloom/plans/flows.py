@@ -128,9 +128,9 @@ SLIDES = "(SELECT *, unnest(range(ts // 60 - 4, ts // 60 + 1)) * 60 AS window_st
 def _(spark, d):
     """Five-minute windows every minute, put together from minute panes."""
     out = replayed_table(
-        t.with_series(t.points(spark, d)), "sliding", lambda p: stateful.pane_counts(p, 300, 60, "1 hour"), jobs.ROCKSDB
+        t.points(spark, d), "sliding", lambda p: stateful.pane_counts(p, 300, 60, "1 hour", numbers=False), jobs.ROCKSDB
     )
-    return out.filter((c("family_id") != "flush") & ~c("dim").isin("value", "size"))
+    return out.filter(c("family_id") != "flush")
 
 
 def scored_days(spark, d) -> DataFrame:

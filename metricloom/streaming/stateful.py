@@ -6,10 +6,10 @@ over tasks, and resume from their checkpoint.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from typing import Any
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -19,11 +19,11 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import BooleanType, LongType, StructField, StructType
 
 from metricloom.operators import divergence as V
-from metricloom.operators.dims import long_form
+from metricloom.operators.dims import SOURCE, TAG, long_form
 
 c = F.col
 WAYS = 16  # slices of one (family, dimension), by value
-PIECE = 10_000  # values of a pane held in one state entry
+PIECE = 10_000  # counts held in one state entry
 
 
 def combine_batches(rows: DataFrame) -> DataFrame:
@@ -43,110 +43,127 @@ class Panes(StatefulProcessor):
     """Counts per pane of one key; windows are put together from panes once they are closed.
 
     A pane is as wide as the step from window to window, so a row is kept once whatever number of
-    windows it falls into. One timer per key stands at the end of the earliest window still open. A
-    pane goes when its last window has been returned. Values of a pane are kept in pieces of bounded
-    size under (pane, piece).
+    windows it falls into. One timer per key stands at the end of the earliest window still open.
+    Counts of all panes lie together in pieces of bounded size, so the number of state entries
+    follows the counts held and not the number of panes. Rows of a pane go when its last window has
+    been returned.
     """
 
-    def __init__(self, size: int, step: int):
+    def __init__(self, size: int, step: int, piece: int = PIECE):
         if size % step:
             raise ValueError("a window must be a whole number of steps")
-        self.size, self.step = size, step
+        self.size, self.step, self.piece = size, step, piece
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.panes = handle.getMapState("panes", "pane bigint, piece bigint", "names array<string>, counts array<bigint>")
-        self.timer = handle.getValueState("timer", "timer bigint")
+        self.pieces = handle.getMapState("pieces", "piece bigint", "panes array<bigint>, names array<string>, counts array<bigint>")
+        # the timer, the number of the newest piece and its size; there while rows are held
+        self.book = handle.getValueState("book", "timer bigint, piece bigint, held bigint")
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        first = None
+        timer, piece, held = self.book.get() if self.book.exists() else (None, 0, 0)
+        parts, fresh, first = [], 0, None
+        if held >= self.piece:
+            piece = piece + 1
+        elif held:
+            parts = [self.frame(*self.pieces.getValue((piece,)))]
         for frame in rows:
-            fresh: dict[int, Counter] = {}
-            for pane, name, n in zip(frame["pane"].tolist(), frame["value"], frame["n"].tolist()):
-                fresh.setdefault(pane, Counter())[name] += n
-            for pane, new in fresh.items():
-                self.add(pane, new)
-            first = min(fresh if first is None else [first, *fresh], default=first)
+            first = int(frame["pane"].min()) if first is None else min(first, int(frame["pane"].min()))
+            parts.append(frame[["pane", "value", "n"]])
+            fresh += len(frame)
+            if fresh >= 4 * self.piece:
+                piece, last = self.keep(parts, piece)
+                parts, fresh = [last], 0
         if first is not None:
+            piece, last = self.keep(parts, piece)
             # windows that ended before have been returned without this pane, which only began later
-            self.wait(first + self.step, timerValues)
+            self.wait(first + self.step, timer, piece, len(last), timerValues)
         yield from ()
 
-    def add(self, pane: int, new: Counter) -> None:
-        """Pieces fill one after the other; a value may stand in several of them."""
-        piece = 0
-        while (old := self.panes.getValue((pane, piece))) is not None and len(old[0]) >= PIECE:
-            piece += 1
-        held = Counter(dict(zip(*old))) if old is not None else Counter()
-        for name, n in new.items():
-            held[name] += n
-            if len(held) >= PIECE:
-                self.panes.updateValue((pane, piece), (list(held), list(held.values())))
-                piece, held = piece + 1, Counter()
-        if held:
-            self.panes.updateValue((pane, piece), (list(held), list(held.values())))
-
-    def wait(self, end: int, timerValues: Any) -> None:
+    @staticmethod
+    def frame(panes: list, names: list, counts: list) -> pd.DataFrame:
+        return pd.DataFrame({"pane": panes, "value": pd.Series(names, dtype=object), "n": counts})
+
+    def keep(self, parts: list[pd.DataFrame], piece: int) -> tuple[int, pd.DataFrame]:
+        """Counts in order of their panes as pieces from number ``piece`` on; returns the last one."""
+        rows = pd.concat(parts).groupby(["pane", "value"], sort=False, dropna=False, as_index=False)["n"].sum().sort_values("pane", kind="stable")
+        for at in range(0, len(rows), self.piece):
+            last = rows.iloc[at : at + self.piece]
+            names = [x if isinstance(x, str) else None for x in last["value"]]
+            self.pieces.updateValue((piece + at // self.piece,), (last["pane"].tolist(), names, last["n"].tolist()))
+        return piece + (len(rows) - 1) // self.piece, last
+
+    def wait(self, end: int, old: int | None, piece: int, held: int, timerValues: Any) -> None:
         """One timer at most: at ``end``, unless that is past or an earlier one stands."""
         closed = timerValues.getCurrentWatermarkInMs() // 1000
         new = max(end, closed // self.step * self.step + self.step) * 1000
-        old = self.timer.get()[0] if self.timer.exists() else None
         if old is None or new < old:
             if old is not None:
                 self.handle.deleteTimer(old)
             self.handle.registerTimer(new)
-            self.timer.update((new,))
+        else:
+            new = old
+        self.book.update((new, piece, held))
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
-        if not self.timer.exists() or self.timer.get()[0] != expiredTimerInfo.getExpiryTimeInMs():
+        timer, piece, size = self.book.get() if self.book.exists() else (None, 0, 0)
+        if timer != expiredTimerInfo.getExpiryTimeInMs():
             return  # replaced by an earlier one since
-        self.timer.clear()
         closed = timerValues.getCurrentWatermarkInMs() // 1000
-        since = expiredTimerInfo.getExpiryTimeInMs() // 1000
-        held: dict[int, list] = {}
-        for (pane, piece), (names, counts) in self.panes.iterator():
-            held.setdefault(pane, []).append((piece, names, counts))
-        ends = sorted({e for p in held for e in range(max(since, p + self.step), min(closed, p + self.size) + 1, self.step)})
-        out: list[tuple] = []
-        for end in ends:
-            total: Counter = Counter()
-            for pane in range(end - self.size, end, self.step):
-                for _, names, counts in held.get(pane, []):
-                    for name, n in zip(names, counts):
-                        total[name] += n
-            out += [(key[0], end - self.size, key[1], name, n) for name, n in total.items()]
-            if len(out) >= PIECE or end == ends[-1]:
-                yield pd.DataFrame(out, columns=["family_id", "window_start", "dim", "value", "n"])
-                out = []
-        left = [p for p in held if p + self.size > closed]
-        if len(left) < len(held):
-            if left:
-                for pane in held.keys() - set(left):
-                    for piece, *_ in held[pane]:
-                        self.panes.removeKey((pane, piece))
-            else:
-                self.panes.clear()
-        if left:
-            self.wait(min(left) + self.step, timerValues)
+        held = {k: self.frame(*v) for (k,), v in self.pieces.iterator()}
+        for starts, names, counts in self.windows(pd.concat(held.values()), timer // 1000, closed):
+            yield pd.DataFrame({"family_id": key[0], "window_start": starts, "dim": key[1], "value": names, "n": counts})
+        left = {k: rows[rows["pane"] + self.size > closed] for k, rows in held.items()}
+        if not any(len(rows) for rows in left.values()):
+            self.pieces.clear()
+            self.book.clear()
+            return
+        for k, rows in left.items():
+            if not len(rows):
+                self.pieces.removeKey((k,))
+            elif len(rows) < len(held[k]):
+                self.keep([rows], k)
+        # the next rows begin a new piece if the newest one has gone
+        self.wait(int(min(rows["pane"].min() for rows in left.values() if len(rows))) + self.step, None, piece, len(left.get(piece, ())) or self.piece, timerValues)
+
+    def windows(self, rows: pd.DataFrame, since: int, closed: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Starts, values and counts of all windows that end from ``since`` to ``closed``, some thousand panes' counts at a time."""
+        rows = rows.sort_values("pane", kind="stable")
+        panes, counts = rows["pane"].to_numpy("int64"), rows["n"].to_numpy("int64")
+        codes, names = pd.factorize(rows["value"].to_numpy(object), use_na_sentinel=False)
+        names = np.array([x if isinstance(x, str) else None for x in names], dtype=object)
+        edges = [panes[0] - self.size, *np.unique(panes[self.piece :: self.piece]).tolist(), panes[-1] + self.step]
+        for low, high in zip(edges, edges[1:]):
+            a, b = np.searchsorted(panes, [low, high + self.size - self.step])
+            starts = panes[a:b, None] - np.arange(0, self.size, self.step)
+            within = (starts >= low) & (starts < high) & (starts + self.size >= since) & (starts + self.size <= closed)
+            row, _ = np.nonzero(within)
+            if not len(row):
+                continue
+            order = np.lexsort((code := codes[a:b][row], start := starts[within]))
+            start, code = start[order], code[order]
+            new = np.flatnonzero(np.r_[True, (start[1:] != start[:-1]) | (code[1:] != code[:-1])])
+            yield start[new], names[code[new]], np.add.reduceat(counts[a:b][row[order]], new)
 
     def close(self) -> None:
         pass
 
 
-def pane_counts(points: DataFrame, size: int = 300, step: int = 60, late: str = "2 minutes", ways: int = WAYS) -> DataFrame:
+def pane_counts(points: DataFrame, size: int = 300, step: int = 60, late: str = "2 minutes", ways: int = WAYS, numbers: bool = True) -> DataFrame:
     """Counts per (family, window_start, dim, value) of windows of ``size`` seconds every ``step`` seconds.
 
     Rows are counted per batch first, then by (family, dim, slice of the value), so neither a hot
     family nor a common value gathers in one task. Each slice returns its own values, and no value
-    is in two. The watermark runs on pane starts.
+    is in two. The watermark runs on pane starts. Without ``numbers`` there are source and tags only.
     """
     pane = (F.floor(c("ts") / step) * step).cast("bigint").alias("pane")
-    counted = combine_batches(long_form(points.select("family_id", pane, "source", "value", "line_length", "tags"), "family_id", "pane"))
+    rows = long_form(points.select("family_id", pane, "source", "value", "line_length", "tags"), "family_id", "pane")
+    counted = combine_batches(rows if numbers else rows.filter((c("dim") == SOURCE) | c("dim").startswith(TAG)))
     timed = counted.withColumn("pane_time", F.timestamp_seconds("pane")).withWatermark("pane_time", late)
     return (
         timed.withColumn("slice", F.pmod(F.xxhash64("value"), F.lit(ways))).groupBy("family_id", "dim", "slice")
         .transformWithStateInPandas(
-            statefulProcessor=Panes(size, step), outputStructType="family_id string, window_start bigint, dim string, value string, n bigint",
+            statefulProcessor=Panes(size, step, PIECE), outputStructType="family_id string, window_start bigint, dim string, value string, n bigint",
             outputMode="Append", timeMode="EventTime",
         )
     )

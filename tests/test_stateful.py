@@ -47,6 +47,21 @@ def test_panes_make_windows_and_stay_few(spark, monkeypatch):
     assert not any(jobs.dropped_late(run) for run in seen)
 
 
+def test_state_follows_counts_not_panes(spark):
+    rows = [("f", 60000 + 60 * m, "h", 1.0, 5, {"k": "x"}) for m in range(400)] + [("f", 60000, None, 1.0, 5, {})]
+    steps = [rows, [("f", 60000 + 60 * 401, "h", 1.0, 5, {})], [("f", 10**6, "h", 1.0, 5, {})]]
+    table, seen = in_steps(spark, POINT, steps, lambda s: stateful.pane_counts(s, 300, 60, "0 seconds", ways=1, numbers=False))
+    got = Counter({(r["window_start"], r["dim"], r["value"]): r["n"] for r in table.where("window_start < 90000").collect()})
+    want = Counter()
+    for _, ts, source, _, _, tags in [*rows, *steps[1]]:
+        for start in range(ts - 240, ts + 1, 60):
+            for dim, name in (("source", source), *((f"tag:{k}", v) for k, v in tags.items())):
+                want[start, dim, name] += 1
+    assert got == want
+    # 400 minutes of two dimensions: a piece, a timer and little else each
+    assert max(int(p["stateOperators"][0]["numRowsTotal"]) for run in seen for p in run if p["stateOperators"]) < 20
+
+
 def test_windows_need_whole_steps():
     with pytest.raises(ValueError):
         stateful.Panes(300, 70)
