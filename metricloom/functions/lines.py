@@ -17,11 +17,15 @@ TAG = r'^[A-Za-z0-9._/-]++=(?:[^="][^"]*+|"(?:[^"\\]|\\.)++")$'
 NUMBER = r"^[+-]?(?:\d++\.?\d*+|\.\d++)(?:[eE][+-]?\d++)?$"
 INTEGER = r"^\d++$"
 EPOCH_SECONDS = r"^\d{10}$"
-# A metric line without quotes and backslashes, all fields well formed: name, number, time or none, tags.
-PLAIN = (
-    r"^[∆Δ]?[A-Za-z0-9][A-Za-z0-9._-]*+\s++[+-]?(?:\d++\.?\d*+|\.\d++)(?:[eE][+-]?\d++)?(?:\s++\d{10})?"
-    r'(?:\s++[A-Za-z0-9._/-]++=[^\s="\\][^\s"\\]*+)++$'
-)
+# Lines without quotes and backslashes, all fields well formed, and their fields as parts behind one
+# another: metric lines of name, number, time or none, tags; spans of name, tags, start, duration.
+_PLAIN_TAGS = r'[A-Za-z0-9._/-]++=[^ \t\n\x0b\f\r="\\][^ \t\n\x0b\f\r"\\]*+(?:\s++[A-Za-z0-9._/-]++=[^ \t\n\x0b\f\r="\\][^ \t\n\x0b\f\r"\\]*+)*+'
+_PLAIN_NUMBER = r"[+-]?(?:\d++\.?\d*+|\.\d++)(?:[eE][+-]?\d++)?"
+MARK = "\x01"
+PLAIN = rf"^([∆Δ]?)([A-Za-z0-9][A-Za-z0-9._-]*+)\s++({_PLAIN_NUMBER})(?:\s++(\d{{10}}))?\s++({_PLAIN_TAGS})\z"
+PLAIN_PARTS = MARK.join(["$1", "$2", "$3", "$4", "$5"])
+PLAIN_SPAN = rf"^([∆Δ]?[A-Za-z0-9][A-Za-z0-9._-]*+)\s++({_PLAIN_TAGS})\s++(\d++)\s++({_PLAIN_NUMBER})\z"
+PLAIN_SPAN_PARTS = MARK.join(["span", "$1", "$4", "$3", "$2"])
 
 
 def tokens(line: Column) -> Column:
@@ -95,45 +99,59 @@ FAST = "_plain"
 
 
 def _plain_points(df: DataFrame, keep: list[str]) -> DataFrame:
-    """Adds the fields of plain metric lines as one struct, null for all other lines.
+    """Adds the fields of plain metric and span lines as one struct, null for all other lines.
 
-    One pattern decides that a line has no quotes and is well formed throughout; the rest is plain
-    splitting in generated code, without the token arrays the other lines go through. A repeated
-    key, a missing source or a number without a finite double leave the line to the long way.
+    One pattern decides that a line has no quotes and is well formed throughout, and puts marks
+    between its parts; the rest is search for fixed texts in generated code, without the token
+    arrays the other lines go through. A repeated key, a missing source or a number without a
+    finite double leave the line to the long way.
     """
     c = F.col
-    cut = _bind(df, [*keep, "_line"], _cut=F.when(c("_line").rlike(PLAIN), F.split("_line", r"\s+", 4)))
-    third = F.try_element_at("_cut", F.lit(3))
-    timed = third.rlike(EPOCH_SECONDS)
-    rest = F.when(timed, F.try_element_at("_cut", F.lit(4))).otherwise(F.concat_ws(" ", third, F.try_element_at("_cut", F.lit(4))))
+    line = c("_line")
+    # only chooses the pattern to try: the second of the tokens between blanks holds an equals sign
+    like_span = F.substring_index(F.substring_index(line, " ", 2), " ", -1).contains("=")
+    marked = F.when(like_span, F.regexp_replace(line, PLAIN_SPAN, PLAIN_SPAN_PARTS)).otherwise(F.regexp_replace(line, PLAIN, PLAIN_PARTS))
+    cut = _bind(df, [*keep, "_line"], _cut=F.when(~line.contains(MARK), F.split(marked, MARK, 5)))
+    part = [F.try_element_at("_cut", F.lit(i)) for i in range(1, 6)]
+    odd = F.lit(False)
+    for blank in ("  ", "\t", "\n", "\x0b", "\f", "\r"):
+        odd = odd | part[4].contains(blank)
     fields = _bind(
-        cut, [*keep, "_line"], _name=F.try_element_at("_cut", F.lit(1)), _number=F.try_element_at("_cut", F.lit(2)).try_cast("double"),
-        _at=F.when(timed, third.try_cast("bigint")), _rest=F.when(c("_cut").isNotNull(), rest),
+        cut, [*keep, "_line"], _kind=part[0], _name=part[1], _number=part[2].try_cast("double"), _at=part[3].try_cast("bigint"),
+        _rest=F.concat(F.lit(" "), F.when(odd, F.regexp_replace(part[4], r"\s++", " ")).otherwise(part[4]), F.lit(" ")),
     )
-    named = _bind(fields, [*keep, "_line", "_name", "_number", "_at", "_rest"], _keys=F.regexp_extract_all("_rest", F.lit(r"(?:^|\s)([^\s=]++)="), F.lit(1)))
-    by_source = F.array_contains("_keys", "source")
+    by_source = c("_rest").contains(" source=")
+    after = F.when(by_source, F.substring_index("_rest", " source=", -1)).otherwise(F.substring_index("_rest", " host=", -1))
+    keys = F.split(F.regexp_replace(F.trim("_rest"), "=[^ ]*+", ""), " ")
+    named = _bind(
+        fields, [*keep, "_line", "_kind", "_name", "_number", "_at", "_rest"], _keys=keys,
+        _prefix=F.when(by_source, " source=").otherwise(" host="), _owner=F.substring_index(after, " ", 1),
+    )
+    is_span = c("_kind") == "span"
     good = (
-        (F.size(F.array_distinct("_keys")) == F.size("_keys")) & (by_source | F.array_contains("_keys", "host"))
-        & c("_number").isNotNull() & (F.abs("_number") != float("inf"))
+        (by_source | c("_rest").contains(" host=")) & (F.size(F.array_distinct("_keys")) == F.size("_keys"))
+        & c("_number").isNotNull() & (F.abs("_number") < F.when(is_span, 1e15).otherwise(float("inf")))
     )
-    owner = F.when(by_source, F.regexp_extract("_rest", r"(?:^|\s)source=(\S++)", 1)).otherwise(F.regexp_extract("_rest", r"(?:^|\s)host=(\S++)", 1))
-    own = F.when(by_source, F.regexp_replace("_rest", r"(?:^|\s)source=\S++", "")).otherwise(F.regexp_replace("_rest", r"(?:^|\s)host=\S++", ""))
-    own = F.btrim(own, F.lit(" \t\n\x0b\f\r"))
-    taken = _bind(named, [*keep, "_line", "_name", "_number", "_at"], _good=good, _owner=F.when(good, owner), _own=F.when(good, own))
-    tags = F.when(c("_own") == "", F.create_map().cast(TAGS)).otherwise(F.str_to_map("_own", F.lit(r"\s+"), F.lit("=")))
+    own = F.trim(F.replace("_rest", F.concat("_prefix", "_owner", F.lit(" ")), F.lit(" ")))
+    taken = _bind(named, [*keep, "_line", "_kind", "_name", "_number", "_at", "_owner"], _own=F.when(good, own))
+    is_span, is_point = c("_kind") == "span", c("_kind") != "span"
     point = F.struct(
-        F.regexp_replace("_name", "^[∆Δ]", "").alias("metric"), c("_number").alias("value"), c("_at").alias("ts"), c("_owner").alias("source"),
-        tags.alias("tags"), c("_name").rlike("^[∆Δ]").alias("is_delta"),
+        F.when(is_span, "span").otherwise("metric").alias("record_type"),
+        F.when(is_point, c("_name")).alias("metric"), F.when(is_point, c("_number")).alias("value"), F.when(is_point, c("_at")).alias("ts"),
+        c("_owner").alias("source"),
+        F.when(c("_own") == "", F.create_map().cast(TAGS)).otherwise(F.str_to_map("_own", F.lit(" "), F.lit("="))).alias("tags"),
+        F.when(is_point, c("_kind") != "").alias("is_delta"), F.when(is_span, c("_name")).alias("operation"),
+        F.when(is_span, c("_at")).alias("start_ms"), F.when(is_span, F.floor("_number").try_cast("bigint")).alias("duration_ms"),
     )
-    return _bind(taken, [*keep, "_line"], **{FAST: F.when(c("_good"), point)})
+    return _bind(taken, [*keep, "_line"], **{FAST: F.when(c("_own").isNotNull(), point)})
 
 
 def parse_lines(df: DataFrame, column: str = "value", plain: bool = True) -> DataFrame:
     """Parse every non-blank, non-comment line into one typed row; nothing is dropped silently.
 
     A histogram header and its owner line may be joined into one value with a newline (see
-    ``pair_two_line_histograms``). Other columns of ``df`` pass through. Plain metric lines, most of
-    any capture, take a short way with the same results; ``plain=False`` sends them the long way too.
+    ``pair_two_line_histograms``). Other columns of ``df`` pass through. Plain metric and span lines,
+    most of any capture, take a short way with the same results; ``plain=False`` sends them the long way too.
     """
     others = [c for c in df.columns if c != column and c not in PARSED_COLUMNS]
     text = F.trim(F.col(column))
@@ -328,10 +346,8 @@ def parse_lines(df: DataFrame, column: str = "value", plain: bool = True) -> Dat
         is_fast = fast.isNotNull()
 
         def either(name: str) -> Column:
-            if name in ("metric", "value", "ts", "source", "tags", "is_delta"):
+            if name in ("record_type", "metric", "value", "ts", "source", "tags", "is_delta", "operation", "start_ms", "duration_ms"):
                 return F.when(is_fast, fast[name]).otherwise(F.col(name)).alias(name)
-            if name == "record_type":
-                return F.when(is_fast, "metric").otherwise(F.col(name)).alias(name)
             if name in (*others, "line_length"):
                 return F.col(f"`{name}`")
             return F.when(~is_fast, F.col(name)).alias(name)

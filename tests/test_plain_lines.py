@@ -44,3 +44,21 @@ def test_both_ways_agree(spark):
 
 def test_pattern_has_no_quotes():
     assert "\\\\" in PLAIN and '"' in PLAIN
+
+
+SPANS = [
+    "op source=a 1700000000000 12", "op.x source=a k=v 1 0.5", "∆op host=a k=a=b 12 3e2", "op  source=a\tk=v 1 2", "op source=a 1 1e999", "op source=a 1 1e16",
+    "op source=a k=1 k=2 1 2", "op k=v 1 2", 'op source="a b" 1 2', "op source=a 1 -2.7", "op source=a 1x 2", "op source=a 2", "op source=a 99999999999999999999 2",
+    "op source=a 1 2\n", "op source=a 1 2 3", "op source=a k=\x01 1 2", "op source=a 1 2\u0085", "op 5=1 source=a 1 2", "op source=a host=b 1 2", "op source=a",
+    "cpu 1 source=a k=\x01", "cpu\x01 1 source=a", "\x01\x01\x01\x01\x01", "span\x01op\x011\x012\x01source=a", "cpu 1 1700000000 source=a\n", "cpu 1 source=a k= source=b",
+]
+
+
+def test_plain_spans_agree_both_ways(spark):
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(SPANS)], "odd_id bigint, value string")
+    fields = lambda d: {r["odd_id"]: r.asDict(recursive=True) for r in d.collect()}
+    fast, slow = fields(parse_lines(df)), fields(parse_lines(df, plain=False))
+    for i, x in enumerate(SPANS):
+        assert fast.get(i) == slow.get(i), x
+    short = _plain_points(df.select("odd_id", F.trim("value").alias("_line")), ["odd_id"]).where(F.col(FAST).isNotNull())
+    assert {0, 1, 2, 9} <= {r["odd_id"] for r in short.collect()}
