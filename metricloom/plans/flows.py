@@ -133,6 +133,9 @@ def _(spark, d):
     return out.filter(c("family_id") != "flush")
 
 
+SCORED = ["family_id", "ts", "source", "value", "line_length", "tags"]  # what windows are counted from
+
+
 def scored_days(spark, d) -> DataFrame:
     """Daily windows of the current half, scored as they close."""
     ref, cur = t.reference_and_current(spark, d)
@@ -145,7 +148,7 @@ def scored_days(spark, d) -> DataFrame:
         counts = jobs.sliding_counts(stream, "1 day", "1 day", "1 hour")
         return jobs.run_scores(counts, profile, "scores", path=path, checkpoint=checkpoint, allow_late=False)
 
-    return replayed(t.with_series(cur), "stream-scores", run)
+    return replayed(cur.select(*SCORED), "stream-scores", run)
 
 
 @query(
@@ -194,7 +197,7 @@ def _(spark, d):
         counts = stateful.pane_counts(stream, 300, 60, "1 hour")
         return jobs.run_scores(counts, profile, "minute-scores", 1, path, checkpoint, allow_late=False, state=jobs.ROCKSDB)
 
-    out = replayed(t.with_series(cur), "minute-in", run)
+    out = replayed(cur.select(*SCORED), "minute-in", run)
     return out.filter(c("family_id") != "flush").select("family_id", "window_start", "n", "js_categorical", "wasserstein", "ks_size", "status")
 
 
