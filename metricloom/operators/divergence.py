@@ -41,6 +41,11 @@ def align(ref: DataFrame, cur: DataFrame, keys: list[str], value: str) -> DataFr
 
 def js_divergence(ref: DataFrame, cur: DataFrame, keys: list[str], value: str = "value") -> DataFrame:
     """Jensen-Shannon divergence in [0, 1] per key; 1 when one side is empty."""
+    return aligned_divergence(align(ref, cur, keys, value), keys)
+
+
+def aligned_divergence(aligned: DataFrame, keys: list[str]) -> DataFrame:
+    """:func:`js_divergence` of shares ``p`` and ``q`` of the same values."""
     p, q = F.col("p"), F.col("q")
     m = (p + q) / 2
 
@@ -48,8 +53,7 @@ def js_divergence(ref: DataFrame, cur: DataFrame, keys: list[str], value: str =
         return F.when(x > 0, x * F.ln(x / m)).otherwise(0.0)
 
     return (
-        align(ref, cur, keys, value)
-        .groupBy(*keys)
+        aligned.groupBy(*keys)
         .agg(
             F.sum(term(p) + term(q)).alias("_sum"),
             F.max(p).alias("_p"),
@@ -67,7 +71,22 @@ def js_divergence(ref: DataFrame, cur: DataFrame, keys: list[str], value: str =
 
 def js_scores(ref_dims: DataFrame, cur_dims: DataFrame, keys: list[str]) -> DataFrame:
     """Source score, mean over the reference's tag keys, and their average."""
-    per_dim = js_divergence(ref_dims, cur_dims, [*keys, "dim"])
+    return family_scores(js_divergence(ref_dims, cur_dims, [*keys, "dim"]), keys)
+
+
+def js_halves(dims: DataFrame, keys: list[str], ref: str, cur: str) -> DataFrame:
+    """:func:`js_scores` of two count columns of the same rows, null or 0 where a side lacks the value; no join of values."""
+    by, r, q = [*keys, "dim"], F.col(ref), F.col(cur)
+    rows = dims.filter((F.coalesce(r, F.lit(0)) > 0) | (F.coalesce(q, F.lit(0)) > 0))
+    whole = rows.groupBy(*by).agg(F.sum(r).alias("_r"), F.sum(q).alias("_c"))
+    shared = rows.join(whole, by).select(
+        *by, F.coalesce(F.try_divide(r, F.col("_r")), F.lit(0.0)).alias("p"), F.coalesce(F.try_divide(q, F.col("_c")), F.lit(0.0)).alias("q")
+    )
+    return family_scores(aligned_divergence(shared, by), keys)
+
+
+def family_scores(per_dim: DataFrame, keys: list[str]) -> DataFrame:
+    """Scores of a family from those of its dimensions."""
     tags = F.when(F.col("dim").startswith(TAG) & F.col("in_ref"), F.col("js"))
     return (
         per_dim.groupBy(*keys)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from metricloom.operators.counts import top_k
+from metricloom.operators.counts import top_k, value_counts
 
 TOP_PATTERNS = 5
 METACHARACTERS = r"([\\.^$|?*+()\[\]{}])"
@@ -30,9 +30,9 @@ def pattern_counts(counts: DataFrame, keys: list[str]) -> DataFrame:
     return counts.groupBy(*keys, generalize(F.col("value")).alias("pattern")).agg(F.sum("n").alias("n"))
 
 
-def mine(counts: DataFrame, keys: list[str], k: int = TOP_PATTERNS) -> DataFrame:
-    """Most frequent patterns per key with their share of rows."""
-    patterns = pattern_counts(counts, keys)
+def mine(counts: DataFrame, keys: list[str], k: int = TOP_PATTERNS, counted: str | None = None) -> DataFrame:
+    """Most frequent patterns per key with their share of rows; ``counted`` names a column that holds them already."""
+    patterns = value_counts(counts, keys, counted, "n") if counted else pattern_counts(counts, keys)
     totals = patterns.groupBy(*keys).agg(F.sum("n").alias("total"))
     return top_k(patterns, keys, "pattern", k).join(totals, keys).select(
         *keys, "rank", "pattern", "n", (F.col("n") / F.col("total")).alias("frequency")

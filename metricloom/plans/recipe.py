@@ -28,6 +28,7 @@ DAY = 86400
 TYPES = ["categorical", "numeric", "text", "identifier"]
 TAG_SCHEMA = "map<string,struct<type:string,presence:double,cardinality:bigint>>"
 TAG_KEY = r"^[a-zA-Z][a-zA-Z0-9_]*$"
+GRAMS = {1: "unigrams", 2: "bigrams", 3: "trigrams"}
 
 
 def numeric_struct(counts: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
@@ -68,26 +69,37 @@ def cat_struct(counts: DataFrame, keys: list[str], name: str) -> DataFrame:
     )
 
 
+def pattern_pieces(values: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, size, piece, n): lengths (size 0) and n-grams of 1 to 3 characters of all values, in one pass."""
+    text, at = F.col("value"), F.col("at")
+    each = values.select(*keys, "n", "value", F.explode(F.sequence(F.lit(0), F.length(text))).alias("at"))
+
+    def gram(size: int) -> Column:
+        whole = (at > 0) & (at + size - 1 <= F.length(text))
+        return F.struct(F.lit(size).alias("size"), F.when(whole, F.substring(text, at, F.lit(size))).alias("piece"))
+
+    length = F.struct(F.lit(0).alias("size"), F.when(at == 0, F.length(text).cast("string")).alias("piece"))
+    return C.value_counts(each.select(*keys, "n", F.inline(F.array(length, *[gram(size) for size in GRAMS]))), [*keys, "size"], "piece", "n")
+
+
 def pattern_structs(dim_counts: DataFrame) -> DataFrame:
-    """Top patterns per (family, dim) with n-grams and lengths of the values behind them."""
+    """Top patterns per (family, dim) with n-grams and lengths of the values behind them.
+
+    The values are generalised once; n-grams and lengths of all sizes are counted in one pass over them.
+    """
     keys = [*FAMILY, "dim", "pattern"]
-    best = patterns.mine(dim_counts, [*FAMILY, "dim"])
-    values = dim_counts.withColumn("pattern", patterns.generalize(F.col("value"))).join(
-        best.select(*keys), keys, "left_semi"
-    )
+    shaped = materialize(dim_counts.select(*FAMILY, "dim", patterns.generalize(F.col("value")).alias("pattern"), "value", "n"), "shaped")
+    best = materialize(patterns.mine(shaped, [*FAMILY, "dim"], counted="pattern"), "best-patterns")
+    pieces = materialize(pattern_pieces(shaped.join(best.select(*keys), keys, "left_semi"), keys), "pieces")
 
     def grams(size: int, name: str) -> DataFrame:
-        g = patterns.ngrams(values, keys, size)
-        shared = V.shares(g, keys)
+        shared = V.shares(pieces.filter(F.col("size") == size).select(*keys, F.col("piece").alias("gram"), "n"), keys)
         return shared.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("gram", "p"))).alias(name))
 
-    lengths = numeric_struct(patterns.length_counts(values, keys), keys, "length", "length_distribution")
-    rows = (
-        best.join(lengths, keys, "left")
-        .join(grams(1, "unigrams"), keys, "left")
-        .join(grams(2, "bigrams"), keys, "left")
-        .join(grams(3, "trigrams"), keys, "left")
-    )
+    sized = pieces.filter(F.col("size") == 0).select(*keys, F.col("piece").cast("bigint").alias("length"), "n")
+    rows = best.join(numeric_struct(sized, keys, "length", "length_distribution"), keys, "left")
+    for size, name in GRAMS.items():
+        rows = rows.join(grams(size, name), keys, "left")
     item = F.struct(
         "rank", "pattern", "frequency",
         F.struct("unigrams", "bigrams", "trigrams").alias("char_distributions"),
@@ -103,23 +115,22 @@ def pattern_structs(dim_counts: DataFrame) -> DataFrame:
 
 def fitness(counts: DataFrame, cut: Column) -> DataFrame:
     """First half of the capture against the second, per family, from day counts."""
-    halves = []
-    second_half = F.col("day") * DAY >= cut
-    for side in (counts.filter(~second_half), counts.filter(second_half)):
-        seconds = of_dim(side, "second", "ts", "bigint")
-        halves.append(
-            {
-                "dims": categories(side),
-                "values": of_dim(side, "value", "value", "double"),
-                "curve": temporal.curve_points(temporal.minute_counts(seconds, FAMILY, n="n"), FAMILY),
-            }
-        )
-    ref, cur = halves
-    js = V.js_scores(ref["dims"], cur["dims"], FAMILY).select(*FAMILY, F.col("js_categorical").alias("categorical_js_divergence"))
-    ks = V.ks_knots(C.exact_quantiles(ref["values"], FAMILY, "value"), cur["values"], FAMILY, "value").select(
+    whole = stored_totals(totals(counts, cut, "n"))
+    return half_scores(of_part(whole, D.SOURCE, D.TAG), typed(whole, "value", "value", "double"), typed(whole, "second", "ts", "bigint"))
+
+
+def half_scores(dims: DataFrame, values: DataFrame, seconds: DataFrame) -> DataFrame:
+    """Scores of the counts ``before`` against those ``after``, both columns of the same rows."""
+
+    def half(rows: DataFrame, name: str) -> DataFrame:
+        return rows.filter(F.col(name).isNotNull()).withColumn("n", F.col(name))
+
+    curve = {name: temporal.curve_points(temporal.minute_counts(half(seconds, name), FAMILY, n="n"), FAMILY) for name in HALVES}
+    js = V.js_halves(dims, FAMILY, *HALVES).select(*FAMILY, F.col("js_categorical").alias("categorical_js_divergence"))
+    ks = V.ks_knots(C.exact_quantiles(half(values, "before"), FAMILY, "value"), half(values, "after"), FAMILY, "value").select(
         *FAMILY, F.col("ks_size").alias("numeric_ks_statistic")
     )
-    corr = V.curve_correlation(ref["curve"], cur["curve"], FAMILY).select(*FAMILY, F.col("temporal_corr").alias("temporal_correlation"))
+    corr = V.curve_correlation(curve["before"], curve["after"], FAMILY).select(*FAMILY, F.col("temporal_corr").alias("temporal_correlation"))
     return js.join(ks, FAMILY, "left").join(corr, FAMILY, "left")
 
 
@@ -128,13 +139,8 @@ def fitness(counts: DataFrame, cut: Column) -> DataFrame:
 COMBO = "array<struct<key:string,value:string>>"
 
 
-def day_counts(points: DataFrame) -> DataFrame:
-    """(family_id, metric, day, dim, value, n): all that recipes need of the points, in one scan.
-
-    ``day`` is the number of the day of ``ts``, null where there is no time. Dimensions are source,
-    tag:<key>, value, size, second, combo (the whole tag set) and delta (one row per point). Counts
-    of different days add up, so a new day needs its own points only.
-    """
+def long_points(points: DataFrame) -> DataFrame:
+    """(family_id, metric, day, dim, value): a row for all that recipes need of a point."""
     c = F.col
     entries = F.sort_array(F.map_entries("tags"))
 
@@ -146,22 +152,55 @@ def day_counts(points: DataFrame) -> DataFrame:
         row("combo", F.to_json(entries)), row("delta", F.coalesce("is_delta", F.lit(False))),
     )
     tags = F.transform(F.map_entries("tags"), lambda e: F.struct(F.concat(F.lit(D.TAG), e["key"]).alias("dim"), e["value"].alias("value")))
-    long = points.select(
+    return points.select(
         *FAMILY, "metric", F.floor(c("ts") / DAY).alias("day"), F.inline(F.concat(fixed, F.coalesce(tags, F.array().cast("array<struct<dim:string,value:string>>"))))
     )
-    return C.value_counts(long, [*FAMILY, "metric", "day", "dim"], "value")
 
 
-def of_dim(counts: DataFrame, dim: str, name: str, kind: str) -> DataFrame:
-    """(family_id, name, n) of one dimension over all days."""
-    typed = counts.filter(F.col("dim") == dim).select(*FAMILY, F.col("value").cast(kind).alias(name), "n")
-    return C.value_counts(typed, FAMILY, name, "n")
+def day_counts(points: DataFrame) -> DataFrame:
+    """(family_id, metric, day, dim, value, n): all that recipes need of the points, in one scan.
+
+    ``day`` is the number of the day of ``ts``, null where there is no time. Dimensions are source,
+    tag:<key>, value, size, second, combo (the whole tag set) and delta (one row per point). Counts
+    of different days add up, so a new day needs its own points only.
+    """
+    return C.value_counts(long_points(points), [*FAMILY, "metric", "day", "dim"], "value")
 
 
-def categories(counts: DataFrame) -> DataFrame:
-    """(family_id, dim, value, n) of source and tags over all days."""
-    own = counts.filter((F.col("dim") == D.SOURCE) | F.col("dim").startswith(D.TAG))
-    return C.value_counts(own, [*FAMILY, "dim"], "value", "n")
+HALVES = ["before", "after"]
+
+
+def totals(rows: DataFrame, cut: Column, n: str | None = None) -> DataFrame:
+    """(family_id, metric, dim, value, n, before, after) over all days.
+
+    ``rows`` are long points, or day counts with their ``n``. ``before`` and ``after`` are the counts on
+    either side of ``cut``, null where there are none; rows without a day are in neither. ``metric``
+    stands with delta rows only, so that no other value is in two rows.
+    """
+    c = F.col
+    weight, second_half = c(n) if n else F.lit(1), c("day") * DAY >= cut
+    return (
+        rows.filter(c("value").isNotNull())
+        .groupBy(*FAMILY, F.when(c("dim") == "delta", c("metric")).alias("metric"), "dim", "value")
+        .agg(F.sum(weight).alias("n"), F.sum(F.when(~second_half, weight)).alias("before"), F.sum(F.when(second_half, weight)).alias("after"))
+    )
+
+
+def stored_totals(rows: DataFrame) -> DataFrame:
+    """Totals written once, in a folder per dimension (all tags in one): each block reads only its own."""
+    part = F.when(F.col("dim").startswith(D.TAG), D.TAG).otherwise(F.col("dim"))
+    return materialize(rows.withColumn("part", F.replace(part, F.lit(":"), F.lit(""))), "totals", ["part"])
+
+
+def of_part(rows: DataFrame, *dims: str) -> DataFrame:
+    """Rows of some dimensions of stored totals; ``D.TAG`` stands for all tags."""
+    return rows.filter(F.col("part").isin(*[dim.replace(":", "") for dim in dims])).drop("part")
+
+
+def typed(rows: DataFrame, dim: str, name: str, kind: str) -> DataFrame:
+    """(family_id, name, n, before, after) of one dimension of stored totals, as its own type."""
+    own = of_part(rows, dim).select(*FAMILY, F.col("value").cast(kind).alias(name), "n", *HALVES)
+    return own.filter(F.col(name).isNotNull()).groupBy(*FAMILY, name).agg(*[F.sum(x).alias(x) for x in ("n", *HALVES)])
 
 
 def add_day(points: DataFrame, path: str) -> None:
@@ -185,31 +224,35 @@ def assemble(points: DataFrame, cut: Column, histograms: DataFrame | None = None
     ``cut`` is the epoch second that halves the capture for the fitness scores. ``errors`` holds
     ``reason`` and ``lines`` of the whole capture.
     """
-    return from_days(materialize(day_counts(points), "day-counts"), cut, histograms, errors)
+    return from_totals(stored_totals(totals(long_points(points), cut)), histograms, errors)
 
 
 def from_days(counts: DataFrame, cut: Column, histograms: DataFrame | None = None, errors: DataFrame | None = None) -> DataFrame:
     """Recipes from day counts; the fitness scores set days that begin at ``cut`` or later against those before."""
+    return from_totals(stored_totals(totals(counts, cut, "n")), histograms, errors)
+
+
+def from_totals(counts: DataFrame, histograms: DataFrame | None = None, errors: DataFrame | None = None) -> DataFrame:
+    """Recipes from stored totals."""
     c = F.col
-    values = materialize(of_dim(counts, "value", "value", "double"), "values")
-    sizes = materialize(of_dim(counts, "size", "line_length", "bigint"), "sizes")
-    dims = materialize(categories(counts), "dims")
-    seconds = materialize(of_dim(counts, "second", "ts", "bigint"), "seconds")
+    values = materialize(typed(counts, "value", "value", "double"), "values")
+    sizes = materialize(typed(counts, "size", "line_length", "bigint"), "sizes")
+    dims, sources, tags = of_part(counts, D.SOURCE, D.TAG), of_part(counts, D.SOURCE), of_part(counts, D.TAG)
+    seconds = materialize(typed(counts, "second", "ts", "bigint"), "seconds")
     minutes = materialize(temporal.minute_counts(seconds, FAMILY, n="n"), "minutes")
-    combos = of_dim(counts, "combo", "combo", "string").withColumn("combo", F.from_json("combo", COMBO))
+    combos = of_part(counts, "combo").select(*FAMILY, F.from_json("value", COMBO).alias("combo"), "n")
 
-    delta = counts.filter(c("dim") == "delta").groupBy(*FAMILY, "metric").agg(F.sum("n").alias("samples"), F.bool_or(c("value") == "true").alias("is_delta"))
+    delta = of_part(counts, "delta").groupBy(*FAMILY, "metric").agg(F.sum("n").alias("samples"), F.bool_or(c("value") == "true").alias("is_delta"))
     window = seconds.groupBy(*FAMILY).agg(F.min("ts").alias("_t0"), F.max("ts").alias("_t1"))
     base = materialize(delta.join(window, FAMILY, "left"), "base")
-    tag_schema = D.tag_schema(dims, base, FAMILY)
+    tag_schema = D.tag_schema(tags, base, FAMILY)
     schema_map = tag_schema.groupBy(*FAMILY).agg(
         F.map_from_entries(F.collect_list(F.struct("key", F.struct("type", "presence", "cardinality")))).alias("tag_schema"),
         F.map_from_entries(F.collect_list(F.struct("key", "cardinality"))).alias("max_cardinality_per_tag"),
         F.sort_array(F.collect_list(F.when(c("presence") == 1.0, c("key")))).alias("required_tags"),
     )
-    cats = cat_struct(dims, [*FAMILY, "dim"], "cat")
-    source_cat = cats.filter(c("dim") == D.SOURCE).select(*FAMILY, c("cat").alias("source_distribution"))
-    tag_cats = D.tag_only(cats).groupBy(*FAMILY).agg(
+    source_cat = cat_struct(sources, [*FAMILY, "dim"], "source_distribution").drop("dim")
+    tag_cats = D.tag_only(cat_struct(tags, [*FAMILY, "dim"], "cat")).groupBy(*FAMILY).agg(
         F.map_from_entries(F.collect_list(F.struct("key", "cat"))).alias("tag_distributions")
     )
     pairs = V.shares(D.tag_pairs(combos, FAMILY), FAMILY).withColumn(
@@ -231,8 +274,7 @@ def from_days(counts: DataFrame, cut: Column, histograms: DataFrame | None = Non
     )
     value_num = numeric_struct(values, FAMILY, "value", "value_distribution")
     size_num = numeric_struct(sizes, FAMILY, "line_length", "size_distribution")
-    rates = dims.filter(c("dim") == D.SOURCE).groupBy(*FAMILY, c("n").alias("rate")).agg(F.count("*").alias("n"))
-    rate_num = numeric_struct(rates, FAMILY, "rate", "per_source_rate_distribution")
+    rates = sources.groupBy(*FAMILY, c("n").alias("rate")).agg(F.count("*").alias("n"))
     params = fit.parameters(values, FAMILY)
     best = fit.best_fit(params, fit.ks_statistics(values, params, FAMILY), FAMILY).select(
         *FAMILY,
@@ -250,29 +292,30 @@ def from_days(counts: DataFrame, cut: Column, histograms: DataFrame | None = Non
     )
     burst = temporal.burstiness(minutes, FAMILY)
     gaps = temporal.gap_cv(temporal.gap_counts(seconds, FAMILY, n="n"), FAMILY)
-    shapes = pattern_structs(dims)
-    source_shapes = shapes.filter(c("dim") == D.SOURCE).select(*FAMILY, c("patterns").alias("source_patterns"))
-    tag_shapes = D.tag_only(shapes).groupBy(*FAMILY).agg(
-        F.map_from_entries(F.collect_list(F.struct("key", "patterns"))).alias("tag_value_patterns")
-    )
-    scores = fitness(counts, cut).select(
-        *FAMILY,
-        F.struct("categorical_js_divergence", "numeric_ks_statistic", "temporal_correlation").alias("fitness_scores"),
-    )
+    # parts that write steps of their own are made inside the pool
     parts = [
-        schema_map, source_cat, tag_cats, cooccurrence, value_num, size_num, rate_num, best, curve, burst, gaps,
-        source_shapes, tag_shapes, scores,
+        lambda: pattern_structs(dims),
+        lambda: half_scores(dims, values, seconds).select(
+            *FAMILY,
+            F.struct("categorical_js_divergence", "numeric_ks_statistic", "temporal_correlation").alias("fitness_scores"),
+        ),
+        lambda: numeric_struct(materialize(rates, "rates"), FAMILY, "rate", "per_source_rate_distribution"),
+        *[lambda part=part: part for part in (schema_map, source_cat, tag_cats, cooccurrence, value_num, size_num, best, curve, burst, gaps)],
     ]
     out = base
     if histograms is not None:
-        parts.append(histogram_parts(histograms))
+        parts.append(lambda: histogram_parts(histograms))
     else:
         out = out.withColumn("histogram_distribution", F.lit(None)).withColumn("cadence", F.lit(None)).withColumn("has_histogram", F.lit(False))
     # One row per family each. Written separately so that every part is a small plan of its own;
     # a few run side by side because most of them are too small to fill a cluster.
     with ThreadPoolExecutor(PARALLEL_PARTS) as pool:
-        parts = list(pool.map(lambda part: materialize(part, "part"), parts))
-    for part in parts:
+        shapes, *parts = pool.map(lambda make: materialize(make(), "part"), parts)
+    source_shapes = shapes.filter(c("dim") == D.SOURCE).select(*FAMILY, c("patterns").alias("source_patterns"))
+    tag_shapes = D.tag_only(shapes).groupBy(*FAMILY).agg(
+        F.map_from_entries(F.collect_list(F.struct("key", "patterns"))).alias("tag_value_patterns")
+    )
+    for part in (*parts, source_shapes, tag_shapes):
         out = out.join(part, FAMILY, "left")
     drop_reasons = F.lit(None).cast("map<string,bigint>")
     coverage = F.lit(1.0)

@@ -78,3 +78,41 @@ def test_days_one_by_one_equal_one_run(spark):
 def test_points_are_scanned_once(spark):
     plan = recipe.day_counts(t.points(spark, D))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("FileScan parquet") == 1 and plan.count("Exchange") == 1
+
+
+def test_blocks_read_their_own_rows(spark):
+    """Points are scanned and shuffled once into totals; the parser of tag sets meets no source or number."""
+    rows = recipe.totals(recipe.long_points(t.points(spark, D)), t.split_epoch())
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan parquet") == 1 and plan.count("Exchange") == 1
+    combos = recipe.of_part(recipe.stored_totals(rows), "combo")
+    assert "(part" in combos._jdf.queryExecution().executedPlan().toString().split("PartitionFilters: [")[1].split("]")[0]
+    assert {r.dim for r in combos.select("dim").distinct().collect()} == {"combo"}
+
+
+def test_values_are_generalised_once(spark, monkeypatch):
+    calls = []
+    real = recipe.patterns.generalize
+    monkeypatch.setattr(recipe.patterns, "generalize", lambda text: calls.append(1) or real(text))
+    dims = spark.createDataFrame([("f", "source", "ab-1", 2), ("f", "source", "", 1), ("f", "source", "é😀", 3)], "family_id string, dim string, value string, n bigint")
+    shapes = {p.pattern: p for p in recipe.pattern_structs(dims).first().patterns}
+    assert len(calls) == 1
+    assert shapes["[a-z]+-\\d+"].char_distributions.bigrams == {"ab": 1 / 3, "b-": 1 / 3, "-1": 1 / 3}
+    assert shapes["é😀"].char_distributions.unigrams == {"é": 0.5, "😀": 0.5} and shapes["é😀"].char_distributions.trigrams is None
+    assert shapes[""].length_distribution.max == 0 and shapes[""].char_distributions.unigrams is None
+
+
+def test_halves_of_one_table_score_like_two_tables(spark):
+    schema = "family_id string, dim string, value string, before bigint, after bigint"
+    rows = [("a", "source", "x", 3, 1), ("a", "source", "y", None, 2), ("a", "tag:k", "1", 4, None), ("a", "tag:z", "1", None, 4), ("b", "source", "x", None, 5), ("c", "source", "x", None, None)]
+    both = spark.createDataFrame(rows, schema)
+    keys = ["family_id"]
+
+    def half(name):
+        return both.filter(F.col(name).isNotNull()).select("family_id", "dim", "value", F.col(name).alias("n"))
+
+    two = sorted(recipe.V.js_scores(half("before"), half("after"), keys).collect())
+    one = sorted(recipe.V.js_halves(both, keys, "before", "after").collect())
+    assert len(one) == 2
+    for x, y in zip(one, two, strict=True):
+        near(x.asDict(), y.asDict())
