@@ -129,24 +129,30 @@ def settings(spark: SparkSession, values: dict[str, str]):
                 spark.conf.set(key, value)
 
 
+def store_reference(reference: dict[str, DataFrame], name: str) -> dict[str, DataFrame]:
+    return {part: materialize(frame, f"{name}-{part}") for part, frame in reference.items()}
+
+
 def run_scores(
     counts: DataFrame, reference: dict[str, DataFrame], name: str, min_samples: int = V.MIN_SAMPLES,
     path: str | None = None, checkpoint: str | None = None, trigger: dict[str, Any] | None = None, allow_late: bool = True,
-    state: dict[str, str] | None = None,
+    state: dict[str, str] | None = None, stored: bool = False,
 ) -> DataFrame:
     """Score closed windows batch by batch; resumes with the same ``path`` and ``checkpoint``.
 
-    The micro-batch id is part of the path, so a replayed batch overwrites its own rows. No closed
-    window gives an empty table.
+    ``stored`` says that the reference has been written by :func:`store_reference`, as for runs that
+    share one; else it is written here. The micro-batch id is part of the path, so a replayed batch
+    overwrites its own rows. No closed window gives an empty table.
     """
     spark = counts.sparkSession
     path, checkpoint = path or work_dir(spark, name), checkpoint or work_dir(spark, name + "-checkpoint")
 
-    fixed = {part: materialize(frame, f"{name}-{part}") for part, frame in reference.items()}
+    fixed = reference if stored else store_reference(reference, name)
 
     closed = work_dir(spark, name + "-closed")
-    none = score_windows(fixed, spark.createDataFrame([], counts.schema), min_samples)
-    none.limit(0).write.mode("overwrite").parquet(f"{path}/batch=-1")
+    # only the columns of the scores are asked for here, nothing is scored
+    none = spark.createDataFrame([], score_windows(fixed, spark.createDataFrame([], counts.schema), min_samples).schema)
+    none.write.mode("overwrite").parquet(f"{path}/batch=-1")
 
     def each(batch: DataFrame, batch_id: int) -> None:
         # the batch feeds several aggregations, so its closed windows are written once first

@@ -56,7 +56,7 @@ class Panes(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.pieces = handle.getMapState("pieces", "piece bigint", "panes array<bigint>, names array<string>, counts array<bigint>")
+        self.pieces = handle.getMapState("pieces", "piece bigint", "rows binary")
         # the timer, the number of the newest piece and its size; there while rows are held
         self.book = handle.getValueState("book", "timer bigint, piece bigint, held bigint")
 
@@ -66,7 +66,7 @@ class Panes(StatefulProcessor):
         if held >= self.piece:
             piece = piece + 1
         elif held:
-            parts = [self.frame(*self.pieces.getValue((piece,)))]
+            parts = [self.unpack(*self.pieces.getValue((piece,)))]
         for frame in rows:
             first = int(frame["pane"].min()) if first is None else min(first, int(frame["pane"].min()))
             parts.append(frame[["pane", "value", "n"]])
@@ -81,16 +81,26 @@ class Panes(StatefulProcessor):
         yield from ()
 
     @staticmethod
-    def frame(panes: list, names: list, counts: list) -> pd.DataFrame:
-        return pd.DataFrame({"pane": panes, "value": pd.Series(names, dtype=object), "n": counts})
+    def pack(rows: pd.DataFrame) -> bytes:
+        """A piece as one Arrow stream: state calls carry bytes, not single values."""
+        columns = [pa.array(rows["pane"].to_numpy("int64")), pa.array(rows["value"].to_numpy(object), pa.string(), from_pandas=True), pa.array(rows["n"].to_numpy("int64"))]
+        table = pa.table(columns, names=["pane", "value", "n"])
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, table.schema) as writer:
+            writer.write_table(table)
+        return sink.getvalue().to_pybytes()
+
+    @staticmethod
+    def unpack(rows: bytes) -> pd.DataFrame:
+        table = pa.ipc.open_stream(bytes(rows)).read_all()
+        return pd.DataFrame({"pane": table["pane"].to_numpy(), "value": pd.Series(table["value"].to_pylist(), dtype=object), "n": table["n"].to_numpy()})
 
     def keep(self, parts: list[pd.DataFrame], piece: int) -> tuple[int, pd.DataFrame]:
         """Counts in order of their panes as pieces from number ``piece`` on; returns the last one."""
         rows = pd.concat(parts).groupby(["pane", "value"], sort=False, dropna=False, as_index=False)["n"].sum().sort_values("pane", kind="stable")
         for at in range(0, len(rows), self.piece):
             last = rows.iloc[at : at + self.piece]
-            names = [x if isinstance(x, str) else None for x in last["value"]]
-            self.pieces.updateValue((piece + at // self.piece,), (last["pane"].tolist(), names, last["n"].tolist()))
+            self.pieces.updateValue((piece + at // self.piece,), (self.pack(last),))
         return piece + (len(rows) - 1) // self.piece, last
 
     def wait(self, end: int, old: int | None, piece: int, held: int, timerValues: Any) -> None:
@@ -110,7 +120,7 @@ class Panes(StatefulProcessor):
         if timer != expiredTimerInfo.getExpiryTimeInMs():
             return  # replaced by an earlier one since
         closed = timerValues.getCurrentWatermarkInMs() // 1000
-        held = {k: self.frame(*v) for (k,), v in self.pieces.iterator()}
+        held = {k: self.unpack(*v) for (k,), v in self.pieces.iterator()}
         for starts, names, counts in self.windows(pd.concat(held.values()), timer // 1000, closed):
             yield pd.DataFrame({"family_id": key[0], "window_start": starts, "dim": key[1], "value": names, "n": counts})
         left = {k: rows[rows["pane"] + self.size > closed] for k, rows in held.items()}
